@@ -1,6 +1,6 @@
 """Query catalog: importing this package registers every query."""
 
-from . import q_docs, q_trips  # noqa: F401
+from . import q_docs, q_metrics, q_trips  # noqa: F401
 from .catalog import REGISTRY, Query, query  # noqa: F401
 
 
