@@ -4,6 +4,7 @@ destination inference and clustering on deterministic models."""
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import token, token_digits
@@ -251,7 +252,7 @@ def _empirical_model(spark, sf):
             mats.append(np.where(m > 0, np.log(np.where(m > 0, m, 1.0)), -np.inf))
     diag = [i * z * z + i * z + i for i in range(z)]
     shares = type_counts(tt).withColumn("share", F.col("count") / F.sum("count").over(
-        __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("user_id")))
+        Window.partitionBy("user_id")))
     theta = shares.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("topic", "share"))).alias("m"))
     theta = theta.select("user_id", F.array(*[
         (F.coalesce(F.col("m")[F.lit(diag.index(c))], F.lit(0.0)) if c in diag else F.lit(0.0))
