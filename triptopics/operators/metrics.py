@@ -24,17 +24,19 @@ def beta_from_counts(counts: DataFrame, topic: str, word: str, value: str = "n")
         F.when(F.col(value) > 0, F.log(F.col(value)) - F.log(total)).otherwise(F.lit(LOG_ZERO)).alias("logp"))
 
 
-def top_words(beta: DataFrame, r: int) -> DataFrame:
-    """W-07: the ``r`` most probable words per topic.
+def top_words(beta: DataFrame, r: int, by: list[str] | tuple = ()) -> DataFrame:
+    """W-07: the ``r`` most probable words per topic (per ``by`` group, e.g. dimension).
 
     ``rank`` 1 is the most probable; ties go to the higher word id, which
-    is what taking the tail of a stable ascending sort gives.
+    is what taking the tail of a stable ascending sort gives.  Spark plans
+    the rank filter as a per-group limit applied before the shuffle.
     """
-    w = Window.partitionBy("topic").orderBy(F.desc("p"), F.desc("word"))
+    w = Window.partitionBy(*by, "topic").orderBy(F.desc("p"), F.desc("word"))
     return beta.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= r)
 
 
-def topic_coherence(beta: DataFrame, words: DataFrame, r: int = 10, epsilon: float = 1.0) -> DataFrame:
+def topic_coherence(beta: DataFrame, words: DataFrame, r: int = 10, epsilon: float = 1.0,
+                    by: list[str] | tuple = ()) -> DataFrame:
     """O-15: UMass-style coherence with token counts (Q17).
 
     For each topic, its top-``r`` words w_1..w_r in ascending probability
@@ -42,51 +44,54 @@ def topic_coherence(beta: DataFrame, words: DataFrame, r: int = 10, epsilon: flo
     ``Σ log((cofreq(w_i, w_j) + ε) / freq(w_j))`` over pairs with freq > 0,
     where freq(w) = Σ_u c_u(w) and cofreq(a, b) = Σ_u c_u(a)·c_u(b).
 
-    ``words(user_id, word, cnt)`` is the bag of words of one dimension.
-    The co-frequencies come from a self-join on (user, topic) restricted
-    to the topic's top words, so each join key holds at most ``r`` rows.
+    ``words(user_id, [by...], word, cnt)`` is the bag of words.  The
+    co-frequencies come from a self-join on (user, topic) restricted to
+    the topic's top words, so each join key holds at most ``r`` rows.
     """
-    top = top_words(beta, r).select("topic", "word", (F.lit(r + 1) - F.col("rank")).alias("pos"))
+    by = list(by)
+    top = top_words(beta, r, by).select(*by, "topic", "word", (F.lit(r + 1) - F.col("rank")).alias("pos"))
     top_b = guarded_broadcast(top)
-    per_user = words.groupBy("user_id", "word").agg(F.sum("cnt").alias("c"))
-    hit = per_user.join(top_b, "word")
-    freq = hit.groupBy("topic", "word").agg(F.sum("c").alias("freq"))
-    a, b = hit.alias("a"), hit.alias("b")
-    co = (a.join(b, (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.topic") == F.col("b.topic"))
-                 & (F.col("b.pos") < F.col("a.pos")))
-          .groupBy(F.col("a.topic").alias("topic"), F.col("a.word").alias("w1"), F.col("b.word").alias("w2"))
-          .agg(F.sum(F.col("a.c") * F.col("b.c")).alias("cofreq")))
-    t1, t2 = top.alias("t1"), top.alias("t2")
-    pairs = t1.join(t2, (F.col("t1.topic") == F.col("t2.topic")) & (F.col("t2.pos") < F.col("t1.pos"))).select(
-        F.col("t1.topic").alias("topic"), F.col("t1.word").alias("w1"), F.col("t2.word").alias("w2"))
-    scored = (pairs.join(co, ["topic", "w1", "w2"], "left")
-              .join(freq.select("topic", F.col("word").alias("w2"), "freq"), ["topic", "w2"], "left")
+    per_user = words.groupBy("user_id", *by, "word").agg(F.sum("cnt").alias("c"))
+    hit = per_user.join(top_b, [*by, "word"])
+    freq = hit.groupBy(*by, "topic", "word").agg(F.sum("c").alias("freq"))
+    a = hit.select("user_id", *by, "topic", F.col("word").alias("w1"), F.col("pos").alias("p1"), F.col("c").alias("c1"))
+    b = hit.select("user_id", *by, "topic", F.col("word").alias("w2"), F.col("pos").alias("p2"), F.col("c").alias("c2"))
+    co = (a.join(b, ["user_id", *by, "topic"]).filter(F.col("p2") < F.col("p1"))
+          .groupBy(*by, "topic", "w1", "w2").agg(F.sum(F.col("c1") * F.col("c2")).alias("cofreq")))
+    t1 = top.select(*by, "topic", F.col("word").alias("w1"), F.col("pos").alias("p1"))
+    t2 = top.select(*by, "topic", F.col("word").alias("w2"), F.col("pos").alias("p2"))
+    pairs = t1.join(t2, [*by, "topic"]).filter(F.col("p2") < F.col("p1")).select(*by, "topic", "w1", "w2")
+    scored = (pairs.join(co, [*by, "topic", "w1", "w2"], "left")
+              .join(freq.withColumnRenamed("word", "w2"), [*by, "topic", "w2"], "left")
               .filter(F.col("freq") > 0)
               .withColumn("term", F.log((F.coalesce("cofreq", F.lit(0)) + F.lit(epsilon)) / F.col("freq"))))
-    topics = beta.select("topic").distinct()
-    return topics.join(scored.groupBy("topic").agg(F.sum("term").alias("coherence")), "topic", "left").select(
-        "topic", F.coalesce("coherence", F.lit(0.0)).alias("coherence"))
+    topics = beta.select(*by, "topic").distinct()
+    return topics.join(scored.groupBy(*by, "topic").agg(F.sum("term").alias("coherence")), [*by, "topic"],
+                       "left").select(*by, "topic", F.coalesce("coherence", F.lit(0.0)).alias("coherence"))
 
 
 def perplexity(words: DataFrame, theta_counts: DataFrame, beta: DataFrame, alpha: float,
-               n_topics: int) -> DataFrame:
+               n_topics: int, by: list[str] | tuple = ()) -> DataFrame:
     """O-14: exp(-Σ log(Σ_z β[z,w] θ_uz + 1e-6) / Σ_u W_u), θ_uz = count_uz / (W_u + Z·α).
 
-    ``words(user_id, word, cnt)``; ``theta_counts(user_id, topic, count)``;
-    ``beta(topic, word, p)``.  Word scores are formed per distinct
-    (user, word) with the model side broadcast.
+    ``words(user_id, [by...], word, cnt)``; ``theta_counts(user_id, [by...], topic, count)``
+    (``by`` columns optional there); ``beta([by...], topic, word, p)``.  Word
+    scores are formed per distinct (user, word) with the model side broadcast.
     """
-    wsum = words.groupBy("user_id").agg(F.sum("cnt").alias("W"))
-    th = theta_counts.join(wsum, "user_id").select(
-        "user_id", "topic", (F.col("count") / (F.col("W") + F.lit(n_topics * alpha))).alias("th"))
-    pw = words.groupBy("user_id", "word").agg(F.sum("cnt").alias("cnt"))
-    score = (pw.join(th, "user_id").join(guarded_broadcast(beta.select("topic", "word", "p")), ["topic", "word"])
-             .groupBy("user_id", "word", "cnt").agg(F.sum(F.col("p") * F.col("th")).alias("s")))
-    # words whose β is zero in every topic of the user still count with score 0
-    full = pw.join(score.select("user_id", "word", "s"), ["user_id", "word"], "left")
-    agg = full.agg(F.sum(F.col("cnt") * F.log(F.coalesce("s", F.lit(0.0)) + F.lit(1e-6))).alias("ll"),
-                   F.sum("cnt").alias("n"))
-    return agg.select(F.exp(-F.col("ll") / F.col("n")).alias("perplexity"), F.col("n").alias("n_words"))
+    by = list(by)
+    wsum = words.groupBy("user_id", *by).agg(F.sum("cnt").alias("W"))
+    on = ["user_id"] + [c for c in by if c in theta_counts.columns]
+    th = theta_counts.join(wsum, on).select(
+        "user_id", *by, "topic", (F.col("count") / (F.col("W") + F.lit(n_topics * alpha))).alias("th"))
+    pw = words.groupBy("user_id", *by, "word").agg(F.sum("cnt").alias("cnt"))
+    bt = guarded_broadcast(beta.select(*by, "topic", "word", "p"))
+    score = (pw.join(th, ["user_id", *by]).join(bt, [*by, "topic", "word"])
+             .groupBy("user_id", *by, "word").agg(F.sum(F.col("p") * F.col("th")).alias("s")))
+    # words whose β is zero in every topic of the user still count, with score 0
+    full = pw.join(score, ["user_id", *by, "word"], "left")
+    agg = full.groupBy(*by).agg(
+        F.sum(F.col("cnt") * F.log(F.coalesce("s", F.lit(0.0)) + F.lit(1e-6))).alias("ll"), F.sum("cnt").alias("n"))
+    return agg.select(*by, F.exp(-F.col("ll") / F.col("n")).alias("perplexity"), F.col("n").alias("n_words"))
 
 
 def topic_similarity(beta_a: DataFrame, beta_b: DataFrame) -> DataFrame:

@@ -32,6 +32,23 @@ def empirical_beta(tt: DataFrame, dim: str) -> DataFrame:
     return c.select("topic", "word", (F.col("n") / F.sum("n").over(Window.partitionBy("topic"))).alias("p"))
 
 
+def dim_long(tt: DataFrame) -> DataFrame:
+    """One row per (trip, dimension): ``(user_id, topic, dim, word)``."""
+    arr = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(c).alias("word")) for d, c in DIM_COLUMNS.items()])
+    return tt.select("user_id", "topic", F.explode(arr).alias("x")).select("user_id", "topic", "x.dim", "x.word")
+
+
+def empirical_beta_all(tt: DataFrame) -> DataFrame:
+    """``(dim, topic, word, p)`` for the three dimensions in one aggregate."""
+    c = dim_long(tt).groupBy("dim", "topic", "word").agg(F.count(F.lit(1)).alias("n"))
+    return c.select("dim", "topic", "word",
+                    (F.col("n") / F.sum("n").over(Window.partitionBy("dim", "topic"))).alias("p"))
+
+
+def dim_words_all(tt: DataFrame) -> DataFrame:
+    return dim_long(tt).groupBy("user_id", "dim", "word").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def type_counts(tt: DataFrame) -> DataFrame:
     """``(user_id, topic, count)``: the per-user topic counts of the empirical model."""
     return tt.groupBy("user_id", "topic").agg(F.count(F.lit(1)).cast("double").alias("count"))

@@ -15,8 +15,8 @@ from ..operators.infer import destination_accuracy, predict_destinations
 from ..session import table
 from ..sources.fixtures import TRIPS_OD_SQL, TRIPS_SQL, trips, trips_od
 from .catalog import query, with_views
-from .fixtures_model import (POI_SQL, TYPED_SQL, beta_sql, dim_words, empirical_beta, mixed_graph_sql,
-                             nation_graph, type_counts, typed)
+from .fixtures_model import (POI_SQL, TYPED_SQL, beta_sql, dim_long, dim_words_all, empirical_beta,
+                             empirical_beta_all, mixed_graph_sql, nation_graph, type_counts, typed)
 
 T = {"trips": TRIPS_SQL, **TYPED_SQL}
 TOD = {"trips": TRIPS_OD_SQL, **TYPED_SQL}
@@ -104,12 +104,10 @@ SELECT dim, topic, word, ROUND(LN(n) - LN(SUM(n) OVER (PARTITION BY dim, topic))
   UNION ALL SELECT 'D', topic, dest, COUNT(*) FROM tt GROUP BY 2, 3
   UNION ALL SELECT 'T', topic, hour, COUNT(*) FROM tt GROUP BY 2, 3)""", **T), ("O-07", "P-12"))
 def q_beta_from_counts(spark, sf):
-    tt = typed(trips(spark, sf))
-    parts = []
-    for dim, col in (("O", "origin"), ("D", "dest"), ("T", "hour")):
-        c = tt.groupBy("topic", F.col(col).alias("word")).agg(F.count(F.lit(1)).alias("n"))
-        parts.append(mt.beta_from_counts(c, "topic", "word").withColumn("dim", F.lit(dim)))
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    c = dim_long(typed(trips(spark, sf))).groupBy("dim", "topic", "word").agg(F.count(F.lit(1)).alias("n"))
+    c = c.withColumn("dt", F.struct("dim", "topic"))
+    out = mt.beta_from_counts(c, "dt", "word").select(
+        F.col("topic.dim").alias("dim"), F.col("topic.topic").alias("topic"), "word", "logp")
     return out.select("dim", "topic", "word", _r("logp"))
 
 
@@ -121,9 +119,7 @@ def _top_sql(dim):
 
 @query("topic_top_words", with_views(" UNION ALL ".join(_top_sql(d) for d in "ODT"), **T), ("W-07",))
 def q_topic_top_words(spark, sf):
-    tt = typed(trips(spark, sf))
-    parts = [mt.top_words(empirical_beta(tt, d), TOP_R).withColumn("dim", F.lit(d)) for d in "ODT"]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    out = mt.top_words(empirical_beta_all(typed(trips(spark, sf))), TOP_R, ["dim"])
     return out.select("dim", "topic", F.col("rank").cast("int"), "word", F.round("p", 12).alias("p"))
 
 
@@ -131,13 +127,9 @@ def q_topic_top_words(spark, sf):
     f"""SELECT dim, topic, rank, '{d}' || word AS token, CAST(regexp_extract('{d}' || word, '(\\d+)', 1) AS INT) AS value
         FROM ({_top_sql(d)})""" for d in "ODT"), **T), ("G-08", "P-05", "P-07", "J-04"))
 def q_topic_decode(spark, sf):
-    tt = typed(trips(spark, sf))
-    parts = []
-    for d in "ODT":
-        top = mt.top_words(empirical_beta(tt, d), TOP_R)
-        parts.append(top.select(F.lit(d).alias("dim"), "topic", F.col("rank").cast("int"),
-                                token(d, "word").alias("token")))
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    top = mt.top_words(empirical_beta_all(typed(trips(spark, sf))), TOP_R, ["dim"])
+    out = top.select("dim", "topic", F.col("rank").cast("int"),
+                     F.concat(F.col("dim"), F.col("word").cast("string")).alias("token"))
     return out.withColumn("value", token_digits("token"))
 
 
@@ -170,9 +162,7 @@ def _coh_views():
        ("O-15", "J-08", "A-15", "W-07"))
 def q_topic_coherence(spark, sf):
     tt = typed(trips(spark, sf))
-    parts = [mt.topic_coherence(empirical_beta(tt, d), dim_words(tt, d), TOP_R).withColumn("dim", F.lit(d))
-             for d in "ODT"]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    out = mt.topic_coherence(empirical_beta_all(tt), dim_words_all(tt), TOP_R, by=["dim"])
     return out.select("dim", "topic", _r("coherence"))
 
 
@@ -193,12 +183,9 @@ def _perp_sql(dim):
 
 @query("perplexity", with_views(" UNION ALL ".join(_perp_sql(d) for d in "ODT"), **T), ("O-14",))
 def q_perplexity(spark, sf):
-    tt = typed(trips(spark, sf)).cache()
-    z = tt.select("topic").distinct().count()
-    th = type_counts(tt)
-    parts = [mt.perplexity(dim_words(tt, d), th, empirical_beta(tt, d), ALPHA, z).withColumn("dim", F.lit(d))
-             for d in "ODT"]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    tt = typed(trips(spark, sf))
+    z = tt.select("txn_type").distinct().count()
+    out = mt.perplexity(dim_words_all(tt), type_counts(tt), empirical_beta_all(tt), ALPHA, z, by=["dim"])
     return out.select("dim", _r("perplexity"), "n_words")
 
 

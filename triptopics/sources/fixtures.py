@@ -33,17 +33,17 @@ def chained_lead(df: DataFrame, key: str, order: list[str], value: str, out: str
     chunk = F.floor(micros / F.lit(chunk_seconds * 1_000_000)).alias("_chunk")
     base = df.withColumn("_chunk", chunk)
     w = Window.partitionBy(key, "_chunk").orderBy(*order)
-    nxt = F.lead(F.struct(F.col(value).alias("v")), 1).over(w)
-    inner = base.withColumn("_nxt", nxt)
-    # first event of every (key, chunk), then the next chunk's first event
-    first = (base.groupBy(key, "_chunk")
-             .agg(F.min_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_first")))
+    val = F.struct(F.col(value).alias("v"))
+    inner = base.withColumn("_nxt", F.lead(val, 1).over(w)).withColumn("_rn", F.row_number().over(w))
+    # first event of every (key, chunk) comes out of the same window (no second scan),
+    # then each chunk learns the first event of the key's next non-empty chunk
+    first = inner.filter(F.col("_rn") == 1).select(key, "_chunk", val.alias("_first"))
     follow = first.withColumn(
         "_follow", F.lead("_first", 1).over(Window.partitionBy(key).orderBy("_chunk"))
     ).select(key, "_chunk", "_follow")
     joined = inner.join(follow, [key, "_chunk"], "left")
     return joined.withColumn(out, F.coalesce(F.col("_nxt"), F.col("_follow")).getField("v")).drop(
-        "_chunk", "_nxt", "_follow")
+        "_chunk", "_nxt", "_follow", "_rn")
 
 
 def event_stations(events: DataFrame) -> DataFrame:
