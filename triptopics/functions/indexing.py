@@ -15,10 +15,16 @@ _POS_BITS = 33
 _POS_MASK = (1 << _POS_BITS) - 1
 
 
-def guarded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking its row count; otherwise leave the
-    join to the shuffle strategy Catalyst/AQE picks."""
-    if df.limit(max_rows + 1).count() <= max_rows:
+def guarded_broadcast(df: DataFrame, bound: int | None = None, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast hint only for a side whose row count is bounded by construction
+    (a ``limit``, a cohort size, ``keep_n``...) and within ``max_rows``.
+
+    Without such a bound the join is left to Catalyst and AQE, which turns
+    it into a broadcast at run time only when the measured shuffle output
+    of that side is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``,
+    so the size is always checked and no extra job is run to check it.
+    """
+    if bound is not None and bound <= max_rows:
         return F.broadcast(df)
     return df
 

@@ -141,7 +141,7 @@ def categorical_clusters(items: DataFrame, key: str, attrs: list[str], m: int, m
         for ai in range(len(attrs)):
             kv[c, ai, int(r[ai + 1])] += 1
     seeds = guarded_broadcast(spark.createDataFrame(
-        pd.DataFrame({key: seed_ids, "_seed": np.arange(len(seed_ids), dtype=np.int32)})))
+        pd.DataFrame({key: seed_ids, "_seed": np.arange(len(seed_ids), dtype=np.int32)})), m)
     tagged = items.select(key, *attrs).join(seeds, key, "left")
     schema = f"{key} long, cluster int, changed int"
 

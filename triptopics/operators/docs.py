@@ -56,6 +56,7 @@ def passenger_docs(trips: DataFrame, order: list[str], chunk: int = DOC_CHUNK) -
         F.transform("_w", lambda x: x["o"]).alias("o"),
         F.transform("_w", lambda x: x["d"]).alias("d"),
         F.transform("_w", lambda x: x["t"]).alias("t"))
+    docs = docs.withColumn("chunk_words", F.size("o"))          # P-11
     return docs.join(passenger_summary(trips, order), "user_id")
 
 
@@ -100,7 +101,7 @@ def vocab(trips: DataFrame) -> DataFrame:
         f = trips.groupBy(F.col(col).alias("value")).agg(
             F.countDistinct("user_id").alias("doc_freq"), F.count(F.lit(1)).alias("coll_freq"))
         v = ids.filter(F.col("dim") == space).select("value", "id")
-        parts.append(f.join(F.broadcast(v), "value").select(
+        parts.append(f.join(v, "value").select(
             F.lit(dim).alias("dim"), token(dim, "value").alias("token"), "value", "id", "doc_freq", "coll_freq"))
     out = parts[0]
     for p in parts[1:]:
@@ -132,6 +133,9 @@ def word_freq(trips: DataFrame) -> DataFrame:
 def text_tokens(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``split(lower(text), ' ')`` counted per document: (doc_id, token, tf)."""
     words = documents.select(key, F.explode(F.split(F.lower(F.col(text)), " ")).alias("token"))
+    # explicit (split never yields NULL): keeps every use of this subplan identical, so
+    # AQE can reuse one shuffle when the counts feed both the vocabulary and a join
+    words = words.filter(F.col("token").isNotNull())
     return words.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -150,15 +154,26 @@ def pruned_vocab(tf: DataFrame, n_docs: Column | int, no_below: int = 3, no_abov
     return top.withColumn("id", (F.row_number().over(Window.orderBy("token")) - 1).cast("int"))
 
 
-def bag_of_words(tf: DataFrame, vocabulary: DataFrame, key: str = "doc_id") -> DataFrame:
-    """V-03/V-05: (doc, id, tf) against a fixed vocabulary; unknown tokens dropped."""
-    return tf.join(guarded_broadcast(vocabulary.select("token", "id")), "token").select(key, "id", "tf")
+def bag_of_words(tf: DataFrame, vocabulary: DataFrame, key: str = "doc_id", vocab_bound: int | None = None) -> DataFrame:
+    """V-03/V-05: (doc, id, tf) against a fixed vocabulary; unknown tokens dropped.
 
+    ``vocab_bound`` (e.g. ``keep_n`` of a pruned vocabulary) lets the
+    vocabulary be broadcast without a size job."""
+    v = guarded_broadcast(vocabulary.select("token", "id"), vocab_bound)
+    return tf.join(v, "token").select(key, "id", "tf")
 
-def tfidf(bow: DataFrame, vocabulary: DataFrame, n_docs: int, key: str = "doc_id") -> DataFrame:
-    """V-04: ``tf * log2(N / df)`` then L2-normalised per document; zero weights dropped."""
-    v = guarded_broadcast(vocabulary.select("id", "doc_freq"))
-    raw = bow.join(v, "id").withColumn("w", F.col("tf") * F.log2(F.lit(float(n_docs)) / F.col("doc_freq")))
+
+def tfidf(bow: DataFrame, vocabulary: DataFrame, n_docs: int, key: str = "doc_id",
+          vocab_bound: int | None = None) -> DataFrame:
+    """V-04: ``tf * log2(N / df)`` then L2-normalised per document; zero weights dropped.
+
+    ``bow`` is either (doc, id, tf) or token counts (doc, token, tf); the
+    vocabulary side is joined once and the norm is a window over the
+    document (at most one row per vocabulary entry), not a second join.
+    """
+    on = "id" if "id" in bow.columns else "token"
+    v = guarded_broadcast(vocabulary.select("token", "id", "doc_freq"), vocab_bound)
+    raw = bow.join(v, on).withColumn("w", F.col("tf") * F.log2(F.lit(float(n_docs)) / F.col("doc_freq")))
     raw = raw.filter(F.abs(F.col("w")) > 1e-12)
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
-    return raw.join(norm, key).select(key, "id", (F.col("w") / F.col("_n")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return raw.select(key, "id", (F.col("w") / norm).alias("weight"))

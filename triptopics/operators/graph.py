@@ -54,7 +54,7 @@ def mixed_factors(net: DataFrame, poi: DataFrame, mu: float) -> DataFrame:
 def degree(factors: DataFrame) -> DataFrame:
     """G-03 diagonal: deg_i = Σ_{j≠i} G_ij = F_i · (Σ_j F_j) − F_i · F_i."""
     col_sum = factors.groupBy("factor").agg(F.sum("weight").alias("fs"))
-    d = factors.join(F.broadcast(col_sum), "factor").groupBy("station").agg(
+    d = factors.join(col_sum, "factor").groupBy("station").agg(
         F.sum(F.col("weight") * F.col("fs")).alias("a"), F.sum(F.col("weight") * F.col("weight")).alias("self"))
     return d.select("station", (F.col("a") - F.col("self")).alias("degree"))
 
@@ -64,7 +64,7 @@ def smoothness(p: DataFrame, factors: DataFrame) -> DataFrame:
     (diagonal of G ignored): Σ_i deg_i p_i² − Σ_{i≠j} G_ij p_i p_j
     = Σ_i (F_i·ΣF) p_i² − Σ_f (Σ_i F_if p_i)² + ... the self terms cancel."""
     col_sum = factors.groupBy("factor").agg(F.sum("weight").alias("fs"))
-    full_deg = factors.join(F.broadcast(col_sum), "factor").groupBy("station").agg(
+    full_deg = factors.join(col_sum, "factor").groupBy("station").agg(
         F.sum(F.col("weight") * F.col("fs")).alias("fdeg"))
     term1 = p.join(full_deg, "station").groupBy("topic").agg(
         F.sum(F.col("fdeg") * F.col("p") * F.col("p")).alias("t1"))
@@ -84,7 +84,7 @@ def gradient_step(p0: DataFrame, factors: DataFrame, lam: float, g_step: float,
     must list every (topic, station) of the model (zeros included).
     """
     col_sum = factors.groupBy("factor").agg(F.sum("weight").alias("fs"))
-    fdeg = factors.join(F.broadcast(col_sum), "factor").groupBy("station").agg(
+    fdeg = factors.join(col_sum, "factor").groupBy("station").agg(
         F.sum(F.col("weight") * F.col("fs")).alias("fdeg"))
     proj = p0.join(factors, "station").groupBy("topic", "factor").agg(F.sum(F.col("weight") * F.col("p")).alias("s"))
     gp = factors.join(proj, "factor").groupBy("topic", "station").agg(F.sum(F.col("weight") * F.col("s")).alias("gp"))
@@ -116,3 +116,20 @@ def to_station_graph(factors_pdf, station_ids: np.ndarray) -> StationGraph:
         if int(s) in pos:
             fm[pos[int(s)], col[f]] = w
     return StationGraph(len(station_ids), [(1.0, fm)])
+
+
+def edge_graph(edges_pdf, station_ids: np.ndarray) -> StationGraph:
+    """S-05: a sparse station graph from an edge table ``(w1, w2, weight)`` keyed
+    by station number (collected: one row per edge of the network)."""
+    pos = {int(s): i for i, s in enumerate(station_ids)}
+    keep = [k for k in range(len(edges_pdf)) if int(edges_pdf["w1"].iloc[k]) in pos
+            and int(edges_pdf["w2"].iloc[k]) in pos]
+    i = np.array([pos[int(edges_pdf["w1"].iloc[k])] for k in keep], dtype=np.int64)
+    j = np.array([pos[int(edges_pdf["w2"].iloc[k])] for k in keep], dtype=np.int64)
+    v = edges_pdf["weight"].to_numpy(np.float64)[keep]
+    return StationGraph(len(station_ids), edges=[(1.0, i, j, v)])
+
+
+def read_edge_graph(spark, path: str, station_ids: np.ndarray) -> StationGraph:
+    """S-05: load an edge-table parquet into the M-step graph form."""
+    return edge_graph(spark.read.parquet(path).select("w1", "w2", "weight").toPandas(), station_ids)

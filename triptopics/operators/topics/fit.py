@@ -125,19 +125,28 @@ def assign_minibatches(docs: DataFrame, batch_size: int, seed: int = 0) -> tuple
 
 def online_update(model: TopicModel, batch_docs: DataFrame, cfg: TensorLDAConfig, tau0: float,
                   kappa: float, graph_o: StationGraph | None = None,
-                  graph_d: StationGraph | None = None) -> tuple[TopicModel, float, int]:
-    """O-10: one mini-batch: E-step with the current β, M-step on the batch
-    alone, then blend with ρ_t = (τ0 + 1 + t)^-κ (one ρ for O, D and T; every
-    β normalised before blending)."""
+                  graph_d: StationGraph | None = None, variant: str = "blend") -> tuple[TopicModel, float, int]:
+    """O-10/O-11: one mini-batch: E-step with the current β, M-step on the batch
+    alone, then ρ_t = (τ0 + 1 + t)^-κ (every β normalised before blending).
+
+    ``variant`` selects the reference's online settings:
+    ``'blend'``: O, D and T blended with one ρ (default);
+    ``'no_od_blend'``: O and D take the regularised batch estimate, T is blended;
+    ``'rho_step'``: ρ is the graph-gradient step size, O and D not blended.
+    """
     so, sd, st, ll, n_docs = collect_stats(
         estep_stats(prepare_docs(batch_docs), model.beta, model.alpha, cfg.max_sweeps, cfg.var_tol),
         model.shape)
     if n_docs == 0:
         return model, 0.0, 0
-    bo, bd, bt = m_step(so, sd, st, cfg, graph_o, graph_d, cfg.nt_tol)
     rho = learning_rate(tau0, kappa, model.steps)
-    model.log_bo = blend(model.log_bo, bo, rho)
-    model.log_bd = blend(model.log_bd, bd, rho)
+    step_cfg = cfg if variant != "rho_step" else TensorLDAConfig(**{**cfg.__dict__, "g_step": rho})
+    bo, bd, bt = m_step(so, sd, st, step_cfg, graph_o, graph_d, cfg.nt_tol)
+    if variant == "blend":
+        model.log_bo = blend(model.log_bo, bo, rho)
+        model.log_bd = blend(model.log_bd, bd, rho)
+    else:
+        model.log_bo, model.log_bd = bo, bd
     model.log_bt = blend(model.log_bt, bt, rho)
     model.steps += 1
     return model, ll, n_docs
@@ -146,7 +155,7 @@ def online_update(model: TopicModel, batch_docs: DataFrame, cfg: TensorLDAConfig
 def fit_online(corpus: Corpus, cfg: TensorLDAConfig, batch_size: int = 64, epochs: int = 3,
                tau0: float = 16.0, kappa: float = 0.5, graph_o: StationGraph | None = None,
                graph_d: StationGraph | None = None, eval_every: int | None = None,
-               metric_fn=None) -> TopicModel:
+               metric_fn=None, variant: str = "blend") -> TopicModel:
     """O-10/O-11/O-17: epochs over mini-batches with a metric every ``eval_every``
     mini-batches (default: at the end of each epoch)."""
     spark = corpus.docs.sparkSession
@@ -159,7 +168,7 @@ def fit_online(corpus: Corpus, cfg: TensorLDAConfig, batch_size: int = 64, epoch
     for epoch in range(epochs):
         for b in range(n_batches):
             model, ll, _ = online_update(model, stored.filter(F.col("mb") == b).drop("mb"), cfg, tau0, kappa,
-                                         graph_o, graph_d)
+                                         graph_o, graph_d, variant)
             el = time.time() - t0
             model.history.append({"step": model.steps, "name": "batch_elbo", "value": ll, "elapsed_s": el})
             last = b == n_batches - 1

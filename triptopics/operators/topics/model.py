@@ -50,10 +50,17 @@ class TopicModel:
         return spark.createDataFrame(self.beta_pandas(), BETA_SCHEMA)
 
     def history_frame(self, spark: SparkSession) -> DataFrame:
-        """O-17: metric rows ``(step, name, value, elapsed_s)``."""
+        """O-17: metric rows ``(step, name, value, elapsed_s, elapsed_min)`` (P-16: whole minutes)."""
         rows = [(int(h["step"]), str(h["name"]), float(h["value"]), float(h["elapsed_s"]))
                 for h in self.history]
-        return spark.createDataFrame(rows, "step int, name string, value double, elapsed_s double")
+        df = spark.createDataFrame(rows, "step int, name string, value double, elapsed_s double")
+        return df.withColumn("elapsed_min", (F.col("elapsed_s") / 60).cast("int"))
+
+    def save(self, spark: SparkSession, path: str, run_id: str, lam: float) -> None:
+        """S-07: β as one table partitioned by run and λ (overwrites that partition only)."""
+        (self.beta_frame(spark).withColumn("run_id", F.lit(run_id)).withColumn("lam", F.lit(float(lam)))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("run_id", "lam").parquet(path))
 
     @classmethod
     def from_beta_pandas(cls, pdf: pd.DataFrame, alpha: float) -> TopicModel:
@@ -99,10 +106,14 @@ def corpus_from_trips(trips: DataFrame, vocab_trips: DataFrame | None = None) ->
     The vocabulary comes from ``vocab_trips`` (e.g. training users only,
     Q31) or from all trips; triples with an unknown word are dropped.
     """
-    voc = station_vocab(vocab_trips if vocab_trips is not None else trips)
-    stations, hours = vocab_arrays(voc)
-    st = guarded_broadcast(voc.filter(F.col("dim") == "S").select("value", "id"))
-    hr = guarded_broadcast(voc.filter(F.col("dim") == "T").select("value", "id"))
+    spark = trips.sparkSession
+    stations, hours = vocab_arrays(station_vocab(vocab_trips if vocab_trips is not None else trips))
+    # the collected vocabulary (exact size known) goes back as small broadcast tables,
+    # so the join does not recompute the vocabulary from the trips
+    st = guarded_broadcast(spark.createDataFrame(pd.DataFrame(
+        {"value": stations.astype(np.int32), "id": np.arange(stations.size, dtype=np.int32)})), stations.size)
+    hr = guarded_broadcast(spark.createDataFrame(pd.DataFrame(
+        {"value": hours.astype(np.int32), "id": np.arange(hours.size, dtype=np.int32)})), hours.size)
     tri = doc_triples(trips)
     ids = (tri.join(st.select(F.col("value").alias("o"), F.col("id").alias("o_id")), "o")
               .join(st.select(F.col("value").alias("d"), F.col("id").alias("d_id")), "d")

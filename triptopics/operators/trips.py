@@ -124,9 +124,9 @@ def cohort(trips: DataFrame, size: int, seed: int = 0) -> DataFrame:
     return users.orderBy("h", "user_id").limit(size).select("user_id")
 
 
-def cohort_trips(trips: DataFrame, cohort_users: DataFrame) -> DataFrame:
-    """J-01: trips of the cohort (left-semi join; cohort broadcast after a size check)."""
-    return trips.join(guarded_broadcast(cohort_users), "user_id", "left_semi")
+def cohort_trips(trips: DataFrame, cohort_users: DataFrame, size: int | None = None) -> DataFrame:
+    """J-01: trips of the cohort (left-semi join; broadcast when the cohort size is bounded)."""
+    return trips.join(guarded_broadcast(cohort_users, size), "user_id", "left_semi")
 
 
 def train_test_split(users: DataFrame, train_size: int, order: list[Column] | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ def typed(trips: DataFrame) -> DataFrame:
     """Trips with ``topic`` = dense rank of the trip type (types are few)."""
     types = trips.select("txn_type").distinct()
     ids = types.withColumn("topic", (F.dense_rank().over(Window.orderBy("txn_type")) - 1).cast("int"))
-    return trips.join(F.broadcast(ids), "txn_type")
+    return trips.join(ids, "txn_type")
 
 
 def empirical_beta(tt: DataFrame, dim: str) -> DataFrame:

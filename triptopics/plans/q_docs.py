@@ -28,8 +28,8 @@ def train_users(spark, sf):
 
 
 @query("passenger_docs", with_views("""
-SELECT g.user_id, g.chunk, s.subtype, s.wordcount, g.o, g.d, g.t FROM (
-  SELECT user_id, CAST((rn - 1) // 1000 AS INT) AS chunk,
+SELECT g.user_id, g.chunk, s.subtype, s.wordcount, g.o, g.d, g.t, g.chunk_words FROM (
+  SELECT user_id, CAST((rn - 1) // 1000 AS INT) AS chunk, CAST(COUNT(*) AS INT) AS chunk_words,
          string_agg('O' || origin, ' ' ORDER BY rn) AS o,
          string_agg('D' || dest, ' ' ORDER BY rn) AS d,
          string_agg('T' || hour, ' ' ORDER BY rn) AS t
@@ -40,7 +40,7 @@ JOIN (SELECT user_id, arg_min(txn_type, (ts, event_id)) AS subtype, COUNT(*) AS
 def q_passenger_docs(spark, sf):
     d = dc.passenger_docs(trips(spark, sf), ORDER)
     return d.select("user_id", "chunk", "subtype", "wordcount",
-                    *[F.concat_ws(" ", c).alias(c) for c in ("o", "d", "t")])
+                    *[F.concat_ws(" ", c).alias(c) for c in ("o", "d", "t")], "chunk_words")
 
 
 @query("doc_words", with_views("""
@@ -69,6 +69,14 @@ def q_flat_tokens(spark, sf):
     return dc.flat_tokens(flow.user_od_tensor(trips(spark, sf), 7))
 
 
+@query("flat_doc_words", with_views("""
+SELECT user_id, 'O' || origin || '_D' || dest || '_T' || CAST(CAST(((HOUR(ts) - 5) % 24 + 24) % 24 AS INT) // 7 AS INT)
+       AS token
+FROM trips WHERE ((HOUR(ts) - 5) % 24 + 24) % 24 < 21""", **T), ("P-10", "A-11"))
+def q_flat_doc_words(spark, sf):
+    return dc.repeat_words(dc.flat_tokens(flow.user_od_tensor(trips(spark, sf), 7)))
+
+
 @query("vocab", with_views("""
 SELECT f.dim, f.dim || f.value AS token, f.value, v.id, f.doc_freq, f.coll_freq FROM (
   SELECT 'O' AS dim, origin AS value, 'S' AS space, COUNT(DISTINCT user_id) AS doc_freq, COUNT(*) AS coll_freq FROM trips GROUP BY 2
@@ -156,7 +164,7 @@ def q_pruned_vocab(spark, sf):
     "SELECT tf.doc_id, voc.id, tf.tf FROM tf JOIN voc ON tf.token = voc.token", **TEXT_SQL), ("V-03",))
 def q_bag_of_words(spark, sf):
     tf, n = _text(spark, sf)
-    return dc.bag_of_words(tf, dc.pruned_vocab(tf, n, NO_BELOW, NO_ABOVE, KEEP_N))
+    return dc.bag_of_words(tf, dc.pruned_vocab(tf, n, NO_BELOW, NO_ABOVE, KEEP_N), vocab_bound=KEEP_N)
 
 
 @query("tfidf", with_views("""
@@ -167,7 +175,7 @@ WHERE ABS(w) > 1e-12""", **TEXT_SQL), ("V-04",))
 def q_tfidf(spark, sf):
     tf, n = _text(spark, sf)
     v = dc.pruned_vocab(tf, n, NO_BELOW, NO_ABOVE, KEEP_N)
-    t = dc.tfidf(dc.bag_of_words(tf, v), v, n)
+    t = dc.tfidf(tf, v, n, vocab_bound=KEEP_N)
     return t.select("doc_id", "id", F.round("weight", 9).alias("weight"))
 
 
@@ -193,4 +201,4 @@ def q_unseen_doc_bow(spark, sf):
     tf = dc.text_tokens(docs).join(split, "doc_id")
     train_tf = tf.filter(F.col("split") == "train").drop("split")
     v = dc.pruned_vocab(train_tf, n_train, NO_BELOW, NO_ABOVE, KEEP_N)
-    return dc.bag_of_words(tf.filter(F.col("split") == "test").drop("split"), v)
+    return dc.bag_of_words(tf.filter(F.col("split") == "test").drop("split"), v, vocab_bound=KEEP_N)

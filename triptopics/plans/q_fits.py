@@ -229,7 +229,7 @@ def q_flat_vlda_fit(spark, sf):
         "o", (F.dense_rank().over(Window.orderBy("token")) - 1)
         .cast("int"))
     tokens = np.array([r[0] for r in ids.orderBy("o").select("token").collect()])
-    docs = tok.join(F.broadcast(ids), "token").select("user_id", "o", F.lit(0).alias("d"), F.lit(0).alias("t"), "cnt")
+    docs = tok.join(ids, "token").select("user_id", "o", F.lit(0).alias("d"), F.lit(0).alias("t"), "cnt")
     corpus = Corpus(docs, np.arange(tokens.size), np.zeros(1, dtype=np.int64))
     cfg = TensorLDAConfig(J=FLAT_TOPICS, K=1, L=1, alpha=0.1, lam=1.0)
     model = fit_batch(corpus, cfg)

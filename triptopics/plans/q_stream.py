@@ -40,7 +40,7 @@ def q_stream_cohort_trips(spark, sf):
     cohort = tr.cohort(trips(spark, sf), COHORT_SIZE, COHORT_SEED).cache()
     cohort.count()
     ev = so.read_event_stream(spark, sf)
-    s = so.cohort_stream(so.used(so.chain_trips(ev)), cohort)
+    s = so.cohort_stream(so.used(so.chain_trips(ev)), cohort, COHORT_SIZE)
     path = so.scratch_path(spark, "sink-cohort")
     so.run_to_end(s, path, "append", "cohort")
     out = spark.read.option("basePath", path).parquet(f"{path}/batch=*").drop("batch")

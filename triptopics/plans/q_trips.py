@@ -178,7 +178,7 @@ ORDER BY {stable_hash_sql('user_id', COHORT_SEED)}, user_id LIMIT {COHORT_SIZE}"
     ("P-09", "P-14", "J-01", "U-01"))
 def q_cohort_trips(spark, sf):
     t = trips(spark, sf)
-    return tr.cohort_trips(t, tr.cohort(t, COHORT_SIZE, COHORT_SEED))
+    return tr.cohort_trips(t, tr.cohort(t, COHORT_SIZE, COHORT_SEED), COHORT_SIZE)
 
 
 @query("train_test_split", with_views("""

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..functions.indexing import guarded_broadcast
 from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import event_stations
 
@@ -107,9 +108,9 @@ def od_flow_stream(trips: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("amount"))
 
 
-def cohort_stream(trips: DataFrame, cohort: DataFrame) -> DataFrame:
-    """T-04: stream-static left-semi join; the cohort side is broadcast."""
-    return trips.join(F.broadcast(cohort), "user_id", "left_semi")
+def cohort_stream(trips: DataFrame, cohort: DataFrame, size: int) -> DataFrame:
+    """T-04: stream-static left-semi join; the cohort (at most ``size`` users) is broadcast."""
+    return trips.join(guarded_broadcast(cohort, size), "user_id", "left_semi")
 
 
 def doc_stream(events: DataFrame) -> DataFrame:
