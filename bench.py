@@ -32,6 +32,9 @@ def main() -> None:
     from triptopics.sources.fixtures import trips
 
     spark = get_spark()
+    # untimed warm-up: JVM start, code generation, Python workers
+    spark.range(200_000).selectExpr("id % 97 AS k").groupBy("k").count().write.format("noop").mode(
+        "overwrite").save()
     qs = plans.queries()
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q] or HEADLINE
     times: dict[str, float] = {}

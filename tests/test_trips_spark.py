@@ -38,3 +38,12 @@ def test_flow_repartition_invariance(spark):
     assert _rows(one) == _rows(many)
     assert t.count() == flow.od_tensor(t, 24).agg(F.sum("value")).first()[0] + \
         t.filter(F.pmod(F.hour("ts") - 5, F.lit(24)) >= 21).count()
+
+
+def test_chained_position_equals_row_number(spark):
+    from triptopics.sources.fixtures import chained_position
+    e = event_stations(table(spark, SF_SMALL, "events"))
+    ref = e.withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
+    for chunk in (3600, 86_400, 10 ** 7):
+        ours = chained_position(e, "user_id", ["ts", "event_id"], "pos", "ts", chunk)
+        assert _rows(ours.select("event_id", "pos")) == _rows(ref.select("event_id", "pos"))

@@ -5,8 +5,9 @@ word triple (origin, destination, hour).  Documents are never collected
 whole: the engine keeps them as
 
 * ``doc_words(user_id, pos, o, d, t)``: one row per trip with its position,
-  positions computed by a range-partitioned dense index (no per-user
-  window, so a traveller with a third of all trips stays parallel);
+  computed per (user, day-chunk) window plus a prefix sum over the chunks
+  (no per-user window, so a traveller with a third of all trips stays
+  parallel);
 * ``doc_triples(user_id, o_id, d_id, t_id, cnt)``: the bag of distinct
   triples, which is all the topic models need and whose size per user is
   bounded by |stations|² × |hours| whatever the data volume.
@@ -21,18 +22,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import token, triple_token
-from ..functions.indexing import dense_index, guarded_broadcast
+from ..functions.indexing import guarded_broadcast
+from ..sources.fixtures import chained_position
 
 DOC_CHUNK = 1000
 UNKNOWN_ID = -1
 
 
-def doc_words(trips: DataFrame, order: list[str]) -> DataFrame:
-    """One row per trip with its 0-based position in the user's timeline."""
-    idx = dense_index(trips, [F.col("user_id")] + [F.col(c) for c in order], "_g")
-    start = idx.groupBy("user_id").agg(F.min("_g").alias("_s"))
-    return (idx.join(start, "user_id")
-            .withColumn("pos", F.col("_g") - F.col("_s")).drop("_g", "_s"))
+def doc_words(trips: DataFrame, order: list[str], ts_col: str = "ts") -> DataFrame:
+    """One row per trip with its 0-based position in the user's timeline
+    (per (user, day-chunk) windows plus a per-chunk prefix sum)."""
+    return chained_position(trips, "user_id", order, "pos", ts_col)
 
 
 def passenger_summary(trips: DataFrame, order: list[str]) -> DataFrame:

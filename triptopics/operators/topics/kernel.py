@@ -104,15 +104,20 @@ def e_step(doc: np.ndarray, o: np.ndarray, d: np.ndarray, t: np.ndarray, cnt: np
             b = min(n, a + ROW_BLOCK)
             sg = seg[a:b]
             act = active[sg][:, None]
-            psi = psi_docs[sg]                                   # (rows, J, K, L)
+            rows = b - a
+            psi = psi_docs[sg].reshape(rows, J * K, L)           # (rows, J·K, L)
+            pt0 = phi_t[a:b]
+            # Σ_l ψ[j,k,l] φT[l]: shared by the origin and destination updates
+            x = np.matmul(psi, pt0[:, :, None]).reshape(rows, J, K)
             po = np.where(act, _softmax_rows(
-                np.einsum("njkl,nk,nl->nj", psi, phi_d[a:b], phi_t[a:b]) + lo[a:b]), phi_o[a:b])
+                np.matmul(x, phi_d[a:b, :, None])[:, :, 0] + lo[a:b]), phi_o[a:b])
             pd_ = np.where(act, _softmax_rows(
-                np.einsum("njkl,nj,nl->nk", psi, po, phi_t[a:b]) + ld[a:b]), phi_d[a:b])
-            pt = np.where(act, _softmax_rows(
-                np.einsum("njkl,nj,nk->nl", psi, po, pd_) + lt[a:b]), phi_t[a:b])
+                np.matmul(po[:, None, :], x)[:, 0, :] + ld[a:b]), phi_d[a:b])
+            jk = (po[:, :, None] * pd_[:, None, :]).reshape(rows, 1, J * K)
+            pt = np.where(act, _softmax_rows(np.matmul(jk, psi)[:, 0, :] + lt[a:b]), pt0)
             phi_o[a:b], phi_d[a:b], phi_t[a:b] = po, pd_, pt
-            outer = np.einsum("nj,nk,nl->njkl", po * cnt[a:b, None], pd_, pt).reshape(b - a, -1)
+            outer = ((po * cnt[a:b, None])[:, :, None] * pd_[:, None, :]).reshape(rows, J * K, 1) * pt[:, None, :]
+            outer = outer.reshape(rows, -1)
             local = np.flatnonzero(np.r_[True, sg[1:] != sg[:-1]])
             acc[sg[local]] += np.add.reduceat(outer, local, axis=0)
         new_gamma = (alpha + acc).reshape(n_docs, J, K, L)

@@ -46,6 +46,21 @@ def chained_lead(df: DataFrame, key: str, order: list[str], value: str, out: str
         "_chunk", "_nxt", "_follow", "_rn")
 
 
+def chained_position(df: DataFrame, key: str, order: list[str], out: str, ts_col: str,
+                     chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+    """0-based position of each row in its key's ``order`` without a per-key window:
+    row number inside the (key, time-chunk) window plus the number of the key's
+    rows in earlier chunks (a prefix sum over one row per chunk)."""
+    micros = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    base = df.withColumn("_chunk", F.floor(micros / F.lit(chunk_seconds * 1_000_000)))
+    inner = base.withColumn("_rn", F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(*order)))
+    sizes = base.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(
+        Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return (inner.join(before.select(key, "_chunk", "_before"), [key, "_chunk"])
+            .withColumn(out, F.col("_before") + F.col("_rn") - 1).drop("_chunk", "_rn", "_before"))
+
+
 def event_stations(events: DataFrame) -> DataFrame:
     return events.select(
         "user_id", "event_id", "ts", F.col("event_type").alias("txn_type"),
