@@ -2,7 +2,6 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
 
 from triptopics.operators import cluster as cl
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from triptopics.operators import flow
 from triptopics.session import table
-from triptopics.sources.fixtures import trips, used_trips, trips_from_events
+from triptopics.sources.fixtures import trips_from_events, used_trips
 from triptopics.streaming import ops as so
 
 

@@ -1,11 +1,23 @@
 """Query catalog: importing this package registers every query."""
 
 from . import q_docs, q_fits, q_metrics, q_stream, q_trips, q_tucker  # noqa: F401
+from ..session import ensure_checkpoint_dir
 from .catalog import REGISTRY, Query, query  # noqa: F401
 
 
+def _with_checkpoint_dir(build):
+    """Every query may cut lineage with ``checkpoint()``: make sure the session
+    names a checkpoint folder (the cluster's ``spark.checkpoint.dir``)."""
+    def run(spark, sf_dir):
+        ensure_checkpoint_dir(spark)
+        return build(spark, sf_dir)
+    run.__name__ = getattr(build, "__name__", "query")
+    run.__doc__ = build.__doc__
+    return run
+
+
 def queries():
-    return {name: q.build for name, q in REGISTRY.items()}
+    return {name: _with_checkpoint_dir(q.build) for name, q in REGISTRY.items()}
 
 
 def oracle_sql():

@@ -150,7 +150,8 @@ def q_destination_accuracy_lda(spark, sf):
 def q_passenger_clusters(spark, sf):
     corpus = corpus_from_trips(trips(spark, sf))
     model = fit_batch(corpus, CFG)
-    pat = mt.passenger_pattern(infer_docs(corpus.docs, model, CFG), CFG.J, CFG.K, CFG.L).cache()
+    # the clustering rounds re-read the patterns: cut the lineage (E-step) with a reliable checkpoint
+    pat = mt.passenger_pattern(infer_docs(corpus.docs, model, CFG), CFG.J, CFG.K, CFG.L).checkpoint()
     assign = cl.categorical_clusters(pat, "user_id", ["o_topic", "d_topic", "t_topic"], 10)
     return cl.cluster_topic_od(pat.join(assign, "user_id"), 10, CFG.J, CFG.K, CFG.L)
 
@@ -171,7 +172,7 @@ def _flat_corpus(spark, sf):
     """
     tok = dc.flat_tokens(flow.user_od_tensor(trips(spark, sf), 7)).withColumnRenamed("cnt", "tf")
     n_docs = tok.select("user_id").distinct().count()
-    vocab = dc.pruned_vocab(tok.withColumnRenamed("user_id", "doc_id"), n_docs).cache()
+    vocab = dc.pruned_vocab(tok.withColumnRenamed("user_id", "doc_id"), n_docs).checkpoint()
     size = vocab.count()
     bow = dc.bag_of_words(tok.withColumnRenamed("user_id", "doc_id"), vocab)
     vec = bow.groupBy("doc_id").agg(F.collect_list(F.struct("id", "tf")).alias("pairs")).select(
@@ -206,7 +207,7 @@ def q_flat_lda_tfidf(spark, sf):
 @query("flat_lda_doc_topics", None, ("O-03", "W-11", "V-05"))
 def q_flat_lda_doc_topics(spark, sf):
     vec, _, _ = _flat_corpus(spark, sf)
-    vec = vec.cache()
+    vec = vec.checkpoint()          # read by the count, the iterative fit and the transform
     n_train = int(vec.count() * TRAIN_FRACTION)
     split = tr.train_test_split(vec.select(F.col("doc_id").alias("user_id")), n_train).withColumnRenamed(
         "user_id", "doc_id")

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import token, token_digits
+from ..functions.columns import token_digits
 from ..operators import cluster as cl
 from ..operators import graph as gr
 from ..operators import metrics as mt
@@ -224,7 +224,7 @@ def q_reordered_topics(spark, sf):
 
 def _empirical_model(spark, sf):
     """Empirical model as arrays: β over stations/hours, θ diagonal in (j, k, l)."""
-    tt = typed(trips(spark, sf)).cache()
+    tt = typed(trips(spark, sf))
     z = tt.select("topic").distinct().count()
     st = sorted(r[0] for r in tt.select(F.col("origin").alias("s")).union(tt.select("dest")).distinct().collect())
     hr = sorted(r[0] for r in tt.select("hour").distinct().collect())
