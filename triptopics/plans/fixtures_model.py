@@ -20,10 +20,9 @@ DIM_COLUMNS = {"O": "origin", "D": "dest", "T": "hour"}
 
 
 def typed(trips: DataFrame) -> DataFrame:
-    """Trips with ``topic`` = dense rank of the trip type (types are few)."""
-    types = trips.select("txn_type").distinct()
-    ids = types.withColumn("topic", (F.dense_rank().over(Window.orderBy("txn_type")) - 1).cast("int"))
-    return trips.join(ids, "txn_type")
+    """Trips with ``topic`` = the trip type itself: a column expression, so no
+    join (and no shuffle on a low-cardinality key) is needed."""
+    return trips.withColumn("topic", F.col("txn_type"))
 
 
 def empirical_beta(tt: DataFrame, dim: str) -> DataFrame:
@@ -68,9 +67,8 @@ def nation_graph(spark, sf: str, mu: float) -> tuple[DataFrame, DataFrame, DataF
 
 # SQL twins ------------------------------------------------------------------
 TYPED_SQL = {
-    "types": """SELECT txn_type, CAST(DENSE_RANK() OVER (ORDER BY txn_type) - 1 AS INT) AS topic
-                FROM (SELECT DISTINCT txn_type FROM trips)""",
-    "tt": "SELECT t.*, ty.topic FROM trips t JOIN types ty ON t.txn_type = ty.txn_type",
+    "types": "SELECT DISTINCT txn_type AS topic FROM trips",
+    "tt": "SELECT *, txn_type AS topic FROM trips",
 }
 
 

@@ -26,6 +26,7 @@ G_STEP = 1e-3
 ALPHA = 5.0
 TOP_R = 10
 R9 = 9
+MAX_TOPICS = 1000
 
 
 def _r(c, d=R9):
@@ -89,8 +90,10 @@ def q_graph_step(spark, sf):
     tt = typed(trips_od(spark, sf))
     b = empirical_beta(tt, "O").withColumnRenamed("word", "station")
     stations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("station"))
-    n_topics = tt.select("topic").distinct().count()
-    grid = stations.withColumn("topic", F.explode(F.sequence(F.lit(0), F.lit(n_topics - 1))))
+    topics = sorted(r[0] for r in tt.select("topic").distinct().limit(MAX_TOPICS + 1).collect())
+    if len(topics) > MAX_TOPICS:
+        raise ValueError(f"more than {MAX_TOPICS} trip types: not a topic model of types")
+    grid = stations.withColumn("topic", F.explode(F.array(*[F.lit(t) for t in topics])))
     p0 = grid.join(b, ["topic", "station"], "left").select(
         "topic", "station", F.coalesce("p", F.exp(F.lit(-100.0))).alias("p"))
     return gr.gradient_step(p0, mf, LAM, G_STEP).select("topic", "station", _r("p"))
@@ -223,29 +226,35 @@ def q_reordered_topics(spark, sf):
 # ---- step 7: destination inference on the empirical model ----------------------
 
 def _empirical_model(spark, sf):
-    """Empirical model as arrays: β over stations/hours, θ diagonal in (j, k, l)."""
+    """Empirical model as arrays: β over stations/hours, θ diagonal in (j, k, l).
+
+    One model-sized collect (β of the three dimensions) gives the topics,
+    the station and hour vocabularies and the β matrices.
+    """
     tt = typed(trips(spark, sf))
-    z = tt.select("topic").distinct().count()
-    st = sorted(r[0] for r in tt.select(F.col("origin").alias("s")).union(tt.select("dest")).distinct().collect())
-    hr = sorted(r[0] for r in tt.select("hour").distinct().collect())
-    pos_s = {s: i for i, s in enumerate(st)}
-    pos_h = {h: i for i, h in enumerate(hr)}
+    b = empirical_beta_all(tt).toPandas()
+    names = sorted(set(b["topic"]))
+    z = len(names)
+    tix = {n: i for i, n in enumerate(names)}
+    st = sorted(set(b.loc[b["dim"].isin(["O", "D"]), "word"].astype(int)))
+    hr = sorted(set(b.loc[b["dim"] == "T", "word"].astype(int)))
+    pos = {"O": {s: i for i, s in enumerate(st)}, "D": {s: i for i, s in enumerate(st)},
+           "T": {h: i for i, h in enumerate(hr)}}
     mats = []
-    for dim, pos in (("O", pos_s), ("D", pos_s), ("T", pos_h)):
-        m = np.zeros((z, len(pos)))
-        for r in empirical_beta(tt, dim).collect():
-            m[r["topic"], pos[r["word"]]] = r["p"]
+    for dim in "ODT":
+        m = np.zeros((z, len(pos[dim])))
+        part = b[b["dim"] == dim]
+        m[[tix[n] for n in part["topic"]], [pos[dim][int(w)] for w in part["word"]]] = part["p"].to_numpy()
         with np.errstate(divide="ignore"):
             mats.append(np.where(m > 0, np.log(np.where(m > 0, m, 1.0)), -np.inf))
     diag = [i * z * z + i * z + i for i in range(z)]
-    shares = type_counts(tt).withColumn("share", F.col("count") / F.sum("count").over(
-        Window.partitionBy("user_id")))
+    shares = type_counts(tt).withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy("user_id")))
     theta = shares.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("topic", "share"))).alias("m"))
     theta = theta.select("user_id", F.array(*[
-        (F.coalesce(F.col("m")[F.lit(diag.index(c))], F.lit(0.0)) if c in diag else F.lit(0.0))
+        (F.coalesce(F.col("m")[F.lit(names[diag.index(c)])], F.lit(0.0)) if c in diag else F.lit(0.0))
         for c in range(z ** 3)]).alias("theta"))
-    st_df = spark.createDataFrame([(int(s), i) for s, i in pos_s.items()], "station int, sid int")
-    hr_df = spark.createDataFrame([(int(h), i) for h, i in pos_h.items()], "hour int, hid int")
+    st_df = spark.createDataFrame([(int(s), i) for s, i in pos["O"].items()], "station int, sid int")
+    hr_df = spark.createDataFrame([(int(h), i) for h, i in pos["T"].items()], "hour int, hid int")
     ids = (tt.join(F.broadcast(st_df.withColumnRenamed("station", "origin").withColumnRenamed("sid", "o")), "origin")
              .join(F.broadcast(st_df.withColumnRenamed("station", "dest").withColumnRenamed("sid", "d")), "dest")
              .join(F.broadcast(hr_df.withColumnRenamed("hid", "t")), "hour"))
