@@ -28,3 +28,12 @@ def test_online_fit_advances(spark):
     model = fit_online(corpus, CFG, batch_size=4, epochs=1)
     assert model.steps >= 3
     assert np.allclose(np.exp(model.log_bt).sum(axis=1), 1.0)
+
+
+def test_legacy_mode_runs_on_spark(spark):
+    corpus = corpus_from_trips(trips(spark, SF_SMALL), with_last=True)
+    assert corpus.docs.filter("last").select("user_id").distinct().count() == \
+        corpus.docs.select("user_id").distinct().count()
+    cfg = TensorLDAConfig(J=3, K=3, L=2, iter_em=2, iter_inference=3, mode="legacy")
+    model = fit_batch(corpus, cfg)
+    assert np.allclose(np.exp(model.log_bo).sum(axis=1), 1.0)

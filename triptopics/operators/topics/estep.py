@@ -36,9 +36,13 @@ DOCS_SCHEMA = ("user_id bigint, wordcount double, elbo double, sweeps int, theta
 
 
 def prepare_docs(doc_ids: DataFrame, n_partitions: int | None = None) -> DataFrame:
-    """Partition by user and sort within partitions (call once, then cache)."""
+    """Partition by user and sort within partitions (call once, then cache).
+
+    A ``last`` column (triple of the user's last trip, for the legacy
+    update) is kept when present."""
     n = n_partitions or int(doc_ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return doc_ids.select(*DOC_COLUMNS).repartition(n, "user_id").sortWithinPartitions("user_id")
+    cols = DOC_COLUMNS + (["last"] if "last" in doc_ids.columns else [])
+    return doc_ids.select(*cols).repartition(n, "user_id").sortWithinPartitions("user_id")
 
 
 def user_blocks(batches: Iterator[pd.DataFrame], min_rows: int = BLOCK_ROWS) -> Iterator[pd.DataFrame]:
@@ -60,7 +64,7 @@ def user_blocks(batches: Iterator[pd.DataFrame], min_rows: int = BLOCK_ROWS) ->
         yield pending
 
 
-def _run(pdf: pd.DataFrame, beta, alpha, max_sweeps, var_tol):
+def _run(pdf: pd.DataFrame, beta, alpha, max_sweeps, var_tol, mode="aligned"):
     lo, ld, lt = beta
     users = pdf["user_id"].to_numpy()
     doc = np.r_[0, np.cumsum(users[1:] != users[:-1])]
@@ -68,11 +72,15 @@ def _run(pdf: pd.DataFrame, beta, alpha, max_sweeps, var_tol):
     d = pdf["d"].to_numpy(np.int64)
     t = pdf["t"].to_numpy(np.int64)
     cnt = pdf["cnt"].to_numpy(np.float64)
-    res = e_step(doc, o, d, t, cnt, lo, ld, lt, alpha, max_sweeps, var_tol)
+    last = pdf["last"].to_numpy(bool) if "last" in pdf.columns else None
+    if mode == "legacy" and last is None:
+        raise ValueError("legacy E-step needs the 'last' flag (corpus_from_trips(..., with_last=True))")
+    res = e_step(doc, o, d, t, cnt, lo, ld, lt, alpha, max_sweeps, var_tol, mode=mode, last=last)
     return users, doc, o, d, t, cnt, res
 
 
-def estep_stats(docs: DataFrame, beta, alpha: float, max_sweeps: int, var_tol: float) -> DataFrame:
+def estep_stats(docs: DataFrame, beta, alpha: float, max_sweeps: int, var_tol: float,
+                mode: str = "aligned") -> DataFrame:
     """Topic-word statistics (dim 0/1/2 = O/D/T) and ELBO (dim -1) per task."""
     lo, ld, lt = beta
     J, V = lo.shape
@@ -83,7 +91,7 @@ def estep_stats(docs: DataFrame, beta, alpha: float, max_sweeps: int, var_tol: f
         so, sd, st = np.zeros((J, V)), np.zeros((K, V)), np.zeros((L, TT))
         elbo, n_docs = 0.0, 0
         for block in user_blocks(batches):
-            _, doc, o, d, t, cnt, r = _run(block, beta, alpha, max_sweeps, var_tol)
+            _, doc, o, d, t, cnt, r = _run(block, beta, alpha, max_sweeps, var_tol, mode)
             so += topic_word_stats(o, r.phi_o, cnt, V)
             sd += topic_word_stats(d, r.phi_d, cnt, V)
             st += topic_word_stats(t, r.phi_t, cnt, TT)
@@ -113,12 +121,13 @@ def collect_stats(stats: DataFrame, shapes) -> tuple[np.ndarray, np.ndarray, np.
     return mats[0], mats[1], mats[2], float(e.get(0, 0.0)), int(e.get(1, 0))
 
 
-def estep_docs(docs: DataFrame, beta, alpha: float, max_sweeps: int, var_tol: float) -> DataFrame:
+def estep_docs(docs: DataFrame, beta, alpha: float, max_sweeps: int, var_tol: float,
+               mode: str = "aligned") -> DataFrame:
     """Per-document results with β fixed (also the unseen-document inference, O-12)."""
 
     def fn(batches):
         for block in user_blocks(batches):
-            users, doc, o, d, t, cnt, r = _run(block, beta, alpha, max_sweeps, var_tol)
+            users, doc, o, d, t, cnt, r = _run(block, beta, alpha, max_sweeps, var_tol, mode)
             starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
             n_docs = starts.size
             mix = (r.gamma - alpha).reshape(n_docs, -1)

@@ -47,6 +47,7 @@ class TensorLDAConfig:
     step: str = "centered"
     beta_tol: float = 1.5e-3
     seed: int = 0
+    mode: str = "aligned"        # E-step update: 'aligned' (mean field) or 'legacy' (reference, Q7)
 
     @property
     def max_sweeps(self) -> int:
@@ -76,7 +77,7 @@ def _norms(model: TopicModel):
 
 def infer_docs(docs: DataFrame, model: TopicModel, cfg: TensorLDAConfig) -> DataFrame:
     """O-12/O-13: E-step with β fixed; per-document θ, topic counts, ELBO."""
-    return estep_docs(prepare_docs(docs), model.beta, model.alpha, cfg.max_sweeps, cfg.var_tol)
+    return estep_docs(prepare_docs(docs), model.beta, model.alpha, cfg.max_sweeps, cfg.var_tol, cfg.mode)
 
 
 def fit_batch(corpus: Corpus, cfg: TensorLDAConfig, graph_o: StationGraph | None = None,
@@ -95,7 +96,7 @@ def fit_batch(corpus: Corpus, cfg: TensorLDAConfig, graph_o: StationGraph | None
     beta_ok = False
     while (converged < 0 or converged > cfg.em_tol or i < 2 or not beta_ok) and i <= cfg.iter_em:
         so, sd, st, ll, n_docs = collect_stats(
-            estep_stats(docs, model.beta, model.alpha, cfg.max_sweeps, cfg.var_tol), model.shape)
+            estep_stats(docs, model.beta, model.alpha, cfg.max_sweeps, cfg.var_tol, cfg.mode), model.shape)
         converged = (ll_old - ll) / ll_old
         ll_old = ll
         nt_tol = cfg.nt_tol * (0.5 if 0 < converged < cfg.em_fine_tune else 1.0)
@@ -135,7 +136,7 @@ def online_update(model: TopicModel, batch_docs: DataFrame, cfg: TensorLDAConfig
     ``'rho_step'``: ρ is the graph-gradient step size, O and D not blended.
     """
     so, sd, st, ll, n_docs = collect_stats(
-        estep_stats(prepare_docs(batch_docs), model.beta, model.alpha, cfg.max_sweeps, cfg.var_tol),
+        estep_stats(prepare_docs(batch_docs), model.beta, model.alpha, cfg.max_sweeps, cfg.var_tol, cfg.mode),
         model.shape)
     if n_docs == 0:
         return model, 0.0, 0

@@ -69,13 +69,23 @@ def _elbo(gamma, starts, cnt, phi_o, phi_d, phi_t, lo, ld, lt, alpha):
 
 def e_step(doc: np.ndarray, o: np.ndarray, d: np.ndarray, t: np.ndarray, cnt: np.ndarray,
            log_bo: np.ndarray, log_bd: np.ndarray, log_bt: np.ndarray, alpha: float,
-           max_sweeps: int = 21, var_tol: float = 1e-4, phi_tol: float = PHI_TOL) -> EStepResult:
+           max_sweeps: int = 21, var_tol: float = 1e-4, phi_tol: float = PHI_TOL,
+           mode: str = "aligned", last: np.ndarray | None = None) -> EStepResult:
     """Mean-field E-step for a block of documents.
 
     ``doc`` must be sorted (all triples of a document contiguous) and hold
     0-based document numbers.  Word ids index the columns of the log β
     matrices.  Returns per-document γ and ELBO and per-triple φ.
+
+    ``mode='legacy'`` reproduces the reference's update (Q7): the prior term
+    of every word uses exp() of the *document's last trip's* φ of the other
+    dimensions from before their latest update (zeros on the first pass),
+    so it is the same for all words of a document.  ``last`` flags the
+    triple of each document's last trip (required in legacy mode).
     """
+    if mode == "legacy":
+        return _e_step_legacy(doc, o, d, t, cnt, log_bo, log_bd, log_bt, alpha, max_sweeps, var_tol,
+                              phi_tol, last)
     J, K, L = log_bo.shape[0], log_bd.shape[0], log_bt.shape[0]
     cnt = cnt.astype(np.float64)
     starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
@@ -137,6 +147,57 @@ def e_step(doc: np.ndarray, o: np.ndarray, d: np.ndarray, t: np.ndarray, cnt: np
     return EStepResult(gamma, phi_o, phi_d, phi_t, elbo, sweeps)
 
 
+def _e_step_legacy(doc, o, d, t, cnt, log_bo, log_bd, log_bt, alpha, max_sweeps, var_tol, phi_tol, last):
+    J, K, L = log_bo.shape[0], log_bd.shape[0], log_bt.shape[0]
+    cnt = cnt.astype(np.float64)
+    starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    n_docs = starts.size
+    seg = np.repeat(np.arange(n_docs), np.diff(np.r_[starts, doc.size]))
+    n = doc.size
+    last_row = np.zeros(n_docs, dtype=np.int64)
+    last_row[seg[np.flatnonzero(last)]] = np.flatnonzero(last)
+    lo, ld, lt = log_bo[:, o].T.copy(), log_bd[:, d].T.copy(), log_bt[:, t].T.copy()
+    words = np.add.reduceat(cnt, starts)
+    gamma = np.repeat((alpha + words / (J * K * L))[:, None], J * K * L, axis=1).reshape(n_docs, J, K, L)
+    phi_o, phi_d, phi_t = np.full((n, J), 1.0 / J), np.full((n, K), 1.0 / K), np.full((n, L), 1.0 / L)
+    old_o, old_d, old_t = np.zeros((n_docs, J)), np.zeros((n_docs, K)), np.zeros((n_docs, L))
+    active = np.ones(n_docs, dtype=bool)
+    sweeps = np.zeros(n_docs, dtype=np.int64)
+    elbo_old, norm_old, elbo = np.full(n_docs, 0.1), np.full((3, n_docs), 0.1), np.zeros(n_docs)
+    for _ in range(max_sweeps):
+        if not active.any():
+            break
+        psi = digamma(gamma)
+        act = active[seg][:, None]
+        prior = np.einsum("ujkl,uk,ul->uj", psi, np.exp(old_d), np.exp(old_t))
+        new_old_o = phi_o[last_row].copy()
+        phi_o = np.where(act, _softmax_rows(prior[seg] + lo), phi_o)
+        old_o = np.where(active[:, None], new_old_o, old_o)
+        prior = np.einsum("ujkl,uj,ul->uk", psi, np.exp(old_o), np.exp(old_t))
+        new_old_d = phi_d[last_row].copy()
+        phi_d = np.where(act, _softmax_rows(prior[seg] + ld), phi_d)
+        old_d = np.where(active[:, None], new_old_d, old_d)
+        prior = np.einsum("ujkl,uj,uk->ul", psi, np.exp(old_o), np.exp(old_d))
+        new_old_t = phi_t[last_row].copy()
+        phi_t = np.where(act, _softmax_rows(prior[seg] + lt), phi_t)
+        old_t = np.where(active[:, None], new_old_t, old_t)
+        outer = ((phi_o * cnt[:, None])[:, :, None] * phi_d[:, None, :]).reshape(n, J * K, 1) * phi_t[:, None, :]
+        new_gamma = (alpha + np.add.reduceat(outer.reshape(n, -1), starts, axis=0)).reshape(n_docs, J, K, L)
+        gamma = np.where(active[:, None, None, None], new_gamma, gamma)
+        new_elbo = _elbo(gamma, starts, cnt, phi_o, phi_d, phi_t, lo, ld, lt, alpha)
+        norms = np.stack([np.sqrt(np.add.reduceat(cnt * (p * p).sum(axis=1), starts))
+                          for p in (phi_o, phi_d, phi_t)])
+        rel = np.abs((elbo_old - new_elbo) / elbo_old)
+        phi_ok = (np.abs(norms - norm_old) / norm_old < phi_tol).all(axis=0)
+        elbo = np.where(active, new_elbo, elbo)
+        sweeps += active
+        done = active & (rel <= var_tol) & phi_ok
+        elbo_old = np.where(active, new_elbo, elbo_old)
+        norm_old = np.where(active[None, :], norms, norm_old)
+        active &= ~done
+    return EStepResult(gamma, phi_o, phi_d, phi_t, elbo, sweeps)
+
+
 def topic_word_stats(word: np.ndarray, phi: np.ndarray, cnt: np.ndarray, n_words: int) -> np.ndarray:
     """Σ over triples of c_w φ[w, z] accumulated at word id (topics × words)."""
     w = phi * cnt[:, None]

@@ -100,11 +100,14 @@ def vocab_arrays(vocab: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return st, hr
 
 
-def corpus_from_trips(trips: DataFrame, vocab_trips: DataFrame | None = None) -> Corpus:
+def corpus_from_trips(trips: DataFrame, vocab_trips: DataFrame | None = None, with_last: bool = False,
+                      order: tuple[str, ...] = ("ts", "event_id")) -> Corpus:
     """Bag-of-triples documents with dense word ids.
 
     The vocabulary comes from ``vocab_trips`` (e.g. training users only,
     Q31) or from all trips; triples with an unknown word are dropped.
+    ``with_last`` flags the triple of each user's last trip (legacy E-step),
+    from one per-user ``max_by`` aggregate.
     """
     spark = trips.sparkSession
     stations, hours = vocab_arrays(station_vocab(vocab_trips if vocab_trips is not None else trips))
@@ -115,9 +118,16 @@ def corpus_from_trips(trips: DataFrame, vocab_trips: DataFrame | None = None) ->
     hr = guarded_broadcast(spark.createDataFrame(pd.DataFrame(
         {"value": hours.astype(np.int32), "id": np.arange(hours.size, dtype=np.int32)})), hours.size)
     tri = doc_triples(trips)
+    if with_last:
+        last = trips.groupBy("user_id").agg(F.max_by(F.struct(
+            F.col("origin").alias("lo"), F.col("dest").alias("ld"), F.col("hour").alias("lt")),
+            F.struct(*[F.col(c) for c in order])).alias("_l"))
+        tri = tri.join(last, "user_id").withColumn(
+            "last", (F.col("o") == F.col("_l.lo")) & (F.col("d") == F.col("_l.ld")) & (F.col("t") == F.col("_l.lt"))
+        ).drop("_l")
     ids = (tri.join(st.select(F.col("value").alias("o"), F.col("id").alias("o_id")), "o")
               .join(st.select(F.col("value").alias("d"), F.col("id").alias("d_id")), "d")
               .join(hr.select(F.col("value").alias("t"), F.col("id").alias("t_id")), "t")
               .select("user_id", F.col("o_id").alias("o"), F.col("d_id").alias("d"),
-                      F.col("t_id").alias("t"), "cnt"))
+                      F.col("t_id").alias("t"), "cnt", *(["last"] if with_last else [])))
     return Corpus(ids, stations, hours)

@@ -77,6 +77,14 @@ def q_tensor_lda_fit(spark, sf):
     return fit_batch(corpus, CFG).beta_frame(spark)
 
 
+@query("tensor_lda_legacy_fit", None, ("O-05", "O-09", "Q7"))
+def q_tensor_lda_legacy_fit(spark, sf):
+    """The reference's own E-step update (stale last-trip buffers) instead of the mean-field one."""
+    corpus = corpus_from_trips(trips(spark, sf), with_last=True)
+    cfg = TensorLDAConfig(mode="legacy")
+    return fit_batch(corpus, cfg).history_frame(spark)
+
+
 @query("tensor_lda_graph_fit", None, ("O-08", "O-09", "G-02"))
 def q_tensor_lda_graph_fit(spark, sf):
     corpus = corpus_from_trips(trips_od(spark, sf))
