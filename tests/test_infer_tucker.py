@@ -35,3 +35,23 @@ def test_tucker_recovers_low_rank_and_error_is_exact(spark):
     Xh = np.einsum("abc,ia,jb,kc->ijk", m.core, *m.factors)
     res = tk.residuals(coo, ["i0", "i1", "i2"], m).toPandas()
     assert np.allclose(res.sort_values(["i0", "i1", "i2"])["x_hat"].to_numpy(), Xh.ravel())
+
+
+def test_user_mode_tucker_matches_dense_error(spark):
+    rng = np.random.default_rng(5)
+    shape, ranks = (30, 6, 5, 3), (3, 2, 2, 2)
+    G = rng.random(ranks)
+    F_ = [rng.random((s, r)) for s, r in zip(shape, ranks)]
+    X = np.einsum("abcd,ia,jb,kc,ld->ijkl", G, *F_)
+    X[X < np.quantile(X, 0.5)] = 0.0                         # sparse, non-negative
+    u, i, j, k = np.nonzero(X)
+    pdf = pd.DataFrame({"user_id": u + 1000, "i1": i, "i2": j, "i3": k, "value": X[u, i, j, k]})
+    users, m = tk.non_negative_tucker_users(spark.createDataFrame(pdf), ["i1", "i2", "i3"], shape, ranks, 12)
+    errs = [e for _, e in m.history]
+    assert errs[-1] < errs[1]
+    up = users.toPandas().sort_values("user_id")
+    U = np.zeros((shape[0], ranks[0]))
+    U[up["user_id"].to_numpy() - 1000] = np.stack(up["u"].to_numpy())
+    Xh = np.einsum("abcd,ia,jb,kc,ld->ijkl", m.core, U, *m.factors[1:])
+    dense = np.linalg.norm(X - Xh) / np.linalg.norm(X)
+    assert dense < 0.5

@@ -193,3 +193,172 @@ def outliers(res: DataFrame, z: float = 3.0) -> DataFrame:
     """C-08 (re-aimed robust PCA): cells whose |residual| exceeds mean + z·std."""
     m, s = res.agg(F.avg(F.abs("residual")), F.stddev_pop(F.abs("residual"))).first()
     return res.filter(F.abs("residual") > F.lit(float(m or 0.0) + z * float(s or 0.0)))
+
+
+# ---- tensors with a distributed leading mode (e.g. user × O × D × T) ----------------
+
+USER_OUT = "kind int, user_id long, mode int, row int, col int, value double, u array<double>, num array<double>"
+
+
+def _user_blocks(batches):
+    """Regroup user-sorted Arrow batches so that every block holds whole users."""
+    pending = None
+    for pdf in batches:
+        if pending is not None and len(pending):
+            pdf = pd.concat([pending, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        users = pdf["user_id"].to_numpy()
+        cut = int(np.searchsorted(users, users[-1], side="left")) if users[0] != users[-1] else 0
+        if cut > 0:
+            yield pdf.iloc[:cut]
+            pending = pdf.iloc[cut:]
+        else:
+            pending = pdf
+    if pending is not None and len(pending):
+        yield pending
+
+
+def _init_users(users: DataFrame, rank: int, seed: int) -> DataFrame:
+    """Deterministic non-negative start rows: a function of the user id only."""
+    vals = [(F.pmod(F.xxhash64(F.col("user_id"), F.lit(seed * 1000 + k)), F.lit(1000)) / 1000.0 + 0.1)
+            for k in range(rank)]
+    return users.select("user_id", F.array(*vals).alias("u"))
+
+
+def non_negative_tucker_users(coo: DataFrame, cols: list[str], shape: tuple[int, ...], ranks: tuple[int, ...],
+                              n_iter: int = 20, seed: int = 0) -> tuple[DataFrame, TuckerModel]:
+    """O-18 for a tensor whose first mode (users) grows with the data.
+
+    ``coo(user_id, cols..., value)``; ``shape``/``ranks`` cover the user mode
+    first (its size is unused).  The user factor is a table ``(user_id, u)``
+    hash-partitioned like the COO, so the per-iteration join does not move
+    the tensor; each task handles whole users (sorted input) and emits the
+    users' new numerators plus model-sized partial sums.  The new user table
+    is checkpointed every iteration (lineage stays one step long); its Gram
+    matrix is one more partial-sum pass.  Returns (users table, model with
+    the other factors, the core and the error history).
+    """
+    spark = coo.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rng = np.random.default_rng(seed)
+    rest = [rng.random((s, r)) + 0.1 for s, r in zip(shape[1:], ranks[1:])]
+    core = rng.random(ranks) + 0.1
+    data = (coo.select("user_id", *cols, F.col("value").cast("double")).repartition(n, "user_id")
+            .sortWithinPartitions("user_id").persist(StorageLevel.MEMORY_AND_DISK))
+    users = _init_users(data.select("user_id").distinct(), ranks[0], seed).repartition(n, "user_id").checkpoint()
+    model = TuckerModel(core, [None] + rest)
+    n_modes = len(ranks)
+    L = _letters(n_modes)
+
+    def gram_of(udf: DataFrame) -> np.ndarray:
+        def fn(batches):
+            g = np.zeros((ranks[0], ranks[0]))
+            for pdf in batches:
+                u = np.stack(pdf["u"].to_numpy()) if len(pdf) else np.zeros((0, ranks[0]))
+                g += u.T @ u
+            r, c = np.indices(g.shape)
+            yield pd.DataFrame({"row": r.ravel().astype(np.int32), "col": c.ravel().astype(np.int32),
+                                "value": g.ravel()})
+        p = udf.mapInPandas(fn, "row int, col int, value double").groupBy("row", "col").agg(
+            F.sum("value").alias("value")).toPandas()
+        g = np.zeros((ranks[0], ranks[0]))
+        g[p["row"].to_numpy(), p["col"].to_numpy()] = p["value"].to_numpy()
+        return g
+
+    gram_u = gram_of(users)
+    for it in range(n_iter):
+        core_, rest_ = core, rest
+
+        def part(batches):
+            nums = [np.zeros_like(a) for a in rest_]
+            num_g = np.zeros_like(core_)
+            xx = xy = 0.0
+            for blk in _user_blocks(batches):
+                users_ = blk["user_id"].to_numpy()
+                starts = np.flatnonzero(np.r_[True, users_[1:] != users_[:-1]])
+                u_rows = np.stack(blk["u"].to_numpy())
+                idx = [blk[c].to_numpy(np.int64) for c in cols]
+                x = blk["value"].to_numpy(np.float64)
+                rows = [u_rows] + [rest_[m][idx[m]] for m in range(len(rest_))]
+                for n_ in range(n_modes):
+                    ops = ",".join(["".join(L)] + ["z" + L[m] for m in range(n_modes) if m != n_])
+                    contr = np.einsum(f"{ops}->z{L[n_]}", core_, *[rows[m] for m in range(n_modes) if m != n_])
+                    contr *= x[:, None]
+                    if n_ == 0:
+                        user_num = np.add.reduceat(contr, starts, axis=0)
+                    else:
+                        np.add.at(nums[n_ - 1], idx[n_ - 1], contr)
+                ops = ",".join(["z"] + ["z" + L[m] for m in range(n_modes)])
+                num_g += np.einsum(f"{ops}->{''.join(L)}", x, *rows)
+                ops = ",".join(["".join(L)] + ["z" + L[m] for m in range(n_modes)])
+                xhat = np.einsum(f"{ops}->z", core_, *rows)
+                xx += float((x * x).sum())
+                xy += float((x * xhat).sum())
+                yield pd.DataFrame({"kind": 4, "user_id": users_[starts].astype(np.int64), "mode": -1, "row": 0,
+                                    "col": 0, "value": 0.0, "u": list(u_rows[starts]), "num": list(user_num)})
+            frames = []
+            for n_, m in enumerate(nums):
+                r, c = np.nonzero(m)
+                frames.append(pd.DataFrame({"kind": 0, "mode": n_ + 1, "row": r, "col": c, "value": m[r, c]}))
+            flat = num_g.ravel()
+            nz = np.flatnonzero(flat)
+            frames.append(pd.DataFrame({"kind": 1, "mode": -1, "row": nz, "col": 0, "value": flat[nz]}))
+            frames.append(pd.DataFrame({"kind": [2, 3], "mode": -1, "row": 0, "col": 0, "value": [xx, xy]}))
+            out = pd.concat(frames, ignore_index=True)
+            out["user_id"] = -1
+            out["u"] = None
+            out["num"] = None
+            yield out
+
+        joined = data.join(users, "user_id").sortWithinPartitions("user_id")   # whole users per block
+        out = joined.mapInPandas(part, USER_OUT).persist(StorageLevel.MEMORY_AND_DISK)
+        parts = (out.filter(F.col("kind") < 4).groupBy("kind", "mode", "row", "col")
+                 .agg(F.sum("value").alias("value")).toPandas())
+        nums = [np.zeros_like(a) for a in rest]
+        for n_ in range(len(rest)):
+            p = parts[(parts["kind"] == 0) & (parts["mode"] == n_ + 1)]
+            nums[n_][p["row"].to_numpy(), p["col"].to_numpy()] = p["value"].to_numpy()
+        num_g = np.zeros(core.size)
+        p = parts[parts["kind"] == 1]
+        num_g[p["row"].to_numpy()] = p["value"].to_numpy()
+        num_g = num_g.reshape(core.shape)
+        xx = float(parts[parts["kind"] == 2]["value"].sum())
+        xy = float(parts[parts["kind"] == 3]["value"].sum())
+
+        grams = [gram_u] + [a.T @ a for a in rest]
+        g_gram = _core_times(core, grams)
+        norm2 = float((core * g_gram).sum())
+        rel = float(np.sqrt(max(xx - 2 * xy + norm2, 0.0) / xx)) if xx > 0 else 0.0
+        model.history.append((it, rel))
+        c = xy / norm2 if norm2 > 0 and xy > 0 else 1.0
+        core, g_gram = core * c, g_gram * c
+
+        def mode_denominator(n_):
+            mats = [grams[m] if m != n_ else np.eye(core.shape[n_]) for m in range(n_modes)]
+            gc = _core_times(core, mats)
+            gn = np.moveaxis(core, n_, 0).reshape(core.shape[n_], -1)
+            gcn = np.moveaxis(gc, n_, 0).reshape(core.shape[n_], -1)
+            return gn @ gcn.T
+
+        m0 = mode_denominator(0)
+        new_rest = [a * (nums[n_] * c) / np.maximum(a @ mode_denominator(n_ + 1), EPS) for n_, a in enumerate(rest)]
+
+        def upd(batches, m0=m0, c=c):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                u = np.stack(pdf["u"].to_numpy())
+                num = np.stack(pdf["num"].to_numpy()) * c
+                new = u * num / np.maximum(u @ m0, EPS)
+                yield pd.DataFrame({"user_id": pdf["user_id"].to_numpy(np.int64), "u": list(new)})
+
+        users = (out.filter(F.col("kind") == 4).select("user_id", "u", "num")
+                 .mapInPandas(upd, "user_id long, u array<double>").repartition(n, "user_id").checkpoint())
+        out.unpersist()
+        gram_u = gram_of(users)
+        core = core * num_g / np.maximum(g_gram, EPS)
+        rest = new_rest
+        model.core, model.factors = core, [None] + rest
+    data.unpersist()
+    return users, model

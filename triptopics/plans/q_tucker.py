@@ -62,3 +62,26 @@ def q_trip_outliers(spark, sf):
     model = tk.non_negative_tucker(coo, COLS, shape, RANKS, N_ITER)
     res = tk.residuals(coo.select(*COLS, "value"), COLS, model)
     return tk.outliers(res).withColumn("x_hat", F.round("x_hat", 4))
+
+
+# Ranks of the reference's passenger decomposition (user, origin, destination, 7-hour bin).
+USER_RANKS = (20, 10, 10, 3)
+USER_ITER = 10
+
+
+@query("passenger_tucker", None, ("O-18", "O-19", "O-20", "A-07"))
+def q_passenger_tucker(spark, sf):
+    """User × O × D × T tensor; the user factor stays a distributed table."""
+    t = trips(spark, sf)
+    stations, _ = vocab_arrays(station_vocab(t))
+    st = spark.createDataFrame(pd.DataFrame({"station": stations.astype(np.int32),
+                                             "sid": np.arange(stations.size, dtype=np.int32)}))
+    coo = (flow.user_od_tensor(t, 7)
+           .join(F.broadcast(st.withColumnRenamed("station", "origin").withColumnRenamed("sid", "i1")), "origin")
+           .join(F.broadcast(st.withColumnRenamed("station", "dest").withColumnRenamed("sid", "i2")), "dest")
+           .withColumnRenamed("bin", "i3"))
+    shape = (0, stations.size, stations.size, 3)
+    users, model = tk.non_negative_tucker_users(coo, ["i1", "i2", "i3"], shape, USER_RANKS, USER_ITER)
+    total = F.aggregate("u", F.lit(0.0), lambda a, x: a + x)
+    return users.select("user_id", F.transform("u", lambda x: x / total).alias("weights"),
+                        F.lit(round(model.history[-1][1], 4)).alias("rel_error"))
