@@ -81,8 +81,7 @@ def infer_docs(docs: DataFrame, model: TopicModel, cfg: TensorLDAConfig) -> Data
 
 
 def fit_batch(corpus: Corpus, cfg: TensorLDAConfig, graph_o: StationGraph | None = None,
-              graph_d: StationGraph | None = None, holdout: DataFrame | None = None,
-              metric_fn=None) -> TopicModel:
+              graph_d: StationGraph | None = None, metric_fn=None) -> TopicModel:
     """O-09: variational EM until the ELBO ratio and the β norms settle.
 
     ``metric_fn(model, step)`` (optional) returns extra metric rows, e.g.
@@ -142,7 +141,13 @@ def online_update(model: TopicModel, batch_docs: DataFrame, cfg: TensorLDAConfig
         return model, 0.0, 0
     rho = learning_rate(tau0, kappa, model.steps)
     step_cfg = cfg if variant != "rho_step" else TensorLDAConfig(**{**cfg.__dict__, "g_step": rho})
-    bo, bd, bt = m_step(so, sd, st, step_cfg, graph_o, graph_d, cfg.nt_tol)
+    # fine-tune rule with the ELBO baseline kept in the model state (per document, so
+    # mini-batches of different sizes compare)
+    per_doc = ll / n_docs
+    converged = (model.elbo_old - per_doc) / model.elbo_old
+    model.elbo_old = per_doc
+    nt_tol = cfg.nt_tol * (0.5 if 0 < converged < cfg.em_fine_tune else 1.0)
+    bo, bd, bt = m_step(so, sd, st, step_cfg, graph_o, graph_d, nt_tol)
     if variant == "blend":
         model.log_bo = blend(model.log_bo, bo, rho)
         model.log_bd = blend(model.log_bd, bd, rho)

@@ -25,6 +25,7 @@ class TopicModel:
     hours: np.ndarray                # word id -> hour
     steps: int = 0                   # mini-batches absorbed (online)
     history: list[dict] = field(default_factory=list)
+    elbo_old: float = 0.1            # ELBO baseline kept across mini-batches (Q10)
 
     @property
     def beta(self):

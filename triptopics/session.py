@@ -27,6 +27,11 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # shuffle partitions are sized at run time: AQE coalesces small ones to ~64 MB
+        # and splits skewed join partitions; on a cluster set spark.sql.shuffle.partitions
+        # (or coalescePartitions.initialPartitionNum) to input size / 64 MB and let AQE shrink it
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
+        .config("spark.sql.files.maxPartitionBytes", "128m")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TT_DRIVER_MEMORY", "8g"))
         .config("spark.executorEnv.OMP_NUM_THREADS", "1")

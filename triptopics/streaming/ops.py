@@ -35,7 +35,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import event_stations
 
 CHAIN_OUT = ("user_id long, event_id long, ts timestamp, txn_type string, origin int, dest int, hour int")
-CHAIN_STATE = "tsu long, event_id long, ts timestamp, txn_type string, k int"
+CHAIN_STATE = "tsu long, event_id long, ts timestamp, txn_type string, k int, hour int"
 DOC_OUT = "user_id long, subtype string, wordcount long"
 DOC_STATE = "tsu long, event_id long, ts timestamp, txn_type string, k int, wordcount long, first_tsu long, " \
             "first_id long, subtype string"
@@ -62,11 +62,12 @@ def _ordered(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
 def _pairs(key, pdf, state):
     """Previous event (from state) + this batch, in time order -> consecutive pairs."""
     if state.exists:
-        tsu, eid, ts, typ, k = state.get
-        prev = pd.DataFrame({"tsu": [tsu], "event_id": [eid], "ts": [ts], "txn_type": [typ], "k": [k]})
-        pdf = pd.concat([prev, pdf[["tsu", "event_id", "ts", "txn_type", "k"]]], ignore_index=True)
+        tsu, eid, ts, typ, k, hr = state.get
+        prev = pd.DataFrame({"tsu": [tsu], "event_id": [eid], "ts": [ts], "txn_type": [typ], "k": [k], "hour": [hr]})
+        pdf = pd.concat([prev, pdf[["tsu", "event_id", "ts", "txn_type", "k", "hour"]]], ignore_index=True)
     last = pdf.iloc[-1]
-    state.update((int(last["tsu"]), int(last["event_id"]), last["ts"], last["txn_type"], int(last["k"])))
+    state.update((int(last["tsu"]), int(last["event_id"]), last["ts"], last["txn_type"], int(last["k"]),
+                  int(last["hour"])))
     head = pdf.iloc[:-1]
     return pd.DataFrame({
         "user_id": np.full(len(head), key[0], dtype=np.int64),
@@ -75,11 +76,14 @@ def _pairs(key, pdf, state):
         "txn_type": head["txn_type"].to_numpy(),
         "origin": head["k"].to_numpy(np.int32),
         "dest": pdf["k"].iloc[1:].to_numpy(np.int32),
-        "hour": pd.to_datetime(head["ts"]).dt.hour.to_numpy(np.int32)})
+        "hour": head["hour"].to_numpy(np.int32)})
 
 
 def _event_frame(events: DataFrame) -> DataFrame:
-    e = event_stations(events).withColumnRenamed("origin", "k").withColumn("ts", F.col("ts").cast("timestamp"))
+    # the hour is taken from the wall-clock timestamp before it becomes event time,
+    # so it does not depend on the session time zone
+    e = event_stations(events).withColumnRenamed("origin", "k").withColumn("hour", F.hour("ts"))
+    e = e.withColumn("ts", F.col("ts").cast("timestamp"))
     return e.withColumn("tsu", F.unix_micros("ts"))
 
 
