@@ -14,8 +14,12 @@ def parse_day_first(col: str | Column, fmt: str = DAY_FIRST_FORMAT) -> Column:
 
 
 def hour_bucket(ts: str | Column) -> Column:
-    """Truncate to the hour (P-04: strftime('%Y-%m-%d %H'))."""
-    return F.date_trunc("hour", F.col(ts) if isinstance(ts, str) else ts)
+    """Truncate a wall-clock timestamp to the hour (P-04: strftime('%Y-%m-%d %H')).
+
+    Built field by field as TIMESTAMP_NTZ: ``date_trunc`` would go through the
+    session time zone and move buckets inside a daylight-saving gap."""
+    c = F.col(ts) if isinstance(ts, str) else ts
+    return F.make_timestamp_ntz(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.lit(0), F.lit(0))
 
 
 def token(prefix: str, value: str | Column) -> Column:

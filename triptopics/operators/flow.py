@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import hour_bucket
 from .trips import station_universe
 
 # Service calendar of the reference (fixed values): each service day starts at
@@ -46,7 +47,7 @@ def with_service_bin(trips: DataFrame, bin_hours: int, start_hour: int = SERVICE
 
 def od_flow_hourly(trips: DataFrame) -> DataFrame:
     """A-03: trips per (hour, origin, destination)."""
-    return (trips.groupBy(F.date_trunc("hour", "ts").alias("bin_start"), "origin", "dest")
+    return (trips.groupBy(hour_bucket("ts").alias("bin_start"), "origin", "dest")
             .agg(F.count(F.lit(1)).alias("amount")))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import DAY_FIRST_FORMAT, parse_day_first
+from ..functions.columns import DAY_FIRST_FORMAT, hour_bucket, parse_day_first
 from ..functions.indexing import stable_hash_sql
 from ..operators import flow
 from ..operators import trips as tr
@@ -53,7 +53,7 @@ def q_parsed_timestamps(spark, sf):
 def q_hour_of_trip(spark, sf):
     t = trips(spark, sf)
     return t.select("event_id", "hour", (F.col("hour") + 1).alias("hour_x"),
-                    F.date_trunc("hour", "ts").alias("bin_start"))
+                    hour_bucket("ts").alias("bin_start"))
 
 
 @query("od_flow_hourly", with_views("""
