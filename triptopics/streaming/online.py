@@ -32,11 +32,12 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
 
 def stream_online_lda(trips_stream: DataFrame, model: TopicModel, cfg: TensorLDAConfig,
                       tau0: float = 16.0, kappa: float = 0.5, model_path: str | None = None,
-                      eval_fn=None) -> tuple[str, list]:
+                      eval_fn=None, eval_every: int = 1) -> tuple[str, list]:
     """Run the online learner over the stream until no data is left.
 
-    ``model`` supplies the initial β and the vocabularies; returns the
-    β version folder and the metric rows.
+    ``model`` supplies the initial β and the vocabularies; ``eval_fn(model,
+    batch_id)`` (e.g. hold-out perplexity) runs when ``batch_id % eval_every
+    == eval_every - 1`` (T-02).  Returns the β version folder and the metric rows.
     """
     spark = trips_stream.sparkSession
     path = model_path or scratch_path(spark, "online-beta")
@@ -70,7 +71,7 @@ def stream_online_lda(trips_stream: DataFrame, model: TopicModel, cfg: TensorLDA
         m.beta_frame(spark).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
         state["model"] = m
         history.append((int(batch_id), "batch_elbo", float(ll), int(n_docs)))
-        if eval_fn is not None:
+        if eval_fn is not None and batch_id % eval_every == eval_every - 1:
             for name, value in eval_fn(m, batch_id):
                 history.append((int(batch_id), name, float(value), int(n_docs)))
 
