@@ -51,3 +51,8 @@ def test_cohort_is_bounded_broadcast_semi_join(plans):
 def test_chain_limits_first_event_map_side(plans):
     p = plans["trips_clean"]
     assert "WindowGroupLimit" in p and "Partial" in p
+
+
+def test_first_trips_limit_before_shuffle(plans):
+    p = plans["first_two_trips"]
+    assert "WindowGroupLimit" in p and "Partial" in p

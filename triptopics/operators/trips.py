@@ -138,8 +138,9 @@ def train_test_split(users: DataFrame, train_size: int, order: list[Column] | No
 def first_trips(trips: DataFrame, order: list[str], by: list[str] | None = None, n: int = 2) -> DataFrame:
     """W-03: the first ``n`` trips of each group in time order.
 
-    Implemented as a per-group top-n (``row_number`` over the group's
-    window); callers restrict it to bounded groups (e.g. after W-04).
+    A per-group top-n: Spark plans ``row_number() <= n`` as a group limit
+    applied map-side before the shuffle, so each task ships at most ``n``
+    rows per group even when one traveller owns most of a day's trips.
     """
     keys = by or ["user_id", "day"]
     w = Window.partitionBy(*keys).orderBy(*order)
