@@ -37,3 +37,12 @@ def test_legacy_mode_runs_on_spark(spark):
     cfg = TensorLDAConfig(J=3, K=3, L=2, iter_em=2, iter_inference=3, mode="legacy")
     model = fit_batch(corpus, cfg)
     assert np.allclose(np.exp(model.log_bo).sum(axis=1), 1.0)
+
+
+def test_online_variants(spark):
+    corpus = corpus_from_trips(trips(spark, SF_SMALL))
+    for variant in ("no_od_blend", "rho_step"):
+        model = fit_online(corpus, CFG, batch_size=8, epochs=1, variant=variant)
+        for b in model.beta:
+            assert np.allclose(np.exp(b).sum(axis=1), 1.0)
+        assert model.steps >= 2

@@ -47,3 +47,27 @@ def test_chained_position_equals_row_number(spark):
     for chunk in (3600, 86_400, 10 ** 7):
         ours = chained_position(e, "user_id", ["ts", "event_id"], "pos", "ts", chunk)
         assert _rows(ours.select("event_id", "pos")) == _rows(ref.select("event_id", "pos"))
+
+
+def test_hot_traveller_is_spread_and_exact(spark):
+    """One traveller owning about a third of all events: same trips as the plain
+    window, and that traveller's rows are processed by several tasks."""
+    ev = table(spark, SF_SMALL, "events")
+    users = sorted(r[0] for r in ev.select("user_id").distinct().collect())
+    hot = users[: max(1, len(users) // 3)]
+    skewed = ev.withColumn("user_id", F.when(F.col("user_id").isin(hot), F.lit(10 ** 9)).otherwise(F.col("user_id")))
+    share = skewed.filter(F.col("user_id") == 10 ** 9).count() / skewed.count()
+    assert share > 0.25
+    e = event_stations(skewed)
+    plain = (e.withColumn("dest", F.lead("origin").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+             .filter(F.col("dest").isNotNull()).select("event_id", "origin", "dest"))
+    ours = trips_from_events(skewed)
+    assert _rows(ours.select("event_id", "origin", "dest")) == _rows(plain)
+    prev = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = (ours.filter(F.col("user_id") == 10 ** 9).select(F.spark_partition_id().alias("p"))
+                 .distinct().count())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", prev)
+    assert tasks >= 3
