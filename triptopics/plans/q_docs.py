@@ -137,8 +137,8 @@ TEXT_SQL = {
     "tf": "SELECT doc_id, token, COUNT(*) AS tf FROM w GROUP BY 1, 2",
     "dfreq": "SELECT token, COUNT(*) AS doc_freq, SUM(tf) AS coll_freq FROM tf GROUP BY 1",
     "nd": "SELECT COUNT(*) AS n FROM documents",
-    "kept": f"""SELECT token, doc_freq, coll_freq FROM dfreq, nd
-               WHERE doc_freq >= {NO_BELOW} AND doc_freq <= FLOOR({NO_ABOVE} * nd.n)
+    "kept": f"""SELECT token, doc_freq, coll_freq FROM dfreq
+               WHERE doc_freq >= {NO_BELOW} AND doc_freq <= FLOOR({NO_ABOVE} * (SELECT n FROM nd))
                ORDER BY doc_freq DESC, token LIMIT {KEEP_N}""",
     "voc": """SELECT token, doc_freq, coll_freq,
                      CAST(ROW_NUMBER() OVER (ORDER BY token) - 1 AS INT) AS id FROM kept""",
@@ -169,8 +169,8 @@ def q_bag_of_words(spark, sf):
 
 @query("tfidf", with_views("""
 SELECT doc_id, id, ROUND(w / SQRT(SUM(w * w) OVER (PARTITION BY doc_id)), 9) AS weight FROM (
-  SELECT tf.doc_id, voc.id, tf.tf * LOG2(nd.n / voc.doc_freq) AS w
-  FROM tf JOIN voc ON tf.token = voc.token, nd)
+  SELECT tf.doc_id, voc.id, tf.tf * LOG2((SELECT n FROM nd) / voc.doc_freq) AS w
+  FROM tf JOIN voc ON tf.token = voc.token)
 WHERE ABS(w) > 1e-12""", **TEXT_SQL), ("V-04",))
 def q_tfidf(spark, sf):
     tf, n = _text(spark, sf)

@@ -55,8 +55,10 @@ SELECT p1.topic, ROUND(0.5 * SUM(g.w * (p1.p - p2.p) * (p1.p - p2.p)), 9) AS smo
 FROM mixed g JOIN pf2 p1 ON g.s1 = p1.station JOIN pf2 p2 ON g.s2 = p2.station AND p1.topic = p2.topic
 GROUP BY 1""", **TOD, **POI_SQL, mixed=mixed_graph_sql(MU),
     b=beta_sql("O"),
-    pf2="""SELECT ty.topic, n.n_nationkey AS station, COALESCE(b.p, 0.0) AS p
-           FROM types ty JOIN nation n ON TRUE LEFT JOIN b ON b.topic = ty.topic AND b.word = n.n_nationkey"""),
+    grid="""SELECT n_nationkey AS station, UNNEST((SELECT list(topic ORDER BY topic) FROM types)) AS topic
+            FROM nation""",
+    pf2="""SELECT g.topic, g.station, COALESCE(b.p, 0.0) AS p
+           FROM grid g LEFT JOIN b ON b.topic = g.topic AND b.word = g.station"""),
     ("G-03", "G-04"))
 def q_graph_smoothness(spark, sf):
     _, _, mf = nation_graph(spark, sf, MU)
@@ -82,8 +84,10 @@ SELECT topic, station, ROUND(p1 / SUM(p1) OVER (PARTITION BY topic), 9) AS p FRO
     FROM p0 q LEFT JOIN mixed g ON g.s1 = q.station
     LEFT JOIN p0 q2 ON q2.station = g.s2 AND q2.topic = q.topic
     GROUP BY 1, 2, 3))""", **TOD, **POI_SQL, mixed=mixed_graph_sql(MU), b=beta_sql("O"),
-    p0="""SELECT ty.topic, n.n_nationkey AS station, COALESCE(b.p, exp(-100)) AS p
-          FROM types ty JOIN nation n ON TRUE LEFT JOIN b ON b.topic = ty.topic AND b.word = n.n_nationkey"""),
+    grid="""SELECT n_nationkey AS station, UNNEST((SELECT list(topic ORDER BY topic) FROM types)) AS topic
+            FROM nation""",
+    p0="""SELECT g.topic, g.station, COALESCE(b.p, exp(-100)) AS p
+          FROM grid g LEFT JOIN b ON b.topic = g.topic AND b.word = g.station"""),
     ("O-08", "P-12", "P-13"))
 def q_graph_step(spark, sf):
     _, _, mf = nation_graph(spark, sf, MU)
@@ -175,12 +179,11 @@ def _perp_sql(dim):
                       CAST(SUM(w.cnt) AS BIGINT) AS n_words
     FROM (SELECT user_id, {col} AS word, COUNT(*) AS cnt FROM tt GROUP BY 1, 2) w
     LEFT JOIN (
-      SELECT w2.user_id, w2.word, SUM(b.p * th.count / (ws.W + nz.z * {ALPHA})) AS s
+      SELECT w2.user_id, w2.word, SUM(b.p * th.count / (ws.W + (SELECT COUNT(*) FROM types) * {ALPHA})) AS s
       FROM (SELECT user_id, {col} AS word FROM tt GROUP BY 1, 2) w2
       JOIN (SELECT user_id, COUNT(*) AS W FROM tt GROUP BY 1) ws ON ws.user_id = w2.user_id
       JOIN (SELECT user_id, topic, COUNT(*) AS count FROM tt GROUP BY 1, 2) th ON th.user_id = w2.user_id
       JOIN ({beta_sql(dim)}) b ON b.topic = th.topic AND b.word = w2.word
-      CROSS JOIN (SELECT COUNT(*) AS z FROM types) nz
       GROUP BY 1, 2) s ON s.user_id = w.user_id AND s.word = w.word"""
 
 
@@ -267,14 +270,14 @@ DEST_SQL = {
     "th": """SELECT user_id, topic, COUNT(*) * 1.0 / SUM(COUNT(*)) OVER (PARTITION BY user_id) AS share
              FROM tt GROUP BY 1, 2""",
     "keys": "SELECT DISTINCT user_id, origin, hour FROM tt",
-    "st": "SELECT origin AS station FROM tt UNION SELECT dest FROM tt",
-    "sc": """SELECT k.user_id, k.origin, k.hour, s.station,
-                    COALESCE(SUM(bo.p * bd.p * bt.p * th.share), 0.0) AS s
-             FROM keys k JOIN st s ON TRUE
-             LEFT JOIN th ON th.user_id = k.user_id
-             LEFT JOIN bo ON bo.topic = th.topic AND bo.word = k.origin
-             LEFT JOIN bt ON bt.topic = th.topic AND bt.word = k.hour
-             LEFT JOIN bd ON bd.topic = th.topic AND bd.word = s.station
+    # candidates = destinations with a non-zero score (equi-joins on the user's topics);
+    # a zero-score destination can never be the argmax, since the trip's own one scores > 0
+    "sc": """SELECT k.user_id, k.origin, k.hour, bd.word AS station, SUM(bo.p * bd.p * bt.p * th.share) AS s
+             FROM keys k
+             JOIN th ON th.user_id = k.user_id
+             JOIN bo ON bo.topic = th.topic AND bo.word = k.origin
+             JOIN bt ON bt.topic = th.topic AND bt.word = k.hour
+             JOIN bd ON bd.topic = th.topic
              GROUP BY 1, 2, 3, 4""",
     "pred": """SELECT user_id, origin, hour, arg_min(station, (-ROUND(s / tot, 12), station)) AS pred FROM (
                  SELECT *, SUM(s) OVER (PARTITION BY user_id, origin, hour) AS tot FROM sc)
