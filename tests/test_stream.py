@@ -27,3 +27,18 @@ def test_od_flow_stream_equals_batch_over_daily_files(spark):
         F.col("bin_start").cast("timestamp_ntz"), "origin", "dest", "amount")
     ref = flow.od_flow_hourly(used_trips(trips_from_events(ev)))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ref.collect()))
+
+
+def test_rebinned_stream_equals_batch_over_daily_files(spark):
+    src = tempfile.mkdtemp(prefix="tt-events7-")
+    ev = table(spark, SF_SMALL, "events")
+    days = sorted(r[0] for r in ev.select(F.to_date("ts").alias("d")).distinct().collect())
+    for i, d in enumerate(days[:5]):
+        ev.filter(F.to_date("ts") == d).coalesce(1).write.parquet(f"{src}/part{i:02d}")
+    ev.filter(F.to_date("ts") > days[4]).coalesce(1).write.parquet(f"{src}/part99")
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/part*")
+    sink = tempfile.mkdtemp(prefix="tt-sink7-")
+    so.run_to_end(so.od_flow_rebinned_stream(so.used(so.chain_trips(stream, "2 hours"))), sink, "update", "t7")
+    got = so.latest(spark, sink, ["w", "bin", "origin", "dest"]).select("sday", "origin", "dest", "bin", "amount")
+    ref = flow.od_flow_rebinned(used_trips(trips_from_events(ev)), 7).select("sday", "origin", "dest", "bin", "amount")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ref.collect()))

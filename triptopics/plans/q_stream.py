@@ -34,6 +34,19 @@ def q_stream_od_flow(spark, sf):
     return out.select(F.col("bin_start").cast("timestamp_ntz").alias("bin_start"), "origin", "dest", "amount")
 
 
+@query("stream_od_flow_7h", with_views(f"""
+SELECT strftime(CAST(ts - INTERVAL 5 HOUR AS DATE), '%Y-%m-%d') AS sday, origin, dest,
+       CAST(CAST(((HOUR(ts) - 5) % 24 + 24) % 24 AS INT) // 7 AS INT) AS bin, COUNT(*) AS amount
+FROM trips WHERE ((HOUR(ts) - 5) % 24 + 24) % 24 < 21 GROUP BY 1, 2, 3, 4""", **T), ("T-03", "A-04"))
+def q_stream_od_flow_7h(spark, sf):
+    ev = so.read_event_stream(spark, sf)
+    flow = so.od_flow_rebinned_stream(so.used(so.chain_trips(ev, WATERMARK)))
+    path = so.scratch_path(spark, "sink-od-flow-7h")
+    so.run_to_end(flow, path, "update", "od-flow-7h")
+    out = so.latest(spark, path, ["w", "bin", "origin", "dest"])
+    return out.select(F.date_format("sday", "yyyy-MM-dd").alias("sday"), "origin", "dest", "bin", "amount")
+
+
 @query("stream_cohort_trips", with_views(
     "SELECT * FROM trips WHERE user_id IN (SELECT user_id FROM cohort)", **T, cohort=COHORT_SQL), ("T-04", "J-01"))
 def q_stream_cohort_trips(spark, sf):
