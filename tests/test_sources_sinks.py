@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from triptopics.operators.graph import edge_graph, read_edge_graph
 from triptopics.operators.topics.model import TopicModel
-from triptopics.sources.files import read_fare_csv, read_poi, write_table
+from triptopics.sources.files import read_fare_csv, read_fare_days, read_poi, write_fare_days, write_table
 
 
 def test_fare_csv_days_filter_and_bad_timestamps(spark):
@@ -62,3 +62,21 @@ def test_model_and_matrix_sinks(spark):
     assert spark.read.parquet(out).filter("cluster = 0 AND t_topic = 1").count() == 1
     write_table(od.select("o_topic", "n"), out + "-csv", fmt="csv")
     assert spark.read.option("header", "true").csv(out + "-csv").count() == 3
+
+
+def test_day_partitioned_trips_prune(spark):
+    import contextlib
+    import io
+
+    from conftest import SF_SMALL
+    from triptopics.sources.fixtures import trips
+    root = tempfile.mkdtemp(prefix="tt-days-") + "/trips"
+    t = trips(spark, SF_SMALL)
+    write_fare_days(t, root)
+    got = read_fare_days(spark, root, "2024-01-03", "2024-01-04")
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        got.explain(mode="formatted")
+    assert "PartitionFilters: [isnotnull(day" in buf.getvalue()
+    ref = t.filter(F.to_date("ts").between("2024-01-03", "2024-01-04")).count()
+    assert got.count() == ref > 0

@@ -38,6 +38,23 @@ def read_fare_csv(spark: SparkSession, path_glob: str, used_type: str = "USE",
         F.hour("ts").alias("hour"), "file_day")
 
 
+def write_fare_days(trips: DataFrame, root: str) -> None:
+    """Trips laid out one folder per service day (``day=YYYY-MM-DD``), parquet."""
+    trips.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(root)
+
+
+def read_fare_days(spark: SparkSession, root: str, first_day: str | None = None,
+                   last_day: str | None = None) -> DataFrame:
+    """S-02 with partition pruning: only the folders of the requested days are
+    listed and read (the day filter becomes a ``PartitionFilters`` entry)."""
+    df = spark.read.parquet(root)
+    if first_day is not None:
+        df = df.filter(F.col("day") >= F.lit(first_day).cast("date"))
+    if last_day is not None:
+        df = df.filter(F.col("day") <= F.lit(last_day).cast("date"))
+    return df
+
+
 def read_poi(spark: SparkSession, path: str, station_col: str, category_cols: list[str]) -> DataFrame:
     """POI CSV/parquet with one column per category -> long ``poi(station, category, value)`` (S-04)."""
     reader = spark.read.parquet(path) if path.endswith(".parquet") else (
