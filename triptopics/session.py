@@ -33,7 +33,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
         .config("spark.sql.files.maxPartitionBytes", "128m")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("TT_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.memory", os.environ.get("TT_DRIVER_MEMORY", _default_driver_memory()))
         .config("spark.executorEnv.OMP_NUM_THREADS", "1")
     )
     spark = builder.getOrCreate()
@@ -42,6 +42,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def _default_driver_memory() -> str:
+    """Local mode only: half of the machine's memory, between 1 and 8 GiB."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    gib = int(total * 0.5 / 2 ** 30)
+    return f"{max(1, min(8, gib))}g"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
