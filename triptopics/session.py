@@ -35,6 +35,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TT_DRIVER_MEMORY", _default_driver_memory()))
         .config("spark.executorEnv.OMP_NUM_THREADS", "1")
+        # checkpoint files (dense indexes, iterative fits) go away with their DataFrames
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

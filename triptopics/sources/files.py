@@ -65,8 +65,13 @@ def read_poi(spark: SparkSession, path: str, station_col: str, category_cols: li
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
-                fmt: str = "parquet") -> None:
-    """Sinks S-06/S-07/S-08: one table, optionally partitioned (e.g. by run, lambda, cluster)."""
+                fmt: str = "parquet", sort_within: list[str] | None = None) -> None:
+    """Sinks S-06/S-07/S-08: one table, optionally partitioned (e.g. by run, lambda, cluster).
+
+    ``sort_within`` (W-06) orders rows inside each output file (e.g. by time)
+    without a global sort: ordering is only needed where a file is read."""
+    if sort_within:
+        df = df.sortWithinPartitions(*sort_within)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
