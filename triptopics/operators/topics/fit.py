@@ -81,14 +81,17 @@ def infer_docs(docs: DataFrame, model: TopicModel, cfg: TensorLDAConfig) -> Data
 
 
 def fit_batch(corpus: Corpus, cfg: TensorLDAConfig, graph_o: StationGraph | None = None,
-              graph_d: StationGraph | None = None, metric_fn=None) -> TopicModel:
+              graph_d: StationGraph | None = None, metric_fn=None,
+              prepared: DataFrame | None = None) -> TopicModel:
     """O-09: variational EM until the ELBO ratio and the β norms settle.
 
     ``metric_fn(model, step)`` (optional) returns extra metric rows, e.g.
-    hold-out perplexity (O-14/O-17).
+    hold-out perplexity (O-14/O-17).  ``prepared`` is an already partitioned
+    and cached document table shared by several fits (λ grid, O-16).
     """
     model = init_model(corpus, cfg)
-    docs = prepare_docs(corpus.docs).persist(StorageLevel.MEMORY_AND_DISK)
+    own = prepared is None
+    docs = prepare_docs(corpus.docs).persist(StorageLevel.MEMORY_AND_DISK) if own else prepared
     t0 = time.time()
     i, converged, ll_old = 0, -1.0, 0.1
     norms_old = np.full(3, 0.1)
@@ -110,7 +113,8 @@ def fit_batch(corpus: Corpus, cfg: TensorLDAConfig, graph_o: StationGraph | None
                 model.history.append({"step": i, "name": name, "value": value, "elapsed_s": el})
         i += 1
     model.steps = i
-    docs.unpersist()
+    if own:
+        docs.unpersist()
     return model
 
 

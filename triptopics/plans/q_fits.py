@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
@@ -22,6 +23,7 @@ from ..operators import metrics as mt
 from ..operators import trips as tr
 from ..operators.graph import to_station_graph
 from ..operators.infer import destination_accuracy, predict_destinations
+from ..operators.topics.estep import prepare_docs
 from ..operators.topics.fit import TensorLDAConfig, fit_batch, fit_online, infer_docs
 from ..operators.topics.model import Corpus, corpus_from_trips
 from ..sources.fixtures import trips, trips_od
@@ -137,12 +139,14 @@ def q_lambda_grid(spark, sf):
     corpus, tr_docs, te_docs = _split_corpus(spark, trips_od(spark, sf))
     g = _graphs(spark, sf, corpus)
     train = Corpus(tr_docs, corpus.stations, corpus.hours)
+    shared = prepare_docs(tr_docs).persist(StorageLevel.MEMORY_AND_DISK)     # one copy for every λ
     rows = []
     for lam in LAMBDAS:
         cfg = TensorLDAConfig(lam=lam)
-        model = fit_batch(train, cfg, graph_o=g, graph_d=g)
+        model = fit_batch(train, cfg, graph_o=g, graph_d=g, prepared=shared)
         for name, value in _holdout_metrics(spark, model, te_docs, cfg):
             rows.append((float(lam), name, value))
+    shared.unpersist()
     return spark.createDataFrame(rows, "lam double, metric string, value double")
 
 
