@@ -78,15 +78,17 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``triptopics`` importable in Python workers, once per SparkContext.
+    """Make ``triptopics`` importable in local Python workers, once per SparkContext.
 
-    The package is zipped and added with ``addPyFile`` (what ``--py-files``
-    does), so executors of a cluster, and local workers started from any
-    directory, can run the Arrow kernels of ``mapInPandas`` / pandas UDFs.
+    Locally the package is zipped and added with ``addPyFile`` (what
+    ``--py-files`` does), so workers started from any directory can run the
+    Arrow kernels of ``mapInPandas`` / pandas UDFs.  On a cluster the package
+    comes with the deployment (``--py-files triptopics.zip`` or an installed
+    wheel), so nothing is written to a machine-local folder there.
     """
     sc = spark.sparkContext
     key = sc.applicationId
-    if key in _SHIPPED:
+    if key in _SHIPPED or not sc.master.startswith("local"):
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     out = os.path.join(tempfile.mkdtemp(prefix="triptopics-pkg-"), "triptopics.zip")
