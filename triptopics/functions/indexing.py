@@ -29,6 +29,17 @@ def guarded_broadcast(df: DataFrame, bound: int | None = None, max_rows: int = B
     return df
 
 
+def spread_input(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the cluster's cores when the input has fewer
+    splits than cores (a few large files, one row group each) and the next
+    steps are heavy per row.  Inputs with enough splits pass unchanged, so
+    at scale this adds no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def dense_index(df: DataFrame, order: list[Column], name: str = "idx", start: int = 0) -> DataFrame:
     """Attach a dense 0-based (or ``start``-based) position in ``order``.
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import token, triple_token
-from ..functions.indexing import guarded_broadcast
+from ..functions.indexing import guarded_broadcast, spread_input
 from ..sources.fixtures import chained_position
 
 DOC_CHUNK = 1000
@@ -131,7 +131,11 @@ def word_freq(trips: DataFrame) -> DataFrame:
 # ---- text documents (flat LDA / TF-IDF path) ------------------------------
 
 def text_tokens(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``split(lower(text), ' ')`` counted per document: (doc_id, token, tf)."""
+    """``split(lower(text), ' ')`` counted per document: (doc_id, token, tf).
+
+    Tokenising is the heavy step, so a text table with fewer input splits
+    than cores is spread first (``spread_input``)."""
+    documents = spread_input(documents.select(key, text))
     words = documents.select(key, F.explode(F.split(F.lower(F.col(text)), " ")).alias("token"))
     # explicit (split never yields NULL): keeps every use of this subplan identical, so
     # AQE can reuse one shuffle when the counts feed both the vocabulary and a join
