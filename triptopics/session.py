@@ -90,6 +90,9 @@ def ship_package(spark: SparkSession) -> None:
     key = sc.applicationId
     if key in _SHIPPED or not sc.master.startswith("local"):
         return
+    _SHIPPED.add(key)
+    if _workers_import(spark):
+        return                      # already importable: shipping would only slow tasks down
     pkg = os.path.dirname(os.path.abspath(__file__))
     out = os.path.join(tempfile.mkdtemp(prefix="triptopics-pkg-"), "triptopics.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
@@ -99,7 +102,19 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(root, name)
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(out)
-    _SHIPPED.add(key)
+
+
+def _workers_import(spark: SparkSession) -> bool:
+    """One-row probe: can a Python worker import this package as it is?"""
+    def probe(batches):
+        import importlib.util
+
+        import pandas as pd
+        for _ in batches:
+            pass
+        yield pd.DataFrame({"ok": [importlib.util.find_spec("triptopics") is not None]})
+
+    return bool(spark.range(1).mapInPandas(probe, "ok boolean").first()[0])
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
