@@ -80,3 +80,13 @@ def test_day_partitioned_trips_prune(spark):
     assert "PartitionFilters: [isnotnull(day" in buf.getvalue()
     ref = t.filter(F.to_date("ts").between("2024-01-03", "2024-01-04")).count()
     assert got.count() == ref > 0
+
+
+def test_sql_views(spark):
+    from conftest import SF_SMALL
+    from triptopics.plans.views import register_views
+    names = register_views(spark, SF_SMALL)
+    assert "trips" in names
+    a = spark.sql("SELECT COUNT(*) FROM trips").first()[0]
+    b = spark.sql("SELECT SUM(amount) FROM od_flow_hourly").first()[0]
+    assert a == b > 0
