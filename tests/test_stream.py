@@ -42,3 +42,14 @@ def test_rebinned_stream_equals_batch_over_daily_files(spark):
     got = so.latest(spark, sink, ["w", "bin", "origin", "dest"]).select("sday", "origin", "dest", "bin", "amount")
     ref = flow.od_flow_rebinned(used_trips(trips_from_events(ev)), 7).select("sday", "origin", "dest", "bin", "amount")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ref.collect()))
+
+
+def test_empty_stream_gives_empty_table(spark):
+    src = tempfile.mkdtemp(prefix="tt-empty-")
+    ev = table(spark, SF_SMALL, "events")
+    ev.limit(0).write.parquet(f"{src}/part00")
+    stream = spark.readStream.schema(ev.schema).parquet(f"{src}/part*")
+    sink = tempfile.mkdtemp(prefix="tt-sink-empty-")
+    so.run_to_end(so.doc_stream(stream), sink, "update", "empty")
+    out = so.latest(spark, sink, ["user_id"])
+    assert out is not None and out.count() == 0 and "wordcount" in out.columns

@@ -28,6 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.indexing import guarded_broadcast
@@ -175,16 +176,24 @@ def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Current table of an upsert sink: the row of the latest batch per key."""
     try:
         df = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-    except Exception:  # noqa: BLE001 - no batch written yet
+    except AnalysisException:       # nothing written yet
         return None
     w = Window.partitionBy(*keys).orderBy(F.desc("batch"))
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn", "batch")
 
 
 def run_to_end(stream: DataFrame, sink_path: str, mode: str, name: str) -> None:
-    """Process everything available now (batch trigger), checkpointing under the shared folder."""
+    """Process everything available now (batch trigger), checkpointing under the shared folder.
+
+    If the stream had no data at all, an empty batch with the stream's
+    schema is left in the sink, so readers get an empty table, not an error.
+    """
     spark = stream.sparkSession
     q = (stream.writeStream.outputMode(mode).foreachBatch(upsert_sink(sink_path))
          .option("checkpointLocation", scratch_path(spark, f"ckpt-{name}"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    try:
+        spark.read.parquet(f"{sink_path}/batch=*").limit(1).collect()
+    except AnalysisException:
+        spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{sink_path}/batch=-1")
