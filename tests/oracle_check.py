@@ -85,8 +85,12 @@ if __name__ == "__main__":
             continue
         if name not in sqls:
             t0 = time.time()
-            n = build(spark, sf_dir).count()
-            print(f"ROWS  {name:32s} rows={n} {time.time()-t0:.1f}s", flush=True)
+            try:
+                n = build(spark, sf_dir).count()
+                print(f"ROWS  {name:32s} rows={n} {time.time()-t0:.1f}s", flush=True)
+            except Exception as exc:  # noqa: BLE001
+                bad += 1
+                print(f"BAD   {name:32s} ERROR {type(exc).__name__}: {str(exc)[:200]}", flush=True)
             continue
         try:
             ok, n, secs, detail = compare(spark, name, build, sqls[name], sf_dir, con)

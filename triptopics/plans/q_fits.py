@@ -192,9 +192,16 @@ def _flat_corpus(spark, sf):
     return vec, vocab, n_docs
 
 
+TOPICS_SCHEMA = "id int, topic int, rank int, weight double, token string"
+TFIDF_SCHEMA = "k int, log_perplexity double, log_likelihood double"
+DOC_TOPICS_SCHEMA = "doc_id bigint, topic int, score double, best int"
+
+
 @query("flat_lda_topics", None, ("O-01", "V-02", "V-03"))
 def q_flat_lda_topics(spark, sf):
     vec, vocab, _ = _flat_corpus(spark, sf)
+    if vocab.limit(1).count() == 0:          # nothing survives pruning: no topics to learn
+        return spark.createDataFrame([], TOPICS_SCHEMA)
     model = LDA(k=FLAT_TOPICS, maxIter=2, optimizer="online", subsamplingRate=1.0, seed=1).fit(vec)
     topics = model.describeTopics(10).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")))
     return topics.select("topic", F.col("pos").alias("rank"), F.col("col.termIndices").alias("id"),
@@ -207,6 +214,8 @@ def q_flat_lda_tfidf(spark, sf):
     tok = dc.flat_tokens(flow.user_od_tensor(trips(spark, sf), 7)).withColumnRenamed("cnt", "tf")
     bow = dc.bag_of_words(tok.withColumnRenamed("user_id", "doc_id"), vocab)
     size = vocab.count()
+    if size == 0:
+        return spark.createDataFrame([], TFIDF_SCHEMA)
     w = dc.tfidf(bow, vocab, n_docs).withColumnRenamed("weight", "tf")
     tf_vec = w.groupBy("doc_id").agg(F.collect_list(F.struct("id", "tf")).alias("pairs")).select(
         "doc_id", _sparse(F.lit(size), "pairs").alias("features"))
@@ -221,6 +230,8 @@ def q_flat_lda_doc_topics(spark, sf):
     vec, _, _ = _flat_corpus(spark, sf)
     vec = vec.checkpoint()          # read by the count, the iterative fit and the transform
     n_train = int(vec.count() * TRAIN_FRACTION)
+    if n_train == 0:
+        return spark.createDataFrame([], DOC_TOPICS_SCHEMA)
     split = tr.train_test_split(vec.select(F.col("doc_id").alias("user_id")), n_train).withColumnRenamed(
         "user_id", "doc_id")
     v = vec.join(split, "doc_id")
