@@ -54,7 +54,7 @@ fits AS (
   FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
   GROUP BY page_id),
 ruled AS (SELECT parts.*, rule, ruled FROM parts LEFT JOIN fits USING (page_id)),
-listed AS (SELECT host FROM ruled GROUP BY host HAVING count(*) FILTER (ruled = 'block') > 0.5 * count(*))
+listed AS (SELECT host FROM ruled GROUP BY host HAVING count(*) FILTER (ruled = 'block') > 0.4 * count(*))
 SELECT page_id, host, path, rule,
        coalesce(ruled, CASE WHEN host IN (SELECT host FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled"""

@@ -49,7 +49,7 @@ RULES = (
 SHARD_KEYS = 4_000_000
 BITS_PER_KEY = 8
 HASHES = 3
-HOST_BLOCK_SHARE = 0.5
+HOST_BLOCK_SHARE = 0.4
 
 
 def with_host_path(pages: DataFrame) -> DataFrame:
