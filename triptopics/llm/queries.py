@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import oracles, packing, quality_rules, urls
+from . import near_dup, oracles, packing, quality_rules, urls
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +27,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_quality_rules": op5_quality_rules,
     "op8_url_filters": op8_url_filters,
     "op10_packing": op10_packing,
