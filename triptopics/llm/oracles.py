@@ -58,3 +58,25 @@ listed AS (SELECT host FROM ruled GROUP BY host HAVING count(*) FILTER (ruled =
 SELECT page_id, host, path, rule,
        coalesce(ruled, CASE WHEN host IN (SELECT host FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled"""
+
+#: Every word match of a document and an item proposes its alignment; no seeds are used.
+DECONTAMINATION = r"""
+WITH d_words AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+b_words AS (
+  SELECT min(item_id) AS item_id, w FROM (
+    SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark)
+  WHERE len(w) >= 8 GROUP BY w),
+d AS (SELECT doc_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS p FROM d_words),
+b AS (SELECT item_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS p FROM b_words),
+same AS (SELECT doc_id, item_id, d.p - b.p AS shift, b.p AS p, d.n AS dn, b.n AS bn FROM d JOIN b USING (x)),
+near AS (
+  SELECT doc_id, item_id, shift, any_value(dn) AS dn, any_value(bn) AS bn, list(p) AS ps
+  FROM same GROUP BY ALL HAVING count(*) >= least(any_value(bn), 13) - CASE WHEN any_value(bn) < 13 THEN 0 ELSE 3 END),
+starts AS (
+  SELECT *, least(bn, 13) AS span, CASE WHEN bn < 13 THEN 0 ELSE 3 END AS allowed,
+         unnest(generate_series(greatest(0, -shift), least(bn, dn - shift) - least(bn, 13))) AS q FROM near),
+windows AS (
+  SELECT doc_id, item_id, q + shift AS start, allowed, span - len(list_filter(ps, lambda y: y >= q AND y < q + span)) AS bad FROM starts)
+SELECT doc_id, item_id, CAST(min(start) AS BIGINT) AS first_word, CAST(count(*) AS BIGINT) AS n_windows, CAST(min(bad) AS BIGINT) AS substitutions
+FROM windows WHERE bad <= allowed GROUP BY doc_id, item_id"""

@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import near_dup, oracles, packing, quality_rules, urls
+from . import decontaminate, near_dup, oracles, packing, quality_rules, urls
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +31,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_quality_rules": op5_quality_rules,
     "op8_url_filters": op8_url_filters,
@@ -34,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": oracles.DECONTAMINATION,
     "op5_quality_rules": oracles.QUALITY_RULES,
     "op8_url_filters": oracles.URL_FILTERS,
 }
