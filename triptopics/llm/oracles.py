@@ -80,3 +80,26 @@ windows AS (
   SELECT doc_id, item_id, q + shift AS start, allowed, span - len(list_filter(ps, lambda y: y >= q AND y < q + span)) AS bad FROM starts)
 SELECT doc_id, item_id, CAST(min(start) AS BIGINT) AS first_word, CAST(count(*) AS BIGINT) AS n_windows, CAST(min(bad) AS BIGINT) AS substitutions
 FROM windows WHERE bad <= allowed GROUP BY doc_id, item_id"""
+
+
+def _license_rows() -> str:
+    from .licenses import template_bigrams
+
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    return ", ".join(f"({quoted(n)}, [{', '.join(map(quoted, g))}])" for n, g in template_bigrams().items())
+
+
+#: Every unit against every template, without the size listing.
+LICENSES = r"""
+WITH units AS (
+  SELECT doc_id, 0 AS unit, coalesce(text, '') AS u FROM documents WHERE doc_id IS NOT NULL AND contains(text, chr(10))
+  UNION ALL
+  SELECT doc_id, generate_subscripts(l, 1) AS unit, unnest(l) AS u
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL)),
+words AS (SELECT doc_id, unit, list_filter(string_split_regex(lower(u), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM units),
+grams AS (SELECT doc_id, unit, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS g
+          FROM words WHERE len(w) > 1),
+templates(license, t) AS (VALUES """ + _license_rows() + r"""),
+dice AS (SELECT doc_id, license, unit, len(list_intersect(g, t)) AS c, len(g) + len(t) AS n FROM grams, templates)
+SELECT doc_id, license, max(2.0::DOUBLE * c / n) AS dice, count(*) AS n_units, CAST(min(unit) AS BIGINT) AS first_unit
+FROM dice WHERE 200 * c >= 80 * n GROUP BY doc_id, license"""
