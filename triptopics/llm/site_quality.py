@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from .common import SPACE, U, hinted, row_blocks, text_view, word_hashes, written
 from .quality_rules import beta_prior
 
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 40_000
 WORD_BITS = 18
-MIN_DOCS = 8
+MIN_SHARE = 0.002
 SHAPES, BINS = 6, 12
 KEEP = 0.5
 MAX_STRENGTH = 1e6
@@ -79,10 +79,10 @@ class Evidence:
         return self.bias + total[start[1:]] - total[start[:-1]]
 
 
-def fit(features: list[np.ndarray], good: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.1, decay: float = 1e-5) -> Evidence:
-    """Logistic regression by AdaGrad over shuffled batches; a feature of fewer than ``MIN_DOCS`` rows keeps weight 0."""
+def fit(features: list[np.ndarray], good: np.ndarray, epochs: int = 20, batch: int = 128, rate: float = 0.1, decay: float = 1e-4) -> Evidence:
+    """Logistic regression by AdaGrad over shuffled batches; a feature of under ``MIN_SHARE`` of the rows (or 5) keeps weight 0."""
     size = (1 << WORD_BITS) + SHAPES * BINS
-    frequent = np.bincount(np.concatenate(features), minlength=size) >= MIN_DOCS
+    frequent = np.bincount(np.concatenate(features), minlength=size) >= max(5, MIN_SHARE * len(good))
     features = [f[frequent[f]] for f in features]
     w, g2 = np.zeros(size), np.full(size, 1e-2)
     prior = float(np.clip(good.mean(), 0.01, 0.99))
