@@ -54,10 +54,12 @@ def predict_destinations(trips_ids: DataFrame, theta: DataFrame, beta) -> DataFr
 
 
 def destination_accuracy(predicted: DataFrame) -> DataFrame:
-    """I-03/A-19: share of correctly predicted destinations per user; the row
-    with ``user_id`` = -1 holds the overall ratio."""
-    hit = predicted.withColumn("hit", (F.col("pred") == F.col("d")).cast("bigint"))
-    per_user = hit.groupBy("user_id").agg(F.sum("hit").alias("correct"), F.count(F.lit(1)).alias("trips"))
+    """I-03/A-19: share of correctly predicted trips per user; the row with ``user_id`` = -1 holds the
+    overall ratio.  A row with a ``cnt`` column stands for that many equal trips."""
+    trips = F.col("cnt") if "cnt" in predicted.columns else F.lit(1)
+    hit = predicted.select("user_id", trips.cast("bigint").alias("n"),
+                           F.when(F.col("pred") == F.col("d"), trips).otherwise(0).cast("bigint").alias("hit"))
+    per_user = hit.groupBy("user_id").agg(F.sum("hit").alias("correct"), F.sum("n").alias("trips"))
     overall = per_user.agg(F.sum("correct").alias("correct"), F.sum("trips").alias("trips")).select(
         F.lit(-1).cast("bigint").alias("user_id"), "correct", "trips")
     out = per_user.unionByName(overall)

@@ -6,6 +6,7 @@ import os
 import tempfile
 import zipfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -13,32 +14,41 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "triptopics") -> SparkSession:
     """Session with the settings every operator assumes: UTC clock, AQE, Arrow, no UI.
 
-    On a cluster the master, memory and checkpoint folder come from the
-    launcher; locally (tests, bench) they default to ``local[N]``.
+    Whatever the launcher has set stays: on a cluster master, memory, shuffle
+    partitions and checkpoint folder come from there; only without a master
+    (tests, bench) do they default to ``local[N]``.
     """
     cpus = os.environ.get("BENCH_CPUS", "8")
-    parts = shuffle_partitions or int(os.environ.get("TT_SHUFFLE_PARTITIONS", cpus))
-    builder = (
-        SparkSession.builder.appName(app)
-        .master(master or f"local[{cpus}]")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
+    if "PYSPARK_GATEWAY_PORT" in os.environ:    # started by spark-submit: its settings are in the running JVM
+        SparkContext._ensure_initialized()
+    given = SparkConf()
+    launched = given.get("spark.master", None)
+    local = (master or launched or "local").startswith("local")
+    settings = {
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
         # shuffle partitions are sized at run time: AQE coalesces small ones to ~64 MB
         # and splits skewed join partitions; on a cluster set spark.sql.shuffle.partitions
         # (or coalescePartitions.initialPartitionNum) to input size / 64 MB and let AQE shrink it
-        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
-        .config("spark.sql.files.maxPartitionBytes", "128m")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("TT_DRIVER_MEMORY", _default_driver_memory()))
-        .config("spark.executorEnv.OMP_NUM_THREADS", "1")
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m",
+        "spark.sql.files.maxPartitionBytes": "128m",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.executorEnv.OMP_NUM_THREADS": "1",
         # checkpoint files (dense indexes, iterative fits) go away with their DataFrames
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-    )
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    }
+    if local:
+        settings["spark.sql.shuffle.partitions"] = os.environ.get("TT_SHUFFLE_PARTITIONS", cpus)
+        settings["spark.driver.memory"] = os.environ.get("TT_DRIVER_MEMORY", _default_driver_memory())
+    builder = SparkSession.builder.appName(app).config(map={k: v for k, v in settings.items() if not given.contains(k)})
+    if master or not launched:
+        builder = builder.master(master or f"local[{cpus}]")
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -59,8 +69,8 @@ def _default_driver_memory() -> str:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; only when nothing is set (a
-    bare local test session) do we fall back to a fresh scratch folder.
+    A cluster names a shared folder there; only when nothing is set and the
+    master is local (tests, bench) is it a fresh scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -69,6 +79,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="triptopics-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
