@@ -87,91 +87,106 @@ def category_utility(items: DataFrame, cluster: str, attrs: list[str], m: int) -
     return tot.select(F.when(F.col("k") < m, F.lit(0.0)).otherwise(cu).alias("category_utility"))
 
 
-def assign_by_utility(codes: np.ndarray, kv: np.ndarray, nc: np.ndarray, U: float) -> np.ndarray:
-    """Cluster whose category utility is best after adding each item (vectorised).
+def assign_by_utility(codes: np.ndarray, kv: np.ndarray, nc: np.ndarray, U: float,
+                      own: np.ndarray | None = None) -> np.ndarray:
+    """Cluster whose category utility is best with each item in it (vectorised).
 
     ``kv[c, a, v]`` counts value v of attribute a in cluster c, ``nc[c]`` the
     cluster sizes, ``U = Σ_av P(a=v)²``.  With S_c = Σ_av kv[c,a,v]², CU is
     proportional to Σ_c (S_c/N_c − N_c U), and adding item x to cluster b
     changes only cluster b's term; an empty cluster makes CU 0 (Q29).
-    Ties go to the lowest cluster.
+    ``own`` names the cluster that already counts the item (-1: none); the
+    item is taken out of it before the moves are compared, so it is never
+    counted twice.  Ties go to the item's own cluster, then to the lowest.
     """
     m, n_attr = kv.shape[0], codes.shape[1]
-    S = (kv ** 2).sum(axis=(1, 2))
-    N = nc.astype(np.float64)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        base = np.where(N > 0, S / np.where(N > 0, N, 1.0) - N * U, 0.0)
-    inc = sum(kv[:, a, codes[:, a]] for a in range(n_attr)).T * 2.0 + n_attr      # (n, m)
-    new = (S[None, :] + inc) / (N[None, :] + 1.0) - (N[None, :] + 1.0) * U
-    score = base.sum() - base[None, :] + new
+    n = len(codes)
+    own = np.full(n, -1) if own is None else np.asarray(own)
+    held = sum(kv[:, a, codes[:, a]] for a in range(n_attr)).T        # (n, m): Σ_a kv[c, a, x_a]
+    inside = own[:, None] == np.arange(m)[None, :]
+    # without the item: S_c − 2 Σ_a kv + A and N_c − 1 in its own cluster
+    S = (kv ** 2).sum(axis=(1, 2))[None, :] - np.where(inside, 2.0 * held - n_attr, 0.0)
+    N = nc.astype(np.float64)[None, :] - inside
+    kv_of = held - np.where(inside, n_attr, 0)
+
+    def term(s, size):
+        return np.where(size > 0, s / np.where(size > 0, size, 1.0) - size * U, 0.0)
+
+    base = term(S, N)
+    score = base.sum(axis=1, keepdims=True) - base + term(S + 2.0 * kv_of + n_attr, N + 1.0)
     empty = N == 0
-    if empty.any():
-        others_empty = (empty.sum() - empty[None, :].astype(int)) > 0
-        score = np.where(others_empty, 0.0, score)
-    return np.argmax(score, axis=1)
+    others_empty = (empty.sum(axis=1, keepdims=True) - empty) > 0
+    score = np.where(others_empty, 0.0, score)
+    best = np.argmax(score, axis=1)
+    stay = (own >= 0) & (score[np.arange(n), np.maximum(own, 0)] >= score[np.arange(n), best] - 1e-12)
+    return np.where(stay, own, best)
 
 
-def categorical_clusters(items: DataFrame, key: str, attrs: list[str], m: int, max_rounds: int = 10) -> DataFrame:
+def categorical_clusters(items: DataFrame, key: str, attrs: list[str], m: int, max_rounds: int = 100) -> DataFrame:
     """C-06 (re-aimed): cluster items with integer-coded attributes by category utility.
 
     The first ``m`` items by ``key`` seed clusters 0..m-1 (as in the
     reference's greedy pass) and stay there.  Round 0 places every other
     item where the utility of the seed clustering plus that item is best
-    (the reference's decision for a next item); each later round re-places
-    every item against the previous round's cluster counts, until no item
-    changes or ``max_rounds``.  The counts (clusters × attribute values)
-    are broadcast in the task closure; each round is one Spark job whose
-    only output is the next count table, and an item's cluster is a pure
-    function of (item, counts), so a lost task recomputes it exactly.
+    (the reference's decision for a next item); each later round takes every
+    item out of its cluster and puts it where the previous round's counts
+    make the utility best.  All items move at once, which can overshoot, so
+    in odd rounds only items of odd ``key`` move and in even rounds those of
+    even ``key``.  Rounds end when no item of either half moves; the column
+    ``converged`` says whether that happened within ``max_rounds``.
+
+    A round is one pass over the previous round's checkpointed table, which
+    carries the attributes, and one grouped count (clusters × attribute values).
     """
     spark = items.sparkSession
-    seed_ids = [r[0] for r in items.orderBy(key).limit(m).select(key).collect()]
-    long = items.select(F.explode(F.array(*[F.struct(F.lit(i).alias("ai"), F.col(a).cast("int").alias("v"))
-                                            for i, a in enumerate(attrs)])).alias("x")).select("x.*")
-    att = long.groupBy("ai", "v").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    vmax = int(att["v"].max()) + 1
-    n_items = float(att[att["ai"] == 0]["n"].sum())
-    U = float(((att["n"] / n_items) ** 2).sum())
-
-    kv = np.zeros((m, len(attrs), vmax))
-    nc = np.zeros(m)
-    for r in items.filter(F.col(key).isin(seed_ids)).select(key, *attrs).collect():
-        c = seed_ids.index(r[0])
-        nc[c] += 1
-        for ai in range(len(attrs)):
-            kv[c, ai, int(r[ai + 1])] += 1
+    codes_of = [F.col(a).cast("int").alias(a) for a in attrs]
+    seed_rows = items.select(key, *codes_of).orderBy(key).limit(m).collect()
     seeds = guarded_broadcast(spark.createDataFrame(
-        pd.DataFrame({key: seed_ids, "_seed": np.arange(len(seed_ids), dtype=np.int32)})), m)
-    tagged = items.select(key, *attrs).join(seeds, key, "left")
-    schema = f"{key} long, cluster int, changed int"
-
-    def make_fn(prev, cur):
+        pd.DataFrame({key: [r[0] for r in seed_rows], "_seed": np.arange(len(seed_rows), dtype=np.int32)})), m)
+    fields = ", ".join(f"{a} int" for a in attrs)
+    schema = f"{key} long, {fields}, _seed int, cluster int, changed int"
+    now = items.select(F.col(key).cast("long").alias(key), *codes_of).join(seeds, key, "left").select(
+        key, *attrs, F.coalesce("_seed", F.lit(-1)).alias("_seed"),
+        F.coalesce("_seed", F.lit(-1)).alias("cluster"), F.lit(0).alias("changed")).checkpoint()
+
+    def counts(df):
+        long = df.select("cluster", F.explode(F.array(*[
+            F.struct(F.lit(i).alias("ai"), F.col(a).alias("v")) for i, a in enumerate(attrs)])).alias("x"))
+        return long.groupBy("cluster", "x.ai", "x.v").agg(F.count(F.lit(1)).alias("n")).toPandas()
+
+    first = counts(now)
+    total = first.groupby(["ai", "v"])["n"].sum()
+    n_items = float(total[0].sum())
+    U = float(((total / n_items) ** 2).sum())
+    vmax = int(first["v"].max()) + 1
+
+    def tables(pdf):
+        kv = np.zeros((m, len(attrs), vmax))
+        placed = pdf[pdf["cluster"] >= 0]
+        kv[placed["cluster"].to_numpy(), placed["ai"].to_numpy(), placed["v"].to_numpy()] = placed["n"].to_numpy()
+        return kv, kv[:, 0, :].sum(axis=1)
+
+    def make_fn(kv, nc, half):
         def fn(batches):
             for pdf in batches:
-                codes = pdf[attrs].to_numpy(np.int64)
-                seed = pdf["_seed"].fillna(-1).to_numpy(np.int64)
-                new = np.where(seed >= 0, seed, assign_by_utility(codes, *cur, U))
-                old = np.where(seed >= 0, seed, assign_by_utility(codes, *prev, U)) if prev else new
-                yield pd.DataFrame({key: pdf[key].to_numpy(np.int64), "cluster": new.astype(np.int32),
-                                    "changed": (new != old).astype(np.int32)})
+                old, seed = pdf["cluster"].to_numpy(np.int64), pdf["_seed"].to_numpy(np.int64)
+                moves = (seed < 0) & ((half is None) | (pdf[key].to_numpy() % 2 == half))
+                best = assign_by_utility(pdf[attrs].to_numpy(np.int64), kv, nc, U, old)
+                new = np.where(moves, best, old)
+                yield pdf.assign(cluster=new.astype(np.int32), changed=(new != old).astype(np.int32))
         return fn
 
-    prev = None
-    assigned = None
+    kv, nc = tables(first)
+    quiet = 0
     for rnd in range(max_rounds):
-        assigned = tagged.mapInPandas(make_fn(prev, (kv, nc)), schema)
-        counts = assigned.join(items.select(key, *attrs), key).select(
-            "cluster", "changed", F.explode(F.array(*[F.struct(F.lit(i).alias("ai"), F.col(a).cast("int").alias("v"))
-                                                      for i, a in enumerate(attrs)])).alias("x"))
-        pdf = counts.groupBy("cluster", "x.ai", "x.v").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("changed").alias("ch")).toPandas()
-        kv_new = np.zeros_like(kv)
-        kv_new[pdf["cluster"].to_numpy(), pdf["ai"].to_numpy(), pdf["v"].to_numpy()] = pdf["n"].to_numpy()
-        changed = int(pdf[pdf["ai"] == 0]["ch"].sum())
-        if rnd > 0 and changed == 0:
+        now = now.mapInPandas(make_fn(kv, nc, None if rnd == 0 else rnd % 2), schema).checkpoint()
+        moved = now.agg(F.sum("changed")).first()[0]
+        quiet = quiet + 1 if rnd and not moved else 0
+        if quiet == 2:
             break
-        prev, kv, nc = (kv, nc), kv_new, kv_new[:, 0, :].sum(axis=1)
-    return assigned.select(key, "cluster")
+        if moved:
+            kv, nc = tables(counts(now))
+    return now.select(key, "cluster").withColumn("converged", F.lit(quiet == 2))
 
 
 def cluster_sizes(assign: DataFrame, cluster: str = "cluster") -> DataFrame:
