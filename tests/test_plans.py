@@ -56,3 +56,27 @@ def test_chain_limits_first_event_map_side(plans):
 def test_first_trips_limit_before_shuffle(plans):
     p = plans["first_two_trips"]
     assert "WindowGroupLimit" in p and "Partial" in p
+
+
+def test_facts_are_not_shuffled_on_station_keys(spark):
+    """With the planner's own broadcasts off, the checked hints alone keep the trips off the few hot keys."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        for name in ("ranked_trips", "corpus_index", "topic_coherence", "perplexity"):
+            p = _plan(E.queries()[name](spark, SF_SMALL))
+            for line in p.splitlines():
+                if "hashpartitioning(" in line:
+                    keys = line.split("hashpartitioning(")[1].split(")")[0].split(", ")
+                    plain = {k.split("#")[0] for k in keys if "#" in k}
+                    assert plain - {"origin", "dest", "hour", "dim", "word", "topic", "value"} or "ENSURE" not in line or _aggregated(p, line), (name, line)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _aggregated(plan, line):
+    """The exchange of this line feeds on a partial aggregate (a row per key and task), not on the facts."""
+    number = plan[:plan.index(line)].rsplit("(", 1)[1].split(")")[0]
+    tree = plan.split("\n\n")[0].splitlines()
+    at = next(i for i, row in enumerate(tree) if row.rstrip().endswith(f"({number})"))
+    return "HashAggregate" in tree[at + 1]

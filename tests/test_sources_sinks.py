@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 from triptopics.operators.graph import edge_graph, read_edge_graph
 from triptopics.operators.topics.model import TopicModel
-from triptopics.sources.files import read_fare_csv, read_fare_days, read_poi, write_fare_days, write_table
+from triptopics.operators.docs import passenger_docs
+from triptopics.sources.files import (bad_timestamps, read_docs, read_fare_csv, read_fare_days, read_poi, write_docs,
+                                      write_fare_days, write_table)
+from triptopics.sources.fixtures import trips
+
 
 
 def test_fare_csv_days_filter_and_bad_timestamps(spark):
@@ -24,6 +28,8 @@ def test_fare_csv_days_filter_and_bad_timestamps(spark):
     t = read_fare_csv(spark, f"{root}/DW_FARE_TXN_ENTRY_TXN_*.csv").toPandas()
     assert len(t) == 3                                   # ENT dropped, 31/02 -> NULL dropped
     assert sorted(t["hour"]) == [8, 10, 18]
+    bad = bad_timestamps(spark, f"{root}/DW_FARE_TXN_ENTRY_TXN_*.csv").orderBy("file_day").collect()
+    assert [(r.rows, r.dropped) for r in bad] == [(2, 0), (2, 1)]
     assert set(t["file_day"].astype(str)) == {"2017-02-27", "2017-02-28"}
 
 
@@ -90,3 +96,22 @@ def test_sql_views(spark):
     a = spark.sql("SELECT COUNT(*) FROM trips").first()[0]
     b = spark.sql("SELECT SUM(amount) FROM od_flow_hourly").first()[0]
     assert a == b > 0
+
+
+def test_documents_round_trip(spark):
+    path = tempfile.mkdtemp(prefix="tt-docs-") + "/docs"
+    docs = passenger_docs(trips(spark, "/root/testdata/sf0.001"), ["ts", "event_id"])
+    write_docs(docs, path)
+    back = read_docs(spark, path)
+    assert back.exceptAll(docs.select(back.columns)).count() == 0 and back.count() == docs.count()
+    words = sorted(r.wordcount for r in back.collect())
+    assert read_docs(spark, path, words[-1]).count() == words.count(words[-1])
+
+
+def test_document_posteriors_are_saved(spark):
+    path = tempfile.mkdtemp(prefix="tt-theta-") + "/theta"
+    m = TopicModel(np.zeros((1, 1)), np.zeros((1, 1)), np.zeros((1, 1)), 5.0, np.array([1]), np.array([0]))
+    inferred = spark.createDataFrame([(7, 4.0, [0.25, 0.75])], "user_id long, wordcount double, theta array<double>")
+    m.save_docs(inferred, path, "run", 0.1)
+    r = spark.read.parquet(path).first()
+    assert r.gamma == [6.0, 8.0] and r.run_id == "run" and r.lam == 0.1

@@ -53,3 +53,39 @@ def test_empty_stream_gives_empty_table(spark):
     so.run_to_end(so.doc_stream(stream), sink, "update", "empty")
     out = so.latest(spark, sink, ["user_id"])
     assert out is not None and out.count() == 0 and "wordcount" in out.columns
+
+
+def test_events_without_a_station_end_no_trip(spark):
+    src = tempfile.mkdtemp(prefix="tt-null-")
+    ev = table(spark, SF_SMALL, "events").filter("user_id < 6").withColumn(
+        "props", F.when(F.col("event_id") % 5 == 0, F.lit("{}")).otherwise(F.col("props")))
+    days = ev.withColumn("_half", F.dayofmonth("ts") > 15)
+    days.filter("not _half").drop("_half").coalesce(1).write.parquet(f"{src}/part0")
+    days.filter("_half").drop("_half").coalesce(1).write.parquet(f"{src}/part1")
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/part*")
+    sink = tempfile.mkdtemp(prefix="tt-sink-null-")
+    so.run_to_end(so.chain_trips(stream), sink, "append", "null")
+    got = spark.read.parquet(f"{sink}/batch=*").select("user_id", "event_id", "origin", "dest")
+    ref = trips_from_events(ev).select("user_id", "event_id", "origin", "dest")
+    key = lambda r: (r[0], r[1])
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, ref.collect()), key=key)
+    assert got.filter("origin is null").count() > 0
+
+
+def test_learner_counts_only_batches_with_trips_and_resumes(spark):
+    from triptopics.operators.topics.fit import TensorLDAConfig, init_model
+    from triptopics.operators.topics.model import corpus_from_trips
+    from triptopics.sources.fixtures import trips
+    from triptopics.streaming.online import stream_online_lda
+
+    cfg = TensorLDAConfig(J=2, K=2, L=2, iter_inference=2)
+    model = init_model(corpus_from_trips(trips(spark, SF_SMALL)), cfg)
+    src = tempfile.mkdtemp(prefix="tt-first-")
+    ev = table(spark, SF_SMALL, "events")
+    first = ev.groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    ev.join(first, ["user_id", "event_id"], "left_semi").coalesce(1).write.parquet(f"{src}/part0")
+    ev.join(first, ["user_id", "event_id"], "left_anti").coalesce(1).write.parquet(f"{src}/part1")
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/part*")
+    path, history = stream_online_lda(so.used(so.chain_trips(stream)), model, cfg)
+    saved = spark.read.parquet(path).groupBy("v").agg(F.max("steps").alias("steps")).orderBy("v").collect()
+    assert [r.steps for r in saved][:2] == [0, 1]            # a first batch of single events has no trip

@@ -16,28 +16,28 @@ _POS_MASK = (1 << _POS_BITS) - 1
 
 
 def guarded_broadcast(df: DataFrame, bound: int | None = None, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only for a side whose row count is bounded by construction
-    (a ``limit``, a cohort size, ``keep_n``...) and within ``max_rows``.
-
-    Without such a bound the join is left to Catalyst and AQE, which turns
-    it into a broadcast at run time only when the measured shuffle output
-    of that side is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``,
-    so the size is always checked and no extra job is run to check it.
+    """Broadcast hint for a side of a checked size; a larger side is returned as
+    it is and joins by shuffle.
+
+    ``bound`` is a row count known by construction (a ``limit``, a cohort
+    size, ``keep_n``...).  Without one the side (a station, hour or topic
+    table) is written to the checkpoint folder once and counted there, so
+    the fact side never has to be shuffled on a few hot keys before the
+    size of the other side is known, and the side is not computed twice.
     """
-    if bound is not None and bound <= max_rows:
-        return F.broadcast(df)
-    return df
+    if bound is None:
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint()
+        bound = df.count()
+    return F.broadcast(df) if bound <= max_rows else df
 
 
 def spread_input(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cluster's cores when the input has fewer
-    splits than cores (a few large files, one row group each) and the next
-    steps are heavy per row.  Inputs with enough splits pass unchanged, so
-    at scale this adds no shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    """Deal the rows of a few large files over the cluster before steps that are heavy per row.
+
+    A rebalance: AQE gives every partition about its advisory size, whatever
+    number of input splits there is, so the plan is the same at every size."""
+    return df.hint("rebalance")
 
 
 def dense_index(df: DataFrame, order: list[Column], name: str = "idx", start: int = 0) -> DataFrame:

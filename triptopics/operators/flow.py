@@ -51,11 +51,25 @@ def od_flow_hourly(trips: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("amount")))
 
 
-def od_flow_rebinned(trips: DataFrame, bin_hours: int = 7) -> DataFrame:
-    """A-04: flow per (service day, origin, destination, n-hour bin from 05:00)."""
+def od_flow_rebinned(trips: DataFrame, bin_hours: int = 7, zero_fill: bool = False) -> DataFrame:
+    """A-04: flow per (service day, origin, destination, n-hour bin from 05:00).
+
+    ``zero_fill`` adds the calendar's missing cells with amount 0 for every
+    OD pair that occurs: all bins of all days between the first and the last
+    service day of the data.  Pairs, days and bins are unfolded per pair, no
+    pair of stations is made up."""
     b = with_service_bin(trips, bin_hours)
-    return (b.groupBy("sday", "origin", "dest", "bin")
-            .agg(F.count(F.lit(1)).alias("amount")))
+    seen = b.groupBy("sday", "origin", "dest", "bin").agg(F.count(F.lit(1)).alias("amount"))
+    if not zero_fill:
+        return seen
+    first, last = b.agg(F.min("sday"), F.max("sday")).first()
+    if first is None:
+        return seen
+    days = F.sequence(F.lit(first), F.lit(last))
+    bins = F.sequence(F.lit(0), F.lit((SERVICE_HOURS - 1) // bin_hours))
+    zeros = (seen.select("origin", "dest").distinct().withColumn("sday", F.explode(days))
+             .select("sday", "origin", "dest", F.explode(bins).alias("bin"), F.lit(0).cast("bigint").alias("amount")))
+    return seen.union(zeros).groupBy("sday", "origin", "dest", "bin").agg(F.sum("amount").alias("amount"))
 
 
 def od_tensor(trips: DataFrame, bin_hours: int = 1) -> DataFrame:

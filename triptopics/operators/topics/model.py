@@ -63,6 +63,14 @@ class TopicModel:
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("run_id", "lam").parquet(path))
 
+    def save_docs(self, inferred: DataFrame, path: str, run_id: str, lam: float) -> None:
+        """S-07: θ and γ of every document (``infer_docs``), partitioned like β; γ = α + wordcount · θ."""
+        gamma = F.transform("theta", lambda x: F.lit(float(self.alpha)) + F.col("wordcount") * x)
+        (inferred.select("user_id", "wordcount", "theta", gamma.alias("gamma"), F.lit(run_id).alias("run_id"),
+                         F.lit(float(lam)).alias("lam"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("run_id", "lam").parquet(path))
+
     @classmethod
     def from_beta_pandas(cls, pdf: pd.DataFrame, alpha: float) -> TopicModel:
         mats, values = {}, {}

@@ -27,6 +27,9 @@ def train_users(spark, sf):
     return tr.train_test_split(users, n_train).filter(F.col("split") == "train").select("user_id")
 
 
+LONG_DOC_WORDS = 50          # the stand-in travellers make fewer trips than a two-month cohort
+
+
 @query("passenger_docs", with_views("""
 SELECT g.user_id, g.chunk, s.subtype, s.wordcount, g.o, g.d, g.t, g.chunk_words FROM (
   SELECT user_id, CAST((rn - 1) // 1000 AS INT) AS chunk, CAST(COUNT(*) AS INT) AS chunk_words,
@@ -43,6 +46,14 @@ def q_passenger_docs(spark, sf):
                     *[F.concat_ws(" ", c).alias(c) for c in ("o", "d", "t")], "chunk_words")
 
 
+@query("long_docs", with_views(f"""
+SELECT user_id, arg_min(txn_type, (ts, event_id)) AS subtype, COUNT(*) AS wordcount
+FROM trips GROUP BY 1 HAVING COUNT(*) >= {LONG_DOC_WORDS}""", **T), ("P-08", "A-13"))
+def q_long_docs(spark, sf):
+    """Documents long enough for the online learner."""
+    return dc.passenger_summary(trips(spark, sf), ORDER).filter(F.col("wordcount") >= LONG_DOC_WORDS)
+
+
 @query("doc_words", with_views("""
 SELECT user_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos,
        'O' || origin AS o, 'D' || dest AS d, 'T' || hour AS t

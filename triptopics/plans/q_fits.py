@@ -42,8 +42,7 @@ def _split_corpus(spark, t):
     users = t.select("user_id").distinct()
     n_train = int(users.count() * TRAIN_FRACTION)
     split = tr.train_test_split(users, n_train)
-    train = t.join(split.filter(F.col("split") == "train").select("user_id"), "user_id", "left_semi")
-    corpus = corpus_from_trips(t, train)       # vocabulary from the whole corpus (Q31 default)
+    corpus = corpus_from_trips(t)              # vocabulary from all documents (Q31), so no hold-out trip is lost
     sp = split.select("user_id", "split")
     tr_docs = corpus.docs.join(sp.filter(F.col("split") == "train"), "user_id", "left_semi")
     te_docs = corpus.docs.join(sp.filter(F.col("split") == "test"), "user_id", "left_semi")
@@ -129,7 +128,7 @@ def q_new_doc_infer(spark, sf):
 def q_online_lda(spark, sf):
     corpus, tr_docs, te_docs = _split_corpus(spark, trips(spark, sf))
     train = Corpus(tr_docs, corpus.stations, corpus.hours)
-    model = fit_online(train, ONLINE_CFG, batch_size=64, epochs=2, tau0=16.0, kappa=0.5,
+    model = fit_online(train, ONLINE_CFG, batch_size=64, epochs=3, tau0=16.0, kappa=0.5,
                        metric_fn=lambda m, i: _holdout_metrics(spark, m, te_docs, ONLINE_CFG))
     return model.history_frame(spark)
 

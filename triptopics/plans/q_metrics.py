@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import token_digits
+from ..functions.indexing import guarded_broadcast
 from ..operators import cluster as cl
 from ..operators import graph as gr
 from ..operators import metrics as mt
@@ -258,9 +259,9 @@ def _empirical_model(spark, sf):
         for c in range(z ** 3)]).alias("theta"))
     st_df = spark.createDataFrame([(int(s), i) for s, i in pos["O"].items()], "station int, sid int")
     hr_df = spark.createDataFrame([(int(h), i) for h, i in pos["T"].items()], "hour int, hid int")
-    ids = (tt.join(F.broadcast(st_df.withColumnRenamed("station", "origin").withColumnRenamed("sid", "o")), "origin")
-             .join(F.broadcast(st_df.withColumnRenamed("station", "dest").withColumnRenamed("sid", "d")), "dest")
-             .join(F.broadcast(hr_df.withColumnRenamed("hid", "t")), "hour"))
+    ids = (tt.join(guarded_broadcast(st_df.withColumnRenamed("station", "origin").withColumnRenamed("sid", "o"), len(pos["O"])), "origin")
+             .join(guarded_broadcast(st_df.withColumnRenamed("station", "dest").withColumnRenamed("sid", "d"), len(pos["O"])), "dest")
+             .join(guarded_broadcast(hr_df.withColumnRenamed("hid", "t"), len(pos["T"])), "hour"))
     return ids, theta, tuple(mats), st_df
 
 
@@ -291,8 +292,8 @@ def q_destination_top1(spark, sf):
     ids, theta, beta, st_df = _empirical_model(spark, sf)
     p = predict_destinations(ids, theta, beta)
     names = st_df.select(F.col("sid").alias("pred"), F.col("station").alias("pred_station"))
-    return (p.join(F.broadcast(names), "pred").select("user_id", "origin", "hour", F.col("pred_station").alias("pred"))
-            .distinct())
+    return (p.join(guarded_broadcast(names, beta[1].shape[1]), "pred")
+            .select("user_id", "origin", "hour", F.col("pred_station").alias("pred")).distinct())
 
 
 @query("destination_accuracy", with_views("""

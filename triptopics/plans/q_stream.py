@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import trips as tr
-from ..operators.topics.fit import TensorLDAConfig, init_model
+from ..operators.topics.fit import TensorLDAConfig, infer_docs, init_model
 from ..operators.topics.model import corpus_from_trips
 from ..sources.fixtures import TRIPS_SQL, trips
 from ..streaming import ops as so
@@ -79,3 +79,19 @@ def q_stream_online_lda(spark, sf):
     stream = so.used(so.chain_trips(so.read_event_stream(spark, sf)))
     path, _ = stream_online_lda(stream, model, cfg)
     return latest_beta(spark, path)
+
+
+@query("stream_online_metrics", None, ("T-02", "O-14"))
+def q_stream_online_metrics(spark, sf):
+    """The online learner with a metric after every micro-batch: the mean ELBO per document of the first travellers."""
+    cfg = TensorLDAConfig(iter_inference=10)
+    corpus = corpus_from_trips(trips(spark, sf))
+    sample = corpus.docs.join(tr.cohort(trips(spark, sf), COHORT_SIZE, COHORT_SEED), "user_id", "left_semi").checkpoint()
+
+    def score(model, batch_id):
+        r = infer_docs(sample, model, cfg).agg(F.avg("elbo")).first()
+        return [("cohort_elbo", r[0] or 0.0)]
+
+    stream = so.used(so.chain_trips(so.read_event_stream(spark, sf)))
+    _, history = stream_online_lda(stream, init_model(corpus, cfg), cfg, eval_fn=score)
+    return spark.createDataFrame(history, "batch int, name string, value double, n_docs int")

@@ -203,6 +203,19 @@ def q_od_flow_rebinned(spark, sf):
     return _iso(flow.od_flow_rebinned(trips(spark, sf), 7), "sday")
 
 
+@query("od_flow_rebinned_7h_filled", with_views(f"""
+SELECT strftime(g.sday, '%Y-%m-%d') AS sday, g.origin, g.dest, g.bin, COALESCE(f.amount, 0) AS amount
+FROM (SELECT origin, dest, CAST(sday AS DATE) AS sday, CAST(bin AS INT) AS bin
+      FROM (SELECT DISTINCT origin, dest FROM flow) p,
+           (SELECT UNNEST(GENERATE_SERIES(MIN(sday), MAX(sday), INTERVAL 1 DAY)) AS sday FROM flow) d,
+           (SELECT UNNEST([0, 1, 2]) AS bin) b) g
+LEFT JOIN flow f ON f.sday = g.sday AND f.origin = g.origin AND f.dest = g.dest AND f.bin = g.bin""", **T, flow=f"""
+SELECT CAST(ts - INTERVAL 5 HOUR AS DATE) AS sday, origin, dest, CAST({SBIN} // 7 AS INT) AS bin, COUNT(*) AS amount
+FROM trips WHERE {SBIN} < 21 GROUP BY 1, 2, 3, 4"""), ("A-04",))
+def q_od_flow_rebinned_filled(spark, sf):
+    return _iso(flow.od_flow_rebinned(trips(spark, sf), 7, zero_fill=True), "sday")
+
+
 @query("od_tensor_coo", with_views(f"""
 SELECT origin, dest, {SBIN} AS bin, COUNT(*) AS value
 FROM trips WHERE {SBIN} < 21 GROUP BY 1, 2, 3""", **T), ("A-05",))

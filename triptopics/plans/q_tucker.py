@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions.indexing import guarded_broadcast
 from ..operators import flow
 from ..operators import tucker as tk
 from ..operators.docs import station_vocab
@@ -28,8 +29,8 @@ def _tensor(spark, sf):
     n_days = (n_days - day0).days + 1
     st = spark.createDataFrame(pd.DataFrame({"station": stations.astype(np.int32),
                                              "sid": np.arange(stations.size, dtype=np.int32)}))
-    idx = (coo.join(F.broadcast(st.withColumnRenamed("station", "origin").withColumnRenamed("sid", "i0")), "origin")
-              .join(F.broadcast(st.withColumnRenamed("station", "dest").withColumnRenamed("sid", "i1")), "dest")
+    idx = (coo.join(guarded_broadcast(st.withColumnRenamed("station", "origin").withColumnRenamed("sid", "i0"), stations.size), "origin")
+              .join(guarded_broadcast(st.withColumnRenamed("station", "dest").withColumnRenamed("sid", "i1"), stations.size), "dest")
               .withColumn("i2", F.datediff("sday", F.lit(day0)))
               .withColumnRenamed("bin", "i3"))
     shape = (stations.size, stations.size, n_days, flow.SERVICE_HOURS)
@@ -77,8 +78,8 @@ def q_passenger_tucker(spark, sf):
     st = spark.createDataFrame(pd.DataFrame({"station": stations.astype(np.int32),
                                              "sid": np.arange(stations.size, dtype=np.int32)}))
     coo = (flow.user_od_tensor(t, 7)
-           .join(F.broadcast(st.withColumnRenamed("station", "origin").withColumnRenamed("sid", "i1")), "origin")
-           .join(F.broadcast(st.withColumnRenamed("station", "dest").withColumnRenamed("sid", "i2")), "dest")
+           .join(guarded_broadcast(st.withColumnRenamed("station", "origin").withColumnRenamed("sid", "i1"), stations.size), "origin")
+           .join(guarded_broadcast(st.withColumnRenamed("station", "dest").withColumnRenamed("sid", "i2"), stations.size), "dest")
            .withColumnRenamed("bin", "i3"))
     shape = (0, stations.size, stations.size, 3)
     users, model = tk.non_negative_tucker_users(coo, ["i1", "i2", "i3"], shape, USER_RANKS, USER_ITER)

@@ -27,17 +27,44 @@ def read_fare_csv(spark: SparkSession, path_glob: str, used_type: str = "USE",
     timestamp parse with impossible dates -> NULL (rows kept out, Q2), and
     the file day taken from the file name so a day folder layout prunes.
     """
-    raw = (spark.read.schema(FARE_SCHEMA).option("header", "true").csv(path_glob)
-           .withColumn("file_day", F.to_date(
-               F.regexp_extract(F.col("_metadata.file_path"), day_pattern, 1), "yyyyMMdd")))
-    used = raw.filter(F.col("TXN_TYPE_CO") == used_type).drop("TXN_TYPE_CO")
-    parsed = used.withColumn("ts", parse_day_first("TXN_DT")).filter(F.col("ts").isNotNull())
+    parsed = _used_rows(spark, path_glob, used_type, day_pattern).filter(F.col("ts").isNotNull())
     return parsed.select(
         F.col("CSC_PHY_ID").alias("user_id"), "ts", F.col("TXN_SUBTYPE_CO").alias("txn_type"),
         F.col("TRAIN_ENTRY_STN").alias("origin"), F.col("TXN_LOC").alias("dest"),
         F.hour("ts").alias("hour"), "file_day")
 
 
+def _used_rows(spark: SparkSession, path_glob: str, used_type: str, day_pattern: str) -> DataFrame:
+    raw = (spark.read.schema(FARE_SCHEMA).option("header", "true").csv(path_glob)
+           .withColumn("file_day", F.to_date(
+               F.regexp_extract(F.col("_metadata.file_path"), day_pattern, 1), "yyyyMMdd")))
+    used = raw.filter(F.col("TXN_TYPE_CO") == used_type).drop("TXN_TYPE_CO")
+    return used.withColumn("ts", parse_day_first("TXN_DT"))
+
+
+def bad_timestamps(spark: SparkSession, path_glob: str, used_type: str = "USE",
+                   day_pattern: str = r"(\d{8})\.csv$") -> DataFrame:
+    """Rows per file day, and how many of them ``read_fare_csv`` leaves out for a bad timestamp (Q2)."""
+    return _used_rows(spark, path_glob, used_type, day_pattern).groupBy("file_day").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("ts").isNull()).alias("dropped"))
+
+
+DOCS_SCHEMA = ("user_id long, chunk int, o array<string>, d array<string>, t array<string>, chunk_words int, "
+               "subtype string, wordcount long")
+
+
+def write_docs(docs: DataFrame, path: str) -> None:
+    """Passenger documents (``operators.docs.passenger_docs``) as a table (S-03)."""
+    fields = [c.split()[0] for c in DOCS_SCHEMA.split(", ")]
+    docs.select(*fields).write.mode("overwrite").parquet(path)
+
+
+def read_docs(spark: SparkSession, path: str, min_words: int = 0) -> DataFrame:
+    """Stored passenger documents (S-03); ``min_words`` reaches the scan as a filter (P-08)."""
+    df = spark.read.schema(DOCS_SCHEMA).parquet(path)
+    return df.filter(F.col("wordcount") >= min_words) if min_words else df
+
+
 def write_fare_days(trips: DataFrame, root: str) -> None:
     """Trips laid out one folder per service day (``day=YYYY-MM-DD``), parquet."""
     trips.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(root)

@@ -15,19 +15,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
+from ..functions.indexing import guarded_broadcast
 from ..operators.topics.fit import TensorLDAConfig, online_update
 from ..operators.topics.model import TopicModel
 from .ops import scratch_path
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Committed β versions (partition values ``v`` found under ``path``)."""
-    try:
-        return sorted(int(r[0]) for r in spark.read.parquet(path).select("v").distinct().collect())
-    except AnalysisException:
-        return []
+    """Committed β versions: folders ``v=<batch id>`` under ``path`` whose write finished (``_SUCCESS``)."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")
+    fs = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(int(f.getPath().getParent().getName().removeprefix("v=")) for f in fs.globStatus(done) or [])
 
 
 def stream_online_lda(trips_stream: DataFrame, model: TopicModel, cfg: TensorLDAConfig,
@@ -45,14 +44,14 @@ def stream_online_lda(trips_stream: DataFrame, model: TopicModel, cfg: TensorLDA
                                              "id": np.arange(model.stations.size, dtype=np.int32)}))
     hr = spark.createDataFrame(pd.DataFrame({"value": model.hours.astype(np.int32),
                                              "id": np.arange(model.hours.size, dtype=np.int32)}))
-    state = {"model": model}
+    state = {"model": model, "version": -1}
     history: list = []
 
     def load(version: int) -> TopicModel:
         pdf = spark.read.parquet(f"{path}/v={version}").toPandas()
         m = TopicModel.from_beta_pandas(pdf, model.alpha)
         m.stations, m.hours = model.stations, model.hours
-        m.steps = version + 1
+        m.steps, m.elbo_old = int(pdf["steps"].iloc[0]), float(pdf["elbo_old"].iloc[0])
         return m
 
     def process(batch_df: DataFrame, batch_id: int) -> None:
@@ -61,18 +60,20 @@ def stream_online_lda(trips_stream: DataFrame, model: TopicModel, cfg: TensorLDA
             # replay: the model already absorbed this batch; still consume every partition,
             # so the upstream stateful operator commits its state for this batch
             batch_df.write.format("noop").mode("overwrite").save()
-            state["model"] = load(batch_id)
+            state.update(model=load(batch_id), version=batch_id)
             return
-        if done and state["model"].steps <= max(done):
-            state["model"] = load(max(done))
+        if done and state["version"] < max(done):
+            state["model"] = load(max(done))          # a restart goes on from the last committed version
         tri = batch_df.groupBy("user_id", "origin", "dest", "hour").agg(F.count(F.lit(1)).alias("cnt"))
-        docs = (tri.join(F.broadcast(st.withColumnRenamed("value", "origin").withColumnRenamed("id", "o")), "origin")
-                   .join(F.broadcast(st.withColumnRenamed("value", "dest").withColumnRenamed("id", "d")), "dest")
-                   .join(F.broadcast(hr.withColumnRenamed("value", "hour").withColumnRenamed("id", "t")), "hour")
+        docs = (tri.join(guarded_broadcast(st.withColumnRenamed("value", "origin").withColumnRenamed("id", "o"), model.stations.size), "origin")
+                   .join(guarded_broadcast(st.withColumnRenamed("value", "dest").withColumnRenamed("id", "d"), model.stations.size), "dest")
+                   .join(guarded_broadcast(hr.withColumnRenamed("value", "hour").withColumnRenamed("id", "t"), model.hours.size), "hour")
                    .select("user_id", "o", "d", "t", "cnt"))
         m, ll, n_docs = online_update(state["model"], docs, cfg, tau0, kappa)
-        m.beta_frame(spark).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
-        state["model"] = m
+        # steps and the ELBO baseline go with β: an empty batch absorbs nothing, a restart forgets nothing
+        (m.beta_frame(spark).withColumn("steps", F.lit(m.steps)).withColumn("elbo_old", F.lit(float(m.elbo_old)))
+         .write.mode("overwrite").parquet(f"{path}/v={batch_id}"))
+        state.update(model=m, version=batch_id)
         history.append((int(batch_id), "batch_elbo", float(ll), int(n_docs)))
         if eval_fn is not None and batch_id % eval_every == eval_every - 1:
             for name, value in eval_fn(m, batch_id):
@@ -87,4 +88,4 @@ def stream_online_lda(trips_stream: DataFrame, model: TopicModel, cfg: TensorLDA
 
 def latest_beta(spark: SparkSession, path: str) -> DataFrame | None:
     v = _versions(spark, path)
-    return spark.read.parquet(os.path.join(path, f"v={v[-1]}")) if v else None
+    return spark.read.parquet(os.path.join(path, f"v={v[-1]}")).drop("steps", "elbo_old") if v else None

@@ -4,9 +4,9 @@
   state per traveller is one row (its last event), kept by
   ``applyInPandasWithState``; events of a traveller are assumed to
   arrive in time order (a file or partition per day, as the fare files).
-* ``od_flow_stream``: hourly OD flow with an event-time watermark; state
-  for hours older than the watermark is dropped, late rows beyond it are
-  ignored (T-03).
+* ``od_flow_stream``: hourly OD flow (T-03).  The watermark given to
+  ``chain_trips`` does not pass through the stateful chaining, so it evicts
+  no hour of the flow and drops no late row; state grows with the hours.
 * ``cohort_stream``: stream-static left-semi join with the cohort (T-04).
 * ``doc_stream``: growing passenger documents: per traveller the word
   count and subtype, updated as trips arrive (T-05).
@@ -60,6 +60,11 @@ def _ordered(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pdf.sort_values(["tsu", "event_id"], kind="stable").reset_index(drop=True)
 
 
+def _whole(value) -> int | None:
+    """A station as it goes into the state: null where the event has none."""
+    return None if pd.isna(value) else int(value)
+
+
 def _pairs(key, pdf, state):
     """Previous event (from state) + this batch, in time order -> consecutive pairs."""
     if state.exists:
@@ -67,16 +72,18 @@ def _pairs(key, pdf, state):
         prev = pd.DataFrame({"tsu": [tsu], "event_id": [eid], "ts": [ts], "txn_type": [typ], "k": [k], "hour": [hr]})
         pdf = pd.concat([prev, pdf[["tsu", "event_id", "ts", "txn_type", "k", "hour"]]], ignore_index=True)
     last = pdf.iloc[-1]
-    state.update((int(last["tsu"]), int(last["event_id"]), last["ts"], last["txn_type"], int(last["k"]),
+    state.update((int(last["tsu"]), int(last["event_id"]), last["ts"], last["txn_type"], _whole(last["k"]),
                   int(last["hour"])))
-    head = pdf.iloc[:-1]
+    dest = pdf["k"].iloc[1:].astype("Int32").to_numpy()
+    known = ~pd.isna(dest)                      # as in the batch form, a trip ends at a known station
+    head, dest = pdf.iloc[:-1][known], dest[known]
     return pd.DataFrame({
         "user_id": np.full(len(head), key[0], dtype=np.int64),
         "event_id": head["event_id"].to_numpy(np.int64),
         "ts": head["ts"].to_numpy(),
         "txn_type": head["txn_type"].to_numpy(),
-        "origin": head["k"].to_numpy(np.int32),
-        "dest": pdf["k"].iloc[1:].to_numpy(np.int32),
+        "origin": head["k"].astype("Int32").to_numpy(),
+        "dest": dest.astype(np.int32),
         "hour": head["hour"].to_numpy(np.int32)})
 
 
@@ -148,14 +155,14 @@ def doc_stream(events: DataFrame) -> DataFrame:
             pdf = pd.concat([prev, pdf[["tsu", "event_id", "ts", "txn_type", "k"]]], ignore_index=True)
         else:
             wc, ftsu, fid, sub = 0, None, None, None
-        trips = pdf.iloc[:-1]
+        trips = pdf.iloc[:-1][pdf["k"].iloc[1:].notna().to_numpy()]
         used_rows = trips[trips["txn_type"] != "error"]
         if len(used_rows) and ftsu is None:
             first = used_rows.iloc[0]
             ftsu, fid, sub = int(first["tsu"]), int(first["event_id"]), first["txn_type"]
         wc = int(wc) + len(used_rows)
         last = pdf.iloc[-1]
-        state.update((int(last["tsu"]), int(last["event_id"]), last["ts"], last["txn_type"], int(last["k"]),
+        state.update((int(last["tsu"]), int(last["event_id"]), last["ts"], last["txn_type"], _whole(last["k"]),
                       wc, ftsu, fid, sub))
         if wc > 0:
             yield pd.DataFrame({"user_id": [key[0]], "subtype": [sub], "wordcount": [wc]})
