@@ -2,16 +2,16 @@
 
 A document's set holds its distinct 5-word shingles (lower-cased; with fewer words the whole
 sequence is one shingle).  Equal sets are collapsed first, so copies cost one row.  The MinHash
-samples of a set are used twice: groups of ``ROWS`` samples name the buckets of candidates, and all
+samples of a set are used twice: the first ``BANDS`` groups of ``ROWS`` name its buckets, and all
 samples are folded into an odd sketch, a bitmap of parities.  The XOR of two sketches has few bits
 exactly when the sets are similar, so candidate pairs with too many are dropped before their full
 sets are compared.
 
-No bucket is expanded into all pairs.  Each member is first compared with the smallest id of its
-bucket; the confirmed links join most of a group into one component.  Only where members of a
-bucket lie in several components, the members outside its largest one are compared with
-the members of the others (sketches and set sizes first), so a link that the first comparison
-cannot see is found here.
+No bucket is expanded into all pairs.  Each member is first compared with its bucket's centre, the
+member that shares the most buckets with others; the confirmed links join most of a group into one
+component.  Where members of a bucket then lie in several components, those outside the largest one
+are compared with the members of the others (sketches and set sizes first, and each pair in one of
+its common buckets only), so a link that the comparisons with centres cannot see is found here.
 
 Null and empty texts (and texts of white space) have empty sets and are linked with nothing;
 repeated rows of one doc_id stand for the same document and get a row each; a null doc_id is linked
@@ -35,10 +35,10 @@ from .components import components
 WIDTH = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4
-SAMPLES = BANDS * ROWS
-SKETCH_BITS = 512
-#: Of 512 bits, sets of similarity 0.75 differ in 57 on average, with a standard deviation of about 8; 108 is six of these more.
-SKETCH_MAX = 108
+SAMPLES = 1024
+SKETCH_BITS = 4096
+#: Of 4096 bits, sets of similarity 0.75 differ in 453 on average, with a standard deviation of about 25; 564 is 4.5 of these more.
+SKETCH_MAX = 564
 
 _rng = np.random.default_rng(75)
 _XOR = _rng.integers(0, 2 ** 32, SAMPLES, dtype=np.uint32)
@@ -82,7 +82,7 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
-    s = samples.astype(U).reshape(len(samples), BANDS, ROWS)
+    s = samples[:, :BANDS * ROWS].astype(U).reshape(len(samples), BANDS, ROWS)
     return mix(mix((s * _BAND.T[None]).sum(axis=2, dtype=U)) + np.arange(1, BANDS + 1, dtype=U)).view(np.int64)
 
 
@@ -148,21 +148,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                    .dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "odd"), "near-reps")
 
     entries = reps.select("rep", F.explode("bands").alias("key"))
-    shared = written(entries.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near-buckets")
-    members = written(entries.join(shared, "key").select("key", "rep", "centre"), "near-members")
-    brief = reps.select("rep", "n_shingles", "odd")
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        a = brief.alias("x").withColumnRenamed("rep", "a").alias("x")
-        b = brief.alias("y").withColumnRenamed("rep", "b").alias("y")
-        return pairs.alias("p").join(a, "a").join(b, "b").where(_alike("x", "y")).select("a", "b")
-
-    star = members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    star = written(plausible(star), "near-star")
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    members = written(entries.join(shared, "key").select("key", "rep"), "near-members")
+    star = written(_plausible(_with_centres(members), reps), "near-star")
     links = written(confirmed(docs, star), "near-links")
-
-    crossing = written(_crossing(members, links, brief), "near-crossing")
-    more = written(confirmed(docs, crossing.join(star, ["a", "b"], "left_anti")), "near-more")
+    crossing = _crossing(_open_rows(members, links), reps).join(star, ["a", "b"], "left_anti")
+    more = written(confirmed(docs, written(crossing, "near-crossing")), "near-more")
     joined = components(links.union(more))
 
     group = sig.alias("d").join(firsts, ["set0", "set1", "n_shingles"], "left")
@@ -172,19 +163,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _crossing(members: DataFrame, links: DataFrame, brief: DataFrame) -> DataFrame:
-    """Plausible pairs (a < b) within a bucket whose members lie in different components."""
+def _open_rows(members: DataFrame, links: DataFrame) -> DataFrame:
+    """key, rep, component, largest: the members of every bucket that holds more than one component so far."""
     label = components(links).withColumnRenamed("id", "rep")
     placed = written(members.join(label, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "near-placed")
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    open_rows = placed.join(mixed.select("key", "largest"), "key").join(brief, "rep")
-    open_rows = written(open_rows, "near-open")
-    x, y = open_rows.where("component <> largest").alias("x"), open_rows.alias("y")
+    return written(placed.join(mixed.select("key", "largest"), "key"), "near-open")
+
+
+def _ordered(x: str, y: str) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def _with_centres(members: DataFrame) -> DataFrame:
+    """Pairs (a < b) of each member with its bucket's centre: the member of the most buckets, the smallest of several."""
+    typical = members.join(members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")), "rep")
+    centres = typical.groupBy("key").agg(F.max_by("rep", F.struct("n", -F.col("rep"))).alias("centre"))
+    return members.join(centres, "key").where("rep <> centre").select(*_ordered("rep", "centre")).distinct()
+
+
+def _plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs whose sketches and sizes allow the similarity."""
+    x, y = (reps.select(F.col("rep").alias(k), "n_shingles", "odd").alias(t) for k, t in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").where(_alike("x", "y")).select("a", "b")
+
+
+def _crossing(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Plausible pairs (a < b) within a bucket whose members lie in different components."""
+    rows = written(rows.join(reps, "rep"), "near-open-sketch")
+    x, y = rows.where("component <> largest").alias("x"), rows.alias("y")
     differ = (F.col("x.component") != F.col("y.component")) & (
         (F.col("y.component") == F.col("y.largest")) | (F.col("x.rep") < F.col("y.rep")))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & differ & _alike("x", "y"))
-    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    here = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & differ & _alike("x", "y") & here).select(*_ordered("x.rep", "y.rep"))
 
 
 def keep_first_of_group(docs: DataFrame) -> DataFrame:
