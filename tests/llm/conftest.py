@@ -2,12 +2,12 @@ import random
 
 import pytest
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, t string, w string, rep string, key string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, t string, w string, rep string, key string, `a.b` string"
 
 
 def make_docs(spark, rows):
     """documents with extra columns whose names the operators use themselves."""
-    full = [(d, t, lang, src, None if t is None else len(t), "x", "y", "z", "k") for d, t, lang, src in rows]
+    full = [(d, t, lang, src, None if t is None else len(t), "x", "y", "z", "k", "d") for d, t, lang, src in rows]
     return spark.createDataFrame(full, DOCS)
 
 

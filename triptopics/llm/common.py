@@ -32,6 +32,13 @@ def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``ids``; a null doc_id stays, and so do all columns in their order."""
+    found = hinted(written(ids.where(F.col("doc_id").isNotNull()).select("doc_id").distinct(), name))
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    return docs.join(found, "doc_id", "left_anti").select(columns)
+
+
 # --- Arrow views -----------------------------------------------------------------------------
 
 def text_view(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

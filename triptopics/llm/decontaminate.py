@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hinted, written
+from .common import hinted, without, written
 
 WINDOW = 13
 SUBSTITUTIONS = 3
@@ -98,5 +98,4 @@ def lossless(masks: tuple[tuple[int, ...], ...] = MASKS, window: int = WINDOW, s
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated documents."""
-    found = written(contaminated(docs, benchmark).select("doc_id").distinct(), "bench-found")
-    return docs.join(hinted(found), "doc_id", "left_anti").select(docs.columns)
+    return without(docs, contaminated(docs, benchmark), "bench-found")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, hinted, mix, row_blocks, shingles, text_view, word_hashes, written
+from .common import U, hinted, mix, row_blocks, shingles, text_view, without, word_hashes, written
 from .components import components
 
 WIDTH = 5
@@ -201,5 +201,4 @@ def _crossing(rows: DataFrame, reps: DataFrame) -> DataFrame:
 
 def keep_first_of_group(docs: DataFrame) -> DataFrame:
     """``docs`` without near copies: the smallest doc_id of each component stays (rows of a null doc_id stay)."""
-    dropped = written(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "near-dropped")
-    return docs.join(hinted(dropped), "doc_id", "left_anti").select(docs.columns)
+    return without(docs, near_duplicates(docs).where(~F.col("kept")), "near-dropped")

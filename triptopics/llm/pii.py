@@ -303,4 +303,4 @@ def redacted(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
             out.iloc[k] = redact(texts.iloc[k], {x: base[x] + more[x] for x in KINDS})
         return out
 
-    return docs.withColumn("text", clean(F.col("text"))).select(docs.columns)
+    return docs.withColumn("text", clean(F.col("text")))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hinted, written
+from .common import hinted, without, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -93,5 +93,4 @@ def quality_verdicts(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFr
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """``docs`` without the rejected documents (rows of one doc_id stand or fall together; a null doc_id stays)."""
-    rejected = written(quality_verdicts(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "quality-rejected")
-    return docs.join(hinted(rejected), "doc_id", "left_anti").select(docs.columns)
+    return without(docs, quality_verdicts(docs).where(~F.col("kept")), "quality-rejected")
