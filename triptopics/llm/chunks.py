@@ -2,7 +2,8 @@
 
 A gear rolling hash runs over the UTF-8 bytes of each text; a chunk ends where the hash is the least
 within ``REACH`` bytes on either side, so boundaries depend on nearby content alone and an insertion
-only moves the boundaries next to it.  Stretches without such a place are cut every ``MAX_BYTES``.
+only moves the boundaries next to it.  Long stretches without such a place (periodic ones) are cut
+where the hash is the least of the whole stretch.
 Chunks are deduplicated by digest: a chunk is a repeat if an equal one comes earlier (in a smaller
 doc_id, or before it in the same text).  Single small chunks agree by chance, so only runs of
 adjoining repeats of at least ``MIN_RUN_BYTES``, or of a whole text, are removed.
@@ -25,7 +26,8 @@ from .common import prefix_hash, row_blocks, span_hash, text_view
 
 REACH = 16
 GEAR_BYTES = 32
-MAX_BYTES = 1024
+MAX_BYTES = 256
+PERIOD_BYTES = 64
 MIN_RUN_BYTES = 150
 
 _GEAR = np.append(np.random.default_rng(32).integers(1, 2 ** 32, 256, dtype=np.uint32), np.uint32(0))
@@ -53,6 +55,19 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[:len(m) - (width - k)], m[width - k:]) if k < width else m
 
 
+def _cut_long(h: np.ndarray, begin: int, start: int, end: int) -> np.ndarray:
+    """Ends of the chunks within a stretch without boundaries: places of its least hash, ``PERIOD_BYTES`` apart
+    (in a periodic stretch this gives equal chunks), and every ``MAX_BYTES`` where there is none."""
+    part = h[begin + start:begin + end]
+    out, last = [], start
+    for at in (np.flatnonzero(part == part[GEAR_BYTES + REACH:].min()) + start + 1).tolist():
+        if at - last >= PERIOD_BYTES and at < end:
+            out += range(last + MAX_BYTES, at, MAX_BYTES)
+            out.append(at)
+            last = at
+    return np.array([*out, *range(last + MAX_BYTES, end, MAX_BYTES)], np.int64)
+
+
 def chunk_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """row, start, end of every chunk of the rows ``off`` delimits in ``data``; start and end count from the row's begin."""
     size = np.diff(off)
@@ -76,12 +91,14 @@ def chunk_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     order = np.lexsort((ends, rows))
     rows, ends = rows[order], ends[order]
     starts = np.where(np.append(True, rows[1:] != rows[:-1])[:len(rows)], 0, np.append(0, ends[:-1])[:len(rows)])
-    parts = -(-(ends - starts) // MAX_BYTES)
-    if len(parts) and parts.max() > 1:
-        k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        rows, first, last = (np.repeat(x, parts) for x in (rows, starts, ends))
-        starts = first + k * MAX_BYTES
-        ends = np.minimum(starts + MAX_BYTES, last)
+    long = np.flatnonzero(ends - starts > MAX_BYTES)
+    if len(long):
+        more = [_cut_long(h, begin[rows[k]], starts[k], ends[k]) for k in long]
+        rows = np.concatenate([rows, np.repeat(rows[long], [len(m) for m in more])])
+        ends = np.concatenate([ends, *more])
+        order = np.lexsort((ends, rows))
+        rows, ends = rows[order], ends[order]
+        starts = np.where(np.append(True, rows[1:] != rows[:-1]), 0, np.append(0, ends[:-1]))
     return rows, starts, ends
 
 
