@@ -18,7 +18,7 @@ HEADLINE = [
     "trips_clean", "od_flow_hourly", "od_day_hour_tensor", "user_od_tensor", "home_work_users",
     "ranked_trips", "passenger_docs", "vocab", "tfidf", "topic_coherence", "perplexity",
     "destination_accuracy", "graph_step", "js_to_centroid", "category_utility",
-    "tensor_lda_fit", "stream_od_flow",
+    "tensor_lda_fit", "stream_od_flow", "tucker_factors", "flat_lda_topics", "stream_online_lda",
 ]
 
 
@@ -35,6 +35,7 @@ def main() -> None:
     # untimed warm-up: JVM start, code generation, Python workers
     spark.range(200_000).selectExpr("id % 97 AS k").groupBy("k").count().write.format("noop").mode(
         "overwrite").save()
+    spark.range(1_000).mapInPandas(lambda batches: batches, "id long").write.format("noop").mode("overwrite").save()
     qs = plans.queries()
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q] or HEADLINE
     times: dict[str, float] = {}
