@@ -97,7 +97,7 @@ def test_held_out_documents(spark):
 def test_sparse_sites_follow_the_corpus(spark):
     rows = [(f"s{k % 4}", "en", 1.0 if k % 10 else 0.0) for k in range(400)] + [("tiny", "en", 0.0), (None, None, 1.0)] + [("bad", "en", 0.0)] * 200
     got = {r.source: r for r in site_quality.site_posteriors(spark.createDataFrame(rows, "source string, lang string, good double"), 0.5).collect()}
-    assert got["bad"].site_rate < 0.1 < 0.2 < got["tiny"].site_rate and got["s0"].site_rate > 0.8
+    assert got["bad"].site_rate < 0.1 < 0.2 < got["tiny"].site_rate and got["s0"].site_rate > 0.75
     assert all(0 <= r.path_rate <= 1 for r in got.values())
 
 
