@@ -126,7 +126,7 @@ CONTEXT = "gram long, doc_id long, place long, before binary, after binary"
 def contexts(docs: DataFrame, open_places: DataFrame) -> DataFrame:
     """``CONTEXT``: the REACH bytes before each anchor, reversed, and the LENGTH bytes from it (zeros beyond the text)."""
     listed = written(open_places.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "place")).alias("open")), "suffix-listed")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(_bounded_by(listed, "open"), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(listed, "doc_id")
 
     def run(batches):
         for batch in batches:
