@@ -84,6 +84,34 @@ def test_licenses(spark, edge_docs, no_docs):
     assert licenses.licenses(no_docs).count() == 0
 
 
+def test_wrapped_and_embedded_notices(spark):
+    """Notices wrapped over lines of a longer text or standing among other words, against every window of words."""
+    prose = "".join(f"note{k} of the page{k} stands here\n" for k in range(40))
+    bsd = "Redistribution and use in source and binary forms, with or without modification,\nare permitted provided that the following conditions are met:\n"
+    gpl = ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+           "the Free Software Foundation.\n")
+    inc = "Copyright 2020 Example Inc. All rights reserved."
+    mit = "This page is released under the MIT License and may be shared."
+    rows = [(1, prose + bsd + prose), (2, prose + gpl + prose), (3, f"{prose}{inc}\n{prose}"), (4, prose + mit), (5, prose), (6, mit),
+            (7, f"{prose}{inc}\nAll rights reserved.\n{prose}{inc} {inc}"), (8, prose + bsd.replace("with or without", "with and without") + prose + gpl)]
+
+    def slow(text):
+        words, out = re.findall(r"[^\W_]+", text.lower()), {}
+        b = [f"{x} {y}" for x, y in zip(words, words[1:], strict=False)]
+        for name, grams in licenses.template_bigrams().items():
+            sizes = [2 * len(g & set(grams)) / (len(g) + len(grams)) for i in range(len(b)) for n in range(1, 2 * len(grams)) if (g := set(b[i:i + n]))]
+            if max(sizes) >= licenses.DICE_PERCENT / 100:
+                out[name] = max(sizes)
+        return out
+
+    got = {(r.doc_id, r.license): r for r in licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {(d, name): x for d, t in rows for name, x in slow(t).items()}
+    assert {k: round(r.dice, 9) for k, r in got.items()} == {k: round(x, 9) for k, x in want.items()}
+    assert {k[0] for k in got} == {1, 2, 3, 4, 6, 7, 8}
+    assert got[1, "BSD"].first_unit == 41 and got[2, "GPL-notice"].n_units == 1 and got[3, "ARR"].first_unit == 41
+    assert (got[7, "ARR"].n_units, got[7, "ARR"].first_unit) == (4, 41)
+
+
 # --- site quality ----------------------------------------------------------------------------
 
 def test_held_out_documents(spark):
