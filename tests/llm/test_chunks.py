@@ -69,3 +69,17 @@ def test_passages_are_found_and_clean_texts_left(spark, no_docs):
             assert r.n_removed > 0.5 * len(passage)
     assert got[200].n_removed == len(texts[200])
     assert chunks.repeated_passages(no_docs).count() == 0
+
+
+def test_repeated_rows_lose_the_same_passage(spark):
+    """A row that stands twice, or beside another text of its doc_id, loses the run that it loses alone."""
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    passage = prose(70)
+    row, other = (7, prose(20) + " " + passage + " " + prose(20)), (7, prose(90))
+    first = (1, prose(30) + " " + passage + " " + prose(30))
+    spans = lambda rows: [(r.doc_id, r.n_repeats, r.n_removed, r.spans) for r in chunks.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    alone = spans([first, row])
+    assert len(alone) == 1 and alone[0][2] > 0.5 * len(passage)
+    assert spans([first, row, row]) == spans([first, row, row, row]) == spans([first, row, other, other]) == alone
+    assert sorted(r[0] for r in spans([first, first[:1] + ("x",), (9, first[1]), (9, first[1])])) == [9]

@@ -9,8 +9,9 @@ doc_id, or before it in the same text).  Single small chunks agree by chance, so
 adjoining repeats of at least ``MIN_RUN_BYTES``, or of a whole text, are removed.
 
 Null and empty texts have no chunks; rows without a doc_id come after all others and are not
-reported (they cannot be named); of rows that repeat a doc_id none is earlier than the other; an
-empty table gives an empty result; extra columns are ignored.
+reported (they cannot be named); of rows that repeat a doc_id none is earlier than the other, those of
+equal text are reported as one and those of other text each for itself; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_hash, row_blocks, span_hash, text_view
+from .common import merged, prefix_hash, row_blocks, span_hash, text_view
 
 REACH = 16
 GEAR_BYTES = 32
@@ -103,19 +104,22 @@ def chunk_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def chunk_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """digest, doc_id, place (start, length and two flags in one long) of every chunk."""
+    """digest, doc_id, version (hash of the row's text), place (start, length and two flags in one long) of every chunk."""
     data, off = text_view(batch.column("text"))
     ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
     for i, j in row_blocks(off):
         row, start, end = chunk_bounds(data, off[i:j + 1])
         base = (off[i:j] - off[i])[row]
-        digest = span_hash(prefix_hash(data[off[i]:off[j]]), base + start, base + end)
+        prefix = prefix_hash(data[off[i]:off[j]])
+        digest = span_hash(prefix, base + start, base + end)
+        version = span_hash(prefix, off[i:j] - off[i], off[i + 1:j + 1] - off[i]).view(np.int64)
         last = end == np.diff(off[i:j + 1])[row]
         order = np.lexsort((start, digest, row))
         again = np.zeros(len(row), bool)
         again[order[1:]] = (row[order[1:]] == row[order[:-1]]) & (digest[order[1:]] == digest[order[:-1]])
         place = (start << 13) | ((end - start) << 2) | (last << 1) | again
-        yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(ids[i:j][row]), pa.array(place)], names=["digest", "doc_id", "place"])
+        yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(ids[i:j][row]), pa.array(version[row]), pa.array(place)],
+                                         names=["digest", "doc_id", "version", "place"])
 
 
 def chunked(docs: DataFrame) -> DataFrame:
@@ -124,17 +128,17 @@ def chunked(docs: DataFrame) -> DataFrame:
             yield from chunk_rows(batch)
 
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias("doc_id"), F.col("text").cast("string")).mapInArrow(
-        run, "digest long, doc_id long, place long")
+        run, "digest long, doc_id long, version long, place long")
 
 
 def repeated_runs(place: np.ndarray, min_run: int = MIN_RUN_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of the removed runs of one text, from the places of its repeated chunks."""
-    place = np.sort(place)
+    """Start and end of the removed runs of one text, from the places of its repeated chunks (a place may
+    come several times)."""
+    place = np.unique(place)
     start, size = place >> 13, (place >> 2) & 0x7FF
-    end = start + size
-    new = np.append(True, start[1:] != end[:-1])[:len(start)]
-    first, final = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(start)) - 1
-    a, b = start[first], end[final]
+    run = merged(start, start + size)
+    a, b = run[::2], run[1::2]
+    final = np.searchsorted(start, b) - 1
     whole = (a == 0) & ((place[final] >> 1) & 1 == 1)
     keep = (b - a >= min_run) | whole
     return a[keep], b[keep]
@@ -142,11 +146,11 @@ def repeated_runs(place: np.ndarray, min_run: int = MIN_RUN_BYTES) -> tuple[np.n
 
 def repeated_passages(docs: DataFrame, min_run: int = MIN_RUN_BYTES) -> DataFrame:
     """doc_id, n_repeats (repeated chunks), n_removed (bytes), n_spans and spans ("start:end" in bytes, comma-joined)
-    of every document with a removed run."""
+    of every document with a removed run (of each text, if rows of a doc_id differ)."""
     rows = chunked(docs)
     shared = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first_doc")
     repeats = rows.join(shared, "digest").where((F.col("first_doc") < F.col("doc_id")) | (F.col("place").bitwiseAND(F.lit(1)) == 1))
-    per_doc = repeats.where(F.col("doc_id") != _LAST_ID).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    per_doc = repeats.where(F.col("doc_id") != _LAST_ID).groupBy("doc_id", "version").agg(F.collect_set("place").alias("places"))
 
     def run(batches):
         for batch in batches:

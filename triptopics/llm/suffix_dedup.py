@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import _least
-from .common import U, mix, powers, prefix_hash, row_blocks, span_hash, text_view, written
+from .common import U, merged, mix, powers, prefix_hash, row_blocks, span_hash, text_view, written
 from .suffix_sort import deep_shallow_sort, neighbour_lcp
 
 LENGTH = 100
@@ -279,15 +279,6 @@ def removed_runs(docs: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "doc_id long, runs array<long>")
 
 
-def merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Union of the intervals as maximal runs: start, end, start, end, ..."""
-    order = np.argsort(start, kind="stable")
-    start, reach = start[order], np.maximum.accumulate(end[order])
-    new = np.append(True, start[1:] > reach[:-1])[:len(start)]
-    first = np.flatnonzero(new)
-    return np.stack([start[first], reach[np.append(first[1:], len(start)) - 1]], axis=1).ravel()
-
-
 def kept_bytes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     runs = written(removed_runs(docs), "suffix-runs")
