@@ -83,3 +83,26 @@ def test_repeated_rows_lose_the_same_passage(spark):
     assert len(alone) == 1 and alone[0][2] > 0.5 * len(passage)
     assert spans([first, row, row]) == spans([first, row, row, row]) == spans([first, row, other, other]) == alone
     assert sorted(r[0] for r in spans([first, first[:1] + ("x",), (9, first[1]), (9, first[1])])) == [9]
+
+
+def test_passages_of_51_short_words_are_found_whole(spark):
+    """Passages of 235 to 300 bytes whose whole chunks alone may stay below the length; every one is removed to its ends."""
+    rng = random.Random(6)
+    prose = lambda n, most: " ".join("".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(3, most))) for _ in range(n))
+    rows, want, old = [], {}, 0
+    for k in range(400):
+        passage = prose(51, 5)
+        rows.append((k, f"{prose(40, 9)} {passage} {prose(40, 9)}"))
+        before = prose(40, 9) + " "
+        rows.append((1000 + k, f"{before}{passage} {prose(40, 9)}"))
+        want[1000 + k] = (len(before), len(before) + len(passage))
+        _, s0, e0 = bounds(rows[-2][1].encode())
+        _, s1, e1 = bounds(rows[-1][1].encode())
+        earlier = {rows[-2][1][x:y] for x, y in zip(s0, e0, strict=True)}
+        old += sum(y - x for x, y in zip(s1, e1, strict=True) if rows[-1][1][x:y] in earlier) < chunks.MIN_RUN_BYTES
+    assert old > 0                                        # whole chunks alone lose some
+    got = {r.doc_id: [tuple(map(int, x.split(":"))) for x in r.spans.split(",")] for r in
+           chunks.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert set(got) == set(want)
+    for d, (a, b) in want.items():
+        assert len(got[d]) == 1 and got[d][0][0] <= a and b <= got[d][0][1] and got[d][0][1] - got[d][0][0] <= b - a + 8
