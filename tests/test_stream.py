@@ -89,3 +89,28 @@ def test_learner_counts_only_batches_with_trips_and_resumes(spark):
     path, history = stream_online_lda(so.used(so.chain_trips(stream)), model, cfg)
     saved = spark.read.parquet(path).groupBy("v").agg(F.max("steps").alias("steps")).orderBy("v").collect()
     assert [r.steps for r in saved][:2] == [0, 1]            # a first batch of single events has no trip
+
+
+def test_online_metrics_score_all_held_out_travellers(spark, monkeypatch):
+    """Every test traveller is scored after each micro-batch, and none of them is in the stream."""
+    from triptopics.plans import q_stream
+    from triptopics.plans.q_fits import TRAIN_FRACTION
+    from triptopics.sources.fixtures import trips
+
+    seen, score = [], q_stream._holdout_metrics
+
+    def spy(session, model, docs, cfg):
+        seen.append({r.user_id for r in docs.select("user_id").distinct().collect()})
+        return score(session, model, docs, cfg)
+
+    monkeypatch.setattr(q_stream, "_holdout_metrics", spy)
+    rows = q_stream.q_stream_online_metrics(spark, SF_SMALL).collect()
+    users = sorted(r.user_id for r in trips(spark, SF_SMALL).select("user_id").distinct().collect())
+    n_train = int(len(users) * TRAIN_FRACTION)
+    assert seen and all(s == set(users[n_train:]) for s in seen)
+    n_docs = {r.batch: r.n_docs for r in rows}
+    assert len(seen) == len(n_docs) and 0 < max(n_docs.values()) <= n_train
+    for b in n_docs:
+        got = {r.name: r.value for r in rows if r.batch == b}
+        assert set(got) == {"batch_elbo", "holdout_elbo", "perplexity_O", "perplexity_D", "perplexity_T"}
+        assert got["holdout_elbo"] < 0 and all(v > 1 for k, v in got.items() if k.startswith("perplexity"))

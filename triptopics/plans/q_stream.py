@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import trips as tr
-from ..operators.topics.fit import TensorLDAConfig, infer_docs, init_model
+from ..operators.topics.fit import TensorLDAConfig, init_model
 from ..operators.topics.model import corpus_from_trips
 from ..sources.fixtures import TRIPS_SQL, trips
 from ..streaming import ops as so
 from ..streaming.online import latest_beta, stream_online_lda
 from .catalog import query, with_views
+from .q_fits import _holdout_metrics, _split_corpus
 from .q_trips import COHORT_SEED, COHORT_SIZE, COHORT_SQL
 
 T = {"trips": TRIPS_SQL}
@@ -83,15 +84,13 @@ def q_stream_online_lda(spark, sf):
 
 @query("stream_online_metrics", None, ("T-02", "O-14"))
 def q_stream_online_metrics(spark, sf):
-    """The online learner with a metric after every micro-batch: the mean ELBO per document of the first travellers."""
+    """The online learner with the hold-out ELBO and the three perplexities after every micro-batch: all test
+    travellers are scored, and the stream holds the others only."""
     cfg = TensorLDAConfig(iter_inference=10)
-    corpus = corpus_from_trips(trips(spark, sf))
-    sample = corpus.docs.join(tr.cohort(trips(spark, sf), COHORT_SIZE, COHORT_SEED), "user_id", "left_semi").checkpoint()
-
-    def score(model, batch_id):
-        r = infer_docs(sample, model, cfg).agg(F.avg("elbo")).first()
-        return [("cohort_elbo", r[0] or 0.0)]
-
-    stream = so.used(so.chain_trips(so.read_event_stream(spark, sf)))
-    _, history = stream_online_lda(stream, init_model(corpus, cfg), cfg, eval_fn=score)
+    corpus, _, test_docs = _split_corpus(spark, trips(spark, sf))
+    test_docs = test_docs.checkpoint()                # scored after each batch, split once
+    held = test_docs.select("user_id").distinct().checkpoint()
+    stream = so.used(so.chain_trips(so.read_event_stream(spark, sf))).join(held, "user_id", "left_anti")
+    _, history = stream_online_lda(stream, init_model(corpus, cfg), cfg,
+                                   eval_fn=lambda m, _: _holdout_metrics(spark, m, test_docs, cfg))
     return spark.createDataFrame(history, "batch int, name string, value double, n_docs int")
