@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from tables import SF_SMALL
 from triptopics.operators.topics.fit import TensorLDAConfig, fit_batch, fit_online, infer_docs
 from triptopics.operators.topics.model import corpus_from_trips
 from triptopics.sources.fixtures import trips

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF_SMALL
+from tables import SF_SMALL
 from oracle_check import compare, duck
 import __spark_entry__ as E
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from tables import SF_SMALL
 from oracle_check import fingerprint
 
 NAMES = ["trips_clean", "ranked_trips", "passenger_docs", "tfidf", "topic_coherence", "destination_top1",

@@ -4,7 +4,7 @@ import tempfile
 
 import numpy as np
 
-from conftest import SF_SMALL
+from tables import SF_SMALL
 from triptopics.operators.topics.fit import TensorLDAConfig, init_model
 from triptopics.operators.topics.model import TopicModel, corpus_from_trips
 from triptopics.sources.fixtures import trips

@@ -74,7 +74,7 @@ def test_day_partitioned_trips_prune(spark):
     import contextlib
     import io
 
-    from conftest import SF_SMALL
+    from tables import SF_SMALL
     from triptopics.sources.fixtures import trips
     root = tempfile.mkdtemp(prefix="tt-days-") + "/trips"
     t = trips(spark, SF_SMALL)
@@ -89,7 +89,7 @@ def test_day_partitioned_trips_prune(spark):
 
 
 def test_sql_views(spark):
-    from conftest import SF_SMALL
+    from tables import SF_SMALL
     from triptopics.plans.views import register_views
     names = register_views(spark, SF_SMALL)
     assert "trips" in names

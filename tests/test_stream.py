@@ -4,7 +4,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from tables import SF_SMALL
 from triptopics.operators import flow
 from triptopics.session import table
 from triptopics.sources.fixtures import trips_from_events, used_trips

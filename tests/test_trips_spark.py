@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from tables import SF_SMALL
 from triptopics.functions.indexing import dense_index
 from triptopics.operators import flow
 from triptopics.session import table
