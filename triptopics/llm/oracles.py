@@ -103,3 +103,40 @@ templates(license, t) AS (VALUES """ + _license_rows() + r"""),
 dice AS (SELECT doc_id, license, unit, len(list_intersect(g, t)) AS c, len(g) + len(t) AS n FROM grams, templates)
 SELECT doc_id, license, max(2.0::DOUBLE * c / n) AS dice, count(*) AS n_units, CAST(min(unit) AS BIGINT) AS first_unit
 FROM dice WHERE 200 * c >= 80 * n GROUP BY doc_id, license"""
+
+
+def _codebook_round(i: int) -> str:
+    """Assignment to the codebooks b{i} and, up to the last one, their replacement b{i + 1}."""
+    assigned = f"""
+a{i} AS MATERIALIZED (
+  SELECT r, part, x, arg_min(k, d * 256 + k) AS k, min(d) AS d FROM (
+    SELECT r, parts.part, x, k, list_sum(list_transform(list_zip(x, c), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS d
+    FROM parts JOIN b{i} ON parts.part = b{i}.part) GROUP BY r, part, x)"""
+    replaced = f""",
+n{i} AS (
+  SELECT part, k, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS c FROM (
+    SELECT part, k, pos, sum(v) AS s, count(*) AS n
+    FROM (SELECT part, k, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM a{i}) GROUP BY part, k, pos) GROUP BY part, k),
+b{i + 1} AS MATERIALIZED (
+  SELECT b{i}.part, b{i}.k, coalesce(n{i}.c, b{i}.c) AS c FROM b{i} LEFT JOIN n{i} ON n{i}.part = b{i}.part AND n{i}.k = b{i}.k)"""
+    return assigned + (replaced if i < 4 else "")
+
+
+#: Every distance to every entry, in whole numbers.
+VECTOR_CODES = r"""
+WITH whole AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS HUGEINT)) AS v
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+size AS (SELECT len(v) AS n FROM whole WHERE len(v) % 4 = 0 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r, vec_id, label, v, n // 4 AS w FROM whole JOIN size ON len(v) = n),
+parts AS MATERIALIZED (
+  SELECT r, p.part, v[p.part * w + 1:(p.part + 1) * w] AS x FROM kept, (SELECT unnest([0, 1, 2, 3]) AS part) p),
+b0 AS MATERIALIZED (SELECT part, r - 1 AS k, x AS c FROM parts WHERE r <= 256),""" + ",".join(map(_codebook_round, range(5))) + r""",
+coded AS (
+  SELECT r, string_agg(printf('%02x', CAST(k AS INT)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY r),
+digest AS (
+  SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, k, pos)) AS h
+  FROM (SELECT part, k, unnest(c) AS v, generate_subscripts(c, 1) AS pos FROM b4))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM kept JOIN coded USING (r), digest"""

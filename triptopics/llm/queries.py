@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import chunks, decontaminate, licenses, near_dup, oracles, packing, pii, quality_rules, sharding, site_quality, suffix_dedup, urls
+from . import chunks, decontaminate, licenses, near_dup, oracles, packing, pii, quality_rules, sharding, site_quality, suffix_dedup, urls, vector_codes
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_pii": op2_pii,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_packing": op10_packing,
     "op11_sharding": op11_sharding,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -73,6 +78,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": oracles.QUALITY_RULES,
     "op6_license_scan": oracles.LICENSES,
     "op8_url_filters": oracles.URL_FILTERS,
+    "op12_vector_codes": oracles.VECTOR_CODES,
 }
 
 
