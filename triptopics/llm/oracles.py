@@ -140,3 +140,30 @@ digest AS (
   FROM (SELECT part, k, unnest(c) AS v, generate_subscripts(c, 1) AS pos FROM b4))
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
 FROM kept JOIN coded USING (r), digest"""
+
+#: Every n-gram of every piece, grouped by its text.
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT lang, doc_id, row_number() OVER () AS id, w FROM (
+    SELECT coalesce(lang, 'und') AS lang, doc_id, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
+      SELECT lang, doc_id, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[.,;:!?\x0A-\x0D]')) AS piece FROM documents))
+  WHERE len(w) > 0),
+grams AS (
+  SELECT lang, k, array_to_string(w[p:p + k - 1], ' ') AS g FROM (
+    SELECT lang, k, w, unnest(generate_series(1, len(w) - k + 1)) AS p FROM pieces, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)),
+f AS MATERIALIZED (SELECT lang, k, g, count(*) AS f FROM grams GROUP BY lang, k, g),
+sizes AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+cuts AS (
+  SELECT c.lang, c.k, c.g, c.f AS a, i, array_to_string(string_split(c.g, ' ')[1:i], ' ') AS lg, array_to_string(string_split(c.g, ' ')[i + 1:], ' ') AS rg
+  FROM f c, (SELECT unnest([1, 2]) AS i) WHERE c.k > i AND c.f >= 10),
+scored AS (
+  SELECT cuts.lang, cuts.k, cuts.g, a, i, lf.f AS l, rf.f AS r, CAST(1000000::HUGEINT * a * a // (lf.f::HUGEINT * rf.f) AS BIGINT) AS score
+  FROM cuts JOIN f lf ON lf.lang = cuts.lang AND lf.g = lg JOIN f rf ON rf.lang = cuts.lang AND rf.g = rg),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, i) = 1),
+inside AS (
+  SELECT lang, a, unnest([array_to_string(string_split(g, ' ')[1:2], ' '), array_to_string(string_split(g, ' ')[2:3], ' ')]) AS g FROM least WHERE k = 3),
+kept AS (
+  SELECT * FROM least WHERE NOT EXISTS (SELECT 1 FROM inside WHERE inside.lang = least.lang AND inside.g = least.g AND 100 * inside.a >= 50 * least.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept)
+SELECT lang, rank, g AS phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import chunks, decontaminate, licenses, near_dup, oracles, packing, pii, quality_rules, sharding, site_quality, suffix_dedup, urls, vector_codes
+from . import chunks, collocations, decontaminate, licenses, near_dup, oracles, packing, pii, quality_rules, sharding, site_quality, suffix_dedup, urls, vector_codes
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_pii": op2_pii,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_sharding": op11_sharding,
     "op12_vector_codes": op12_vector_codes,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -79,6 +84,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_license_scan": oracles.LICENSES,
     "op8_url_filters": oracles.URL_FILTERS,
     "op12_vector_codes": oracles.VECTOR_CODES,
+    "op13_collocations": oracles.COLLOCATIONS,
 }
 
 
