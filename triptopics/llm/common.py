@@ -16,6 +16,7 @@ from ..session import ensure_checkpoint_dir
 BROADCAST_ROWS = 500_000
 BLOCK_BYTES = 1 << 20
 PIECE_BYTES = 1 << 22
+ROW_GROUP_BYTES = 32 << 20       # a writing task holds one row group in memory
 U = np.uint64
 
 
@@ -23,7 +24,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` below ``spark.checkpoint.dir`` (shared by the cluster) and read it again."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -25,7 +25,8 @@ from .common import binary_view, row_blocks, text_view, written
 
 WINDOW = 1024
 END_ID = 0
-CACHE_PARTS = 700_000
+CACHE_PARTS = 160_000       # parts a worker remembers, some 250 bytes each
+MET = 1 << 20               # places of the table of parts met once
 MARKS = ".,;:!?"
 LONG_PART = 400
 #: Fixed value: how the byte-level vocabulary cuts a text before merging.
@@ -69,8 +70,11 @@ class CachedEncoder:
         self.dtype = np.dtype("H" if self.whole.get_vocab_size() <= 1 << 16 else "I")
         self.end = np.array([END_ID], self.dtype).tobytes()
         self.marks = {m: self._exact(m) for m in MARKS}
-        self.cache: dict[str, bytes] = {}
-        self.parts = parts
+        # parts met for the second time, in two generations: when the recent one holds half of the parts, it replaces the older one
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.half = max(1, parts // 2)
+        self.met, self.n_met = bytearray(MET), 0
 
     def _exact(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -82,12 +86,22 @@ class CachedEncoder:
 
     def _part(self, part: str) -> bytes:
         """Ids of a space and ``part``; a closing mark after letters is a token of its own."""
-        if part[-1] in MARKS and part[:-1].isalpha():
-            ids = (self.cache.get(part[:-1]) or self._ids(" " + part[:-1])) + self.marks[part[-1]]
-        else:
-            ids = self._ids(" " + part)
-        if len(self.cache) < self.parts:
-            self.cache[part] = ids
+        ids = self.older.get(part)
+        if ids is None:
+            if part[-1] in MARKS and part[:-1].isalpha():
+                ids = (self.recent.get(part[:-1]) or self._ids(" " + part[:-1])) + self.marks[part[-1]]
+            else:
+                ids = self._ids(" " + part)
+            place = hash(part) % MET
+            if not self.met[place]:
+                self.n_met += 1
+                if 2 * self.n_met > MET:
+                    self.met, self.n_met = bytearray(MET), 0
+                self.met[place] = 1
+                return ids
+        if len(self.recent) >= self.half:
+            self.older, self.recent = self.recent, {}
+        self.recent[part] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -97,7 +111,7 @@ class CachedEncoder:
         first, *parts = text.split(" ")
         if first and (first[0].isspace() or first[-1].isspace()):
             return self._exact(text) + self.end
-        got = list(map(self.cache.get, parts))
+        got = list(map(self.recent.get, parts))
         if None in got:
             k = -1
             while True:
