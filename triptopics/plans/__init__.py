@@ -1,6 +1,6 @@
 """Query catalog: importing this package registers every query."""
 
-from . import q_docs, q_fits, q_metrics, q_onesweep, q_stream, q_trips, q_tucker  # noqa: F401
+from . import q_docs, q_fits, q_linkage, q_metrics, q_onesweep, q_stream, q_trips, q_tucker  # noqa: F401
 from ..session import ensure_checkpoint_dir, ship_package
 from .catalog import REGISTRY, Query, query  # noqa: F401
 
