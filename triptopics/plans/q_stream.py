@@ -7,12 +7,16 @@ table, which must equal the batch form (same SQL twin).
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from ..operators import trips as tr
 from ..operators.topics.fit import TensorLDAConfig, init_model
 from ..operators.topics.model import corpus_from_trips
+from ..session import table
 from ..sources.fixtures import TRIPS_SQL, trips
+from ..streaming import event_time as et
 from ..streaming import ops as so
 from ..streaming.online import latest_beta, stream_online_lda
 from .catalog import query, with_views
@@ -94,3 +98,45 @@ def q_stream_online_metrics(spark, sf):
     _, history = stream_online_lda(stream, init_model(corpus, cfg), cfg,
                                    eval_fn=lambda m, _: _holdout_metrics(spark, m, test_docs, cfg))
     return spark.createDataFrame(history, "batch int, name string, value double, n_docs int")
+
+
+# ---- event time through the chaining: files of overlapping days, rows in no order ---------------
+
+EVENT_FILES = 4
+DELAY = "8 hours"
+IDLE = timedelta(days=3)
+
+
+def _unordered_trips(spark, sf):
+    """Used trips of the events dealt to files whose days overlap, chained in event time."""
+    events = table(spark, sf, "events")
+    path = et.write_event_files(events, so.scratch_path(spark, "event-files"), EVENT_FILES)
+    return so.used(et.chained_trips(et.read_event_files(spark, path, events.schema), DELAY))
+
+
+@query("stream_flow_event_time", with_views("""
+SELECT date_trunc('hour', ts) AS bin_start, origin, dest, COUNT(*) AS amount
+FROM trips GROUP BY 1, 2, 3""", **T), ("T-03", "A-03"))
+def q_stream_flow_event_time(spark, sf):
+    path = so.scratch_path(spark, "sink-flow-event-time")
+    et.run_appending(et.flow_increments(_unordered_trips(spark, sf)), path, "flow-event-time")
+    flow = et.appended(spark, path).groupBy("bin_start", "origin", "dest").agg(F.sum("n").alias("amount"))
+    return flow.select(F.col("bin_start").cast("timestamp_ntz").alias("bin_start"), "origin", "dest", "amount")
+
+
+@query("stream_cohort_event_time", with_views(
+    "SELECT * FROM trips WHERE user_id IN (SELECT user_id FROM cohort)", **T, cohort=COHORT_SQL), ("T-04", "J-01"))
+def q_stream_cohort_event_time(spark, sf):
+    cohort = tr.cohort(trips(spark, sf), COHORT_SIZE, COHORT_SEED).checkpoint()
+    path = so.scratch_path(spark, "sink-cohort-event-time")
+    et.run_appending(so.cohort_stream(_unordered_trips(spark, sf), cohort, COHORT_SIZE), path, "cohort-event-time")
+    return et.appended(spark, path).select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "txn_type", "origin", "dest", "hour")
+
+
+@query("stream_docs_event_time", with_views("""
+SELECT user_id, arg_min(txn_type, (ts, event_id)) AS subtype, COUNT(*) AS wordcount FROM trips GROUP BY 1""", **T),
+    ("T-05", "A-10"))
+def q_stream_docs_event_time(spark, sf):
+    path = so.scratch_path(spark, "sink-docs-event-time")
+    et.run_appending(et.document_segments(_unordered_trips(spark, sf), IDLE), path, "docs-event-time")
+    return et.documents(et.appended(spark, path))
