@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 
 from triptopics.operators import tucker as tk
 from triptopics.operators.infer import destination_scores
@@ -20,38 +21,80 @@ def test_destination_scores_brute_force():
         assert np.allclose(got[n], ref / ref.sum())
 
 
-def test_tucker_recovers_low_rank_and_error_is_exact(spark):
-    rng = np.random.default_rng(3)
+def low_rank(shape, ranks, seed, keep=1.0):
+    rng = np.random.default_rng(seed)
+    x = rng.random(ranks)
+    for n, (size, rank) in enumerate(zip(shape, ranks, strict=True)):
+        x = np.moveaxis(np.tensordot(rng.random((size, rank)), x, axes=([1], [n])), 0, n)
+    return np.where(x >= np.quantile(x, 1 - keep), x, 0.0)
+
+
+def coo_of(spark, x, names):
+    at = np.nonzero(x)
+    return spark.createDataFrame(pd.DataFrame({**{c: i for c, i in zip(names, at, strict=True)}, "value": x[at]})).repartition(3)
+
+
+def full(core, factors):
+    return tk._core_times(core, factors)
+
+
+def plain_iteration(x, core, factors, order):
+    """Dense updates of the modes in ``order``, one after the other, then the core."""
+    factors, n = list(factors), x.ndim
+    for m in order:
+        rest = [f if k != m else np.eye(core.shape[m]) for k, f in enumerate(factors)]
+        b = np.moveaxis(full(core, rest), m, 0).reshape(core.shape[m], -1)
+        xm = np.moveaxis(x, m, 0).reshape(x.shape[m], -1)
+        factors[m] = factors[m] * (xm @ b.T) / np.maximum(factors[m] @ (b @ b.T), 1e-12)
+    num = full(x, [f.T for f in factors])
+    den = full(core, [f.T @ f for f in factors])
+    return core * num / np.maximum(den, 1e-12), factors
+
+
+@pytest.mark.parametrize("small", [(2, 3), (3,), (0, 2)])
+def test_one_iteration_equals_dense_updates(spark, small):
+    shape, ranks = (6, 5, 4, 3), (2, 3, 2, 2)
+    x = low_rank(shape, ranks, 1, 0.4)
+    rng = np.random.default_rng(2)
+    start = (rng.random(ranks) + 0.1, [rng.random((s, r)) + 0.1 for s, r in zip(shape, ranks, strict=True)])
+    names = ["i0", "i1", "i2", "i3"]
+    m = tk.non_negative_tucker(coo_of(spark, x, names), names, shape, ranks, 1, small=small, start=start)
+    core, factors = plain_iteration(x, *start, [k for k in range(4) if k not in small] + list(small))
+    assert np.allclose(m.core, core) and all(np.allclose(a, b) for a, b in zip(m.factors, factors, strict=True))
+    assert abs(m.history[0][1] - np.linalg.norm(x - full(core, factors)) / np.linalg.norm(x)) < 1e-9
+
+
+def test_error_never_rises_and_the_fit_settles(spark):
     shape, ranks = (8, 7, 5), (2, 2, 2)
-    G = rng.random(ranks)
-    F = [rng.random((s, r)) for s, r in zip(shape, ranks)]
-    X = np.einsum("abc,ia,jb,kc->ijk", G, *F)
-    i, j, k = np.indices(shape)
-    pdf = pd.DataFrame({"i0": i.ravel(), "i1": j.ravel(), "i2": k.ravel(), "value": X.ravel()})
-    coo = spark.createDataFrame(pdf).repartition(3)
-    m = tk.non_negative_tucker(coo, ["i0", "i1", "i2"], shape, ranks, 40, tol=0)
+    x = low_rank(shape, ranks, 3)
+    names = ["i0", "i1", "i2"]
+    coo = coo_of(spark, x, names)
+    m = tk.non_negative_tucker(coo, names, shape, ranks, 60, tol=1e-3)
     errs = [e for _, e in m.history]
-    assert errs[-1] < 0.1 and errs[-1] < errs[1]
-    Xh = np.einsum("abc,ia,jb,kc->ijk", m.core, *m.factors)
-    res = tk.residuals(coo, ["i0", "i1", "i2"], m).toPandas()
-    assert np.allclose(res.sort_values(["i0", "i1", "i2"])["x_hat"].to_numpy(), Xh.ravel())
+    assert all(b <= a + 1e-9 for a, b in zip(errs[:-1], errs[1:], strict=True)) and errs[-1] < 0.1
+    assert m.converged and len(errs) < 60 and abs(errs[-1] - np.linalg.norm(x - full(m.core, m.factors)) / np.linalg.norm(x)) < 1e-6
+    again = tk.non_negative_tucker(coo.repartition(1), names, shape, ranks, len(errs), tol=1e-3)
+    assert np.allclose([e for _, e in again.history], errs)                  # the start is deterministic
+    res = tk.residuals(coo, names, m).toPandas().sort_values(names)
+    assert np.allclose(res["x_hat"].to_numpy(), full(m.core, m.factors)[x > 0])
+    assert not tk.non_negative_tucker(coo, names, shape, ranks, 2, tol=0.0).converged
 
 
-def test_user_mode_tucker_matches_dense_error(spark):
-    rng = np.random.default_rng(5)
+def test_user_mode_equals_dense_error(spark):
     shape, ranks = (30, 6, 5, 3), (3, 2, 2, 2)
-    G = rng.random(ranks)
-    F_ = [rng.random((s, r)) for s, r in zip(shape, ranks)]
-    X = np.einsum("abcd,ia,jb,kc,ld->ijkl", G, *F_)
-    X[X < np.quantile(X, 0.5)] = 0.0                         # sparse, non-negative
-    u, i, j, k = np.nonzero(X)
-    pdf = pd.DataFrame({"user_id": u + 1000, "i1": i, "i2": j, "i3": k, "value": X[u, i, j, k]})
-    users, m = tk.non_negative_tucker_users(spark.createDataFrame(pdf), ["i1", "i2", "i3"], shape, ranks, 12)
+    x = low_rank(shape, ranks, 5, 0.5)
+    coo = coo_of(spark, x, ["u", "i1", "i2", "i3"]).selectExpr("u + 1000 AS user_id", "i1", "i2", "i3", "value")
+    users, m = tk.non_negative_tucker_users(coo, ["i1", "i2", "i3"], shape, ranks, 5, tol=0.0)
+    up = users.toPandas()
+    u = np.zeros((shape[0], ranks[0]))
+    u[up["user_id"].to_numpy() - 1000] = np.stack(up["u"].to_numpy())
+    dense = np.linalg.norm(x - full(m.core, [u, *m.factors[1:]])) / np.linalg.norm(x)
     errs = [e for _, e in m.history]
-    assert errs[-1] < errs[1]
-    up = users.toPandas().sort_values("user_id")
-    U = np.zeros((shape[0], ranks[0]))
-    U[up["user_id"].to_numpy() - 1000] = np.stack(up["u"].to_numpy())
-    Xh = np.einsum("abcd,ia,jb,kc,ld->ijkl", m.core, U, *m.factors[1:])
-    dense = np.linalg.norm(X - Xh) / np.linalg.norm(X)
-    assert dense < 0.5
+    assert abs(errs[-1] - dense) < 1e-9 and dense < 0.5 and len(up) == len(set(up["user_id"]))
+    assert all(b <= a + 1e-9 for a, b in zip(errs[:-1], errs[1:], strict=True))
+
+
+def test_no_cells(spark):
+    coo = spark.createDataFrame([], "i0 int, i1 int, i2 int, value double")
+    m = tk.non_negative_tucker(coo, ["i0", "i1", "i2"], (3, 3, 2), (2, 2, 2), 3)
+    assert m.history[0][1] == 0.0

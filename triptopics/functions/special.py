@@ -1,4 +1,4 @@
-"""Vectorised digamma and log-gamma for positive arguments (NumPy only).
+"""Vectorised digamma and log-gamma for positive arguments, in NumPy and as Spark columns.
 
 Both use the upward recurrence until the argument is at least 8 and then
 the standard asymptotic (Stirling / de Moivre) series; the error is below
@@ -9,6 +9,8 @@ need.
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 _SHIFT_TO = 8.0
 _HALF_LOG_2PI = 0.5 * np.log(2.0 * np.pi)
@@ -41,3 +43,32 @@ def gammaln(x) -> np.ndarray:
     inv2 = inv * inv
     series = inv * (1.0 / 12 - inv2 * (1.0 / 360 - inv2 * (1.0 / 1260 - inv2 * (1.0 / 1680))))
     return acc + (x - 0.5) * np.log(x) - x + _HALF_LOG_2PI + series
+
+
+# ---- the same functions as Spark columns --------------------------------------------------------
+
+_COLUMN_SHIFT = 8
+
+
+def _col_series(inv: Column, terms: tuple[float, ...]) -> Column:
+    """t0 − inv²(t1 − inv²(t2 − ...))."""
+    out = F.lit(terms[-1])
+    for t in reversed(terms[:-1]):
+        out = F.lit(t) - inv * inv * out
+    return out
+
+
+def digamma_col(x: Column) -> Column:
+    """Digamma of a positive column: eight steps of the recurrence, then the asymptotic series."""
+    y = x + _COLUMN_SHIFT
+    inv = F.lit(1.0) / y
+    steps = sum((F.lit(1.0) / (x + k) for k in range(1, _COLUMN_SHIFT)), F.lit(1.0) / x)
+    return F.log(y) - inv * 0.5 - inv * inv * _col_series(inv, (1 / 12, 1 / 120, 1 / 252, 1 / 240, 1 / 132)) - steps
+
+
+def gammaln_col(x: Column) -> Column:
+    """Log-gamma of a positive column, by the same two steps."""
+    y = x + _COLUMN_SHIFT
+    inv = F.lit(1.0) / y
+    steps = sum((F.log(x + k) for k in range(1, _COLUMN_SHIFT)), F.log(x))
+    return (y - 0.5) * F.log(y) - y + float(_HALF_LOG_2PI) + inv * _col_series(inv, (1 / 12, 1 / 360, 1 / 1260, 1 / 1680)) - steps

@@ -142,3 +142,18 @@ def estep_docs(docs: DataFrame, beta, alpha: float, max_sweeps: int, var_tol: fl
                 "theta": list(mix), "cz_o": list(co), "cz_d": list(cd), "cz_t": list(ct)})
 
     return docs.mapInPandas(fn, DOCS_SCHEMA)
+
+
+PHI_SCHEMA = "user_id bigint, o int, d int, t int, cnt double, phi_o array<double>, phi_d array<double>, phi_t array<double>"
+
+
+def estep_phi(docs: DataFrame, beta, alpha: float, max_sweeps: int, var_tol: float, mode: str = "aligned") -> DataFrame:
+    """Per distinct triple the variational distributions over origin, destination and time topics."""
+
+    def fn(batches):
+        for block in user_blocks(batches):
+            users, _, o, d, t, cnt, r = _run(block, beta, alpha, max_sweeps, var_tol, mode)
+            yield pd.DataFrame({"user_id": users.astype(np.int64), "o": o.astype(np.int32), "d": d.astype(np.int32), "t": t.astype(np.int32),
+                                "cnt": cnt, "phi_o": list(r.phi_o), "phi_d": list(r.phi_d), "phi_t": list(r.phi_t)})
+
+    return docs.mapInPandas(fn, PHI_SCHEMA)

@@ -1,39 +1,49 @@
 """Non-negative Tucker decomposition of a COO tensor (O-18, O-19, O-20, C-08).
 
-The tensor stays a distributed COO table ``(i_0, ..., i_{N-1}, value)``;
-the factors A_n (mode size × rank) and the core G are model-sized and
-live on the driver.  Every iteration is one Spark job: each task streams
-its non-zeros through NumPy and emits partial sums of
+The tensor stays a distributed COO table ``(i_0, ..., i_{N-1}, value)``; the factors A_n (mode size x
+rank) and the core G are model-sized and live on the driver.  An iteration updates the modes one after
+the other and then the core, each by the multiplicative (Lee-Seung style) rule with everything else
+fixed, so the error never rises:
 
-* X_(n) (⊗_{m≠n} A_m) G_(n)ᵀ for every mode (rows touched by the task),
-* X ×_1 A_1ᵀ … ×_N A_Nᵀ (core numerator),
-* Σ x² and Σ x·x̂ (for the error),
+A_n <- A_n * num_n / (A_n G_(n) (⊗ A_m'A_m) G_(n)'),    G <- G * num_G / (G x_n A_n'A_n).
 
-which one grouped sum reduces.  On the driver the core is first rescaled
-by the optimal scalar ⟨X, X̂⟩/‖X̂‖² (from the same pass), then the
-multiplicative (Lee-Seung style) updates run for all factors and the core
-at once:
+The numerators come from a contraction tree.  Its trunk splits the modes into the large ones (stations)
+and the ``small`` ones (calendar: day, hour), whose joint cells fit the driver:
 
-A_n ← A_n ∘ num_n / (A_n G_(n) (⊗ A_mᵀA_m) G_(n)ᵀ),
-G ← G ∘ num_G / (G ×_n A_nᵀA_n).
+* a large mode's numerator is one pass over the non-zeros against the core already contracted with the
+  small modes (a table by calendar cell, computed once for the pass);
+* one more pass contracts the tensor with all large modes.  The result, calendar cells x ranks, is summed
+  over the cluster and shared: all small modes, the core and the error are computed from it.
 
-‖X − X̂‖² = ‖X‖² − 2⟨X, X̂⟩ + ‖X̂‖², with ‖X̂‖² = ⟨G, G ×_n A_nᵀA_n⟩, so the
-dense reconstruction is never formed.
+‖X − X̂‖² = ‖X‖² − 2⟨num_G, G⟩ + ⟨G, G x_n A_n'A_n⟩, so neither the dense tensor nor another pass is needed.
+
+The start is deterministic: the absolute leading eigenvectors of each mode's Gram matrix and the core
+they give.  The fit ends when an iteration lowers the relative error by no more than ``tol`` of it
+(``converged``), or after ``n_iter`` iterations.
 """
 
 from __future__ import annotations
 
 import string
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+from .topics.estep import user_blocks
+
 EPS = 1e-12
-PART_SCHEMA = "kind int, mode int, row int, col int, value double"
+FLOOR = 1e-3                # of the start, relative to the mean entry: a zero entry could never grow
+GATHERED = 20_000_000       # numbers of the shared contraction that may come to the driver
+GRAM_SIZE = 8_192           # beyond this mode size the start is taken from index hashes
+CHUNK = 4_096
+TASK_CELLS = 250_000        # non-zeros of one task: its sums are model-sized, so fewer tasks send less
 
 
 @dataclass
@@ -41,10 +51,7 @@ class TuckerModel:
     core: np.ndarray
     factors: list[np.ndarray]
     history: list[tuple[int, float]] = field(default_factory=list)
-
-
-def _letters(n):
-    return string.ascii_lowercase[:n]
+    converged: bool = False
 
 
 def _core_times(core, mats):
@@ -55,109 +62,233 @@ def _core_times(core, mats):
     return out
 
 
-def _partials(core, factors, idx, x):
-    """Partial numerators and error terms for one block of non-zeros."""
-    n_modes = len(factors)
-    L = _letters(n_modes)
-    rows = [factors[m][idx[m]] for m in range(n_modes)]           # (nnz, r_m)
-    out = []
-    for n in range(n_modes):
-        ops = ",".join(["".join(L)] + ["z" + L[m] for m in range(n_modes) if m != n])
-        contr = np.einsum(f"{ops}->z{L[n]}", core, *[rows[m] for m in range(n_modes) if m != n])
-        contr *= x[:, None]
-        num = np.zeros((factors[n].shape[0], core.shape[n]))
-        np.add.at(num, idx[n], contr)
-        out.append(num)
-    ops = ",".join(["z"] + ["z" + L[m] for m in range(n_modes)])
-    num_g = np.einsum(f"{ops}->{''.join(L)}", x, *rows)
-    ops = ",".join(["".join(L)] + ["z" + L[m] for m in range(n_modes)])
-    xhat = np.einsum(f"{ops}->z", core, *rows)
-    return out, num_g, float((x * x).sum()), float((x * xhat).sum())
+def reconstruct(core, factors, idx) -> np.ndarray:
+    """x̂ at the cells ``idx``, mode after mode."""
+    out = np.empty(len(idx[0]))
+    for s in range(0, len(out), CHUNK):
+        z = slice(s, s + CHUNK)
+        part = np.tensordot(factors[0][idx[0][z]], core, axes=([1], [0]))
+        for f, i in zip(factors[1:], idx[1:], strict=True):
+            part = np.einsum("za...,za->z...", part, f[i[z]])
+        out[z] = part
+    return out
 
 
-def reconstruct(core, factors, idx) -> np.ndarray:
-    n_modes = len(factors)
-    L = _letters(n_modes)
-    ops = ",".join(["".join(L)] + ["z" + L[m] for m in range(n_modes)])
-    return np.einsum(f"{ops}->z", core, *[factors[m][idx[m]] for m in range(n_modes)])
+# --- the contraction tree --------------------------------------------------------------------
 
+class _Tree:
+    """Passes over a table ``(b0, b1, ..., cell, value array<double>)``: indices of the large modes, the joint
+    cell of the small modes, and the values (several where a further mode is contracted already)."""
 
-def _pass(coo: DataFrame, cols: list[str], core, factors):
-    def fn(batches):
-        nums = [np.zeros_like(f) for f in factors]
-        num_g = np.zeros_like(core)
-        xx = xy = 0.0
-        for pdf in batches:
-            idx = [pdf[c].to_numpy(np.int64) for c in cols]
-            x = pdf["value"].to_numpy(np.float64)
-            parts, g, a, b = _partials(core, factors, idx, x)
-            for n in range(len(nums)):
-                nums[n] += parts[n]
-            num_g += g
-            xx += a
-            xy += b
-        frames = []
-        for n, m in enumerate(nums):
-            r, c = np.nonzero(m)
-            frames.append(pd.DataFrame({"kind": 0, "mode": n, "row": r, "col": c, "value": m[r, c]}))
-        flat = num_g.ravel()
-        nz = np.flatnonzero(flat)
-        frames.append(pd.DataFrame({"kind": 1, "mode": -1, "row": nz, "col": 0, "value": flat[nz]}))
-        frames.append(pd.DataFrame({"kind": [2, 3], "mode": -1, "row": 0, "col": 0, "value": [xx, xy]}))
-        yield pd.concat(frames, ignore_index=True).astype(
-            {"kind": "int32", "mode": "int32", "row": "int32", "col": "int32"})
-
-    parts = coo.mapInPandas(fn, PART_SCHEMA).groupBy("kind", "mode", "row", "col").agg(
-        F.sum("value").alias("value")).toPandas()
-    nums = [np.zeros_like(f) for f in factors]
-    for n in range(len(nums)):
-        p = parts[(parts["kind"] == 0) & (parts["mode"] == n)]
-        nums[n][p["row"].to_numpy(), p["col"].to_numpy()] = p["value"].to_numpy()
-    num_g = np.zeros(core.size)
-    p = parts[parts["kind"] == 1]
-    num_g[p["row"].to_numpy()] = p["value"].to_numpy()
-    xx = float(parts[parts["kind"] == 2]["value"].sum())
-    xy = float(parts[parts["kind"] == 3]["value"].sum())
-    return nums, num_g.reshape(core.shape), xx, xy
-
-
-def non_negative_tucker(coo: DataFrame, cols: list[str], shape: tuple[int, ...], ranks: tuple[int, ...],
-                        n_iter: int = 100, tol: float = 1e-7, seed: int = 0) -> TuckerModel:
-    """O-18: factor a non-negative COO tensor whose index columns ``cols`` are
-    0-based and below ``shape``.  Stops after ``n_iter`` iterations or when
-    the relative error changes by less than ``tol``."""
-    rng = np.random.default_rng(seed)
-    factors = [rng.random((s, r)) + 0.1 for s, r in zip(shape, ranks)]
-    core = rng.random(ranks) + 0.1
-    data = coo.select(*cols, F.col("value").cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
-    model = TuckerModel(core, factors)
-    prev = None
+    def __init__(self, data: DataFrame, shape: tuple[int, ...], ranks: tuple[int, ...], n_big: int, lead: int = 1):
+        self.data, self.shape, self.ranks, self.n_big, self.lead = data, shape, ranks, n_big, lead
+        self.cells = int(np.prod(shape[n_big:], dtype=np.int64))
+        if self.cells * lead * int(np.prod(ranks[:n_big], dtype=np.int64)) > GATHERED:
+            raise ValueError("the small modes have too many joint cells to be gathered: leave them to the large ones")
+
+    def _summed(self, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], size: int) -> np.ndarray:
+        """Sum of the flat arrays of all tasks; their non-zeros are added by position over the cluster first."""
+        def run(batches):
+            for total in fn(batches):
+                k = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["k", "x"])
+
+        return _dense(self.data.mapInArrow(run, "k long, x double"), size)
+
+    def big_numerator(self, core: np.ndarray, factors: list[np.ndarray], n: int) -> np.ndarray:
+        """X_(n) (⊗_{m≠n} A_m) G_(n)' of a large mode; ``core`` has the contracted mode first."""
+        big, table = self.n_big, self._by_cell(core, factors)
+        large, size = factors[:big], factors[n].shape
+
+        def fn(batches):
+            total = np.zeros(size)
+            for idx, cell, value in _chunks(batches, big):
+                np.add.at(total, idx[n], big_rows(table, large, n, idx, cell, value))
+            yield total.ravel()
+
+        return self._summed(fn, size[0] * size[1]).reshape(size)
+
+    def _by_cell(self, core: np.ndarray, factors: list[np.ndarray]) -> np.ndarray:
+        """The core contracted with the small modes, for every joint cell: (cells, lead, large ranks)."""
+        out = core
+        n_small = len(factors) - self.n_big
+        for k in range(n_small):                    # the first remaining small rank axis becomes a cell axis at the end
+            out = np.tensordot(out, factors[self.n_big + k], axes=([1 + self.n_big], [1]))
+        return np.moveaxis(out, list(range(1 + self.n_big, 1 + self.n_big + n_small)), list(range(n_small))).reshape(self.cells, *core.shape[:1 + self.n_big])
+
+    def shared(self, factors: list[np.ndarray]) -> np.ndarray:
+        """The tensor contracted with all large modes: (small sizes..., lead, large ranks...)."""
+        big, inner = self.n_big, (self.lead, *self.ranks[:self.n_big])
+        large, cells = factors[:big], self.cells
+
+        def fn(batches):
+            total = np.zeros((cells, int(np.prod(inner))))
+            for idx, cell, value in _chunks(batches, big):
+                part = value
+                for f, i in zip(large, idx, strict=True):
+                    part = (part[:, :, None] * f[i][:, None, :]).reshape(len(part), -1)
+                order = np.argsort(cell, kind="stable")
+                first = np.flatnonzero(np.append(True, np.diff(cell[order]) > 0))
+                total[cell[order][first]] += np.add.reduceat(part[order], first, axis=0)
+            yield total.ravel()
+
+        return self._summed(fn, cells * int(np.prod(inner))).reshape(*self.shape[big:], *inner)
+
+
+def _dense(parts: DataFrame, size: int) -> np.ndarray:
+    """The sums of ``parts`` (position k, x) as one array of model size."""
+    out = np.zeros(size)
+    found = parts.groupBy("k").agg(F.sum("x").alias("x")).toPandas()
+    out[found["k"].to_numpy(np.int64)] = found["x"].to_numpy()
+    return out
+
+
+def big_rows(table, large, n, idx, cell, value):
+    """Per non-zero, the value times the core contracted with everything but mode ``n``."""
+    part = np.einsum("zl,zl...->z...", value, table[cell])
+    for m in reversed(range(len(large))):
+        if m != n:
+            part = np.moveaxis(part, 1 + m, 1)
+            part = np.einsum("za...,za->z...", part, large[m][idx[m]])
+    return part
+
+
+def _chunks(batches, n_big):
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        idx = [batch.column(f"b{k}").to_numpy() for k in range(n_big)]
+        cell = batch.column("cell").to_numpy()
+        value = batch.column("value").flatten().to_numpy().reshape(n, -1)
+        for s in range(0, n, CHUNK):
+            yield [i[s:s + CHUNK] for i in idx], cell[s:s + CHUNK], value[s:s + CHUNK]
+
+
+def _updated(a: np.ndarray, num: np.ndarray, core: np.ndarray, grams: list[np.ndarray], axis: int) -> np.ndarray:
+    """Multiplicative update of the factor on ``axis`` of the core."""
+    mats = [g if m != axis else np.eye(len(g)) for m, g in enumerate(grams)]
+    rest = np.moveaxis(_core_times(core, mats), axis, 0).reshape(core.shape[axis], -1)
+    flat = np.moveaxis(core, axis, 0).reshape(core.shape[axis], -1)
+    return a * num / np.maximum(a @ (flat @ rest.T), EPS)
+
+
+def _sweep(tree: _Tree, core: np.ndarray, factors: list[np.ndarray], gram_lead: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], float, float]:
+    """One update of every mode and the core; also ⟨num_G, G⟩ and ‖X̂‖² of the result.
+
+    ``core``: (lead, ranks); ``gram_lead``: Gram matrix of the mode contracted already."""
+    big, factors = tree.n_big, list(factors)
+    grams = [gram_lead, *(f.T @ f for f in factors)]
+    for n in range(big):
+        factors[n] = _updated(factors[n], tree.big_numerator(core, factors, n), core, grams, 1 + n)
+        grams[1 + n] = factors[n].T @ factors[n]
+    shared = tree.shared(factors)
+    n_small = len(factors) - big
+    cell, rank, inner = string.ascii_lowercase[:n_small], string.ascii_uppercase[:n_small], string.ascii_lowercase[10:11 + big]
+    for s in range(n_small):
+        others = [k for k in range(n_small) if k != s]
+        spec = ",".join([cell + inner, inner + rank, *(cell[k] + rank[k] for k in others)]) + f"->{cell[s]}{rank[s]}"
+        num = np.einsum(spec, shared, core, *(factors[big + k] for k in others), optimize=True)
+        factors[big + s] = _updated(factors[big + s], num, core, grams, 1 + big + s)
+        grams[1 + big + s] = factors[big + s].T @ factors[big + s]
+    spec = ",".join([cell + inner, *(cell[k] + rank[k] for k in range(n_small))]) + f"->{inner}{rank}"
+    num = np.einsum(spec, shared, *factors[big:], optimize=True)
+    core = core * num / np.maximum(_core_times(core, grams), EPS)
+    return core, factors, float((num * core).sum()), float((core * _core_times(core, grams)).sum())
+
+
+def _error(xx: float, inner: float, norm2: float) -> float:
+    return float(np.sqrt(max(xx - 2.0 * inner + norm2, 0.0) / xx)) if xx > 0 else 0.0
+
+
+def _settled(history: list[tuple[int, float]], tol: float) -> bool:
+    return len(history) > 1 and history[-2][1] - history[-1][1] <= tol * history[-1][1]
+
+
+# --- the start -------------------------------------------------------------------------------
+
+def _gram(data: DataFrame, mode: str, others: list[str], size: int) -> np.ndarray:
+    """X_(n) X_(n)' of one mode: products of cells of one fibre (of at most ``size`` cells), summed by pair."""
+    left = data.select(*[F.col(c).alias(c) for c in others], F.col(mode).alias("i"), "x")
+    right = data.select(*[F.col(c).alias(c) for c in others], F.col(mode).alias("j"), F.col("x").alias("y"))
+    pairs = left.join(right, others) if others else left.join(right, left["i"] == right["j"])
+    return _dense(pairs.select((F.col("i").cast("long") * size + F.col("j")).alias("k"), (F.col("x") * F.col("y")).alias("x")), size * size).reshape(size, size)
+
+
+def _hash_rows(size: int, rank: int) -> np.ndarray:
+    i, r = np.indices((size, rank))
+    return ((i * 48271 + r * 69621) % 2147483647 % 1000) / 1000.0 + 0.1
+
+
+def gram_start(data: DataFrame, cols: list[str], shape: tuple[int, ...], ranks: tuple[int, ...]) -> list[np.ndarray]:
+    """Absolute leading eigenvectors of every mode's Gram matrix (``data``: cols, x), kept off zero."""
+    out = []
+    for n, (size, rank) in enumerate(zip(shape, ranks, strict=True)):
+        if size > GRAM_SIZE:
+            out.append(_hash_rows(size, rank))
+            continue
+        _, vectors = np.linalg.eigh(_gram(data, cols[n], [c for k, c in enumerate(cols) if k != n], size))
+        a = np.abs(vectors[:, ::-1][:, :rank])
+        if a.shape[1] < rank:
+            a = np.hstack([a, _hash_rows(size, rank - a.shape[1]) / size])
+        out.append(a + FLOOR * max(a.mean(), EPS))
+    return out
+
+
+def _small_modes(shape: tuple[int, ...], ranks: tuple[int, ...]) -> tuple[int, ...]:
+    """The smallest modes whose joint cells, times the other modes' ranks, can be gathered."""
+    small: list[int] = []
+    for m in sorted(range(len(shape)), key=lambda k: (shape[k], -k)):
+        trial = [*small, m]
+        cells = np.prod([shape[k] for k in trial], dtype=float) * np.prod([r for k, r in enumerate(ranks) if k not in trial], dtype=float)
+        if len(trial) < len(shape) and len(trial) <= len(shape) // 2 and cells <= GATHERED / 4:
+            small = trial
+    return tuple(sorted(small))
+
+
+def _leaves(cols: list[str], shape: tuple[int, ...], big: list[int], small: list[int]) -> list[Column]:
+    cell = F.lit(0).cast("long")
+    for m in small:
+        cell = cell * shape[m] + F.col(cols[m]).cast("long")
+    return [*(F.col(cols[m]).cast("long").alias(f"b{k}") for k, m in enumerate(big)), cell.alias("cell")]
+
+
+def non_negative_tucker(coo: DataFrame, cols: list[str], shape: tuple[int, ...], ranks: tuple[int, ...], n_iter: int = 1000,
+                        tol: float = 1e-6, small: tuple[int, ...] | None = None,
+                        start: tuple[np.ndarray, list[np.ndarray]] | None = None) -> TuckerModel:
+    """O-18: factor a non-negative COO tensor whose index columns ``cols`` are 0-based and below ``shape``.
+
+    ``small`` names the modes gathered on the driver (default: the smallest half, as far as they fit);
+    ``start`` is a core and factors to begin with instead of the Gram start.  A tensor without non-zeros
+    keeps its start and has error 0."""
+    ensure_checkpoint_dir(coo.sparkSession)
+    small = list(_small_modes(shape, ranks) if small is None else small)
+    big = [m for m in range(len(shape)) if m not in small]
+    order = big + small
+    back = [order.index(m) for m in range(len(shape))]
+    flat = coo.select(*cols, F.col("value").cast("double").alias("x")).where("x <> 0").checkpoint()
+    xx, cells = flat.agg(F.sum(F.col("x") * F.col("x")), F.count(F.lit(1))).first()
+    xx = xx or 0.0
+    data = (flat.select(*_leaves(cols, shape, big, small), F.array("x").alias("value"))
+            .repartition(max(1, -(-cells // TASK_CELLS))).persist(StorageLevel.MEMORY_AND_DISK))
+    tree = _Tree(data, tuple(shape[m] for m in order), tuple(ranks[m] for m in order), len(big))
+    if start is None:
+        factors = [gram_start(flat, cols, shape, ranks)[m] for m in order]
+        shared = tree.shared(factors)
+        n_small = len(small)
+        cell, rank, inner = string.ascii_lowercase[:n_small], string.ascii_uppercase[:n_small], string.ascii_lowercase[10:11 + len(big)]
+        core = np.einsum(",".join([cell + inner, *(cell[k] + rank[k] for k in range(n_small))]) + f"->{inner}{rank}", shared, *factors[len(big):], optimize=True)
+        core = core + FLOOR * max(core.mean(), EPS)
+    else:
+        core, factors = start[0].transpose(order)[None], [start[1][m] for m in order]
+    model = TuckerModel(core[0].transpose(back), [factors[k] for k in back])
     for it in range(n_iter):
-        nums, num_g, xx, xy = _pass(data, cols, core, factors)
-        grams = [f.T @ f for f in factors]
-        g_gram = _core_times(core, grams)
-        norm2 = float((core * g_gram).sum())
-        err2 = max(xx - 2.0 * xy + norm2, 0.0)
-        rel = float(np.sqrt(err2 / xx)) if xx > 0 else 0.0
-        model.history.append((it, rel))
-        # optimal global scale c = <X, X̂> / ||X̂||² applied to the core first, so the
-        # simultaneous updates below do not all correct the same scale mismatch
-        c = xy / norm2 if norm2 > 0 and xy > 0 else 1.0
-        core, g_gram, nums = core * c, g_gram * c, [n * c for n in nums]
-        new_factors = []
-        for n, a in enumerate(factors):
-            mats = [grams[m] if m != n else np.eye(core.shape[n]) for m in range(len(factors))]
-            gc = _core_times(core, mats)                              # G ×_{m≠n} A_mᵀA_m
-            gn = np.moveaxis(core, n, 0).reshape(core.shape[n], -1)
-            gcn = np.moveaxis(gc, n, 0).reshape(core.shape[n], -1)
-            denom = a @ (gn @ gcn.T)
-            new_factors.append(a * nums[n] / np.maximum(denom, EPS))
-        core = core * num_g / np.maximum(g_gram, EPS)
-        factors = new_factors
-        model.core, model.factors = core, factors
-        if prev is not None and abs(prev - rel) < tol:
+        core, factors, inner_product, norm2 = _sweep(tree, core, factors, np.eye(1))
+        model.history.append((it, _error(xx, inner_product, norm2)))
+        model.converged = _settled(model.history, tol)
+        if model.converged:
             break
-        prev = rel
+    model.core, model.factors = core[0].transpose(back), [factors[k] for k in back]
     data.unpersist()
     return model
 
@@ -197,168 +328,99 @@ def outliers(res: DataFrame, z: float = 3.0) -> DataFrame:
 
 # ---- tensors with a distributed leading mode (e.g. user × O × D × T) ----------------
 
-USER_OUT = "kind int, user_id long, mode int, row int, col int, value double, u array<double>, num array<double>"
+USER_OUT = "kind int, user_id long, u array<double>, b0 long, b1 long, cell long, value array<double>"
 
 
-def _user_blocks(batches):
-    """Regroup user-sorted Arrow batches so that every block holds whole users."""
-    pending = None
-    for pdf in batches:
-        if pending is not None and len(pending):
-            pdf = pd.concat([pending, pdf], ignore_index=True)
-        if not len(pdf):
-            continue
-        users = pdf["user_id"].to_numpy()
-        cut = int(np.searchsorted(users, users[-1], side="left")) if users[0] != users[-1] else 0
-        if cut > 0:
-            yield pdf.iloc[:cut]
-            pending = pdf.iloc[cut:]
-        else:
-            pending = pdf
-    if pending is not None and len(pending):
-        yield pending
-
-
-def _init_users(users: DataFrame, rank: int, seed: int) -> DataFrame:
+def _init_users(users: DataFrame, rank: int) -> DataFrame:
     """Deterministic non-negative start rows: a function of the user id only."""
-    vals = [(F.pmod(F.xxhash64(F.col("user_id"), F.lit(seed * 1000 + k)), F.lit(1000)) / 1000.0 + 0.1)
-            for k in range(rank)]
+    vals = [(F.pmod(F.xxhash64(F.col("user_id"), F.lit(k)), F.lit(1000)) / 1000.0 + 0.1) for k in range(rank)]
     return users.select("user_id", F.array(*vals).alias("u"))
 
 
 def non_negative_tucker_users(coo: DataFrame, cols: list[str], shape: tuple[int, ...], ranks: tuple[int, ...],
-                              n_iter: int = 20, seed: int = 0) -> tuple[DataFrame, TuckerModel]:
-    """O-18 for a tensor whose first mode (users) grows with the data.
-
-    ``coo(user_id, cols..., value)``; ``shape``/``ranks`` cover the user mode
-    first (its size is unused).  The user factor is a table ``(user_id, u)``
-    hash-partitioned like the COO, so the per-iteration join does not move
-    the tensor; each task handles whole users (sorted input) and emits the
-    users' new numerators plus model-sized partial sums.  The new user table
-    is checkpointed every iteration (lineage stays one step long); its Gram
-    matrix is one more partial-sum pass.  Returns (users table, model with
-    the other factors, the core and the error history).
+                              n_iter: int = 3000, tol: float = 1e-5) -> tuple[DataFrame, TuckerModel]:
+    """O-18 for a tensor ``coo(user_id, two station modes, one calendar mode, value)`` whose first mode grows with the data.
+
+    ``shape`` and ``ranks`` cover the user mode first (its size is unused).  The user factor is a table
+    hash-partitioned like the tensor, so the join that brings them together moves nothing.  One pass an
+    iteration updates whole users and, in the same task, contracts the tensor with the new rows: what is
+    left has no user mode, is grouped by cell once, and feeds the same contraction tree as
+    ``non_negative_tucker``.  Users and contraction are checkpointed every iteration.  Returns (users
+    table, model with the other factors, the core and the error history).
     """
     spark = coo.sparkSession
+    ensure_checkpoint_dir(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rng = np.random.default_rng(seed)
-    rest = [rng.random((s, r)) + 0.1 for s, r in zip(shape[1:], ranks[1:])]
-    core = rng.random(ranks) + 0.1
-    data = (coo.select("user_id", *cols, F.col("value").cast("double")).repartition(n, "user_id")
+    rest_shape, rest_ranks, r0 = tuple(shape[1:]), tuple(ranks[1:]), ranks[0]
+    flat = coo.select("user_id", *cols, F.col("value").cast("double").alias("x")).where("x <> 0").checkpoint()
+    data = (flat.select("user_id", *_leaves(cols, rest_shape, [0, 1], [2]), "x").repartition(n, "user_id")
             .sortWithinPartitions("user_id").persist(StorageLevel.MEMORY_AND_DISK))
-    users = _init_users(data.select("user_id").distinct(), ranks[0], seed).repartition(n, "user_id").checkpoint()
-    model = TuckerModel(core, [None] + rest)
-    n_modes = len(ranks)
-    L = _letters(n_modes)
+    users = _init_users(data.select("user_id").distinct(), r0).repartition(n, "user_id").checkpoint()
+    total = flat.groupBy(*cols).agg(F.sum("x").alias("x")).checkpoint()
+    factors = gram_start(total, cols, rest_shape, rest_ranks)
+    xx = flat.agg(F.sum(F.col("x") * F.col("x"))).first()[0] or 0.0
+    core = np.full(ranks, 1.0)
+    model = TuckerModel(core, [None, *factors])
+    gram = _user_gram(users, r0)
 
-    def gram_of(udf: DataFrame) -> np.ndarray:
-        def fn(batches):
-            g = np.zeros((ranks[0], ranks[0]))
-            for pdf in batches:
-                u = np.stack(pdf["u"].to_numpy()) if len(pdf) else np.zeros((0, ranks[0]))
-                g += u.T @ u
-            r, c = np.indices(g.shape)
-            yield pd.DataFrame({"row": r.ravel().astype(np.int32), "col": c.ravel().astype(np.int32),
-                                "value": g.ravel()})
-        p = udf.mapInPandas(fn, "row int, col int, value double").groupBy("row", "col").agg(
-            F.sum("value").alias("value")).toPandas()
-        g = np.zeros((ranks[0], ranks[0]))
-        g[p["row"].to_numpy(), p["col"].to_numpy()] = p["value"].to_numpy()
-        return g
-
-    gram_u = gram_of(users)
     for it in range(n_iter):
-        core_, rest_ = core, rest
-
-        def part(batches):
-            nums = [np.zeros_like(a) for a in rest_]
-            num_g = np.zeros_like(core_)
-            xx = xy = 0.0
-            for blk in _user_blocks(batches):
-                users_ = blk["user_id"].to_numpy()
-                starts = np.flatnonzero(np.r_[True, users_[1:] != users_[:-1]])
-                u_rows = np.stack(blk["u"].to_numpy())
-                idx = [blk[c].to_numpy(np.int64) for c in cols]
-                x = blk["value"].to_numpy(np.float64)
-                rows = [u_rows] + [rest_[m][idx[m]] for m in range(len(rest_))]
-                for n_ in range(n_modes):
-                    ops = ",".join(["".join(L)] + ["z" + L[m] for m in range(n_modes) if m != n_])
-                    contr = np.einsum(f"{ops}->z{L[n_]}", core_, *[rows[m] for m in range(n_modes) if m != n_])
-                    contr *= x[:, None]
-                    if n_ == 0:
-                        user_num = np.add.reduceat(contr, starts, axis=0)
-                    else:
-                        np.add.at(nums[n_ - 1], idx[n_ - 1], contr)
-                ops = ",".join(["z"] + ["z" + L[m] for m in range(n_modes)])
-                num_g += np.einsum(f"{ops}->{''.join(L)}", x, *rows)
-                ops = ",".join(["".join(L)] + ["z" + L[m] for m in range(n_modes)])
-                xhat = np.einsum(f"{ops}->z", core_, *rows)
-                xx += float((x * x).sum())
-                xy += float((x * xhat).sum())
-                yield pd.DataFrame({"kind": 4, "user_id": users_[starts].astype(np.int64), "mode": -1, "row": 0,
-                                    "col": 0, "value": 0.0, "u": list(u_rows[starts]), "num": list(user_num)})
-            frames = []
-            for n_, m in enumerate(nums):
-                r, c = np.nonzero(m)
-                frames.append(pd.DataFrame({"kind": 0, "mode": n_ + 1, "row": r, "col": c, "value": m[r, c]}))
-            flat = num_g.ravel()
-            nz = np.flatnonzero(flat)
-            frames.append(pd.DataFrame({"kind": 1, "mode": -1, "row": nz, "col": 0, "value": flat[nz]}))
-            frames.append(pd.DataFrame({"kind": [2, 3], "mode": -1, "row": 0, "col": 0, "value": [xx, xy]}))
-            out = pd.concat(frames, ignore_index=True)
-            out["user_id"] = -1
-            out["u"] = None
-            out["num"] = None
-            yield out
-
-        joined = data.join(users, "user_id").sortWithinPartitions("user_id")   # whole users per block
-        out = joined.mapInPandas(part, USER_OUT).persist(StorageLevel.MEMORY_AND_DISK)
-        parts = (out.filter(F.col("kind") < 4).groupBy("kind", "mode", "row", "col")
-                 .agg(F.sum("value").alias("value")).toPandas())
-        nums = [np.zeros_like(a) for a in rest]
-        for n_ in range(len(rest)):
-            p = parts[(parts["kind"] == 0) & (parts["mode"] == n_ + 1)]
-            nums[n_][p["row"].to_numpy(), p["col"].to_numpy()] = p["value"].to_numpy()
-        num_g = np.zeros(core.size)
-        p = parts[parts["kind"] == 1]
-        num_g[p["row"].to_numpy()] = p["value"].to_numpy()
-        num_g = num_g.reshape(core.shape)
-        xx = float(parts[parts["kind"] == 2]["value"].sum())
-        xy = float(parts[parts["kind"] == 3]["value"].sum())
-
-        grams = [gram_u] + [a.T @ a for a in rest]
-        g_gram = _core_times(core, grams)
-        norm2 = float((core * g_gram).sum())
-        rel = float(np.sqrt(max(xx - 2 * xy + norm2, 0.0) / xx)) if xx > 0 else 0.0
-        model.history.append((it, rel))
-        c = xy / norm2 if norm2 > 0 and xy > 0 else 1.0
-        core, g_gram = core * c, g_gram * c
-
-        def mode_denominator(n_):
-            mats = [grams[m] if m != n_ else np.eye(core.shape[n_]) for m in range(n_modes)]
-            gc = _core_times(core, mats)
-            gn = np.moveaxis(core, n_, 0).reshape(core.shape[n_], -1)
-            gcn = np.moveaxis(gc, n_, 0).reshape(core.shape[n_], -1)
-            return gn @ gcn.T
-
-        m0 = mode_denominator(0)
-        new_rest = [a * (nums[n_] * c) / np.maximum(a @ mode_denominator(n_ + 1), EPS) for n_, a in enumerate(rest)]
-
-        def upd(batches, m0=m0, c=c):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                u = np.stack(pdf["u"].to_numpy())
-                num = np.stack(pdf["num"].to_numpy()) * c
-                new = u * num / np.maximum(u @ m0, EPS)
-                yield pd.DataFrame({"user_id": pdf["user_id"].to_numpy(np.int64), "u": list(new)})
-
-        users = (out.filter(F.col("kind") == 4).select("user_id", "u", "num")
-                 .mapInPandas(upd, "user_id long, u array<double>").repartition(n, "user_id").checkpoint())
-        out.unpersist()
-        gram_u = gram_of(users)
-        core = core * num_g / np.maximum(g_gram, EPS)
-        rest = new_rest
-        model.core, model.factors = core, [None] + rest
+        grams = [gram, *(f.T @ f for f in factors)]
+        flat_core = core.reshape(r0, -1)
+        # X̂ summed against itself over the user mode: one r0 x r0 matrix
+        bottom = flat_core @ _core_times(core, [np.eye(r0), *grams[1:]]).reshape(r0, -1).T
+        table = _Tree(data, rest_shape, rest_ranks, 2, r0)._by_cell(core, factors)
+        step = _user_step(table, factors[:2], bottom, r0)
+        out = data.join(users, "user_id").sortWithinPartitions("user_id").mapInPandas(step, USER_OUT).checkpoint()
+        users = out.where("kind = 0").select("user_id", "u").repartition(n, "user_id").checkpoint()
+        left = out.where("kind = 1").groupBy("b0", "b1", "cell").agg(
+            F.array(*[F.sum(F.col("value")[k]) for k in range(r0)]).alias("value")).persist(StorageLevel.MEMORY_AND_DISK)
+        gram = _user_gram(users, r0)
+        core, factors, inner_product, norm2 = _sweep(_Tree(left, rest_shape, rest_ranks, 2, r0), core, factors, gram)
+        left.unpersist()
+        model.history.append((it, _error(xx, inner_product, norm2)))
+        model.converged = _settled(model.history, tol)
+        if model.converged:
+            break
+    model.core, model.factors = core, [None, *factors]
     data.unpersist()
     return users, model
+
+
+def _user_step(table, large, bottom, r0):
+    """Task of one user pass: new rows of whole users (kind 0) and the task's sum of the tensor times them (kind 1)."""
+    def step(batches):
+        for block in user_blocks(batches):
+            ids = block["user_id"].to_numpy(np.int64)
+            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            idx = [block["b0"].to_numpy(np.int64), block["b1"].to_numpy(np.int64)]
+            cell, x = block["cell"].to_numpy(np.int64), block["x"].to_numpy(np.float64)
+            num = np.zeros((len(first), r0))
+            owner = np.cumsum(np.append(0, ids[1:] != ids[:-1]))
+            for s in range(0, len(ids), CHUNK):
+                z = slice(s, s + CHUNK)
+                part = table[cell[z]]                                       # (z, user rank, two large ranks)
+                part = np.einsum("zlab,zb->zla", part, large[1][idx[1][z]])
+                np.add.at(num, owner[z], np.einsum("zla,za->zl", part, large[0][idx[0][z]]) * x[z, None])
+            u = np.stack(block["u"].to_numpy()[first])
+            new = u * num / np.maximum(u @ bottom, EPS)
+            yield pd.DataFrame({"kind": 0, "user_id": ids[first], "u": list(new), "b0": 0, "b1": 0, "cell": 0, "value": None})
+            keys = pd.DataFrame({"b0": idx[0], "b1": idx[1], "cell": cell})
+            codes, uniques = pd.factorize(pd.MultiIndex.from_frame(keys))
+            sums = np.zeros((len(uniques), r0))
+            np.add.at(sums, codes, x[:, None] * new[owner])
+            b0, b1, c = (uniques.get_level_values(k).to_numpy(np.int64) for k in range(3))
+            yield pd.DataFrame({"kind": 1, "user_id": -1, "u": None, "b0": b0, "b1": b1, "cell": c, "value": list(sums)})
+    return step
+
+
+def _user_gram(users: DataFrame, r0: int) -> np.ndarray:
+    """U'U: one r0 x r0 matrix a task, added up by the cluster."""
+    def run(batches):
+        g = np.zeros((r0, r0))
+        for pdf in batches:
+            if len(pdf):
+                u = np.stack(pdf["u"].to_numpy())
+                g += u.T @ u
+        yield pd.DataFrame({"k": np.arange(g.size), "x": g.ravel()})
+
+    return _dense(users.select("u").mapInPandas(run, "k long, x double"), r0 * r0).reshape(r0, r0)

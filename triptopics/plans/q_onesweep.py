@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from ..operators import cluster as cl
 from ..operators import metrics as mt
 from ..operators.infer import destination_accuracy, predict_destinations
-from ..operators.topics.estep import collect_stats, estep_docs, estep_stats, prepare_docs
+from ..operators.topics.elbo import elbo
+from ..operators.topics.estep import collect_stats, estep_docs, estep_phi, estep_stats, prepare_docs
 from ..operators.topics.fit import TensorLDAConfig, m_step, online_update
 from ..operators.topics.model import Corpus, TopicModel, corpus_from_trips
 from ..sources.fixtures import TRIPS_SQL, trips
@@ -95,6 +96,28 @@ def q_estep_one_sweep(spark, sf):
         F.expr(f"CAST(c % {L} AS INT)").alias("t_topic"), F.round("theta", 9).alias("theta"))
 
 
+_BOUND_PARTS = " + ".join(
+    f"(SELECT SUM(f.p * (LN(b.p) - LN(f.p))) FROM phi_{d.lower()} f JOIN beta_{d.lower()} b USING (word, topic) WHERE f.word = {c} AND f.p > 0)" for d, c in _DIMS)
+
+
+@query("elbo_one_sweep", _twin(f"""
+    , people AS (SELECT user_id, SUM(cnt) AS n FROM triples GROUP BY 1),
+    cells AS (SELECT user_id, {ALPHA} + COALESCE(mass, 0) AS g FROM people CROSS JOIN (SELECT topic AS o_topic FROM topics) CROSS JOIN (SELECT topic AS d_topic FROM topics)
+              CROSS JOIN (SELECT topic AS t_topic FROM topics) LEFT JOIN theta USING (user_id, o_topic, d_topic, t_topic)),
+    bag AS (SELECT user_id, lgamma({ALPHA} * COUNT(*)) - COUNT(*) * lgamma({ALPHA}) - lgamma(SUM(g)) + SUM(lgamma(g)) AS v FROM cells GROUP BY 1),
+    word AS (SELECT origin, dest, hour, {_BOUND_PARTS} AS v FROM (SELECT DISTINCT origin, dest, hour FROM triples)),
+    fit AS (SELECT user_id, SUM(cnt * v) AS v FROM triples JOIN word USING (origin, dest, hour) GROUP BY 1)
+    SELECT user_id, CAST(n AS DOUBLE) AS wordcount, ROUND(bag.v + fit.v, 4) AS elbo FROM bag JOIN fit USING (user_id) JOIN people USING (user_id)
+    """.strip()).replace("\n, people", ",\npeople"), ("O-06",))
+def q_elbo_one_sweep(spark, sf):
+    """The bound of every traveller's document as native aggregates over the cells of γ and the words' φ."""
+    corpus, model = _start(spark, sf)
+    docs = prepare_docs(corpus.docs)
+    phi = estep_phi(docs, model.beta, ALPHA, 1, ONE.var_tol)
+    theta = estep_docs(docs, model.beta, ALPHA, 1, ONE.var_tol)
+    return elbo(theta, phi, model.beta, ALPHA).select("user_id", "wordcount", F.round("elbo", 4).alias("elbo"))
+
+
 def _model_rows(spark, mats, corpus: Corpus, name: str) -> DataFrame:
     parts = []
     for (dim, _), m, values in zip(_DIMS, mats, (corpus.stations, corpus.stations, corpus.hours)):
