@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tables import SF_SMALL
-from triptopics.operators.topics.fit import TensorLDAConfig, fit_batch, fit_online, infer_docs
+from triptopics.operators.topics.fit import TensorLDAConfig, fit_batch, fit_grid, fit_online, infer_docs
 from triptopics.operators.topics.model import corpus_from_trips
 from triptopics.sources.fixtures import trips
 
@@ -46,3 +46,30 @@ def test_online_variants(spark):
         for b in model.beta:
             assert np.allclose(np.exp(b).sum(axis=1), 1.0)
         assert model.steps >= 2
+
+
+def test_grid_equals_separate_fits_in_shared_passes(spark, monkeypatch):
+    """One pass over the documents serves all λ; a model that has settled leaves the stack."""
+    from triptopics.operators.topics import fit
+    from triptopics.operators.topics.mstep import StationGraph
+
+    corpus = corpus_from_trips(trips(spark, SF_SMALL))
+    rng = np.random.default_rng(0)
+    f = rng.random((corpus.n_stations, 3))
+    graph = StationGraph(corpus.n_stations, [(1.0, f)], [])
+    cfgs = [TensorLDAConfig(J=3, K=2, L=2, iter_em=n, iter_inference=4, lam=lam) for lam, n in ((0.2, 2), (0.1, 4), (1.0, 3))]
+    passes, estep = [], fit.estep_stats
+
+    def spy(docs, betas, *rest):
+        passes.append(len(betas))
+        return estep(docs, betas, *rest)
+
+    monkeypatch.setattr(fit, "estep_stats", spy)
+    grid = fit_grid(corpus, cfgs, graph, graph)
+    assert passes[0] == 3 and passes == sorted(passes, reverse=True) and len(passes) == max(m.steps for m in grid)
+    for cfg, model in zip(cfgs, grid, strict=True):
+        alone = fit_batch(corpus, cfg, graph, graph)
+        assert alone.steps == model.steps
+        assert all(np.allclose(a, b) for a, b in zip(alone.beta, model.beta, strict=True))
+        names = {h["name"] for h in model.history}
+        assert names == {"elbo", "graph_steps_o", "graph_steps_d", "graph_settled"}

@@ -30,7 +30,7 @@ from .kernel import doc_topic_counts, e_step, topic_word_stats
 DOC_COLUMNS = ["user_id", "o", "d", "t", "cnt"]
 BLOCK_ROWS = 20_000
 
-STATS_SCHEMA = "dim int, topic int, word int, value double"
+STATS_SCHEMA = "model int, dim int, topic int, word int, value double"
 DOCS_SCHEMA = ("user_id bigint, wordcount double, elbo double, sweeps int, theta array<double>, "
                "cz_o array<double>, cz_d array<double>, cz_t array<double>")
 
@@ -79,46 +79,51 @@ def _run(pdf: pd.DataFrame, beta, alpha, max_sweeps, var_tol, mode="aligned"):
     return users, doc, o, d, t, cnt, res
 
 
-def estep_stats(docs: DataFrame, beta, alpha: float, max_sweeps: int, var_tol: float,
-                mode: str = "aligned") -> DataFrame:
-    """Topic-word statistics (dim 0/1/2 = O/D/T) and ELBO (dim -1) per task."""
-    lo, ld, lt = beta
-    J, V = lo.shape
-    K = ld.shape[0]
-    L, TT = lt.shape
+def estep_stats(docs: DataFrame, betas, alpha: float, max_sweeps: int, var_tol: float, mode: str = "aligned") -> DataFrame:
+    """Topic-word statistics (dim 0/1/2 = O/D/T) and ELBO (dim -1) per task, of one or several models.
+
+    ``betas`` is one model's (log β_O, log β_D, log β_T) or a list of them: a task reads its documents once
+    and takes every block through all models."""
+    stack = betas if isinstance(betas, list) else [betas]
 
     def fn(batches):
-        so, sd, st = np.zeros((J, V)), np.zeros((K, V)), np.zeros((L, TT))
-        elbo, n_docs = 0.0, 0
+        totals = [[np.zeros(m.shape) for m in beta] for beta in stack]
+        bound = np.zeros((len(stack), 2))
         for block in user_blocks(batches):
-            _, doc, o, d, t, cnt, r = _run(block, beta, alpha, max_sweeps, var_tol, mode)
-            so += topic_word_stats(o, r.phi_o, cnt, V)
-            sd += topic_word_stats(d, r.phi_d, cnt, V)
-            st += topic_word_stats(t, r.phi_t, cnt, TT)
-            elbo += float(r.elbo.sum())
-            n_docs += r.elbo.size
-        rows = []
-        for dim, m in ((0, so), (1, sd), (2, st)):
-            z, w = np.nonzero(m)
-            rows.append(pd.DataFrame({"dim": dim, "topic": z.astype(np.int32), "word": w.astype(np.int32),
-                                      "value": m[z, w]}))
-        rows.append(pd.DataFrame({"dim": [-1, -1], "topic": [0, 1], "word": [0, 0],
-                                  "value": [elbo, float(n_docs)]}))
-        yield pd.concat(rows, ignore_index=True).astype({"dim": "int32", "topic": "int32", "word": "int32"})
+            for k, beta in enumerate(stack):
+                _, _, o, d, t, cnt, r = _run(block, beta, alpha, max_sweeps, var_tol, mode)
+                for total, word, phi in zip(totals[k], (o, d, t), (r.phi_o, r.phi_d, r.phi_t), strict=True):
+                    total += topic_word_stats(word, phi, cnt, total.shape[1])
+                bound[k] += float(r.elbo.sum()), r.elbo.size
+        for k, mats in enumerate(totals):
+            rows = []
+            for dim, m in enumerate(mats):
+                z, w = np.nonzero(m)
+                rows.append(pd.DataFrame({"dim": dim, "topic": z, "word": w, "value": m[z, w]}))
+            rows.append(pd.DataFrame({"dim": [-1, -1], "topic": [0, 1], "word": [0, 0], "value": bound[k]}))
+            yield pd.concat(rows, ignore_index=True).assign(model=k)
 
     return docs.mapInPandas(fn, STATS_SCHEMA)
 
 
 def collect_stats(stats: DataFrame, shapes) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, int]:
-    """Reduce the per-task statistics (model-sized) and bring them to the driver."""
-    (J, V), (K, _), (L, TT) = shapes
-    rows = stats.groupBy("dim", "topic", "word").agg(F.sum("value").alias("value")).toPandas()
-    mats = [np.zeros((J, V)), np.zeros((K, V)), np.zeros((L, TT))]
-    for dim in (0, 1, 2):
-        r = rows[rows["dim"] == dim]
-        mats[dim][r["topic"].to_numpy(), r["word"].to_numpy()] = r["value"].to_numpy()
-    e = rows[rows["dim"] == -1].set_index("topic")["value"]
-    return mats[0], mats[1], mats[2], float(e.get(0, 0.0)), int(e.get(1, 0))
+    """Reduce one model's per-task statistics (model-sized) and bring them to the driver."""
+    return collect_stacked(stats, [shapes])[0]
+
+
+def collect_stacked(stats: DataFrame, shapes: list) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float, int]]:
+    """Reduce the per-task statistics of all models: one grouped sum, model-sized rows."""
+    rows = stats.groupBy("model", "dim", "topic", "word").agg(F.sum("value").alias("value")).toPandas()
+    out = []
+    for k, own in enumerate(shapes):
+        mine = rows[rows["model"] == k]
+        mats = [np.zeros(shape) for shape in own]
+        for dim in (0, 1, 2):
+            r = mine[mine["dim"] == dim]
+            mats[dim][r["topic"].to_numpy(), r["word"].to_numpy()] = r["value"].to_numpy()
+        e = mine[mine["dim"] == -1].set_index("topic")["value"]
+        out.append((*mats, float(e.get(0, 0.0)), int(e.get(1, 0))))
+    return out
 
 
 def estep_docs(docs: DataFrame, beta, alpha: float, max_sweeps: int, var_tol: float,

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ...functions.indexing import dense_index, stable_hash
 from ...session import ensure_checkpoint_dir
-from .estep import collect_stats, estep_docs, estep_stats, prepare_docs
+from .estep import collect_stacked, collect_stats, estep_docs, estep_stats, prepare_docs
 from .model import Corpus, TopicModel
 from .mstep import (StationGraph, beta_from_counts, blend, graph_m_step, initial_counts,
                     learning_rate)
@@ -65,10 +65,14 @@ def init_model(corpus: Corpus, cfg: TensorLDAConfig) -> TopicModel:
 def m_step(so, sd, st, cfg: TensorLDAConfig, graph_o: StationGraph | None,
            graph_d: StationGraph | None, nt_tol: float):
     """O-07 + O-08: β from statistics; O and D regularised by their graphs, T plain."""
-    bo, _ = graph_m_step(beta_from_counts(so), cfg.lam, graph_o, cfg.g_step, nt_tol, cfg.nt_max_iter, cfg.step)
-    bd, _ = graph_m_step(beta_from_counts(sd), cfg.lam, graph_d, cfg.g_step, nt_tol, cfg.nt_max_iter, cfg.step)
-    bt = beta_from_counts(st)
-    return bo, bd, bt
+    return counted_m_step(so, sd, st, cfg, graph_o, graph_d, nt_tol)[0]
+
+
+def counted_m_step(so, sd, st, cfg: TensorLDAConfig, graph_o: StationGraph | None, graph_d: StationGraph | None, nt_tol: float):
+    """``m_step`` and the gradient steps it took for O and D; ``cfg.nt_max_iter`` steps: it did not settle."""
+    bo, n_o = graph_m_step(beta_from_counts(so), cfg.lam, graph_o, cfg.g_step, nt_tol, cfg.nt_max_iter, cfg.step)
+    bd, n_d = graph_m_step(beta_from_counts(sd), cfg.lam, graph_d, cfg.g_step, nt_tol, cfg.nt_max_iter, cfg.step)
+    return (bo, bd, beta_from_counts(st)), (n_o, n_d)
 
 
 def _norms(model: TopicModel):
@@ -80,6 +84,39 @@ def infer_docs(docs: DataFrame, model: TopicModel, cfg: TensorLDAConfig) -> Data
     return estep_docs(prepare_docs(docs), model.beta, model.alpha, cfg.max_sweeps, cfg.var_tol, cfg.mode)
 
 
+class _EM:
+    """One model's way through the EM passes: its β, history and stopping state."""
+
+    def __init__(self, corpus: Corpus, cfg: TensorLDAConfig):
+        self.cfg, self.model = cfg, init_model(corpus, cfg)
+        self.i, self.change, self.bound = 0, -1.0, 0.1
+        self.norms, self.beta_ok, self.began = np.full(3, 0.1), False, time.time()
+
+    @property
+    def running(self) -> bool:
+        c = self.cfg
+        return (self.change < 0 or self.change > c.em_tol or self.i < 2 or not self.beta_ok) and self.i <= c.iter_em
+
+    def take(self, stats, graph_o: StationGraph | None, graph_d: StationGraph | None, metric_fn) -> None:
+        """The M-step on a pass's statistics."""
+        so, sd, st, bound, _ = stats
+        cfg, model = self.cfg, self.model
+        self.change = (self.bound - bound) / self.bound
+        self.bound = bound
+        nt_tol = cfg.nt_tol * (0.5 if 0 < self.change < cfg.em_fine_tune else 1.0)
+        (model.log_bo, model.log_bd, model.log_bt), steps = counted_m_step(so, sd, st, cfg, graph_o, graph_d, nt_tol)
+        norms = _norms(model)
+        self.beta_ok = bool(np.all(np.abs(norms - self.norms) / self.norms < cfg.beta_tol))
+        self.norms = norms
+        elapsed = time.time() - self.began
+        graph = [] if graph_o is None and graph_d is None else [
+            ("graph_steps_o", float(steps[0])), ("graph_steps_d", float(steps[1])), ("graph_settled", float(max(steps) < cfg.nt_max_iter))]
+        rows = [("elbo", bound), *graph, *(metric_fn(model, self.i) if metric_fn is not None else [])]
+        model.history += [{"step": self.i, "name": name, "value": value, "elapsed_s": elapsed} for name, value in rows]
+        self.i += 1
+        model.steps = self.i
+
+
 def fit_batch(corpus: Corpus, cfg: TensorLDAConfig, graph_o: StationGraph | None = None,
               graph_d: StationGraph | None = None, metric_fn=None,
               prepared: DataFrame | None = None) -> TopicModel:
@@ -87,35 +124,32 @@ def fit_batch(corpus: Corpus, cfg: TensorLDAConfig, graph_o: StationGraph | None
 
     ``metric_fn(model, step)`` (optional) returns extra metric rows, e.g.
     hold-out perplexity (O-14/O-17).  ``prepared`` is an already partitioned
-    and cached document table shared by several fits (λ grid, O-16).
+    and cached document table shared by several fits.
     """
-    model = init_model(corpus, cfg)
+    return fit_grid(corpus, [cfg], graph_o, graph_d, metric_fn, prepared)[0]
+
+
+def fit_grid(corpus: Corpus, cfgs: list[TensorLDAConfig], graph_o: StationGraph | None = None,
+             graph_d: StationGraph | None = None, metric_fn=None, prepared: DataFrame | None = None) -> list[TopicModel]:
+    """O-16: the models of several settings (λ values) in shared passes.
+
+    An EM pass reads the documents once and takes each block through every model that still runs; each
+    model stops by its own rule, so the results are those of separate fits.  The settings share the
+    E-step's (α, sweeps, tolerance, mode)."""
+    same = {(c.alpha, c.max_sweeps, c.var_tol, c.mode) for c in cfgs}
+    if len(same) != 1:
+        raise ValueError("models of one grid must share alpha, sweeps, tolerance and mode of the E-step")
+    alpha, max_sweeps, var_tol, mode = same.pop()
     own = prepared is None
     docs = prepare_docs(corpus.docs).persist(StorageLevel.MEMORY_AND_DISK) if own else prepared
-    t0 = time.time()
-    i, converged, ll_old = 0, -1.0, 0.1
-    norms_old = np.full(3, 0.1)
-    beta_ok = False
-    while (converged < 0 or converged > cfg.em_tol or i < 2 or not beta_ok) and i <= cfg.iter_em:
-        so, sd, st, ll, n_docs = collect_stats(
-            estep_stats(docs, model.beta, model.alpha, cfg.max_sweeps, cfg.var_tol, cfg.mode), model.shape)
-        converged = (ll_old - ll) / ll_old
-        ll_old = ll
-        nt_tol = cfg.nt_tol * (0.5 if 0 < converged < cfg.em_fine_tune else 1.0)
-        model.log_bo, model.log_bd, model.log_bt = m_step(so, sd, st, cfg, graph_o, graph_d, nt_tol)
-        norms = _norms(model)
-        beta_ok = bool(np.all(np.abs(norms - norms_old) / norms_old < cfg.beta_tol))
-        norms_old = norms
-        el = time.time() - t0
-        model.history.append({"step": i, "name": "elbo", "value": ll, "elapsed_s": el})
-        if metric_fn is not None:
-            for name, value in metric_fn(model, i):
-                model.history.append({"step": i, "name": name, "value": value, "elapsed_s": el})
-        i += 1
-    model.steps = i
+    runs = [_EM(corpus, cfg) for cfg in cfgs]
+    while live := [r for r in runs if r.running]:
+        stats = estep_stats(docs, [r.model.beta for r in live], alpha, max_sweeps, var_tol, mode)
+        for r, found in zip(live, collect_stacked(stats, [r.model.shape for r in live]), strict=True):
+            r.take(found, graph_o, graph_d, metric_fn)
     if own:
         docs.unpersist()
-    return model
+    return [r.model for r in runs]
 
 
 def assign_minibatches(docs: DataFrame, batch_size: int, seed: int = 0) -> tuple[DataFrame, int]:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
@@ -23,11 +22,11 @@ from ..operators import metrics as mt
 from ..operators import trips as tr
 from ..operators.graph import to_station_graph
 from ..operators.infer import destination_accuracy, predict_destinations
-from ..operators.topics.estep import prepare_docs
-from ..operators.topics.fit import TensorLDAConfig, fit_batch, fit_online, infer_docs
+from ..operators.topics.fit import TensorLDAConfig, fit_batch, fit_grid, fit_online, infer_docs
+from ..operators.topics.flat import fit_flat_lda
 from ..operators.topics.model import Corpus, corpus_from_trips
-from ..sources.fixtures import trips, trips_od
-from .catalog import query
+from ..sources.fixtures import TRIPS_SQL, trips, trips_od
+from .catalog import query, with_views
 from .fixtures_model import nation_graph
 
 CFG = TensorLDAConfig()                 # J/K/L 10/10/4, α 5, λ 0.1, ≤ 11 EM passes, ≤ 21 sweeps
@@ -138,14 +137,11 @@ def q_lambda_grid(spark, sf):
     corpus, tr_docs, te_docs = _split_corpus(spark, trips_od(spark, sf))
     g = _graphs(spark, sf, corpus)
     train = Corpus(tr_docs, corpus.stations, corpus.hours)
-    shared = prepare_docs(tr_docs).persist(StorageLevel.MEMORY_AND_DISK)     # one copy for every λ
+    cfgs = [TensorLDAConfig(lam=lam) for lam in LAMBDAS]
     rows = []
-    for lam in LAMBDAS:
-        cfg = TensorLDAConfig(lam=lam)
-        model = fit_batch(train, cfg, graph_o=g, graph_d=g, prepared=shared)
+    for cfg, model in zip(cfgs, fit_grid(train, cfgs, g, g), strict=True):      # one pass over the documents for all λ
         for name, value in _holdout_metrics(spark, model, te_docs, cfg):
-            rows.append((float(lam), name, value))
-    shared.unpersist()
+            rows.append((float(cfg.lam), name, value))
     return spark.createDataFrame(rows, "lam double, metric string, value double")
 
 
@@ -245,17 +241,27 @@ def q_flat_lda_doc_topics(spark, sf):
 
 @query("flat_vlda_fit", None, ("O-04", "A-12"))
 def q_flat_vlda_fit(spark, sf):
-    """Own variational flat LDA: the tensor kernel with one destination and one
-    time topic over a one-word vocabulary is exactly LDA over flat tokens."""
+    """Own variational flat LDA over all O#_D#_T# tokens (7-hour bins); β stays a table."""
     tok = dc.flat_tokens(flow.user_od_tensor(trips(spark, sf), 7))
-    ids = tok.select("token").distinct().withColumn(
-        "o", (F.dense_rank().over(Window.orderBy("token")) - 1)
-        .cast("int"))
-    tokens = np.array([r[0] for r in ids.orderBy("o").select("token").collect()])
-    docs = tok.join(ids, "token").select("user_id", "o", F.lit(0).alias("d"), F.lit(0).alias("t"), "cnt")
-    corpus = Corpus(docs, np.arange(tokens.size), np.zeros(1, dtype=np.int64))
-    cfg = TensorLDAConfig(J=FLAT_TOPICS, K=1, L=1, alpha=0.1, lam=1.0)
-    model = fit_batch(corpus, cfg)
-    z, w = np.indices(model.log_bo.shape)
-    return spark.createDataFrame(pd.DataFrame({"topic": z.ravel().astype(np.int32), "token": tokens[w.ravel()],
-                                               "logp": model.log_bo.ravel()}))
+    model = fit_flat_lda(tok, FLAT_TOPICS)
+    return model.long().withColumn("converged", F.lit(model.converged))
+
+
+@query("flat_vlda_one_sweep", with_views(f"""
+SELECT topic, token, ROUND(SUM(cnt * b / s) / SUM(SUM(cnt * b / s)) OVER (PARTITION BY topic), 9) AS p
+FROM words JOIN (SELECT token, topic, b, SUM(b) OVER (PARTITION BY token) AS s FROM started) USING (token) GROUP BY 1, 2""",
+    trips=TRIPS_SQL,
+    words="""SELECT 'O' || origin || '_D' || dest || '_T' || CAST(CAST(((HOUR(ts) - 5) % 24 + 24) % 24 AS INT) // 7 AS INT) AS token, COUNT(*) AS cnt
+             FROM trips WHERE ((HOUR(ts) - 5) % 24 + 24) % 24 < 21 GROUP BY 1""",
+    started=f"""SELECT token, CAST(topic AS INT) AS topic, n * 1.0 / SUM(n) OVER (PARTITION BY topic) AS b FROM (
+                SELECT token, topic, 1 + (length(token) * 3 + ascii(right(token, 1)) + (topic + 1) * ascii(substr(token, 2, 1))) % 7 AS n
+                FROM (SELECT DISTINCT token FROM words), range({FLAT_TOPICS}) t(topic))"""), ("O-04",))
+def q_flat_vlda_one_sweep(spark, sf):
+    """β after one sweep and one M-step from a start that SQL can state."""
+    def start(token):
+        last, second = F.ascii(F.right(token, F.lit(1))), F.ascii(F.substring(token, 2, 1))
+        return F.array(*[(1 + (F.length(token) * 3 + last + (k + 1) * second) % 7).cast("double") for k in range(FLAT_TOPICS)])
+
+    tok = dc.flat_tokens(flow.user_od_tensor(trips(spark, sf), 7))
+    model = fit_flat_lda(tok, FLAT_TOPICS, max_iter=1, sweeps=1, start=start)
+    return model.long().select("topic", "token", F.round(F.exp("logp"), 9).alias("p"))
