@@ -76,3 +76,31 @@ def test_repeated_rows_are_not_earlier_than_each_other(spark):
     rows = [(1, "x" + "abcdefghij" * 3 + str(k % 1) * 90) for k in range(2)]
     got = suffix_dedup.kept_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert got[0] == got[1]
+
+
+@pytest.mark.parametrize("hot,share", [(20_000, 0.001), (0, 0.001), (20_000, 0.0)])
+def test_one_id_with_several_texts(spark, monkeypatch, hot, share):
+    """Texts of one id are judged each for itself against smaller ids; repeated rows alike."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT_SHARE", share)
+    rng = random.Random(hot)
+    text = lambda n: "".join(rng.choice("abcdefg é") for _ in range(n))
+    shared = [text(n) for n in (100, 130, 300)]
+    rows = [(d, text(rng.randint(0, 150)) + rng.choice(shared) + text(rng.randint(0, 60)) + rng.choice(["", *shared])) for d in (1, 2, 2, 2, 5, 5, 9) for _ in range(2)]
+    a, b = text(820), text(820)
+    rows += [(20, a), (21, a), (21, b), (21, b), (22, b), (22, a + b)]
+    got = suffix_dedup.kept_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = []
+    for d, t in rows:
+        raw, seen = t.encode(), set()
+        for e, other in rows:
+            if e < d:
+                seen |= {other.encode()[p:p + 100] for p in range(len(other.encode()) - 99)}
+        cover = [False] * len(raw)
+        for p in range(len(raw) - 99):
+            if raw[p:p + 100] in seen:
+                cover[p:p + 100] = [True] * 100
+            seen.add(raw[p:p + 100])
+        spans = sum(1 for i, c in enumerate(cover) if c and (i == 0 or not cover[i - 1]))
+        want.append((d, len(raw), sum(cover), spans, hashlib.sha256(bytes(x for x, c in zip(raw, cover, strict=True) if not c)).hexdigest()))
+    assert sorted(map(tuple, got)) == sorted(want)

@@ -15,10 +15,14 @@ the same bytes need comparing, and about one place in 35 is an anchor.
    A gram shared by more than ``HOT`` distinct stretches is never brought together in one task: its
    windows are grouped by their hashes instead, which sums up on the map side.
 
+Grams that hold more than a ``HOT_SHARE`` of all anchors (a passage that very many documents share) are
+known after the first count, at most ``1 / HOT_SHARE`` of them; joins on them are salted.
+
 "Earlier" is a smaller doc_id, or an earlier start in the same document; the input is judged, not
 what is left.  Null text is the empty text; rows without a doc_id are neither judged nor compared
-and keep all bytes; rows that repeat a doc_id repeat its text and none of them is earlier than the other; an
-empty table gives an empty result; extra columns are ignored.
+and keep all bytes; of rows that repeat a doc_id none is earlier than the other, and those of different texts
+are judged each for itself (``version`` is a hash of the row's text); an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ GRAM = 32
 REACH = LENGTH - GRAM           # offsets of an anchor in its windows: 0 to REACH
 PIECE = 1 << 22
 HOT = 20_000
+HOT_SHARE = 0.001
+SALTS = 64
 GROUP_ROWS = 50_000
 BROADCAST_RUNS = 1_000_000
 
@@ -95,12 +101,18 @@ def _unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a, lo, lo + ((place >> 1) & 0xFF)
 
 
+def _versioned(docs: DataFrame) -> DataFrame:
+    """doc_id, text and version (a hash of the text) of every row with a doc_id."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("version"))
+
+
 def anchor_table(docs: DataFrame) -> DataFrame:
-    """gram, stretch, doc_id, place of every anchor (place: anchor, its windows, and whether the text had the stretch before)."""
+    """gram, stretch, doc_id, version, place of every anchor (place: anchor, its windows, and whether the text had the stretch before)."""
     def run(batches):
         for batch in batches:
             data, off = text_view(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy()
+            ids, version = batch.column("doc_id").to_numpy(), batch.column("version").to_numpy()
             for i, j in row_blocks(off):
                 row, a, lo, hi, gram, stretch = anchors(data, off[i:j + 1])
                 order = np.lexsort((a, stretch, gram, row))
@@ -108,11 +120,10 @@ def anchor_table(docs: DataFrame) -> DataFrame:
                 same = (np.diff(row[order]) == 0) & (gram[order[1:]] == gram[order[:-1]]) & (stretch[order[1:]] == stretch[order[:-1]]) if len(row) else []
                 again[order[1:]] = same
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(ids[i:j][row]), pa.array(_packed(a, lo, hi, again))],
-                    names=["gram", "stretch", "doc_id", "place"])
+                    [pa.array(gram.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(ids[i:j][row]), pa.array(version[i:j][row]),
+                     pa.array(_packed(a, lo, hi, again))], names=["gram", "stretch", "doc_id", "version", "place"])
 
-    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "gram long, stretch long, doc_id long, place long")
+    return _versioned(docs).where("doc_id IS NOT NULL").mapInArrow(run, "gram long, stretch long, doc_id long, version long, place long")
 
 
 def _bounded_by(df: DataFrame, runs: str) -> DataFrame:
@@ -120,13 +131,13 @@ def _bounded_by(df: DataFrame, runs: str) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(F.size(runs))).first()[0] or 0) <= BROADCAST_RUNS else df
 
 
-CONTEXT = "gram long, doc_id long, place long, before binary, after binary"
+CONTEXT = "gram long, doc_id long, version long, place long, before binary, after binary"
 
 
 def contexts(docs: DataFrame, open_places: DataFrame) -> DataFrame:
     """``CONTEXT``: the REACH bytes before each anchor, reversed, and the LENGTH bytes from it (zeros beyond the text)."""
-    listed = written(open_places.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "place")).alias("open")), "suffix-listed")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(listed, "doc_id")
+    listed = written(open_places.groupBy("doc_id", "version").agg(F.collect_set(F.struct("gram", "place")).alias("open")), "suffix-listed")
+    texts = _versioned(docs).join(listed, ["doc_id", "version"])
 
     def run(batches):
         for batch in batches:
@@ -141,11 +152,11 @@ def contexts(docs: DataFrame, open_places: DataFrame) -> DataFrame:
                     a = (place[part] >> 16)[:, None]
                     before = np.ascontiguousarray(text[a + np.arange(REACH - 1, -1, -1)])
                     after = np.ascontiguousarray(text[a + REACH + np.arange(LENGTH)])
+                    own = [pa.array(np.full(len(a), batch.column(c)[r].as_py(), np.int64)) for c in ("doc_id", "version")]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(gram[part]), pa.array(np.full(len(a), batch.column("doc_id")[r].as_py(), np.int64)), pa.array(place[part]),
-                         _fixed(before), _fixed(after)], names=[c.split()[0] for c in CONTEXT.split(", ")])
+                        [pa.array(gram[part]), *own, pa.array(place[part]), _fixed(before), _fixed(after)], names=[c.split()[0] for c in CONTEXT.split(", ")])
 
-    return texts.select("doc_id", "text", "open").mapInArrow(run, CONTEXT)
+    return texts.select("doc_id", "version", "text", "open").mapInArrow(run, CONTEXT)
 
 
 def _fixed(rows: np.ndarray) -> pa.Array:
@@ -156,16 +167,17 @@ def _matrix(col: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def repeated_windows(doc: np.ndarray, place: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc, start, end of the removed stretches around anchors of equal grams (whole groups of rows).
+def repeated_windows(doc: np.ndarray, version: np.ndarray, place: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, ...]:
+    """doc, version, start, end of the removed stretches around anchors of equal grams (whole groups of rows).
 
     At offset d two windows are equal if the sorted contexts share LENGTH - d bytes after the anchor and
-    d bytes before it; runs of such neighbours are numbered, and in each pair of runs the earliest row
-    (rows are in order of document and place) keeps its window."""
-    first = np.lexsort((place >> 16, doc))
-    doc, place, before, after = doc[first], place[first], before[first], after[first]
+    d bytes before it; runs of such neighbours are numbered, and in each pair of runs the rows of the
+    earliest document (rows are in order of document, version and place) keep the first window of each of its versions."""
+    first = np.lexsort((place >> 16, version, doc))
+    doc, version, place, before, after = doc[first], version[first], place[first], before[first], after[first]
     a, lo, hi = _unpacked(place)
     n = len(doc)
+    text = np.cumsum(np.append(False, (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])))[:n]
     lcp = []
     for rows in (after, before):
         order = deep_shallow_sort(rows)
@@ -183,11 +195,12 @@ def repeated_windows(doc: np.ndarray, place: np.ndarray, before: np.ndarray, aft
         both = run[0] * (n + 1) + run[1]
         _, head, inverse = np.unique(both, return_index=True, return_inverse=True)
         ahead = live[head[inverse]]
-        later = (doc[ahead] != doc[live]) | (a[ahead] != a[live])
+        _, head, own = np.unique(inverse * n + text[live], return_index=True, return_inverse=True)
+        later = (doc[ahead] != doc[live]) | (a[live[head[own]]] != a[live])
         low[live[later]] = np.minimum(low[live[later]], d)
         high[live[later]] = d
     hit = high >= 0
-    return doc[hit], (a - high)[hit], (a - low + LENGTH)[hit]
+    return doc[hit], version[hit], (a - high)[hit], (a - low + LENGTH)[hit]
 
 
 def _window_hashes(before: np.ndarray, after: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -205,12 +218,12 @@ def _window_hashes(before: np.ndarray, after: np.ndarray, place: np.ndarray) ->
 
 
 def _sorted_groups(rows: DataFrame) -> DataFrame:
-    """doc_id, start, end removed within grams of at most ``HOT`` distinct stretches."""
+    """doc_id, version, start, end removed within grams of at most ``HOT`` distinct stretches."""
     def run(batches):
         def done(parts):
             t = pa.Table.from_batches(parts)
-            d, s, e = repeated_windows(t.column("doc_id").to_numpy(), t.column("place").to_numpy(), _matrix(t.column("before"), REACH), _matrix(t.column("after"), LENGTH))
-            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e)], names=["doc_id", "start", "end"])
+            found = repeated_windows(*(t.column(c).to_numpy() for c in ("doc_id", "version", "place")), _matrix(t.column("before"), REACH), _matrix(t.column("after"), LENGTH))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["doc_id", "version", "start", "end"])
 
         parts, size = [], 0
         for batch in batches:
@@ -226,63 +239,75 @@ def _sorted_groups(rows: DataFrame) -> DataFrame:
         if size:
             yield done(parts)
 
-    return rows.repartition(F.col("gram")).sortWithinPartitions("gram").mapInArrow(run, "doc_id long, start long, end long")
+    return rows.repartition(F.col("gram")).sortWithinPartitions("gram").mapInArrow(run, "doc_id long, version long, start long, end long")
 
 
 def _hashed_windows(rows: DataFrame) -> DataFrame:
-    """doc_id, start, end removed within grams of more than ``HOT`` distinct stretches: windows grouped by hash."""
+    """doc_id, version, start, end removed within grams of more than ``HOT`` distinct stretches: windows grouped by hash."""
     def run(batches):
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            place, gram, doc = (t.column(c).to_numpy() for c in ("place", "gram", "doc_id"))
+            place, gram, doc, version = (t.column(c).to_numpy() for c in ("place", "gram", "doc_id", "version"))
             for d, at, h in _window_hashes(_matrix(t.column("before"), REACH), _matrix(t.column("after"), LENGTH), place):
-                yield pa.RecordBatch.from_arrays([pa.array(gram[at]), pa.array(np.full(len(at), d)), pa.array(h.view(np.int64)), pa.array(doc[at]), pa.array((place[at] >> 16) - d)],
-                                                 names=["gram", "d", "h", "doc_id", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(gram[at]), pa.array(np.full(len(at), d)), pa.array(h.view(np.int64)), pa.array(doc[at]), pa.array(version[at]), pa.array((place[at] >> 16) - d)],
+                                                 names=["gram", "d", "h", "doc_id", "version", "start"])
 
-    windows = rows.mapInArrow(run, "gram long, d long, h long, doc_id long, start long")
-    local = windows.groupBy("gram", "d", "h", "doc_id").agg(F.min("start").alias("least"))
+    windows = rows.mapInArrow(run, "gram long, d long, h long, doc_id long, version long, start long")
+    local = windows.groupBy("gram", "d", "h", "doc_id", "version").agg(F.min("start").alias("least"))
     heads = local.groupBy("gram", "d", "h").agg(F.min("doc_id").alias("first_doc"))
-    joined = windows.join(local, ["gram", "d", "h", "doc_id"]).join(heads, ["gram", "d", "h"])
-    return joined.where("first_doc < doc_id OR least < start").select("doc_id", "start", (F.col("start") + LENGTH).alias("end"))
+    joined = windows.join(local, ["gram", "d", "h", "doc_id", "version"]).join(heads, ["gram", "d", "h"])
+    return joined.where("first_doc < doc_id OR least < start").select("doc_id", "version", "start", (F.col("start") + LENGTH).alias("end"))
 
 
 def removed_runs(docs: DataFrame) -> DataFrame:
-    """doc_id, runs: the maximal removed byte runs [start, end) of every document that has any."""
+    """doc_id, version, runs: the maximal removed byte runs [start, end) of every text that has any."""
     rows = anchor_table(docs)
-    common = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    shared = written(rows.join(common, "gram"), "suffix-shared")
-    firsts = shared.groupBy("gram", "stretch").agg(F.min("doc_id").alias("first_doc"))
-    placed = written(shared.join(firsts, ["gram", "stretch"]).select("gram", "stretch", "doc_id", "place",
+    common = written(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "suffix-common")
+    total = common.agg(F.sum("n")).first()[0] or 0
+    # at most 1 / HOT_SHARE grams
+    hot_grams = F.broadcast(common.where(F.col("n") > HOT_SHARE * total).select("gram", F.lit(SALTS).alias("salts")))
+
+    def salted(df):
+        """Rows of hot grams dealt over ``SALTS`` join keys by their document."""
+        return df.join(hot_grams, "gram", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), "salts"), F.lit(0))).drop("salts")
+
+    def spread(df):
+        """Rows of hot grams once for every salt."""
+        return df.join(hot_grams, "gram", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1))).drop("salts")
+
+    shared = written(salted(rows).join(spread(common.select("gram")), ["gram", "salt"]), "suffix-shared")
+    firsts = spread(shared.groupBy("gram", "stretch").agg(F.min("doc_id").alias("first_doc")))
+    placed = written(shared.join(firsts, ["gram", "stretch", "salt"]).select("gram", "stretch", "doc_id", "version", "place",
                      ((F.col("first_doc") == F.col("doc_id")) & (F.col("place").bitwiseAND(F.lit(1)) == 0)).alias("head")), "suffix-placed")
     a, lo = F.shiftright("place", 16), F.shiftright("place", 16) - F.shiftright("place", 9).bitwiseAND(F.lit(0x7F))
-    whole = placed.where(~F.col("head")).select("doc_id", lo.alias("start"), (lo + F.shiftright("place", 1).bitwiseAND(F.lit(0xFF)) + LENGTH).alias("end"))
+    whole = placed.where(~F.col("head")).select("doc_id", "version", lo.alias("start"), (lo + F.shiftright("place", 1).bitwiseAND(F.lit(0xFF)) + LENGTH).alias("end"))
 
     heads = placed.where("head")
     mixed = heads.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    open_places = heads.join(mixed, "gram").select("gram", "doc_id", "place", (F.col("n") > HOT).alias("hot"))
+    open_places = heads.join(mixed, "gram").select("gram", "doc_id", "version", "place", (F.col("n") > HOT).alias("hot"))
     around = written(contexts(docs, open_places), "suffix-contexts")
     hot = written(mixed.where(F.col("n") > HOT).select("gram"), "suffix-hot")
     if hot.count():
         parts = _sorted_groups(around.join(hot, "gram", "left_anti")).union(_hashed_windows(around.join(hot, "gram", "left_semi")))
     else:
         parts = _sorted_groups(around)
-    found = whole.union(parts).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    found = whole.union(parts).groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end")).alias("found"))
 
     def run(batches):
         for batch in batches:
             lists = batch.column("found")
             off = lists.offsets.to_numpy()
             start, end = (lists.values.field(c).to_numpy() for c in ("start", "end"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(
-                [merged(start[x:y], end[x:y]) for x, y in zip(off[:-1], off[1:], strict=True)], pa.list_(pa.int64()))], names=["doc_id", "runs"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(
+                [merged(start[x:y], end[x:y]) for x, y in zip(off[:-1], off[1:], strict=True)], pa.list_(pa.int64()))], names=["doc_id", "version", "runs"])
 
-    return found.mapInArrow(run, "doc_id long, runs array<long>")
+    return found.mapInArrow(run, "doc_id long, version long, runs array<long>")
 
 
 def kept_bytes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     runs = written(removed_runs(docs), "suffix-runs")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(_bounded_by(runs, "runs"), "doc_id", "left")
+    texts = _versioned(docs).join(_bounded_by(runs, "runs"), ["doc_id", "version"], "left")
 
     def run(batches):
         for batch in batches:
