@@ -1,6 +1,8 @@
 import random
 import re
 
+from corpus_rows import make_docs
+
 from triptopics.llm import decontaminate
 
 
@@ -58,3 +60,16 @@ def test_empty_tables_and_filter(spark, edge_docs, no_docs):
     assert decontaminate.contaminated(no_docs, items).count() == 0
     assert decontaminate.contaminated(edge_docs, none).count() == 0
     assert decontaminate.without_contaminated(edge_docs, items).count() == edge_docs.count()
+
+
+def test_one_word_100_000_times(spark):
+    """Every position of a repetitive text is a hit; none of them carries the text."""
+    import time
+
+    rows = [(1, "spam " * 100_000, "en", "a"), (2, "spam " * 12, "en", "a"), (3, "ham spam " * 200, "en", "a")]
+    items = spark.createDataFrame([(7, "spam " * 30)], "item_id long, text string")
+    began = time.time()
+    got = {r.doc_id: (r.first_word, r.n_windows, r.substitutions) for r in decontaminate.contaminated(make_docs(spark, rows), items).collect()}
+    n, w = 100_000, 30
+    total = sum(max(0, min(w, n - s) - max(0, -s) - 12) for s in range(-w, n))
+    assert got == {1: (0, total, 0)} and time.time() - began < 40

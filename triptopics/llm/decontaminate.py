@@ -64,20 +64,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     named = written(hits.select("doc_id").distinct(), "bench-docs")
     texts = words.join(hinted(named), "doc_id", "left_semi").withColumnRenamed("w", "d")
-    aligned = hits.join(texts, "doc_id").join(hinted(items.withColumnRenamed("w", "b"), 20_000), "item_id")
-    return _verified(aligned)
+    small_items = hinted(items.withColumnRenamed("w", "b"), 20_000)
+    listed = hits.join(small_items.select("item_id", "n"), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "n")).alias("hits"))
+    return _verified(_aligned(texts.join(listed, "doc_id")).join(small_items, "item_id"))
+
+
+def _aligned(texts: DataFrame) -> DataFrame:
+    """doc_id, item_id, shift, lo and p: the words of the document that an alignment sets against the item's from ``lo`` on.
+
+    A document meets its hits in one row and gives each its few words, so no hit carries the whole text."""
+    def part(h: Column) -> Column:
+        lo = F.greatest(F.lit(0), -h["shift"])
+        hi = F.least(h["n"], F.size("d") - h["shift"])
+        return F.struct(h["item_id"].alias("item_id"), h["shift"].alias("shift"), lo.alias("lo"),
+                        F.slice("d", lo + h["shift"] + 1, F.greatest(hi - lo, F.lit(0))).alias("p"))
+
+    return texts.select("doc_id", F.explode(F.transform("hits", part)).alias("x")).select("doc_id", "x.*")
 
 
 def _verified(aligned: DataFrame) -> DataFrame:
-    """Matching windows of each alignment (d, b: word hashes; shift: position in d less that in b)."""
-    lo = F.greatest(F.lit(0), -F.col("shift"))
-    hi = F.least(F.col("n"), F.size("d") - F.col("shift"))
+    """Matching windows of each alignment (p: words of the document against b from ``lo`` on; shift: position in the document less that in b)."""
     span = F.least(F.col("n"), F.lit(WINDOW))
     allowed = F.when(F.col("n") < WINDOW, 0).otherwise(SUBSTITUTIONS)
-    differ = F.transform(F.sequence(lo, hi - 1), lambda k: (F.get("d", k + F.col("shift")) != F.get("b", k)).cast("int"))
-    marked = aligned.where(hi - lo >= span).select("doc_id", "item_id", (lo + F.col("shift")).alias("from"), span.alias("span"),
-                                                   allowed.alias("allowed"), differ.alias("x"))
-    sums = F.transform(F.sequence(F.lit(0), F.size("x") - F.col("span")),
+    differ = F.transform("p", lambda x, k: (x != F.get("b", k + F.col("lo"))).cast("int"))
+    marked = aligned.where(F.size("p") >= span).select("doc_id", "item_id", (F.col("lo") + F.col("shift")).alias("from"), span.alias("span"),
+                                                       allowed.alias("allowed"), differ.alias("x"))
+    # fewer equal words than a window needs: no window can match
+    marked = marked.where(F.aggregate("x", F.lit(0), lambda a, v: a + 1 - v) >= F.col("span") - F.col("allowed"))
+    sums = F.transform(F.sequence(F.lit(0), F.greatest(F.size("x") - F.col("span"), F.lit(0))),
                        lambda o: F.aggregate(F.slice("x", o + 1, F.col("span")), F.lit(0), lambda a, v: a + v))
     windows = marked.select("doc_id", "item_id", "from", "allowed", sums.alias("s"))
     good = F.filter("s", lambda v: v <= F.col("allowed"))
