@@ -17,8 +17,8 @@ and the ``small`` ones (calendar: day, hour), whose joint cells fit the driver:
 
 ‖X − X̂‖² = ‖X‖² − 2⟨num_G, G⟩ + ⟨G, G x_n A_n'A_n⟩, so neither the dense tensor nor another pass is needed.
 
-The start is deterministic: the absolute leading eigenvectors of each mode's Gram matrix and the core
-they give.  The fit ends when an iteration lowers the relative error by no more than ``tol`` of it
+The start is deterministic: of each leading eigenvector of a mode's Gram matrix the heavier of its
+positive and negative part, which gives components of different support, and the core they make.  The fit ends when an iteration lowers the relative error by no more than ``tol`` of it
 (``converged``), or after ``n_iter`` iterations.
 """
 
@@ -221,14 +221,17 @@ def _hash_rows(size: int, rank: int) -> np.ndarray:
 
 
 def gram_start(data: DataFrame, cols: list[str], shape: tuple[int, ...], ranks: tuple[int, ...]) -> list[np.ndarray]:
-    """Absolute leading eigenvectors of every mode's Gram matrix (``data``: cols, x), kept off zero."""
+    """The heavier signed parts of the leading eigenvectors of every mode's Gram matrix (``data``: cols, x), kept off zero."""
     out = []
     for n, (size, rank) in enumerate(zip(shape, ranks, strict=True)):
         if size > GRAM_SIZE:
             out.append(_hash_rows(size, rank))
             continue
         _, vectors = np.linalg.eigh(_gram(data, cols[n], [c for k, c in enumerate(cols) if k != n], size))
-        a = np.abs(vectors[:, ::-1][:, :rank])
+        v = vectors[:, ::-1][:, :rank]
+        v = v * np.where(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])] < 0, -1.0, 1.0)     # eigenvectors have no sign of their own
+        up, down = np.maximum(v, 0), np.maximum(-v, 0)
+        a = np.where((up ** 2).sum(axis=0) >= (down ** 2).sum(axis=0) - 1e-9, up, down)
         if a.shape[1] < rank:
             a = np.hstack([a, _hash_rows(size, rank - a.shape[1]) / size])
         out.append(a + FLOOR * max(a.mean(), EPS))

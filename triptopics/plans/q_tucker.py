@@ -20,7 +20,7 @@ from .catalog import query, with_views
 # Ranks and most iterations of the reference's OD-demand decomposition (origin, destination, day, hour).
 RANKS = (10, 10, 7, 4)
 N_ITER = 1000
-TOL = 1e-4
+TOL = 1e-5
 COLS = ["i0", "i1", "i2", "i3"]
 
 
