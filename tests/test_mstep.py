@@ -48,3 +48,23 @@ def test_blend_and_rate():
     b = np.log(np.array([[0.9, 0.1]]))
     assert np.allclose(np.exp(blend(a, b, 0.25)), [[0.6, 0.4]])
     assert abs(learning_rate(16, 0.5, 0) - 17 ** -0.5) < 1e-15
+
+
+def test_m_step_over_an_edge_table_equals_the_dense_form(spark):
+    from triptopics.operators.topics.laplacian import laplacian_m_step
+    from triptopics.operators.topics.mstep import StationGraph, graph_m_step
+
+    rng = np.random.default_rng(4)
+    n, topics = 9, 3
+    w = np.triu(rng.random((n, n)) * (rng.random((n, n)) < 0.5), 1)
+    w = w + w.T
+    i, j = np.nonzero(w)
+    p0 = rng.dirichlet(np.ones(n), topics)
+    rows = spark.createDataFrame([(int(s), [float(v) for v in p0[:, s]]) for s in range(n)], "station int, p array<double>")
+    edges = spark.createDataFrame([(int(a), int(b), float(w[a, b])) for a, b in zip(i, j, strict=True)] + [(50, 1, 2.0), (1, 50, 2.0), (2, 3, 0.0)],
+                                  "w1 int, w2 int, weight double")
+    for tol, most in ((1e-3, 200), (-1.0, 3)):
+        want, steps = graph_m_step(np.log(p0), 0.3, StationGraph(n, edges=[(1.0, i, j, w[i, j])]), 0.05, tol, most)
+        fit = laplacian_m_step(rows, edges, topics, 0.3, 0.05, tol, most)
+        got = np.array([r.p for r in fit.p.orderBy("station").collect()]).T
+        assert fit.steps == steps and fit.converged == (tol > 0) and np.allclose(got, np.exp(want))

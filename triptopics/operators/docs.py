@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import token, triple_token
 from ..functions.indexing import guarded_broadcast, spread_input
+from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import chained_position
 
 DOC_CHUNK = 1000
@@ -113,8 +114,11 @@ def index_corpus(trips: DataFrame, ids: DataFrame, order: list[str]) -> DataFram
     """J-03 (``doc2idx``): positions with o/d/t ids; tokens missing from the
     vocabulary map to -1 (left join + coalesce)."""
     w = doc_words(trips, order)
-    st = guarded_broadcast(ids.filter(F.col("dim") == "S").select("value", "id"))
-    hr = guarded_broadcast(ids.filter(F.col("dim") == "T").select("value", "id"))
+    ensure_checkpoint_dir(ids.sparkSession)
+    ids = ids.select("dim", "value", "id").checkpoint()         # one small table, filtered twice
+    n = ids.count()
+    st = guarded_broadcast(ids.filter(F.col("dim") == "S").select("value", "id"), n)
+    hr = guarded_broadcast(ids.filter(F.col("dim") == "T").select("value", "id"), n)
     j = (w.join(st.select(F.col("value").alias("origin"), F.col("id").alias("o_id")), "origin", "left")
           .join(st.select(F.col("value").alias("dest"), F.col("id").alias("d_id")), "dest", "left")
           .join(hr.select(F.col("value").alias("hour"), F.col("id").alias("t_id")), "hour", "left"))
@@ -134,8 +138,10 @@ def text_tokens(documents: DataFrame, text: str = "text", key: str = "doc_id") -
     """``split(lower(text), ' ')`` counted per document: (doc_id, token, tf).
 
     Tokenising is the heavy step, so a text table with fewer input splits
-    than cores is spread first (``spread_input``)."""
-    documents = spread_input(documents.select(key, text))
+    than cores is spread first; a larger one is read where it lies."""
+    documents = documents.select(key, text)
+    if documents.rdd.getNumPartitions() < documents.sparkSession.sparkContext.defaultParallelism:
+        documents = spread_input(documents)
     words = documents.select(key, F.explode(F.split(F.lower(F.col(text)), " ")).alias("token"))
     # explicit (split never yields NULL): keeps every use of this subplan identical, so
     # AQE can reuse one shuffle when the counts feed both the vocabulary and a join

@@ -28,6 +28,8 @@ from .model import Corpus, TopicModel
 from .mstep import (StationGraph, beta_from_counts, blend, graph_m_step, initial_counts,
                     learning_rate)
 
+BATCH_SLICES = 8            # tasks that write one stored mini-batch
+
 
 @dataclass
 class TensorLDAConfig:
@@ -196,17 +198,23 @@ def online_update(model: TopicModel, batch_docs: DataFrame, cfg: TensorLDAConfig
     return model, ll, n_docs
 
 
-def fit_online(corpus: Corpus, cfg: TensorLDAConfig, batch_size: int = 64, epochs: int = 3,
+def fit_online(corpus: Corpus, cfg: TensorLDAConfig, batch_size: int | None = None, epochs: int = 3,
                tau0: float = 16.0, kappa: float = 0.5, graph_o: StationGraph | None = None,
                graph_d: StationGraph | None = None, eval_every: int | None = None,
-               metric_fn=None, variant: str = "blend") -> TopicModel:
+               metric_fn=None, variant: str = "blend", batches: int = 16) -> TopicModel:
     """O-10/O-11/O-17: epochs over mini-batches with a metric every ``eval_every``
-    mini-batches (default: at the end of each epoch)."""
+    mini-batches (default: at the end of each epoch).
+
+    An epoch has ``batches`` mini-batches whose size follows the number of travellers, so the number of jobs
+    does not; ``batch_size`` fixes the size instead."""
     spark = corpus.docs.sparkSession
     model = init_model(corpus, cfg)
-    tagged, n_batches = assign_minibatches(corpus.docs, batch_size, cfg.seed)
+    size = batch_size or max(1, math.ceil(corpus.docs.select("user_id").distinct().count() / batches))
+    tagged, n_batches = assign_minibatches(corpus.docs, size, cfg.seed)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/online-docs-{uuid.uuid4().hex}"
-    tagged.write.mode("overwrite").partitionBy("mb").parquet(path)
+    # a mini-batch is written by several tasks, each with files of few mini-batches
+    slices = F.pmod(F.xxhash64("user_id"), F.lit(BATCH_SLICES))
+    tagged.repartition(F.col("mb"), slices).write.mode("overwrite").partitionBy("mb").parquet(path)
     stored = spark.read.parquet(path)
     t0 = time.time()
     for epoch in range(epochs):

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.indexing import dense_index, guarded_broadcast, stable_hash
+from ..session import ensure_checkpoint_dir
 
 
 def with_day(trips: DataFrame) -> DataFrame:
@@ -85,6 +86,8 @@ def ranked_trips(trips: DataFrame, min_trips: int = 2, max_trips: int = 6,
     popularity rank (J-02, W-01) and users re-indexed densely by descending
     id (W-02)."""
     keys = by or ["user_id", "day"]
+    ensure_checkpoint_dir(trips.sparkSession)
+    trips = trips.checkpoint()                  # ranks, counts and index read it: the trips are chained once
     rx = guarded_broadcast(station_rank(trips, "origin").select(
         F.col("station").alias("origin"), F.col("rank").alias("xy_rankx")))
     ry = guarded_broadcast(station_rank(trips, "dest").select(

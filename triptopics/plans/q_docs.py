@@ -158,7 +158,7 @@ TEXT_SQL = {
 
 def _text(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    tf = dc.text_tokens(docs)
+    tf = dc.text_tokens(docs).checkpoint()      # (doc, token, tf): tokenised once, read by the vocabulary and the weights
     n = docs.count()
     return tf, n
 

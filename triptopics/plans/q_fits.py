@@ -34,6 +34,7 @@ ONLINE_CFG = TensorLDAConfig(iter_inference=10)
 MU = NU = 0.5
 TRAIN_FRACTION = 0.8
 FLAT_TOPICS = 5
+ONLINE_BATCHES = 4          # mini-batches an epoch, whatever the number of travellers
 LAMBDAS = (0.2, 0.1)
 
 
@@ -127,7 +128,7 @@ def q_new_doc_infer(spark, sf):
 def q_online_lda(spark, sf):
     corpus, tr_docs, te_docs = _split_corpus(spark, trips(spark, sf))
     train = Corpus(tr_docs, corpus.stations, corpus.hours)
-    model = fit_online(train, ONLINE_CFG, batch_size=64, epochs=3, tau0=16.0, kappa=0.5,
+    model = fit_online(train, ONLINE_CFG, batches=ONLINE_BATCHES, epochs=3, tau0=16.0, kappa=0.5,
                        metric_fn=lambda m, i: _holdout_metrics(spark, m, te_docs, ONLINE_CFG))
     return model.history_frame(spark)
 

@@ -169,7 +169,7 @@ def _coh_views():
 @query("topic_coherence", with_views(" UNION ALL ".join(_coherence_sql(d) for d in "ODT"), **T, **_coh_views()),
        ("O-15", "J-08", "A-15", "W-07"))
 def q_topic_coherence(spark, sf):
-    tt = typed(trips(spark, sf))
+    tt = typed(trips(spark, sf).checkpoint())
     out = mt.topic_coherence(empirical_beta_all(tt), dim_words_all(tt), TOP_R, by=["dim"])
     return out.select("dim", "topic", _r("coherence"))
 
@@ -190,7 +190,7 @@ def _perp_sql(dim):
 
 @query("perplexity", with_views(" UNION ALL ".join(_perp_sql(d) for d in "ODT"), **T), ("O-14",))
 def q_perplexity(spark, sf):
-    tt = typed(trips(spark, sf))
+    tt = typed(trips(spark, sf).checkpoint())
     z = tt.select("txn_type").distinct().count()
     out = mt.perplexity(dim_words_all(tt), type_counts(tt), empirical_beta_all(tt), ALPHA, z, by=["dim"])
     return out.select("dim", _r("perplexity"), "n_words")

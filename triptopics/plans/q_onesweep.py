@@ -15,16 +15,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.indexing import stable_hash_sql
 from ..operators import cluster as cl
 from ..operators import metrics as mt
+from ..operators.graph import to_station_graph
 from ..operators.infer import destination_accuracy, predict_destinations
 from ..operators.topics.elbo import elbo
 from ..operators.topics.estep import collect_stats, estep_docs, estep_phi, estep_stats, prepare_docs
-from ..operators.topics.fit import TensorLDAConfig, m_step, online_update
+from ..operators.topics.fit import TensorLDAConfig, assign_minibatches, m_step, online_update
+from ..operators.topics.laplacian import laplacian_m_step
 from ..operators.topics.model import Corpus, TopicModel, corpus_from_trips
-from ..sources.fixtures import TRIPS_SQL, trips
+from ..sources.fixtures import TRIPS_OD_SQL, TRIPS_SQL, trips, trips_od
 from .catalog import query, with_views
-from .fixtures_model import TYPED_SQL, empirical_beta_all, typed
+from .fixtures_model import POI_SQL, TYPED_SQL, empirical_beta_all, mixed_graph_sql, nation_graph, typed
 
 ALPHA = 5.0
 TAU0, KAPPA = 16.0, 0.5
@@ -178,6 +181,108 @@ def q_online_rho_step(spark, sf):
     return _online(spark, sf, "rho_step")
 
 
+def _two_batches_sql() -> str:
+    """Two mini-batches (halves of the travellers in hash order), each an M-step on its own words blended into β."""
+    views = {
+        "placed": f"""SELECT user_id, CAST((ROW_NUMBER() OVER (ORDER BY {stable_hash_sql('user_id', ONE.seed)}, user_id) - 1) // CAST(CEIL(COUNT(*) OVER () / 2.0) AS BIGINT) AS INT) AS mb
+                      FROM (SELECT DISTINCT user_id FROM trips)""",
+        "seen": " UNION ALL ".join(f"SELECT mb, '{d}' AS dim, {c} AS word, SUM(cnt) AS n FROM triples JOIN placed USING (user_id) GROUP BY 1, 3" for d, c in _DIMS),
+        "b0": "SELECT * FROM started",
+    }
+    for k in (0, 1):
+        rho = f"POWER({TAU0} + 1 + {k}, -{KAPPA})"
+        views[f"s{k}"] = f"""SELECT dim, topic, word, n * p / SUM(p) OVER (PARTITION BY dim, word) AS v
+                             FROM b{k} JOIN (SELECT dim, word, n FROM seen WHERE mb = {k}) USING (dim, word)"""
+        views[f"f{k}"] = f"SELECT dim, topic, word, v / SUM(v) OVER (PARTITION BY dim, topic) AS p FROM s{k}"
+        views[f"b{k + 1}"] = f"""SELECT b.dim, b.topic, b.word, (1 - {rho}) * b.p + {rho} * COALESCE(f.p, 0) AS p
+                                 FROM b{k} b LEFT JOIN f{k} f ON f.dim = b.dim AND f.topic = b.topic AND f.word = b.word"""
+    return with_views("SELECT dim, topic, word, ROUND(p, 9) AS p FROM b2 WHERE p > 1e-9", **_SWEEP, **views)
+
+
+@query("online_blend_two_batches", _two_batches_sql(), ("O-10",))
+def q_online_two_batches(spark, sf):
+    """β after two mini-batches; the second one's E-step uses what the first one left."""
+    corpus, model = _start(spark, sf)
+    n = corpus.docs.select("user_id").distinct().count()
+    docs, batches = assign_minibatches(corpus.docs, max(1, -(-n // 2)), ONE.seed)
+    docs = docs.checkpoint()
+    for b in range(batches):
+        model, _, _ = online_update(model, docs.where(F.col("mb") == b).drop("mb"), ONE, TAU0, KAPPA)
+    return _model_rows(spark, [np.exp(m) for m in model.beta], corpus, "p")
+
+
+MU, LAM = 0.5, 0.1
+_RHO = f"POWER({TAU0} + 1, -{KAPPA})"
+
+
+@query("online_rho_step_graph", with_views(f"""
+    SELECT dim, topic, station AS word, ROUND(p / SUM(p) OVER (PARTITION BY dim, topic), 9) AS p FROM clamped
+    UNION ALL
+    SELECT s.dim, s.topic, s.word, ROUND((1 - {_RHO}) * s.p + {_RHO} * COALESCE(f.p, 0), 9) AS p
+    FROM started s LEFT JOIN fitted f ON f.dim = s.dim AND f.topic = s.topic AND f.word = s.word WHERE s.dim = 'T'""",
+    **{**_SWEEP, "trips": TRIPS_OD_SQL}, **POI_SQL, mixed=mixed_graph_sql(MU),
+    begun="""SELECT d.dim, topics.topic, n_nationkey AS station, COALESCE(f.p, exp(-100)) AS p
+          FROM (SELECT UNNEST(['O', 'D']) AS dim) d CROSS JOIN topics CROSS JOIN nation
+          LEFT JOIN fitted f ON f.dim = d.dim AND f.topic = topics.topic AND f.word = n_nationkey""",
+    slope=f"""SELECT q.dim, q.topic, q.station, q.p, {LAM} - {1 - LAM} * COALESCE(SUM(g.w * (q.p - r.p)), 0.0) AS grad
+              FROM begun q LEFT JOIN mixed g ON g.s1 = q.station LEFT JOIN begun r ON r.station = g.s2 AND r.topic = q.topic AND r.dim = q.dim
+              GROUP BY 1, 2, 3, 4""",
+    stepped=f"SELECT dim, topic, station, p + {_RHO} * (grad - AVG(grad) OVER (PARTITION BY dim, topic)) AS p FROM slope",
+    clamped="SELECT dim, topic, station, CASE WHEN p <= 0 THEN 0.01 ELSE p END AS p FROM stepped"), ("O-11", "O-08"))
+def q_online_rho_step_graph(spark, sf):
+    """One mini-batch of all travellers with a station graph: ρ is the size of the gradient step for O and D."""
+    t = trips_od(spark, sf)
+    corpus = corpus_from_trips(t)
+    model = start_model(spark, corpus, t)
+    _, _, mixed = nation_graph(spark, sf, MU)
+    graph = to_station_graph(mixed.toPandas(), corpus.stations)
+    cfg = TensorLDAConfig(iter_inference=0, alpha=ALPHA, lam=LAM, nt_max_iter=1)
+    model, _, _ = online_update(model, corpus.docs, cfg, TAU0, KAPPA, graph, graph, variant="rho_step")
+    return _model_rows(spark, [np.exp(m) for m in model.beta], corpus, "p")
+
+
+def _flow_steps_sql(steps: int, g: float) -> str:
+    """``steps`` gradient steps from the types' origin shares over the graph of all trips between two stations."""
+    views = {
+        "trips": TRIPS_SQL, **TYPED_SQL,
+        "links": """SELECT w1, w2, SUM(w) AS w FROM (SELECT origin AS w1, dest AS w2, COUNT(*) / 1000.0 AS w FROM trips WHERE origin <> dest GROUP BY 1, 2
+                    UNION ALL SELECT dest, origin, COUNT(*) / 1000.0 FROM trips WHERE origin <> dest GROUP BY 1, 2) GROUP BY 1, 2""",
+        "stations": "SELECT DISTINCT w1 AS station FROM links",
+        "shares": "SELECT topic, origin AS station, COUNT(*) * 1.0 / SUM(COUNT(*)) OVER (PARTITION BY topic) AS p FROM tt GROUP BY 1, 2",
+        "q0": "SELECT topic, station, COALESCE(p, exp(-100)) AS p FROM stations CROSS JOIN (SELECT DISTINCT topic FROM tt) LEFT JOIN shares USING (topic, station)",
+    }
+    for k in range(steps):
+        views[f"s{k}"] = f"""SELECT a.topic, a.station, a.p, {LAM} * b.p / a.p - {1 - LAM} * COALESCE(SUM(l.w * (a.p - c.p)), 0.0) AS g
+                             FROM q{k} a JOIN q0 b ON b.topic = a.topic AND b.station = a.station LEFT JOIN links l ON l.w1 = a.station
+                             LEFT JOIN q{k} c ON c.station = l.w2 AND c.topic = a.topic GROUP BY a.topic, a.station, a.p, b.p"""
+        views[f"m{k}"] = f"SELECT topic, station, p + {g} * (g - AVG(g) OVER (PARTITION BY topic)) AS p FROM s{k}"
+        views[f"q{k + 1}"] = f"""SELECT topic, station, p / SUM(p) OVER (PARTITION BY topic) AS p
+                                 FROM (SELECT topic, station, CASE WHEN p <= 0 THEN 0.01 ELSE p END AS p FROM m{k})"""
+    return with_views(f"SELECT topic, station, ROUND(p, 9) AS p, {steps} AS steps, FALSE AS converged FROM q{steps}", **views)
+
+
+FLOW_STEPS, FLOW_G = 3, 1e-3
+
+
+@query("graph_m_step_table", _flow_steps_sql(FLOW_STEPS, FLOW_G), ("O-08", "S-05"))
+def q_graph_m_step_table(spark, sf):
+    """Gradient steps of the M-step over an edge table: trips between two stations link them."""
+    t = trips(spark, sf).checkpoint()
+    both = t.where("origin <> dest").select(F.explode(F.array(F.struct(F.col("origin").alias("w1"), F.col("dest").alias("w2")),
+                                                             F.struct(F.col("dest").alias("w1"), F.col("origin").alias("w2")))).alias("x"))
+    edges = both.groupBy("x.w1", "x.w2").agg((F.count(F.lit(1)) / 1000.0).alias("weight")).checkpoint()
+    counts = typed(t).groupBy("topic", F.col("origin").alias("station")).agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    topics = {r.topic: r.n for r in counts.groupBy("topic").agg(F.sum("n").alias("n")).collect()}      # the model's topics: trip types
+    names = sorted(topics)
+    by = counts.groupBy("station").agg(*[F.sum(F.when(F.col("topic") == z, F.col("n"))).alias(f"n{k}") for k, z in enumerate(names)])
+    shares = F.array(*[F.coalesce(F.col(f"n{k}") / F.lit(topics[z]), F.exp(F.lit(-100.0))) for k, z in enumerate(names)])
+    p0 = edges.select(F.col("w1").alias("station")).distinct().join(by, "station", "left").select("station", shares.alias("p"))
+    fit = laplacian_m_step(p0, edges, len(names), LAM, FLOW_G, tol=-1.0, max_iter=FLOW_STEPS)
+    labels = F.array(*[F.lit(z) for z in names])
+    return fit.p.select("station", F.posexplode("p").alias("k", "p")).select(
+        labels[F.col("k")].alias("topic"), "station", F.round("p", 9).alias("p"), F.lit(fit.steps).alias("steps"), F.lit(fit.converged).alias("converged"))
+
+
 @query("passenger_pattern_one_sweep", _twin("SELECT user_id, o_topic, d_topic, t_topic FROM best"), ("W-10", "O-13"))
 def q_pattern_one_sweep(spark, sf):
     corpus, model = _start(spark, sf)
