@@ -15,9 +15,6 @@ the same bytes need comparing, and about one place in 35 is an anchor.
    A gram shared by more than ``HOT`` distinct stretches is never brought together in one task: its
    windows are grouped by their hashes instead, which sums up on the map side.
 
-Grams that hold more than a ``HOT_SHARE`` of all anchors (a passage that very many documents share) are
-known after the first count, at most ``1 / HOT_SHARE`` of them; joins on them are salted.
-
 "Earlier" is a smaller doc_id, or an earlier start in the same document; the input is judged, not
 what is left.  Null text is the empty text; rows without a doc_id are neither judged nor compared
 and keep all bytes; of rows that repeat a doc_id none is earlier than the other, and those of different texts
@@ -44,8 +41,6 @@ GRAM = 32
 REACH = LENGTH - GRAM           # offsets of an anchor in its windows: 0 to REACH
 PIECE = 1 << 22
 HOT = 20_000
-HOT_SHARE = 0.001
-SALTS = 64
 GROUP_ROWS = 50_000
 BROADCAST_RUNS = 1_000_000
 
@@ -136,7 +131,7 @@ CONTEXT = "gram long, doc_id long, version long, place long, before binary, afte
 
 def contexts(docs: DataFrame, open_places: DataFrame) -> DataFrame:
     """``CONTEXT``: the REACH bytes before each anchor, reversed, and the LENGTH bytes from it (zeros beyond the text)."""
-    listed = written(open_places.groupBy("doc_id", "version").agg(F.collect_set(F.struct("gram", "place")).alias("open")), "suffix-listed")
+    listed = written(open_places.groupBy("doc_id", "version").agg(F.collect_list(F.struct("gram", "place")).alias("open")), "suffix-listed")
     texts = _versioned(docs).join(listed, ["doc_id", "version"])
 
     def run(batches):
@@ -144,11 +139,15 @@ def contexts(docs: DataFrame, open_places: DataFrame) -> DataFrame:
             data, off = text_view(batch.column("text"))
             lists = batch.column("open")
             item = lists.offsets.to_numpy()
-            gram, place = (lists.values.field(c).to_numpy() for c in ("gram", "place"))
+            every = [lists.values.field(c).to_numpy() for c in ("gram", "place")]
             for r in range(len(off) - 1):
                 text = np.concatenate([np.zeros(REACH, np.uint8), data[off[r]:off[r + 1]], np.zeros(LENGTH, np.uint8)])
-                for x in range(item[r], item[r + 1], 1 << 13):
-                    part = slice(x, min(item[r + 1], x + (1 << 13)))
+                # rows that repeat a text list its places as often
+                gram, place = (c[item[r]:item[r + 1]] for c in every)
+                place, first = np.unique(place, return_index=True)
+                gram = gram[first]
+                for x in range(0, len(place), 1 << 13):
+                    part = slice(x, x + (1 << 13))
                     a = (place[part] >> 16)[:, None]
                     before = np.ascontiguousarray(text[a + np.arange(REACH - 1, -1, -1)])
                     after = np.ascontiguousarray(text[a + REACH + np.arange(LENGTH)])
@@ -262,22 +261,10 @@ def _hashed_windows(rows: DataFrame) -> DataFrame:
 def removed_runs(docs: DataFrame) -> DataFrame:
     """doc_id, version, runs: the maximal removed byte runs [start, end) of every text that has any."""
     rows = anchor_table(docs)
-    common = written(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "suffix-common")
-    total = common.agg(F.sum("n")).first()[0] or 0
-    # at most 1 / HOT_SHARE grams
-    hot_grams = F.broadcast(common.where(F.col("n") > HOT_SHARE * total).select("gram", F.lit(SALTS).alias("salts")))
-
-    def salted(df):
-        """Rows of hot grams dealt over ``SALTS`` join keys by their document."""
-        return df.join(hot_grams, "gram", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), "salts"), F.lit(0))).drop("salts")
-
-    def spread(df):
-        """Rows of hot grams once for every salt."""
-        return df.join(hot_grams, "gram", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1))).drop("salts")
-
-    shared = written(salted(rows).join(spread(common.select("gram")), ["gram", "salt"]), "suffix-shared")
-    firsts = spread(shared.groupBy("gram", "stretch").agg(F.min("doc_id").alias("first_doc")))
-    placed = written(shared.join(firsts, ["gram", "stretch", "salt"]).select("gram", "stretch", "doc_id", "version", "place",
+    common = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(rows.join(common.select("gram"), "gram"), "suffix-shared")
+    firsts = shared.groupBy("gram", "stretch").agg(F.min("doc_id").alias("first_doc"))
+    placed = written(shared.join(firsts, ["gram", "stretch"]).select("gram", "stretch", "doc_id", "version", "place",
                      ((F.col("first_doc") == F.col("doc_id")) & (F.col("place").bitwiseAND(F.lit(1)) == 0)).alias("head")), "suffix-placed")
     a, lo = F.shiftright("place", 16), F.shiftright("place", 16) - F.shiftright("place", 9).bitwiseAND(F.lit(0x7F))
     whole = placed.where(~F.col("head")).select("doc_id", "version", lo.alias("start"), (lo + F.shiftright("place", 1).bitwiseAND(F.lit(0xFF)) + LENGTH).alias("end"))
