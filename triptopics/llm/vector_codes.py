@@ -6,9 +6,10 @@ place k of the sorted list carries a mask (uint64 words) of the k entries before
 within a radius of a point in one dimension are then the exclusive-or of two such masks, and the AND
 over all dimensions leaves the entries within the cube of that radius.
 
-The first radius is the typical distance between neighbouring entries.  An empty cube doubles it; a
-cube whose best entry lies beyond the radius is looked up once more with that entry's distance as
-radius, and that cube holds every entry at least as near.  So the nearest entry is exact, ties going to
+The first radius is the typical distance between neighbouring entries.  An empty cube widens it by half;
+a cube whose best entry lies beyond the radius is looked up once more with that entry's distance as
+radius, and that cube holds every entry at least as near.  Entries of the narrower cubes are masked out,
+so each candidate is measured once.  So the nearest entry is exact, ties going to
 the lower index, whatever the radius begins with.
 
 Training reads the vectors once a round: tasks add up their parts by entry, and a grouped sum of one
@@ -93,18 +94,25 @@ class SliceIndex:
 
     def nearest(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of and squared distance to the nearest entry of each point."""
-        code, dist = np.zeros(len(points), INT), np.zeros(len(points), INT)
+        code, dist = np.full(len(points), len(self.entries)), np.full(len(points), np.iinfo(INT).max)
         radius = np.full(len(points), self.radius, INT)
+        seen = np.zeros((len(points), self.words), np.uint64)
         todo = np.arange(len(points))
         while len(todo):
             r = radius[todo]
-            row, entry, d = self._best(points[todo], self.cube(points[todo], r))
-            code[todo[row]], dist[todo[row]] = entry, d
-            far = d > r[row] * r[row]
-            radius[todo[row[far]]] = np.sqrt(d[far]).astype(INT) + 1
-            empty = np.setdiff1d(np.arange(len(todo)), row, assume_unique=True)
-            radius[todo[empty]] *= 2
-            todo = np.sort(np.concatenate([todo[row[far]], todo[empty]]))
+            masks = self.cube(points[todo], r)
+            row, entry, d = self._best(points[todo], masks & ~seen[todo])       # each candidate is measured once
+            seen[todo] = masks
+            at = todo[row]
+            nearer = (d < dist[at]) | ((d == dist[at]) & (entry < code[at]))
+            code[at[nearer]], dist[at[nearer]] = entry[nearer], d[nearer]
+            best = dist[todo]
+            empty = best == np.iinfo(INT).max
+            root = np.sqrt(np.where(empty, 0, best)).astype(INT) + 1
+            far = ~empty & (root > r) & (best > r * r)
+            radius[todo[far]] = root[far]
+            radius[todo[empty]] = r[empty] + (r[empty] + 1) // 2
+            todo = todo[far | empty]
         return code, dist
 
 
