@@ -18,8 +18,9 @@ and the ``small`` ones (calendar: day, hour), whose joint cells fit the driver:
 ‖X − X̂‖² = ‖X‖² − 2⟨num_G, G⟩ + ⟨G, G x_n A_n'A_n⟩, so neither the dense tensor nor another pass is needed.
 
 The start is deterministic: of each leading eigenvector of a mode's Gram matrix the heavier of its
-positive and negative part, which gives components of different support, and the core they make.  The fit ends when an iteration lowers the relative error by no more than ``tol`` of it
-(``converged``), or after ``n_iter`` iterations.
+positive and negative part, which gives components of different support, and the core they make.  The fit ends when its last five iterations lowered the relative error by no more than ``tol``
+of it on average (``converged``; multiplicative updates rest on plateaus for an iteration or two), or after
+``n_iter`` iterations.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ FLOOR = 1e-3                # of the start, relative to the mean entry: a zero e
 GATHERED = 20_000_000       # numbers of the shared contraction that may come to the driver
 GRAM_SIZE = 8_192           # beyond this mode size the start is taken from index hashes
 CHUNK = 4_096
+PATIENCE = 5
 TASK_CELLS = 250_000        # non-zeros of one task: its sums are model-sized, so fewer tasks send less
 
 
@@ -202,7 +204,8 @@ def _error(xx: float, inner: float, norm2: float) -> float:
 
 
 def _settled(history: list[tuple[int, float]], tol: float) -> bool:
-    return len(history) > 1 and history[-2][1] - history[-1][1] <= tol * history[-1][1]
+    """Whether the last ``PATIENCE`` iterations lowered the error by no more than ``tol`` of it on average."""
+    return len(history) > PATIENCE and history[-1 - PATIENCE][1] - history[-1][1] <= PATIENCE * tol * history[-1][1]
 
 
 # --- the start -------------------------------------------------------------------------------
