@@ -25,7 +25,7 @@ from .common import binary_view, row_blocks, text_view, written
 
 WINDOW = 1024
 END_ID = 0
-CACHE_PARTS = 120_000       # parts a worker remembers, some 250 bytes each
+CACHE_PARTS = 200_000       # parts a worker remembers, some 250 bytes each
 MET = 1 << 20               # places of the table of parts met once
 MARKS = ".,;:!?"
 LONG_PART = 400
