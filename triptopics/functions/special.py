@@ -16,33 +16,57 @@ _SHIFT_TO = 8.0
 _HALF_LOG_2PI = 0.5 * np.log(2.0 * np.pi)
 
 
-def digamma(x) -> np.ndarray:
-    x = np.array(x, dtype=np.float64, copy=True)
-    acc = np.zeros_like(x)
+def _shifted(x) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, int]:
+    """The arguments moved up to at least 8: (moved, mask of the moved ones or None, their old values, steps of the recurrence)."""
+    x = np.asarray(x, dtype=np.float64)
     small = x < _SHIFT_TO
-    while np.any(small):
-        acc[small] -= 1.0 / x[small]
-        x[small] += 1.0
-        small = x < _SHIFT_TO
-    inv = 1.0 / x
+    if not small.any():
+        return x, None, x, 0
+    low = x[small]
+    steps = int(np.ceil(_SHIFT_TO - low.min()))
+    return np.where(small, x + steps, x), small, low, steps
+
+
+def _digamma_series(inv: np.ndarray) -> np.ndarray:
     inv2 = inv * inv
-    series = inv2 * (1.0 / 12 - inv2 * (1.0 / 120 - inv2 * (1.0 / 252 - inv2 * (
+    return 0.5 * inv + inv2 * (1.0 / 12 - inv2 * (1.0 / 120 - inv2 * (1.0 / 252 - inv2 * (
         1.0 / 240 - inv2 * (1.0 / 132)))))
-    return acc + np.log(x) - 0.5 * inv - series
 
 
-def gammaln(x) -> np.ndarray:
-    x = np.array(x, dtype=np.float64, copy=True)
-    acc = np.zeros_like(x)
-    small = x < _SHIFT_TO
-    while np.any(small):
-        acc[small] -= np.log(x[small])
-        x[small] += 1.0
-        small = x < _SHIFT_TO
-    inv = 1.0 / x
+def _gammaln_series(inv: np.ndarray) -> np.ndarray:
     inv2 = inv * inv
-    series = inv * (1.0 / 12 - inv2 * (1.0 / 360 - inv2 * (1.0 / 1260 - inv2 * (1.0 / 1680))))
-    return acc + (x - 0.5) * np.log(x) - x + _HALF_LOG_2PI + series
+    return inv * (1.0 / 12 - inv2 * (1.0 / 360 - inv2 * (1.0 / 1260 - inv2 * (1.0 / 1680))))
+
+
+def digamma(x) -> np.ndarray:
+    y, small, low, steps = _shifted(x)
+    out = np.asarray(np.log(y) - _digamma_series(1.0 / y))
+    if small is not None:
+        out[small] -= sum(1.0 / (low + k) for k in range(steps))
+    return out
+
+
+def gammaln(x) -> np.ndarray:
+    y, small, low, steps = _shifted(x)
+    out = np.asarray((y - 0.5) * np.log(y) - y + _HALF_LOG_2PI + _gammaln_series(1.0 / y))
+    if small is not None:
+        out[small] -= np.log(np.prod([low + k for k in range(steps)], axis=0))
+    return out
+
+
+def digamma_gammaln(x) -> tuple[np.ndarray, np.ndarray]:
+    """Both functions of the same arguments, with their shift, logarithm and inverse taken once."""
+    y, small, low, steps = _shifted(x)
+    log, inv = np.log(y), 1.0 / y
+    psi, ln = log - _digamma_series(inv), (y - 0.5) * log - y + _HALF_LOG_2PI + _gammaln_series(inv)
+    if small is not None:
+        product, slope = low.copy(), 1.0 / low
+        for k in range(1, steps):
+            product *= low + k
+            slope += 1.0 / (low + k)
+        psi[small] -= slope
+        ln[small] -= np.log(product)
+    return psi, ln
 
 
 # ---- the same functions as Spark columns --------------------------------------------------------

@@ -5,8 +5,9 @@ A document is a bag of distinct (o, d, t) word triples with counts: in the
 mean-field update every occurrence of the same triple gets the same
 variational distribution, so repeated trips are processed once and
 weighted by their count.  Many documents are processed together as one
-flat array of triples plus a document index, so every update is a
-handful of ``einsum``/``reduceat`` calls.
+flat array of triples plus a document index; documents of like length form
+padded groups, so every update is a matrix product per document, and a
+document that has settled leaves its group.
 
 Per document u with triples w (counts c_w):
 
@@ -18,15 +19,16 @@ Per document u with triples w (counts c_w):
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
-from ...functions.special import digamma, gammaln
+from ...functions.special import digamma, digamma_gammaln, gammaln
 
 PHI_TOL = 5e-4
-# Triples per vectorised block (bounds the (rows, J, K, L) working array).
-ROW_BLOCK = 4096
+# Triples per padded group (bounds the (rows, J·K) working array); a longer document is taken in slices.
+ROW_BLOCK = 2048
 
 
 @dataclass
@@ -50,16 +52,16 @@ def _xlogx(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, p * np.log(np.where(p > 0, p, 1.0)), 0.0)
 
 
+def _elbo_prior(gsum, lngamma, jkl, alpha):
+    """Prior and entropy of q(θ) with Σ_w c_w E[log θ] = Σ (γ-α) E[log θ]: the E[log θ] terms cancel.
+
+    ``lngamma`` is Σ lnΓ(γ) of each document."""
+    return gammaln(alpha * jkl) - jkl * gammaln(alpha) - gammaln(gsum) + lngamma
+
+
 def _elbo(gamma, starts, cnt, phi_o, phi_d, phi_t, lo, ld, lt, alpha):
-    n_docs = gamma.shape[0]
-    jkl = gamma[0].size
-    g = gamma.reshape(n_docs, jkl)
-    gsum = g.sum(axis=1)
-    e = digamma(g) - digamma(gsum)[:, None]
-    ll = gammaln(alpha * jkl) - jkl * gammaln(alpha) - gammaln(gsum)
-    # prior, entropy of q(θ), and Σ_w c_w E[log θ] = Σ (γ-α) E[log θ]
-    ll += ((alpha - 1.0) * e + gammaln(g) - (g - 1.0) * e).sum(axis=1)
-    ll += ((g - alpha) * e).sum(axis=1)
+    g = gamma.reshape(gamma.shape[0], -1)
+    ll = _elbo_prior(g.sum(axis=1), gammaln(g).sum(axis=1), g.shape[1], alpha)
     word = (-_xlogx(phi_o) + phi_o * lo).sum(axis=1)
     word += (-_xlogx(phi_d) + phi_d * ld).sum(axis=1)
     word += (-_xlogx(phi_t) + phi_t * lt).sum(axis=1)
@@ -89,62 +91,93 @@ def e_step(doc: np.ndarray, o: np.ndarray, d: np.ndarray, t: np.ndarray, cnt: np
     J, K, L = log_bo.shape[0], log_bd.shape[0], log_bt.shape[0]
     cnt = cnt.astype(np.float64)
     starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    n_docs = starts.size
-    seg = np.repeat(np.arange(n_docs), np.diff(np.r_[starts, doc.size]))
-    n = doc.size
-    lo, ld, lt = log_bo[:, o].T.copy(), log_bd[:, d].T.copy(), log_bt[:, t].T.copy()
+    size = np.diff(np.r_[starts, doc.size])
+    n_docs, n = starts.size, doc.size
+    out = EStepResult(np.empty((n_docs, J, K, L)), np.empty((n, J)), np.empty((n, K)), np.empty((n, L)),
+                      np.zeros(n_docs), np.zeros(n_docs, dtype=np.int64))
+    words = (np.asarray(o), np.asarray(d), np.asarray(t))
+    beta = tuple(np.ascontiguousarray(m.T) for m in (log_bo, log_bd, log_bt))
+    for docs in _groups(size):
+        _settle(docs, starts, size, words, cnt, beta, alpha, max_sweeps, var_tol, phi_tol, out)
+    return out
 
-    words = np.add.reduceat(cnt, starts)
-    gamma = np.repeat((alpha + words / (J * K * L))[:, None], J * K * L, axis=1).reshape(n_docs, J, K, L)
-    phi_o = np.full((n, J), 1.0 / J)
-    phi_d = np.full((n, K), 1.0 / K)
-    phi_t = np.full((n, L), 1.0 / L)
 
-    active = np.ones(n_docs, dtype=bool)
-    sweeps = np.zeros(n_docs, dtype=np.int64)
-    elbo_old = np.full(n_docs, 0.1)
-    norm_old = np.full((3, n_docs), 0.1)
-    elbo = np.zeros(n_docs)
-    for _ in range(max_sweeps):
-        if not active.any():
-            break
-        psi_docs = digamma(gamma)
-        acc = np.zeros((n_docs, J * K * L))
-        for a in range(0, n, ROW_BLOCK):
-            b = min(n, a + ROW_BLOCK)
-            sg = seg[a:b]
-            act = active[sg][:, None]
-            rows = b - a
-            psi = psi_docs[sg].reshape(rows, J * K, L)           # (rows, J·K, L)
-            pt0 = phi_t[a:b]
-            # Σ_l ψ[j,k,l] φT[l]: shared by the origin and destination updates
-            x = np.matmul(psi, pt0[:, :, None]).reshape(rows, J, K)
-            po = np.where(act, _softmax_rows(
-                np.matmul(x, phi_d[a:b, :, None])[:, :, 0] + lo[a:b]), phi_o[a:b])
-            pd_ = np.where(act, _softmax_rows(
-                np.matmul(po[:, None, :], x)[:, 0, :] + ld[a:b]), phi_d[a:b])
-            jk = (po[:, :, None] * pd_[:, None, :]).reshape(rows, 1, J * K)
-            pt = np.where(act, _softmax_rows(np.matmul(jk, psi)[:, 0, :] + lt[a:b]), pt0)
-            phi_o[a:b], phi_d[a:b], phi_t[a:b] = po, pd_, pt
-            outer = ((po * cnt[a:b, None])[:, :, None] * pd_[:, None, :]).reshape(rows, J * K, 1) * pt[:, None, :]
-            outer = outer.reshape(rows, -1)
-            local = np.flatnonzero(np.r_[True, sg[1:] != sg[:-1]])
-            acc[sg[local]] += np.add.reduceat(outer, local, axis=0)
-        new_gamma = (alpha + acc).reshape(n_docs, J, K, L)
-        gamma = np.where(active[:, None, None, None], new_gamma, gamma)
-
-        new_elbo = _elbo(gamma, starts, cnt, phi_o, phi_d, phi_t, lo, ld, lt, alpha)
-        norms = np.stack([np.sqrt(np.add.reduceat(cnt * (p * p).sum(axis=1), starts))
-                          for p in (phi_o, phi_d, phi_t)])
-        rel = np.abs((elbo_old - new_elbo) / elbo_old)
-        phi_ok = (np.abs(norms - norm_old) / norm_old < phi_tol).all(axis=0)
-        elbo = np.where(active, new_elbo, elbo)
-        sweeps += active
-        done = active & (rel <= var_tol) & phi_ok
-        elbo_old = np.where(active, new_elbo, elbo_old)
-        norm_old = np.where(active[None, :], norms, norm_old)
-        active &= ~done
-    return EStepResult(gamma, phi_o, phi_d, phi_t, elbo, sweeps)
+def _groups(size: np.ndarray) -> Iterator[np.ndarray]:
+    """Documents by length, cut where a group padded to its longest would pass ``ROW_BLOCK`` triples."""
+    order = np.argsort(size, kind="stable")[::-1]
+    i = 0
+    while i < order.size:
+        j = i + max(1, ROW_BLOCK // int(size[order[i]]))
+        yield order[i:j]
+        i = j
+
+
+def _soft(prior: np.ndarray, logb: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """p ∝ exp(prior + logb) in place; returns Σ p (logb − log p) of each row."""
+    z = prior + logb
+    top = z.max(axis=-1, keepdims=True)
+    np.exp(np.subtract(z, top, out=z), out=z)
+    total = z.sum(axis=-1, keepdims=True)
+    np.divide(z, total, out=p)
+    return (np.log(total) + top)[..., 0] - (p * prior).sum(axis=-1)
+
+
+def _settle(docs, starts, size, words, cnt, beta, alpha, max_sweeps, var_tol, phi_tol, out: EStepResult) -> None:
+    """Sweeps over one group of documents, rows padded to the longest with count 0, until each has settled."""
+    _, J, K, L = out.gamma.shape
+    R, jkl = int(size[docs[0]]), J * K * L
+    inside = np.arange(R)[None, :] < size[docs][:, None]
+    row = np.where(inside, starts[docs][:, None] + np.arange(R)[None, :], starts[docs][:, None])
+    c = np.where(inside, cnt[row], 0.0)
+    logs = [b[w[row]] for w, b in zip(words, beta, strict=True)] if docs.size * R <= ROW_BLOCK else None
+    phi = [np.full((docs.size, R, m), 1.0 / m) for m in (J, K, L)]
+    gamma = np.repeat((alpha + c.sum(axis=1) / jkl)[:, None], jkl, axis=1)
+    psi = digamma(gamma)
+    elbo_old, norm_old = np.full(docs.size, 0.1), np.full((3, docs.size), 0.1)
+    for sweep in range(1, max_sweeps + 1):
+        D = docs.size
+        psi4 = psi.reshape(D, J, K, L)
+        by_kl = np.ascontiguousarray(psi4.reshape(D, J, K * L).transpose(0, 2, 1))
+        by_jl = np.ascontiguousarray(psi4.transpose(0, 1, 3, 2)).reshape(D, J * L, K)
+        by_jk = psi4.reshape(D, J * K, L)
+        acc, word, norms = np.zeros((D, J * K, L)), np.zeros(D), np.zeros((3, D))
+        for a in range(0, R, ROW_BLOCK):
+            s = slice(a, a + ROW_BLOCK)
+            po, pd_, pt = (p[:, s] for p in phi)
+            lo, ld, lt = (m[:, s] for m in logs) if logs else (b[w[row[:, s]]] for w, b in zip(words, beta, strict=True))
+            n, cs = po.shape[1], c[:, s]
+            kl = (pd_[:, :, :, None] * pt[:, :, None, :]).reshape(D, n, K * L)
+            w = _soft(kl @ by_kl, lo, po)
+            jl = (po[:, :, :, None] * pt[:, :, None, :]).reshape(D, n, J * L)
+            w += _soft(jl @ by_jl, ld, pd_)
+            jk = (po[:, :, :, None] * pd_[:, :, None, :]).reshape(D, n, J * K)
+            w += _soft(jk @ by_jk, lt, pt)
+            acc += jk.transpose(0, 2, 1) @ (pt * cs[:, :, None])
+            word += (cs * w).sum(axis=1)
+            for k, p in enumerate((po, pd_, pt)):
+                norms[k] += (cs * (p * p).sum(axis=2)).sum(axis=1)
+        gamma = alpha + acc.reshape(D, jkl)
+        psi, lngamma = digamma_gammaln(gamma)
+        elbo = _elbo_prior(gamma.sum(axis=1), lngamma.sum(axis=1), jkl, alpha) + word
+        norms = np.sqrt(norms)
+        done = (np.abs((elbo_old - elbo) / elbo_old) <= var_tol) & (np.abs(norms - norm_old) / norm_old < phi_tol).all(axis=0)
+        elbo_old, norm_old = elbo, norms
+        if sweep == max_sweeps:
+            done[:] = True
+        if done.any():
+            ended = docs[done]
+            out.gamma[ended], out.elbo[ended], out.sweeps[ended] = gamma[done].reshape(-1, J, K, L), elbo[done], sweep
+            own = inside[done]
+            to = row[done][own]
+            for whole, p in zip((out.phi_o, out.phi_d, out.phi_t), phi, strict=True):
+                whole[to] = p[done][own]
+            left = ~done
+            if not left.any():
+                return
+            docs, inside, row, c, psi = docs[left], inside[left], row[left], c[left], psi[left]
+            phi = [p[left] for p in phi]
+            logs = [m[left] for m in logs] if logs else None
+            elbo_old, norm_old = elbo_old[left], norm_old[:, left]
 
 
 def _e_step_legacy(doc, o, d, t, cnt, log_bo, log_bd, log_bt, alpha, max_sweeps, var_tol, phi_tol, last):
@@ -156,6 +189,7 @@ def _e_step_legacy(doc, o, d, t, cnt, log_bo, log_bd, log_bt, alpha, max_sweeps,
     n = doc.size
     last_row = np.zeros(n_docs, dtype=np.int64)
     last_row[seg[np.flatnonzero(last)]] = np.flatnonzero(last)
+    size = np.diff(np.r_[starts, n])
     lo, ld, lt = log_bo[:, o].T.copy(), log_bd[:, d].T.copy(), log_bt[:, t].T.copy()
     words = np.add.reduceat(cnt, starts)
     gamma = np.repeat((alpha + words / (J * K * L))[:, None], J * K * L, axis=1).reshape(n_docs, J, K, L)
@@ -167,37 +201,51 @@ def _e_step_legacy(doc, o, d, t, cnt, log_bo, log_bd, log_bt, alpha, max_sweeps,
     for _ in range(max_sweeps):
         if not active.any():
             break
-        psi = digamma(gamma)
-        act = active[seg][:, None]
-        prior = np.einsum("ujkl,uk,ul->uj", psi, np.exp(old_d), np.exp(old_t))
-        new_old_o = phi_o[last_row].copy()
-        phi_o = np.where(act, _softmax_rows(prior[seg] + lo), phi_o)
-        old_o = np.where(active[:, None], new_old_o, old_o)
-        prior = np.einsum("ujkl,uj,ul->uk", psi, np.exp(old_o), np.exp(old_t))
-        new_old_d = phi_d[last_row].copy()
-        phi_d = np.where(act, _softmax_rows(prior[seg] + ld), phi_d)
-        old_d = np.where(active[:, None], new_old_d, old_d)
-        prior = np.einsum("ujkl,uj,uk->ul", psi, np.exp(old_o), np.exp(old_d))
-        new_old_t = phi_t[last_row].copy()
-        phi_t = np.where(act, _softmax_rows(prior[seg] + lt), phi_t)
-        old_t = np.where(active[:, None], new_old_t, old_t)
-        outer = ((phi_o * cnt[:, None])[:, :, None] * phi_d[:, None, :]).reshape(n, J * K, 1) * phi_t[:, None, :]
-        new_gamma = (alpha + np.add.reduceat(outer.reshape(n, -1), starts, axis=0)).reshape(n_docs, J, K, L)
-        gamma = np.where(active[:, None, None, None], new_gamma, gamma)
-        new_elbo = _elbo(gamma, starts, cnt, phi_o, phi_d, phi_t, lo, ld, lt, alpha)
-        norms = np.stack([np.sqrt(np.add.reduceat(cnt * (p * p).sum(axis=1), starts))
-                          for p in (phi_o, phi_d, phi_t)])
-        rel = np.abs((elbo_old - new_elbo) / elbo_old)
-        phi_ok = (np.abs(norms - norm_old) / norm_old < phi_tol).all(axis=0)
-        elbo = np.where(active, new_elbo, elbo)
-        sweeps += active
-        done = active & (rel <= var_tol) & phi_ok
-        elbo_old = np.where(active, new_elbo, elbo_old)
-        norm_old = np.where(active[None, :], norms, norm_old)
-        active &= ~done
+        live, rows = np.flatnonzero(active), np.flatnonzero(active[seg])     # settled documents are not swept again
+        begin = np.cumsum(size[live]) - size[live]
+        of = np.repeat(np.arange(live.size), size[live])
+        psi = digamma(gamma[live])
+        prior = np.matmul(np.matmul(psi, np.exp(old_t[live])[:, None, :, None])[..., 0], np.exp(old_d[live])[:, :, None])[..., 0]
+        was_o = phi_o[last_row[live]]
+        phi_o[rows] = _softmax_rows(prior[of] + lo[rows])
+        old_o[live] = was_o
+        jl = np.matmul(np.exp(old_o[live])[:, None, :], psi.reshape(live.size, J, K * L)).reshape(-1, K, L)
+        prior = np.matmul(jl, np.exp(old_t[live])[:, :, None])[..., 0]
+        was_d = phi_d[last_row[live]]
+        phi_d[rows] = _softmax_rows(prior[of] + ld[rows])
+        old_d[live] = was_d
+        prior = np.matmul(np.exp(old_d[live])[:, None, :], jl)[:, 0]
+        was_t = phi_t[last_row[live]]
+        phi_t[rows] = _softmax_rows(prior[of] + lt[rows])
+        old_t[live] = was_t
+        gamma[live] = alpha + _expected_counts(live, starts, size, cnt, phi_o, phi_d, phi_t)
+        found = [p[rows] for p in (phi_o, phi_d, phi_t)]
+        own = cnt[rows]
+        new_elbo = _elbo(gamma[live], begin, own, *found, lo[rows], ld[rows], lt[rows], alpha)
+        norms = np.stack([np.sqrt(np.add.reduceat(own * (p * p).sum(axis=1), begin)) for p in found])
+        rel = np.abs((elbo_old[live] - new_elbo) / elbo_old[live])
+        phi_ok = (np.abs(norms - norm_old[:, live]) / norm_old[:, live] < phi_tol).all(axis=0)
+        elbo[live], elbo_old[live], norm_old[:, live] = new_elbo, new_elbo, norms
+        sweeps[live] += 1
+        active[live] = ~((rel <= var_tol) & phi_ok)
     return EStepResult(gamma, phi_o, phi_d, phi_t, elbo, sweeps)
 
 
+def _expected_counts(docs, starts, size, cnt, phi_o, phi_d, phi_t) -> np.ndarray:
+    """Σ_w c_w φO ⊗ φD ⊗ φT of each of ``docs``, in groups of like length and slices of ``ROW_BLOCK`` rows."""
+    J, K, L = phi_o.shape[1], phi_d.shape[1], phi_t.shape[1]
+    out = np.zeros((docs.size, J * K, L))
+    for group in _groups(size[docs]):
+        mine = docs[group]
+        for a in range(0, int(size[mine[0]]), ROW_BLOCK):
+            at = np.arange(a, min(a + ROW_BLOCK, int(size[mine[0]])))[None, :]
+            inside = at < size[mine][:, None]
+            row = starts[mine][:, None] + np.where(inside, at, 0)
+            jk = (phi_o[row][:, :, :, None] * phi_d[row][:, :, None, :]).reshape(*row.shape, J * K)
+            out[group] += jk.transpose(0, 2, 1) @ (phi_t[row] * np.where(inside, cnt[row], 0.0)[:, :, None])
+    return out.reshape(-1, J, K, L)
+
+
 def topic_word_stats(word: np.ndarray, phi: np.ndarray, cnt: np.ndarray, n_words: int) -> np.ndarray:
     """Σ over triples of c_w φ[w, z] accumulated at word id (topics × words)."""
     w = phi * cnt[:, None]

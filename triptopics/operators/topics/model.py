@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ...functions.indexing import guarded_broadcast
+from ...session import ensure_checkpoint_dir
 from ..docs import doc_triples, station_vocab
 
 BETA_SCHEMA = "dim string, topic int, word_id int, value int, logp double"
@@ -91,6 +92,7 @@ class Corpus:
     docs: DataFrame                  # user_id, o, d, t, cnt (ids)
     stations: np.ndarray
     hours: np.ndarray
+    users: DataFrame | None = None   # user_id of every trip's traveller
 
     @property
     def n_stations(self) -> int:
@@ -119,14 +121,18 @@ def corpus_from_trips(trips: DataFrame, vocab_trips: DataFrame | None = None, wi
     from one per-user ``max_by`` aggregate.
     """
     spark = trips.sparkSession
-    stations, hours = vocab_arrays(station_vocab(vocab_trips if vocab_trips is not None else trips))
+    ensure_checkpoint_dir(spark)
+    # the triples hold every station, hour and traveller: the trips are derived once, for all that reads the corpus
+    tri = doc_triples(trips).checkpoint()
+    words = tri.select(F.col("o").alias("origin"), F.col("d").alias("dest"), F.col("t").alias("hour"))
+    stations, hours = vocab_arrays(station_vocab(vocab_trips if vocab_trips is not None else words))
     # the collected vocabulary (exact size known) goes back as small broadcast tables,
     # so the join does not recompute the vocabulary from the trips
     st = guarded_broadcast(spark.createDataFrame(pd.DataFrame(
         {"value": stations.astype(np.int32), "id": np.arange(stations.size, dtype=np.int32)})), stations.size)
     hr = guarded_broadcast(spark.createDataFrame(pd.DataFrame(
         {"value": hours.astype(np.int32), "id": np.arange(hours.size, dtype=np.int32)})), hours.size)
-    tri = doc_triples(trips)
+    users = tri.select("user_id").distinct()
     if with_last:
         last = trips.groupBy("user_id").agg(F.max_by(F.struct(
             F.col("origin").alias("lo"), F.col("dest").alias("ld"), F.col("hour").alias("lt")),
@@ -139,4 +145,4 @@ def corpus_from_trips(trips: DataFrame, vocab_trips: DataFrame | None = None, wi
               .join(hr.select(F.col("value").alias("t"), F.col("id").alias("t_id")), "t")
               .select("user_id", F.col("o_id").alias("o"), F.col("d_id").alias("d"),
                       F.col("t_id").alias("t"), "cnt", *(["last"] if with_last else [])))
-    return Corpus(ids, stations, hours)
+    return Corpus(ids, stations, hours, users)

@@ -39,13 +39,13 @@ LAMBDAS = (0.2, 0.1)
 
 
 def _split_corpus(spark, t):
-    users = t.select("user_id").distinct()
+    corpus = corpus_from_trips(t)              # vocabulary from all documents (Q31), so no hold-out trip is lost
+    users = corpus.users.checkpoint()
     n_train = int(users.count() * TRAIN_FRACTION)
     split = tr.train_test_split(users, n_train)
-    corpus = corpus_from_trips(t)              # vocabulary from all documents (Q31), so no hold-out trip is lost
     sp = split.select("user_id", "split")
     tr_docs = corpus.docs.join(sp.filter(F.col("split") == "train"), "user_id", "left_semi")
-    te_docs = corpus.docs.join(sp.filter(F.col("split") == "test"), "user_id", "left_semi")
+    te_docs = corpus.docs.join(sp.filter(F.col("split") == "test"), "user_id", "left_semi").checkpoint()    # read by every metric
     return corpus, tr_docs, te_docs
 
 
