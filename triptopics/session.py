@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark import SparkConf, SparkContext
@@ -86,6 +87,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below the checkpoint folder as Parquet and read again.
+
+    For loops that join a table with what is derived from it: a checkpoint hands the planner's size estimate on, and
+    as a join's estimate is the product of its sides, its digits multiply with every round (after some fifteen
+    rounds the estimate alone takes minutes); a file's size is known."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[str] = set()
 
 
