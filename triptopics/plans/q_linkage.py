@@ -49,8 +49,7 @@ GROUP BY 1, 2""", trips=TRIPS_SQL, shares=SHARES_SQL, heads="SELECT MIN(user_id)
     ("J-07", "C-02"))
 def q_js_links(spark, sf):
     """Every passenger with the class of equal distributions and the number of other classes within the radius."""
-    pairs, members = mj.js_pairs(hour_shares(trips(spark, sf)), "user_id", "dist", RADIUS)
-    links = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
+    links, members = mj.js_link_counts(hour_shares(trips(spark, sf)), "user_id", "dist", RADIUS)
     return members.join(links, "class", "left").select(F.col("key").alias("user_id"), "class", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
