@@ -38,6 +38,14 @@ def test_scan_prunes_columns(plans):
     assert "value:double" not in p
 
 
+def test_words_are_counted_where_their_text_lies(plans):
+    """Texts are shuffled by document once; no (document, word) rows are."""
+    for name in ("tfidf", "unseen_doc_bow", "bag_of_words", "pruned_vocab"):
+        keys = [line.split("hashpartitioning(")[1].split(")")[0] for line in plans[name].splitlines() if "hashpartitioning(" in line]
+        assert keys and not any("doc_id#" in k and "token#" in k for k in keys), name
+        assert any("doc_id#" in k for k in keys), name
+
+
 def test_filter_reaches_parquet_scan(plans):
     p = plans["od_flow_lineitem"]
     assert "PushedFilters: [IsNotNull(l_linestatus), EqualTo(l_linestatus,F)" in p

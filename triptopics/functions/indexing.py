@@ -32,14 +32,6 @@ def guarded_broadcast(df: DataFrame, bound: int | None = None, max_rows: int = B
     return F.broadcast(df) if bound <= max_rows else df
 
 
-def spread_input(df: DataFrame) -> DataFrame:
-    """Deal the rows of a few large files over the cluster before steps that are heavy per row.
-
-    A rebalance: AQE gives every partition about its advisory size, whatever
-    number of input splits there is, so the plan is the same at every size."""
-    return df.hint("rebalance")
-
-
 def dense_index(df: DataFrame, order: list[Column], name: str = "idx", start: int = 0) -> DataFrame:
     """Attach a dense 0-based (or ``start``-based) position in ``order``.
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import token, triple_token
-from ..functions.indexing import guarded_broadcast, spread_input
+from ..functions.indexing import guarded_broadcast
 from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import chained_position
 
@@ -134,19 +134,17 @@ def word_freq(trips: DataFrame) -> DataFrame:
 
 # ---- text documents (flat LDA / TF-IDF path) ------------------------------
 
-def text_tokens(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``split(lower(text), ' ')`` counted per document: (doc_id, token, tf).
+def text_tokens(documents: DataFrame, text: str = "text", key: str = "doc_id", carried: tuple[str, ...] = ()) -> DataFrame:
+    """``split(lower(text), ' ')`` counted per document: (doc_id, token, tf) and the ``carried`` columns of the document.
 
-    Tokenising is the heavy step, so a text table with fewer input splits
-    than cores is spread first; a larger one is read where it lies."""
-    documents = documents.select(key, text)
-    if documents.rdd.getNumPartitions() < documents.sparkSession.sparkContext.defaultParallelism:
-        documents = spread_input(documents)
-    words = documents.select(key, F.explode(F.split(F.lower(F.col(text)), " ")).alias("token"))
+    The texts are shuffled once, by document, and their words counted where they arrive: what is counted,
+    joined or ranked per document behind needs no shuffle of (document, word) rows, which take several times the texts."""
+    documents = documents.select(key, text, *carried).repartition(key)
+    words = documents.select(key, *carried, F.explode(F.split(F.lower(F.col(text)), " ")).alias("token"))
     # explicit (split never yields NULL): keeps every use of this subplan identical, so
     # AQE can reuse one shuffle when the counts feed both the vocabulary and a join
     words = words.filter(F.col("token").isNotNull())
-    return words.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
+    return words.groupBy(key, "token", *carried).agg(F.count(F.lit(1)).alias("tf"))
 
 
 def pruned_vocab(tf: DataFrame, n_docs: Column | int, no_below: int = 3, no_above: float = 0.5,

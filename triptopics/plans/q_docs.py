@@ -158,9 +158,7 @@ TEXT_SQL = {
 
 def _text(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    tf = dc.text_tokens(docs).checkpoint()      # (doc, token, tf): tokenised once, read by the vocabulary and the weights
-    n = docs.count()
-    return tf, n
+    return dc.text_tokens(docs), docs.count()      # (doc, token, tf), cut into words by the vocabulary and by the weights
 
 
 @query("pruned_vocab", with_views(
@@ -209,7 +207,12 @@ def q_unseen_doc_bow(spark, sf):
     n_train = int(docs.count() * TRAIN_FRACTION)
     split = tr.train_test_split(docs.select(F.col("doc_id").alias("user_id")), n_train).select(
         F.col("user_id").alias("doc_id"), "split")
-    tf = dc.text_tokens(docs).join(split, "doc_id")
-    train_tf = tf.filter(F.col("split") == "train").drop("split")
-    v = dc.pruned_vocab(train_tf, n_train, NO_BELOW, NO_ABOVE, KEEP_N)
-    return dc.bag_of_words(tf.filter(F.col("split") == "test").drop("split"), v, vocab_bound=KEEP_N)
+    # how often an id lies in each part (ids may repeat); known before the texts are cut into words
+    marks = split.groupBy("doc_id").agg(*[F.count_if(F.col("split") == s).alias(s) for s in ("train", "test")])
+
+    def part(name):
+        tf = dc.text_tokens(docs.join(marks.where(F.col(name) > 0).select("doc_id", F.col(name).alias("copies")), "doc_id"), carried=("copies",))
+        return tf.select("doc_id", "token", "tf", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).drop("col")
+
+    v = dc.pruned_vocab(part("train"), n_train, NO_BELOW, NO_ABOVE, KEEP_N)
+    return dc.bag_of_words(part("test"), v, vocab_bound=KEEP_N)
