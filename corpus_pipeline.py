@@ -21,6 +21,10 @@ from triptopics.llm.common import written  # noqa: E402
 from triptopics.session import table  # noqa: E402
 
 
+#: Fewer than packing alone remembers: its workers share the executor with what the stages before have left there.
+PACKING_PARTS = 100_000
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and whose host passes."""
     return quality_rules.keep_good(docs)
@@ -43,7 +47,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of 1024-token sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, parts=PACKING_PARTS)
 
 
 STAGES = [

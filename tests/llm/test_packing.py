@@ -52,3 +52,15 @@ def test_round_trip(edge_docs, edge, tokenizer):
 
 def test_empty(no_docs):
     assert packing.pack(no_docs).count() == 0
+
+
+def test_remembered_parts_are_bounded_by_the_callers_number(tokenizer):
+    import corpus_pipeline
+
+    small, large = packing._encoder(None, 40), packing._encoder(None, packing.CACHE_PARTS)
+    assert small is not large and packing._encoder(None, 40) is small
+    text = " ".join(f"w{k}" for k in range(300))
+    for _ in range(3):
+        assert small.encode(text) == large.encode(text)
+    assert len(small.recent) + len(small.older) <= 40 < len(large.recent) + len(large.older)
+    assert corpus_pipeline.PACKING_PARTS <= packing.CACHE_PARTS // 2

@@ -31,7 +31,7 @@ MARKS = ".,;:!?"
 LONG_PART = 400
 #: Fixed value: how the byte-level vocabulary cuts a text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_ENCODERS: dict[str, CachedEncoder] = {}
+_ENCODERS: dict[tuple[str, int], CachedEncoder] = {}
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
@@ -54,17 +54,13 @@ class CachedEncoder:
     """
 
     def __init__(self, path: str, parts: int = CACHE_PARTS):
-        import json
-
         import tiktoken
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        special = {t["content"] for t in spec["added_tokens"]}
+        special = {t.content for t in self.whole.get_added_tokens_decoder().values()}
         shown = {c: b for b, c in byte_letters().items()}
-        ranks = {bytes(shown[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+        ranks = {bytes(shown[c] for c in t): i for t, i in self.whole.get_vocab(with_added_tokens=False).items() if t not in special}
         self.merge = tiktoken.Encoding("parts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.special = tuple(special)
         self.dtype = np.dtype("H" if self.whole.get_vocab_size() <= 1 << 16 else "I")
@@ -133,18 +129,18 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-def _encoder(path: str | None) -> CachedEncoder:
-    path = path or vocabulary()
-    if path not in _ENCODERS:
-        _ENCODERS[path] = CachedEncoder(path)
-    return _ENCODERS[path]
+def _encoder(path: str | None, parts: int) -> CachedEncoder:
+    key = path or vocabulary(), parts
+    if key not in _ENCODERS:
+        _ENCODERS[key] = CachedEncoder(*key)
+    return _ENCODERS[key]
 
 
-def tokenise(docs: DataFrame, path: str | None = None) -> DataFrame:
+def tokenise(docs: DataFrame, path: str | None = None, parts: int = CACHE_PARTS) -> DataFrame:
     """doc_id, part, part_start, n, ids: each document's ids (little-endian, 2 or 4 bytes each) with the
     end id, and how many ids of its input partition come before it."""
     def run(batches):
-        enc, part, seen = _encoder(path), TaskContext.get().partitionId(), 0
+        enc, part, seen = _encoder(path, parts), TaskContext.get().partitionId(), 0
         for batch in batches:
             text = batch.column("text").fill_null("")
             _, off = text_view(text)
@@ -162,9 +158,9 @@ def tokenise(docs: DataFrame, path: str | None = None) -> DataFrame:
         run, "doc_id long, part int, part_start long, n long, ids binary")
 
 
-def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> DataFrame:
-    """One row per piece; see ``PIECES``."""
-    tokens = written(tokenise(docs, path), "tokens")
+def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, parts: int = CACHE_PARTS) -> DataFrame:
+    """One row per piece; see ``PIECES``.  ``parts``: parts of words a worker remembers, for speed only."""
+    tokens = written(tokenise(docs, path, parts), "tokens")
     totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))
     before = totals.select("part", F.coalesce(F.sum("total").over(
         Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
