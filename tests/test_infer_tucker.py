@@ -98,3 +98,44 @@ def test_no_cells(spark):
     coo = spark.createDataFrame([], "i0 int, i1 int, i2 int, value double")
     m = tk.non_negative_tucker(coo, ["i0", "i1", "i2"], (3, 3, 2), (2, 2, 2), 3)
     assert m.history[0][1] == 0.0
+
+
+@pytest.mark.parametrize("keep", [0.05, 1.0])
+def test_a_task_multiplies_fibres_as_blocks(keep, monkeypatch):
+    """A task gives one row an entry of the Gram matrix, however many pairs of cells its fibres hold."""
+    monkeypatch.setattr(tk, "GRAM_BLOCK", 40)
+    x = np.random.default_rng(4).integers(1, 9, (9, 300)) * (np.random.default_rng(5).random((9, 300)) < keep)
+    fibre, i = np.nonzero(x.T)
+    cells = pd.DataFrame({"fibre": fibre, "i": i, "x": x.T[fibre, i].astype(float)})
+    out = list(tk._fibre_products(9)(iter([cells[:500], cells[500:]])))
+    got = np.zeros(81)
+    got[out[0]["k"]] = out[0]["x"]
+    assert len(out) == 1 and np.array_equal(got.reshape(9, 9), x @ x.T)
+
+
+def test_the_start_is_made_once(spark, monkeypatch):
+    shape, ranks = (8, 7, 5), (2, 2, 2)
+    x = np.round(10 * low_rank(shape, ranks, 3, 0.6))
+    calls = []
+    gram = tk._gram
+    monkeypatch.setattr(tk, "_gram", lambda data, mode, *rest: calls.append(mode) or gram(data, mode, *rest))
+    m = tk.non_negative_tucker(coo_of(spark, x, ["i0", "i1", "i2"]), ["i0", "i1", "i2"], shape, ranks, 1)
+    assert calls == ["i0", "i1", "i2"] and m.history
+    joined = tk.gram_start(coo_of(spark, x, ["i0", "i1", "i2"]).withColumnRenamed("value", "x"), ["i0", "i1", "i2"], shape, ranks)
+    monkeypatch.setattr(tk, "GRAM_LOCAL", 0)
+    assert all(np.array_equal(a, b) for a, b in zip(joined, tk.gram_start(
+        coo_of(spark, x, ["i0", "i1", "i2"]).withColumnRenamed("value", "x"), ["i0", "i1", "i2"], shape, ranks), strict=True))
+
+
+@pytest.mark.parametrize("lead", [1, 3])
+def test_tables_of_few_cells_equal_sums_by_cell(lead):
+    rng = np.random.default_rng(6)
+    sizes, ranks, n = (5, 4), (3, 2), 400
+    idx, cell, value = [rng.integers(0, s, n) for s in sizes], rng.integers(0, 6, n), rng.random((n, lead))
+    large, table = [rng.random((s, r)) for s, r in zip(sizes, ranks, strict=True)], rng.random((6, lead, *ranks))
+    order = np.argsort(cell, kind="stable")
+    for z in (slice(None), order):      # many cells in turn, and few
+        got = [tk.big_rows(table, large, m, [i[z] for i in idx], cell[z], value[z]) for m in (0, 1)]
+        assert np.allclose(got[0], np.einsum("zl,zlab,zb->za", value, table[cell], large[1][idx[1]])[z])
+        assert np.allclose(got[1], np.einsum("zl,zlab,za->zb", value, table[cell], large[0][idx[0]])[z])
+    assert tk._in_few_cells(cell[order], 5) and not tk._in_few_cells(cell, 5)

@@ -45,15 +45,15 @@ def prepare_docs(doc_ids: DataFrame, n_partitions: int | None = None) -> DataFra
     return doc_ids.select(*cols).repartition(n, "user_id").sortWithinPartitions("user_id")
 
 
-def user_blocks(batches: Iterator[pd.DataFrame], min_rows: int = BLOCK_ROWS) -> Iterator[pd.DataFrame]:
-    """Regroup sorted batches into blocks that hold whole users only."""
+def user_blocks(batches: Iterator[pd.DataFrame], min_rows: int = BLOCK_ROWS, key: str = "user_id") -> Iterator[pd.DataFrame]:
+    """Regroup sorted batches into blocks that hold whole users (or groups of another ``key``) only."""
     pending = None
     for pdf in batches:
         if pending is not None and len(pending):
             pdf = pd.concat([pending, pdf], ignore_index=True)
         if not len(pdf):
             continue
-        users = pdf["user_id"].to_numpy()
+        users = pdf[key].to_numpy()
         cut = int(np.searchsorted(users, users[-1], side="left")) if users[0] != users[-1] else 0
         if cut >= min_rows:
             yield pdf.iloc[:cut]

@@ -43,8 +43,12 @@ EPS = 1e-12
 FLOOR = 1e-3                # of the start, relative to the mean entry: a zero entry could never grow
 GATHERED = 20_000_000       # numbers of the shared contraction that may come to the driver
 GRAM_SIZE = 8_192           # beyond this mode size the start is taken from index hashes
+GRAM_BLOCK = 1 << 17        # numbers of a block of fibres as a matrix
+PAIR_COST = 20              # a pair of cells added alone, in multiplications of a matrix product
+GRAM_LOCAL = 1_024          # up to this mode size a task sums its part of the Gram matrix (8 MB)
 CHUNK = 4_096
 PATIENCE = 5
+CELLS_A_TASK = 8            # calendar cells a task holds on average, or the non-zeros are dealt evenly instead of by cell
 TASK_CELLS = 250_000        # non-zeros of one task: its sums are model-sized, so fewer tasks send less
 
 
@@ -105,7 +109,7 @@ class _Tree:
         def fn(batches):
             total = np.zeros(size)
             for idx, cell, value in _chunks(batches, big):
-                np.add.at(total, idx[n], big_rows(table, large, n, idx, cell, value))
+                _add_rows(total, idx[n], big_rows(table, large, n, idx, cell, value))
             yield total.ravel()
 
         return self._summed(fn, size[0] * size[1]).reshape(size)
@@ -126,6 +130,13 @@ class _Tree:
         def fn(batches):
             total = np.zeros((cells, int(np.prod(inner))))
             for idx, cell, value in _chunks(batches, big):
+                if big == 2 and _in_few_cells(cell, len(large[0])):
+                    here, at = np.unique(cell, return_inverse=True)
+                    part = np.zeros((len(here) * len(large[0]), value.shape[1] * large[1].shape[1]))
+                    _add_rows(part, at * len(large[0]) + idx[0], (value[:, :, None] * large[1][idx[1]][:, None, :]).reshape(len(value), -1))
+                    part = part.reshape(len(here), len(large[0]), value.shape[1], -1)
+                    total[here] += np.moveaxis(np.tensordot(part, large[0], axes=([1], [0])), 3, 2).reshape(len(here), -1)
+                    continue
                 part = value
                 for f, i in zip(large, idx, strict=True):
                     part = (part[:, :, None] * f[i][:, None, :]).reshape(len(part), -1)
@@ -147,6 +158,10 @@ def _dense(parts: DataFrame, size: int) -> np.ndarray:
 
 def big_rows(table, large, n, idx, cell, value):
     """Per non-zero, the value times the core contracted with everything but mode ``n``."""
+    if len(large) == 2 and _in_few_cells(cell, len(large[1 - n])):
+        here, at = np.unique(cell, return_inverse=True)
+        rest = np.moveaxis(np.tensordot(table[here], large[1 - n], axes=([3 - n], [1])), 3, 1)     # (cells here, items of the other mode, lead, rank)
+        return np.einsum("zl,zla->za", value, rest[at, idx[1 - n]])
     part = np.einsum("zl,zl...->z...", value, table[cell])
     for m in reversed(range(len(large))):
         if m != n:
@@ -155,6 +170,17 @@ def big_rows(table, large, n, idx, cell, value):
     return part
 
 
+def _in_few_cells(cell: np.ndarray, size: int) -> bool:
+    """Whether a table of ``size`` rows for each calendar cell of a chunk is less work than one for each non-zero."""
+    return len(cell) > size * np.count_nonzero(np.diff(cell, prepend=-1))
+
+
+def _add_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """total[at] += rows, in place, rows of one place added up."""
+    width = total.shape[1]
+    np.add.at(total.reshape(-1), (at[:, None] * width + np.arange(width)).ravel(), rows.ravel())
+
+
 def _chunks(batches, n_big):
     for batch in batches:
         n = batch.num_rows
@@ -210,14 +236,50 @@ def _settled(history: list[tuple[int, float]], tol: float) -> bool:
 
 # --- the start -------------------------------------------------------------------------------
 
-def _gram(data: DataFrame, mode: str, others: list[str], size: int) -> np.ndarray:
-    """X_(n) X_(n)' of one mode: products of cells of one fibre (of at most ``size`` cells), summed by pair."""
+def _gram(data: DataFrame, mode: str, others: list[str], size: int, other_sizes: list[int], tasks: int) -> np.ndarray:
+    """X_(n) X_(n)' of one mode: products of cells of one fibre (of at most ``size`` cells), summed by pair.
+
+    The fibres are dealt over the cluster; a task multiplies blocks of whole fibres as matrices, so no pair of
+    cells is a row.  Where a matrix of the mode's size is too much for a task, the pairs are joined."""
+    if size <= GRAM_LOCAL and np.prod(other_sizes, dtype=float) < 2.0 ** 62:
+        fibre = F.lit(0).cast("long")
+        for c, n in zip(others, other_sizes, strict=True):
+            fibre = fibre * n + F.col(c).cast("long")
+        cells = data.select(fibre.alias("fibre"), F.col(mode).cast("long").alias("i"), "x").repartition(tasks, "fibre").sortWithinPartitions("fibre")
+        return _dense(cells.mapInPandas(_fibre_products(size), "k long, x double"), size * size).reshape(size, size)
     left = data.select(*[F.col(c).alias(c) for c in others], F.col(mode).alias("i"), "x")
     right = data.select(*[F.col(c).alias(c) for c in others], F.col(mode).alias("j"), F.col("x").alias("y"))
     pairs = left.join(right, others) if others else left.join(right, left["i"] == right["j"])
     return _dense(pairs.select((F.col("i").cast("long") * size + F.col("j")).alias("k"), (F.col("x") * F.col("y")).alias("x")), size * size).reshape(size, size)
 
 
+def _fibre_products(size: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Task of ``_gram``: cells (fibre, i, x) sorted by fibre to the sums of the products x_i x_j within fibres."""
+    step = max(1, GRAM_BLOCK // size)
+
+    def run(batches):
+        total = np.zeros((size, size))
+        for block in user_blocks(batches, CHUNK, "fibre"):
+            fibre, i, x = block["fibre"].to_numpy(), block["i"].to_numpy(), block["x"].to_numpy()
+            first = np.append(np.flatnonzero(np.append(True, fibre[1:] != fibre[:-1])), len(fibre))
+            for s in range(0, len(first) - 1, step):
+                ends = first[s:s + step + 1]
+                at, value, length = i[ends[0]:ends[-1]], x[ends[0]:ends[-1]], np.diff(ends)
+                if PAIR_COST * (length ** 2).sum() < size ** 2 * len(length):       # nearly empty: the pairs themselves
+                    n = np.repeat(length, length)
+                    left = np.repeat(np.arange(len(at)), n)
+                    right = np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.repeat(ends[:-1] - ends[0], length), n)
+                    np.add.at(total.ravel(), at[left] * size + at[right], value[left] * value[right])
+                else:
+                    part = np.zeros((size, len(length)))
+                    np.add.at(part, (at, np.repeat(np.arange(len(length)), length)), value)
+                    total += part @ part.T
+        k = np.flatnonzero(total)
+        yield pd.DataFrame({"k": k, "x": total.ravel()[k]})
+
+    return run
+
+
 def _hash_rows(size: int, rank: int) -> np.ndarray:
     i, r = np.indices((size, rank))
     return ((i * 48271 + r * 69621) % 2147483647 % 1000) / 1000.0 + 0.1
@@ -226,11 +288,13 @@ def _hash_rows(size: int, rank: int) -> np.ndarray:
 def gram_start(data: DataFrame, cols: list[str], shape: tuple[int, ...], ranks: tuple[int, ...]) -> list[np.ndarray]:
     """The heavier signed parts of the leading eigenvectors of every mode's Gram matrix (``data``: cols, x), kept off zero."""
     out = []
+    tasks = max(1, -(-data.count() // TASK_CELLS))
     for n, (size, rank) in enumerate(zip(shape, ranks, strict=True)):
         if size > GRAM_SIZE:
             out.append(_hash_rows(size, rank))
             continue
-        _, vectors = np.linalg.eigh(_gram(data, cols[n], [c for k, c in enumerate(cols) if k != n], size))
+        _, vectors = np.linalg.eigh(_gram(data, cols[n], [c for k, c in enumerate(cols) if k != n], size,
+                                          [m for k, m in enumerate(shape) if k != n], tasks))
         v = vectors[:, ::-1][:, :rank]
         v = v * np.where(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])] < 0, -1.0, 1.0)     # eigenvectors have no sign of their own
         up, down = np.maximum(v, 0), np.maximum(-v, 0)
@@ -275,11 +339,14 @@ def non_negative_tucker(coo: DataFrame, cols: list[str], shape: tuple[int, ...],
     flat = coo.select(*cols, F.col("value").cast("double").alias("x")).where("x <> 0").checkpoint()
     xx, cells = flat.agg(F.sum(F.col("x") * F.col("x")), F.count(F.lit(1))).first()
     xx = xx or 0.0
+    tasks = max(1, -(-cells // TASK_CELLS))
+    by_cell = ["cell"] if np.prod([shape[m] for m in small], dtype=float) >= CELLS_A_TASK * tasks else []
     data = (flat.select(*_leaves(cols, shape, big, small), F.array("x").alias("value"))
-            .repartition(max(1, -(-cells // TASK_CELLS))).persist(StorageLevel.MEMORY_AND_DISK))
+            .repartition(tasks, *by_cell).sortWithinPartitions("cell").persist(StorageLevel.MEMORY_AND_DISK))
     tree = _Tree(data, tuple(shape[m] for m in order), tuple(ranks[m] for m in order), len(big))
     if start is None:
-        factors = [gram_start(flat, cols, shape, ranks)[m] for m in order]
+        begin = gram_start(flat, cols, shape, ranks)
+        factors = [begin[m] for m in order]
         shared = tree.shared(factors)
         n_small = len(small)
         cell, rank, inner = string.ascii_lowercase[:n_small], string.ascii_uppercase[:n_small], string.ascii_lowercase[10:11 + len(big)]
