@@ -3,6 +3,7 @@
 import tempfile
 from datetime import timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,81 @@ def test_no_events(spark, events):
     sink = tempfile.mkdtemp(prefix="tt-sink-")
     et.run_appending(et.chained_trips(et.read_event_files(spark, src, events.schema), "8 hours"), sink, "none")
     assert et.appended(spark, sink).count() == 0
+
+
+class Value:
+    """State variables of one key, kept here."""
+
+    def __init__(self):
+        self.held = []
+
+    def exists(self):
+        return bool(self.held)
+
+    def get(self):
+        return self.held[0]
+
+    def update(self, value):
+        self.held = [value]
+
+    def clear(self):
+        self.held = []
+
+
+class Values(Value):
+    def get(self):
+        return iter(self.held)
+
+    def appendValue(self, value):
+        self.held.append(value)
+
+    def put(self, values):
+        self.held = list(values)
+
+
+class Handle:
+    def __init__(self):
+        self.timers = []
+
+    def getListState(self, name, schema):
+        return Values()
+
+    def getValueState(self, name, schema):
+        return Value()
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def test_one_call_chains_all_travellers_of_a_share():
+    chainer, grower = et.TripChainer(), et.DocumentGrower(10)
+    for p in (chainer, grower):
+        p.init(Handle())
+
+    def frame(*rows):
+        return pd.DataFrame(rows, columns=["user_id", "tsu", "event_id", "txn_type", "k", "hour"]).astype({"k": "Int32", "event_id": "Int64"})
+
+    list(chainer.handleInputRows((0,), [frame((2, 5000, 1, "view", 7, 0), (1, 3000, 2, "click", 4, 0)), frame(
+        (1, 1000, 3, None, 5, 0), (2, 9000, 4, "view", 8, 0), (1, 2000, None, "view", None, 0), (-1, 10 ** 9, -1, et.MARKER, None, 0))], Clock(-1)))
+    (out,) = chainer.handleExpiredTimer((0,), Clock(5), Clock(5))
+    assert out[["user_id", "origin", "dest", "tsu"]].astype(object).where(out.notna(), None).values.tolist() == [[1, None, 4, 2000]]
+    list(grower.handleInputRows((0,), [out], Clock(5)))
+    list(chainer.handleInputRows((0,), [frame((1, 8000, 5, "view", 6, 0), (2, 20000, 6, "view", 1, 0))], Clock(5)))
+    (out,) = chainer.handleExpiredTimer((0,), Clock(9), Clock(9))
+    assert out[["user_id", "event_id", "txn_type", "origin", "dest"]].values.tolist() == [[1, 2, "click", 4, 6], [2, 1, "view", 7, 8]]
+    assert chainer.handle.timers == [1, 9, 8, 20]
+    list(grower.handleInputRows((0,), [out], Clock(9)))
+    assert list(grower.handleExpiredTimer((0,), Clock(16), Clock(15))) == []
+    (done,) = grower.handleExpiredTimer((0,), Clock(19), Clock(19))
+    assert done[["user_id", "subtype", "wordcount", "first_tsu"]].values.tolist() == [[1, "view", 2, 2000], [2, "view", 1, 5000]]
+    assert not grower.documents.exists()

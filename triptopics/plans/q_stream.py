@@ -108,10 +108,11 @@ IDLE = timedelta(days=3)
 
 
 def _unordered_trips(spark, sf):
-    """Used trips of the events dealt to files whose days overlap, chained in event time."""
+    """Used trips of the events dealt to files whose days overlap, chained in event time; and the shares of the travellers."""
     events = table(spark, sf, "events")
+    shares = et.share_count(spark, events.count())
     path = et.write_event_files(events, so.scratch_path(spark, "event-files"), EVENT_FILES)
-    return so.used(et.chained_trips(et.read_event_files(spark, path, events.schema), DELAY))
+    return so.used(et.chained_trips(et.read_event_files(spark, path, events.schema), DELAY, shares)), shares
 
 
 @query("stream_flow_event_time", with_views("""
@@ -119,7 +120,7 @@ SELECT date_trunc('hour', ts) AS bin_start, origin, dest, COUNT(*) AS amount
 FROM trips GROUP BY 1, 2, 3""", **T), ("T-03", "A-03"))
 def q_stream_flow_event_time(spark, sf):
     path = so.scratch_path(spark, "sink-flow-event-time")
-    et.run_appending(et.flow_increments(_unordered_trips(spark, sf)), path, "flow-event-time")
+    et.run_appending(et.flow_increments(_unordered_trips(spark, sf)[0]), path, "flow-event-time")
     flow = et.appended(spark, path).groupBy("bin_start", "origin", "dest").agg(F.sum("n").alias("amount"))
     return flow.select(F.col("bin_start").cast("timestamp_ntz").alias("bin_start"), "origin", "dest", "amount")
 
@@ -129,7 +130,7 @@ def q_stream_flow_event_time(spark, sf):
 def q_stream_cohort_event_time(spark, sf):
     cohort = tr.cohort(trips(spark, sf), COHORT_SIZE, COHORT_SEED).checkpoint()
     path = so.scratch_path(spark, "sink-cohort-event-time")
-    et.run_appending(so.cohort_stream(_unordered_trips(spark, sf), cohort, COHORT_SIZE), path, "cohort-event-time")
+    et.run_appending(so.cohort_stream(_unordered_trips(spark, sf)[0], cohort, COHORT_SIZE), path, "cohort-event-time")
     return et.appended(spark, path).select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "txn_type", "origin", "dest", "hour")
 
 
@@ -138,5 +139,6 @@ SELECT user_id, arg_min(txn_type, (ts, event_id)) AS subtype, COUNT(*) AS wordco
     ("T-05", "A-10"))
 def q_stream_docs_event_time(spark, sf):
     path = so.scratch_path(spark, "sink-docs-event-time")
-    et.run_appending(et.document_segments(_unordered_trips(spark, sf), IDLE), path, "docs-event-time")
+    trips, shares = _unordered_trips(spark, sf)
+    et.run_appending(et.document_segments(trips, IDLE, shares), path, "docs-event-time")
     return et.documents(et.appended(spark, path))

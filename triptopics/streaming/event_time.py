@@ -1,13 +1,13 @@
 """Event-time forms of the day loop: trips, flows and documents from events in any order (T-03 ... T-05).
 
-* ``chained_trips`` buffers a traveller's events in a list state and releases them in time order when the
-  watermark has passed them, so files may hold events of several days, in any order within the delay.
+* ``chained_trips`` buffers events in a list state and releases them in a traveller's time order when the
+  watermark has passed them (the state's key is a share of the travellers, so a call handles many at once), so files may hold events of several days, in any order within the delay.
   What the watermark has passed when it arrives is late: Spark drops and counts it, and
   ``late_events`` writes it to a side table.
 * Every trip carries ``released``, the watermark at its release, as the event time of the steps behind:
   flow windows over it close, so no hour of the past is held (``flow_increments``; a trip may be
   released days after its hour began, hence an hour's flow is the sum of its increments).
-* ``document_segments`` keeps one row of state for a traveller who travels and lets go of it ``idle`` after
+* ``document_segments`` keeps one row for a traveller who travels and lets go of it ``idle`` after
   the last trip, giving out the segment of the document; a document is the sum of its segments, so
   state is held for the travellers of the last ``idle`` only.
 
@@ -24,12 +24,14 @@ from datetime import timedelta
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.indexing import stable_hash
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, shuffle_partitions
 from ..sources.fixtures import event_stations
 from .ops import scratch_path
 
@@ -39,64 +41,100 @@ MARKER = "end of stream"
 MARKERS = 3
 MARKER_GAP = timedelta(days=365)
 
-EVENT = "tsu long, event_id long, txn_type string, k int, hour int"
+SHARE_EVENTS = 25_000       # events of a share of the travellers, in all files together
+
+EVENT = pa.schema([("user_id", pa.int64()), ("tsu", pa.int64()), ("event_id", pa.int64()), ("txn_type", pa.string()), ("k", pa.int32()), ("hour", pa.int32())])
 TRIP = ("user_id long, event_id long, ts timestamp, txn_type string, origin int, dest int, hour int, tsu long, released timestamp")
 SEGMENT = "user_id long, subtype string, wordcount long, first_tsu long, first_id long, closed timestamp"
-SEGMENT_STATE = "wordcount long, first_tsu long, first_id long, subtype string, timer long"
-_FIELDS = [c.split()[0] for c in EVENT.split(", ")]
+DOCUMENT = pa.schema([("user_id", pa.int64()), ("tsu", pa.int64()), ("event_id", pa.int64()), ("txn_type", pa.string()), ("wordcount", pa.int64()), ("timer", pa.int64())])
+PACKED = "packed binary"
 
 
 def _instants(micros: np.ndarray | list[int]) -> pd.Series:
     return pd.Series(pd.to_datetime(np.asarray(micros, np.int64), unit="us", utc=True))
 
 
-def _event_rows(pdf: pd.DataFrame) -> list[tuple]:
-    """Rows of ``EVENT`` as plain Python values (null: None)."""
-    whole = [[None if pd.isna(v) else int(v) for v in pdf[c]] for c in ("tsu", "event_id", "k", "hour")]
-    types = [None if pd.isna(v) else str(v) for v in pdf["txn_type"]]
-    return [(t, e, x, k, h) for t, e, x, k, h in zip(whole[0], whole[1], types, whole[2], whole[3], strict=True)]
+def share_count(spark: SparkSession, events: int) -> int:
+    """Shares of the travellers for a stream of about ``events`` events: some for every partition, and no large ones."""
+    return max(4 * shuffle_partitions(spark), -(-events // SHARE_EVENTS))
+
+
+def by_share(df: DataFrame, shares: int | None) -> GroupedData:
+    """``df`` by share of the travellers, a function of the traveller alone: one call and one state a share, not a
+    traveller.  A checkpoint belongs to its number of shares."""
+    return df.withColumn("share", F.pmod(F.xxhash64("user_id"), F.lit(shares or share_count(df.sparkSession, 0)))).groupBy("share")
+
+
+def _packed(table: pa.Table) -> tuple[bytes]:
+    """A table as one state value."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return (sink.getvalue().to_pybytes(),)
+
+
+def _unpacked(value: tuple) -> pa.Table:
+    return pa.ipc.open_stream(bytes(value[0])).read_all()
+
+
+def _timeline(table: pa.Table, *before: np.ndarray) -> pa.Table:
+    """Rows by traveller, then ``before``, time and event (null first); equal ones stay in order."""
+    keys = [pc.fill_null(table["event_id"], -(2 ** 63)).to_numpy(), table["tsu"].to_numpy(), *before, table["user_id"].to_numpy()]
+    return table.take(pa.array(np.lexsort(keys)))
+
+
+def _starts(users: np.ndarray) -> np.ndarray:
+    """Where each traveller's rows begin."""
+    return np.flatnonzero(np.append(True, users[1:] != users[:-1]))
 
 
 class TripChainer(StatefulProcessor):
-    """Events of a traveller, in any order, to trips in time order; see ``chained_trips``."""
+    """Events of a share of the travellers, in any order, to trips in each one's time order; see ``chained_trips``."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", EVENT)
-        self.last = handle.getValueState("last", EVENT)
+        self.waiting = handle.getListState("waiting", PACKED)
+        self.last = handle.getValueState("last", PACKED)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for pdf in rows:
             pdf = pdf[pdf["txn_type"] != MARKER]
             if len(pdf):
-                self.waiting.appendList(_event_rows(pdf))
+                self.waiting.appendValue(_packed(pa.Table.from_pandas(pdf[EVENT.names], EVENT, preserve_index=False)))
                 first = min(x for x in (first, int(pdf["tsu"].min())) if x is not None)
         if first is not None:
             self.handle.registerTimer(-(-first // 1000))
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.waiting.exists():
+            return
         now = timerValues.getCurrentWatermarkInMs()
-        events = sorted(self.waiting.get(), key=lambda e: e[:2]) if self.waiting.exists() else []
-        ready = [e for e in events if e[0] <= 1000 * now]
-        rest = events[len(ready):]
-        if ready:
-            if rest:
-                self.waiting.put(rest)
+        events = pa.concat_tables([_unpacked(v) for v in self.waiting.get()])
+        passed = pc.less_equal(events["tsu"], 1000 * now)
+        ready, rest = events.filter(passed), events.filter(pc.invert(passed))
+        if len(ready):
+            if len(rest):
+                self.waiting.put([_packed(rest)])
             else:
                 self.waiting.clear()
-            chain = [self.last.get(), *ready] if self.last.exists() else ready
-            self.last.update(tuple(ready[-1]))
-            pairs = [(a, b[3]) for a, b in zip(chain[:-1], chain[1:], strict=True) if b[3] is not None]   # a trip ends at a known station
-            if pairs:
+            before = _unpacked(self.last.get()) if self.last.exists() else ready.slice(0, 0)
+            chain = _timeline(pa.concat_tables([before, ready]), np.repeat([0, 1], [len(before), len(ready)]))
+            users, k = chain["user_id"].to_numpy(), chain["k"]
+            ends = np.append(_starts(users)[1:], len(users)) - 1
+            self.last.update(_packed(chain.take(pa.array(ends))))
+            same = np.append(users[1:] == users[:-1], False)
+            same[:-1] &= k.is_valid().to_numpy()[1:]                # a trip ends at a known station
+            at = np.flatnonzero(same)
+            if len(at):
+                trips = chain.take(pa.array(at)).to_pandas(types_mapper={pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype()}.get)
                 yield pd.DataFrame({
-                    "user_id": key[0], "event_id": [a[1] for a, _ in pairs], "ts": _instants([a[0] for a, _ in pairs]),
-                    "txn_type": [a[2] for a, _ in pairs], "origin": pd.array([a[3] for a, _ in pairs], "Int32"),
-                    "dest": pd.array([d for _, d in pairs], "Int32"), "hour": pd.array([a[4] for a, _ in pairs], "Int32"),
-                    "tsu": [a[0] for a, _ in pairs], "released": _instants([1000 * now] * len(pairs))})
-        if rest:
-            self.handle.registerTimer(-(-rest[0][0] // 1000))
+                    "user_id": trips["user_id"], "event_id": trips["event_id"], "ts": _instants(trips["tsu"]),
+                    "txn_type": trips["txn_type"], "origin": trips["k"], "dest": pd.array(k.take(pa.array(at + 1)).to_numpy(), "Int32"),
+                    "hour": trips["hour"], "tsu": trips["tsu"], "released": _instants([1000 * now] * len(at))})
+        if len(rest):
+            self.handle.registerTimer(-(-pc.min(rest["tsu"]).as_py() // 1000))
 
     def close(self) -> None:
         pass
@@ -108,12 +146,12 @@ def event_frame(events: DataFrame) -> DataFrame:
     return e.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("tsu", F.unix_micros("ts"))
 
 
-def chained_trips(events: DataFrame, delay: str) -> DataFrame:
+def chained_trips(events: DataFrame, delay: str, shares: int | None = None) -> DataFrame:
     """``TRIP``: the trips of an event stream (all types; filter behind), each once, in a traveller's time order.
 
     Events without a traveller or a time are left out: they belong to no timeline."""
     known = event_frame(events).where("user_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", delay)
-    return known.groupBy("user_id").transformWithStateInPandas(
+    return by_share(known, shares).transformWithStateInPandas(
         TripChainer(), TRIP, "Append", "eventTime", eventTimeColumnName="released")
 
 
@@ -125,51 +163,52 @@ def flow_increments(trips: DataFrame, window: str = "1 hour") -> DataFrame:
 
 
 class DocumentGrower(StatefulProcessor):
-    """Trips of a traveller to segments of the traveller's document; see ``document_segments``."""
+    """Trips of a share of the travellers to segments of their documents; see ``document_segments``."""
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.document = handle.getValueState("document", SEGMENT_STATE)
+        self.documents = handle.getValueState("documents", PACKED)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        count, first, sub, timer = 0, None, None, None
-        if self.document.exists():
-            count, tsu, event_id, sub, timer = self.document.get()
-            first = (tsu, event_id)
-        seen = 0
-        for pdf in rows:
-            count += len(pdf)
-            seen = max(seen, int(pdf["released"].map(lambda t: t.value // 1_000_000).max())) if len(pdf) else seen
-            for tsu, event_id, kind in zip(pdf["tsu"], pdf["event_id"], pdf["txn_type"], strict=True):
-                if first is None or (int(tsu), int(event_id)) < first:
-                    first, sub = (int(tsu), int(event_id)), kind
-        if timer is not None:
-            self.handle.deleteTimer(timer)
         timer = max(timerValues.getCurrentWatermarkInMs(), 0) + self.idle_ms
-        self.handle.registerTimer(timer)
-        self.document.update((int(count), *first, sub, timer))
+        parts = [pa.Table.from_pandas(pdf.assign(wordcount=1, timer=timer)[DOCUMENT.names], DOCUMENT, preserve_index=False) for pdf in rows if len(pdf)]
+        if parts:
+            held = [_unpacked(self.documents.get())] if self.documents.exists() else []
+            grown = _timeline(pa.concat_tables([*held, *parts]))
+            first = _starts(grown["user_id"].to_numpy())
+            now = grown.take(pa.array(first)).drop_columns(["wordcount", "timer"])      # a traveller's first trip, and what the rows add up to
+            now = now.append_column("wordcount", pa.array(np.add.reduceat(grown["wordcount"].to_numpy(), first)))
+            now = now.append_column("timer", pa.array(np.maximum.reduceat(grown["timer"].to_numpy(), first)))
+            self.documents.update(_packed(now))
+            self.handle.registerTimer(timer)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.document.exists():
+        if not self.documents.exists():
             return
-        count, tsu, event_id, sub, timer = self.document.get()
-        if timer != expiredTimerInfo.getExpiryTimeInMs():
+        held = _unpacked(self.documents.get())
+        idle = pc.less_equal(held["timer"], expiredTimerInfo.getExpiryTimeInMs())
+        done, rest = held.filter(idle), held.filter(pc.invert(idle))
+        if not len(done):
             return
-        self.document.clear()
-        yield pd.DataFrame({"user_id": [key[0]], "subtype": [sub], "wordcount": [count], "first_tsu": [tsu], "first_id": [event_id],
-                            "closed": _instants([1000 * timerValues.getCurrentWatermarkInMs()])})
+        if len(rest):
+            self.documents.update(_packed(rest))
+        else:
+            self.documents.clear()
+        done = done.to_pandas()
+        yield pd.DataFrame({"user_id": done["user_id"], "subtype": done["txn_type"], "wordcount": done["wordcount"], "first_tsu": done["tsu"],
+                            "first_id": done["event_id"], "closed": _instants([1000 * timerValues.getCurrentWatermarkInMs()] * len(done))})
 
     def close(self) -> None:
         pass
 
 
-def document_segments(trips: DataFrame, idle: timedelta) -> DataFrame:
+def document_segments(trips: DataFrame, idle: timedelta, shares: int | None = None) -> DataFrame:
     """T-05: ``SEGMENT``s of the travellers' documents, given out ``idle`` after a traveller's last trip."""
-    return trips.groupBy("user_id").transformWithStateInPandas(
+    return by_share(trips, shares).transformWithStateInPandas(
         DocumentGrower(int(idle.total_seconds() * 1000)), SEGMENT, "Append", "eventTime", eventTimeColumnName="closed")
 
 
