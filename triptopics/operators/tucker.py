@@ -401,6 +401,8 @@ def outliers(res: DataFrame, z: float = 3.0) -> DataFrame:
 
 # ---- tensors with a distributed leading mode (e.g. user × O × D × T) ----------------
 
+USER_TABLE = 4_000_000      # numbers of a table of cells that a task may hold
+USER_IN = ["user_id", "u", "b0", "b1", "cell", "x"]
 USER_OUT = "kind int, user_id long, u array<double>, b0 long, b1 long, cell long, value array<double>"
 
 
@@ -426,9 +428,11 @@ def non_negative_tucker_users(coo: DataFrame, cols: list[str], shape: tuple[int,
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rest_shape, rest_ranks, r0 = tuple(shape[1:]), tuple(ranks[1:]), ranks[0]
     flat = coo.select("user_id", *cols, F.col("value").cast("double").alias("x")).where("x <> 0").checkpoint()
-    data = (flat.select("user_id", *_leaves(cols, rest_shape, [0, 1], [2]), "x").repartition(n, "user_id")
-            .sortWithinPartitions("user_id").persist(StorageLevel.MEMORY_AND_DISK))
-    users = _init_users(data.select("user_id").distinct(), r0).repartition(n, "user_id").checkpoint()
+    leaves = flat.select("user_id", *_leaves(cols, rest_shape, [0, 1], [2]), "x").repartition(n, "user_id")
+    # one row a user: at most a value for each cell of the network and the calendar
+    data = (leaves.groupBy("user_id").agg(F.collect_list(F.struct("b0", "b1", "cell", "x")).alias("z"))
+            .select("user_id", *[F.col("z")[c].alias(c) for c in ("b0", "b1", "cell", "x")]).persist(StorageLevel.MEMORY_AND_DISK))
+    users = _init_users(data.select("user_id"), r0).repartition(n, "user_id").checkpoint()
     total = flat.groupBy(*cols).agg(F.sum("x").alias("x")).checkpoint()
     factors = gram_start(total, cols, rest_shape, rest_ranks)
     xx = flat.agg(F.sum(F.col("x") * F.col("x"))).first()[0] or 0.0
@@ -443,7 +447,7 @@ def non_negative_tucker_users(coo: DataFrame, cols: list[str], shape: tuple[int,
         bottom = flat_core @ _core_times(core, [np.eye(r0), *grams[1:]]).reshape(r0, -1).T
         table = _Tree(data, rest_shape, rest_ranks, 2, r0)._by_cell(core, factors)
         step = _user_step(table, factors[:2], bottom, r0)
-        out = data.join(users, "user_id").sortWithinPartitions("user_id").mapInPandas(step, USER_OUT).checkpoint()
+        out = data.join(users, "user_id").select(*USER_IN).mapInArrow(step, USER_OUT).checkpoint()
         users = out.where("kind = 0").select("user_id", "u").repartition(n, "user_id").checkpoint()
         left = out.where("kind = 1").groupBy("b0", "b1", "cell").agg(
             F.array(*[F.sum(F.col("value")[k]) for k in range(r0)]).alias("value")).persist(StorageLevel.MEMORY_AND_DISK)
@@ -459,30 +463,73 @@ def non_negative_tucker_users(coo: DataFrame, cols: list[str], shape: tuple[int,
     return users, model
 
 
+def _user_cells(table: np.ndarray, large: list[np.ndarray]) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """(b0, b1, cell) of non-zeros to the core contracted with both large modes and the cell: (non-zeros, user rank).
+
+    As far as a table of all cells, or of the second mode's items by calendar cell, is small, it is made once."""
+    cells, r0, rank, _ = table.shape
+    if cells * len(large[1]) * r0 * rank > USER_TABLE:
+        return lambda i, j, c: np.einsum("zla,za->zl", np.einsum("zlab,zb->zla", table[c], large[1][j]), large[0][i])
+    second = np.ascontiguousarray(np.moveaxis(np.tensordot(table, large[1], axes=([3], [1])), 3, 1))       # (cells, items, user rank, rank)
+    if cells * len(large[0]) * len(large[1]) * r0 > USER_TABLE:
+        return lambda i, j, c: np.einsum("zla,za->zl", second[c, j], large[0][i])
+    both = np.ascontiguousarray(np.moveaxis(np.tensordot(second, large[0], axes=([3], [1])), 3, 1))        # (cells, items, items, user rank)
+    return lambda i, j, c: both[c, i, j]
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    """Rows of a matrix as one list each."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel()))
+
+
+def _user_rows(kind: int, user: np.ndarray, u: pa.Array, b0: np.ndarray, b1: np.ndarray, cell: np.ndarray, value: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(user), kind, np.int32)), pa.array(user), u, *map(pa.array, (b0, b1, cell)), value],
+                                      names=[c.split()[0] for c in USER_OUT.split(", ")])
+
+
 def _user_step(table, large, bottom, r0):
-    """Task of one user pass: new rows of whole users (kind 0) and the task's sum of the tensor times them (kind 1)."""
+    """Task of one user pass: new rows of whole users (kind 0) and the task's sums of the tensor times them (kind 1),
+    added up over the task where all cells fit a table, else over a batch."""
+    shape = len(large[0]), len(large[1]), len(table)
+    whole = int(np.prod(shape, dtype=np.int64)) * r0 <= USER_TABLE
+
+    def sums(key, rows):
+        b0, b1, cell = np.unravel_index(key, shape)
+        none = np.zeros(len(key), np.int64)
+        return _user_rows(1, none - 1, pa.nulls(len(key), pa.list_(pa.float64())), b0, b1, cell, _lists(rows))
+
     def step(batches):
-        for block in user_blocks(batches):
-            ids = block["user_id"].to_numpy(np.int64)
-            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-            idx = [block["b0"].to_numpy(np.int64), block["b1"].to_numpy(np.int64)]
-            cell, x = block["cell"].to_numpy(np.int64), block["x"].to_numpy(np.float64)
-            num = np.zeros((len(first), r0))
-            owner = np.cumsum(np.append(0, ids[1:] != ids[:-1]))
-            for s in range(0, len(ids), CHUNK):
+        contracted = _user_cells(table, large)
+        total = np.zeros((int(np.prod(shape)), r0)) if whole else None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, u = batch.column("user_id").to_numpy(), batch.column("u").flatten().to_numpy().reshape(-1, r0)
+            b0, b1, cell, x = (batch.column(c).flatten().to_numpy() for c in ("b0", "b1", "cell", "x"))
+            owner = np.repeat(np.arange(len(ids)), batch.column("x").value_lengths().to_numpy())
+            num = np.zeros((len(ids), r0))
+            for s in range(0, len(x), CHUNK):
                 z = slice(s, s + CHUNK)
-                part = table[cell[z]]                                       # (z, user rank, two large ranks)
-                part = np.einsum("zlab,zb->zla", part, large[1][idx[1][z]])
-                np.add.at(num, owner[z], np.einsum("zla,za->zl", part, large[0][idx[0][z]]) * x[z, None])
-            u = np.stack(block["u"].to_numpy()[first])
+                _add_rows(num, owner[z], contracted(b0[z], b1[z], cell[z]) * x[z, None])
             new = u * num / np.maximum(u @ bottom, EPS)
-            yield pd.DataFrame({"kind": 0, "user_id": ids[first], "u": list(new), "b0": 0, "b1": 0, "cell": 0, "value": None})
-            keys = pd.DataFrame({"b0": idx[0], "b1": idx[1], "cell": cell})
-            codes, uniques = pd.factorize(pd.MultiIndex.from_frame(keys))
-            sums = np.zeros((len(uniques), r0))
-            np.add.at(sums, codes, x[:, None] * new[owner])
-            b0, b1, c = (uniques.get_level_values(k).to_numpy(np.int64) for k in range(3))
-            yield pd.DataFrame({"kind": 1, "user_id": -1, "u": None, "b0": b0, "b1": b1, "cell": c, "value": list(sums)})
+            none = np.zeros(len(ids), np.int64)
+            yield _user_rows(0, ids, _lists(new), none, none, none, pa.nulls(len(ids), pa.list_(pa.float64())))
+            key = np.ravel_multi_index((b0, b1, cell), shape)
+            if whole:
+                place, own = total, key
+            else:
+                found, own = np.unique(key, return_inverse=True)
+                place = np.zeros((len(found), r0))
+            for s in range(0, len(x), CHUNK):
+                z = slice(s, s + CHUNK)
+                _add_rows(place, own[z], x[z, None] * new[owner[z]])
+            if not whole:
+                yield sums(found, place)
+        if whole:
+            key = np.flatnonzero(total.any(axis=1))
+            for s in range(0, len(key), CHUNK):
+                yield sums(key[s:s + CHUNK], total[key[s:s + CHUNK]])
+
     return step
 
 
