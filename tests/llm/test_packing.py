@@ -64,3 +64,14 @@ def test_remembered_parts_are_bounded_by_the_callers_number(tokenizer):
         assert small.encode(text) == large.encode(text)
     assert len(small.recent) + len(small.older) <= 40 < len(large.recent) + len(large.older)
     assert corpus_pipeline.PACKING_PARTS <= packing.CACHE_PARTS // 2
+
+
+def test_new_parts_of_a_text_are_merged_in_one_call():
+    enc = packing.CachedEncoder(packing.vocabulary())
+    calls, merge = [], enc.merge
+    enc.merge = lambda t: calls.append(t) or merge(t)
+    for text in ("Zorbit qan-tel x\ny café, 12,5 你好 fin. " * 2 + "end", "end of Zorbit, qan-tel's <b> z"):
+        calls.clear()
+        want = np.array([*enc.whole.encode(text, add_special_tokens=False).ids, packing.END_ID], enc.dtype).tobytes()
+        assert enc.encode(text) == want
+        assert len(calls) <= 2

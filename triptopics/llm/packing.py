@@ -63,6 +63,8 @@ class CachedEncoder:
         ranks = {bytes(shown[c] for c in t): i for t, i in self.whole.get_vocab(with_added_tokens=False).items() if t not in special}
         self.merge = tiktoken.Encoding("parts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.special = tuple(special)
+        self.opens = np.zeros(self.whole.get_vocab_size(), bool)       # tokens that begin with a space
+        self.opens[[i for t, i in ranks.items() if t[:1] == b" "]] = True
         self.dtype = np.dtype("H" if self.whole.get_vocab_size() <= 1 << 16 else "I")
         self.end = np.array([END_ID], self.dtype).tobytes()
         self.marks = {m: self._exact(m) for m in MARKS}
@@ -80,25 +82,32 @@ class CachedEncoder:
             return self._exact(text)
         return array(self.dtype.char, self.merge(text)).tobytes()
 
-    def _part(self, part: str) -> bytes:
-        """Ids of a space and ``part``; a closing mark after letters is a token of its own."""
-        ids = self.older.get(part)
-        if ids is None:
-            if part[-1] in MARKS and part[:-1].isalpha():
-                ids = (self.recent.get(part[:-1]) or self._ids(" " + part[:-1])) + self.marks[part[-1]]
-            else:
-                ids = self._ids(" " + part)
-            place = hash(part) % MET
-            if not self.met[place]:
-                self.n_met += 1
-                if 2 * self.n_met > MET:
-                    self.met, self.n_met = bytearray(MET), 0
-                self.met[place] = 1
-                return ids
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of a space and each part, merged in one call: only a part's first token begins with a space."""
+        text = " " + " ".join(parts)
+        if max(map(len, parts)) <= LONG_PART and not any(t in text for t in self.special):
+            ids = np.array(self.merge(text), self.dtype)
+            at = np.flatnonzero(self.opens[ids]) * self.dtype.itemsize
+            if len(at) == len(parts):
+                raw = ids.tobytes()
+                return [raw[i:j] for i, j in zip(at.tolist(), [*at[1:].tolist(), len(raw)], strict=True)]
+        return [self._ids(" " + p) for p in parts]
+
+    def _keep(self, part: str, ids: bytes) -> None:
+        """Remember a part that is met for the second time."""
+        place = hash(part) % MET
+        if not self.met[place]:
+            self.n_met += 1
+            if 2 * self.n_met > MET:
+                self.met, self.n_met = bytearray(MET), 0
+            self.met[place] = 1
+        else:
+            self._remember(part, ids)
+
+    def _remember(self, part: str, ids: bytes) -> None:
         if len(self.recent) >= self.half:
             self.older, self.recent = self.recent, {}
         self.recent[part] = ids
-        return ids
 
     def encode(self, text: str) -> bytes:
         """Ids of ``text`` and the end id, as little-endian bytes of ``dtype``."""
@@ -109,7 +118,7 @@ class CachedEncoder:
             return self._exact(text) + self.end
         got = list(map(self.recent.get, parts))
         if None in got:
-            k = -1
+            k, missing = -1, []
             while True:
                 try:
                     k = got.index(None, k + 1)
@@ -118,7 +127,19 @@ class CachedEncoder:
                 part = parts[k]
                 if not part or part[0].isspace() or part[-1].isspace():
                     return self._exact(text) + self.end
-                got[k] = self._part(part)
+                ids = self.older.get(part)
+                if ids is not None:
+                    self._remember(part, ids)
+                elif part[-1] in self.marks and part[:-1].isalpha() and (stem := self.recent.get(part[:-1])) is not None:
+                    ids = stem + self.marks[part[-1]]       # a closing mark after letters is a token of its own
+                    self._keep(part, ids)
+                else:
+                    missing.append(k)
+                got[k] = ids
+            if missing:
+                for k, ids in zip(missing, self._parts([parts[k] for k in missing]), strict=True):
+                    got[k] = ids
+                    self._keep(parts[k], ids)
         return (self._ids(first) if first else b"") + b"".join(got) + self.end
 
 
