@@ -19,6 +19,7 @@ from ..sources.fixtures import TRIPS_SQL, trips
 from ..streaming import event_time as et
 from ..streaming import ops as so
 from ..streaming.online import latest_beta, stream_online_lda
+from ..streaming.shares import share_count
 from .catalog import query, with_views
 from .q_fits import _holdout_metrics, _split_corpus
 from .q_trips import COHORT_SEED, COHORT_SIZE, COHORT_SQL
@@ -27,12 +28,16 @@ T = {"trips": TRIPS_SQL}
 WATERMARK = "2 hours"
 
 
+def _shares(spark, sf) -> int:
+    return share_count(spark, table(spark, sf, "events").count())
+
+
 @query("stream_od_flow", with_views("""
 SELECT date_trunc('hour', ts) AS bin_start, origin, dest, COUNT(*) AS amount
 FROM trips GROUP BY 1, 2, 3""", **T), ("T-03", "A-03"))
 def q_stream_od_flow(spark, sf):
     ev = so.read_event_stream(spark, sf)
-    flow = so.od_flow_stream(so.used(so.chain_trips(ev, WATERMARK)))
+    flow = so.od_flow_stream(so.used(so.chain_trips(ev, WATERMARK, _shares(spark, sf))))
     path = so.scratch_path(spark, "sink-od-flow")
     so.run_to_end(flow, path, "update", "od-flow")
     out = so.latest(spark, path, ["bin_start", "origin", "dest"])
@@ -45,7 +50,7 @@ SELECT strftime(CAST(ts - INTERVAL 5 HOUR AS DATE), '%Y-%m-%d') AS sday, origin,
 FROM trips WHERE ((HOUR(ts) - 5) % 24 + 24) % 24 < 21 GROUP BY 1, 2, 3, 4""", **T), ("T-03", "A-04"))
 def q_stream_od_flow_7h(spark, sf):
     ev = so.read_event_stream(spark, sf)
-    flow = so.od_flow_rebinned_stream(so.used(so.chain_trips(ev, WATERMARK)))
+    flow = so.od_flow_rebinned_stream(so.used(so.chain_trips(ev, WATERMARK, _shares(spark, sf))))
     path = so.scratch_path(spark, "sink-od-flow-7h")
     so.run_to_end(flow, path, "update", "od-flow-7h")
     out = so.latest(spark, path, ["w", "bin", "origin", "dest"])
@@ -58,7 +63,7 @@ def q_stream_cohort_trips(spark, sf):
     cohort = tr.cohort(trips(spark, sf), COHORT_SIZE, COHORT_SEED).cache()
     cohort.count()
     ev = so.read_event_stream(spark, sf)
-    s = so.cohort_stream(so.used(so.chain_trips(ev)), cohort, COHORT_SIZE)
+    s = so.cohort_stream(so.used(so.chain_trips(ev, shares=_shares(spark, sf))), cohort, COHORT_SIZE)
     path = so.scratch_path(spark, "sink-cohort")
     so.run_to_end(s, path, "append", "cohort")
     out = spark.read.option("basePath", path).parquet(f"{path}/batch=*").drop("batch")
@@ -72,7 +77,7 @@ SELECT user_id, arg_min(txn_type, (ts, event_id)) AS subtype, COUNT(*) AS wordco
 def q_stream_docs(spark, sf):
     ev = so.read_event_stream(spark, sf)
     path = so.scratch_path(spark, "sink-docs")
-    so.run_to_end(so.doc_stream(ev), path, "update", "docs")
+    so.run_to_end(so.doc_stream(ev, _shares(spark, sf)), path, "update", "docs")
     return so.latest(spark, path, ["user_id"]).select("user_id", "subtype", "wordcount")
 
 
@@ -81,7 +86,7 @@ def q_stream_online_lda(spark, sf):
     cfg = TensorLDAConfig(iter_inference=10)
     corpus = corpus_from_trips(trips(spark, sf))      # fixed vocabulary of the network
     model = init_model(corpus, cfg)
-    stream = so.used(so.chain_trips(so.read_event_stream(spark, sf)))
+    stream = so.used(so.chain_trips(so.read_event_stream(spark, sf), shares=_shares(spark, sf)))
     path, _ = stream_online_lda(stream, model, cfg)
     return latest_beta(spark, path)
 
@@ -94,7 +99,7 @@ def q_stream_online_metrics(spark, sf):
     corpus, _, test_docs = _split_corpus(spark, trips(spark, sf))
     test_docs = test_docs.checkpoint()                # scored after each batch, split once
     held = test_docs.select("user_id").distinct().checkpoint()
-    stream = so.used(so.chain_trips(so.read_event_stream(spark, sf))).join(held, "user_id", "left_anti")
+    stream = so.used(so.chain_trips(so.read_event_stream(spark, sf), shares=_shares(spark, sf))).join(held, "user_id", "left_anti")
     _, history = stream_online_lda(stream, init_model(corpus, cfg), cfg,
                                    eval_fn=lambda m, _: _holdout_metrics(spark, m, test_docs, cfg))
     return spark.createDataFrame(history, "batch int, name string, value double, n_docs int")
@@ -110,7 +115,7 @@ IDLE = timedelta(days=3)
 def _unordered_trips(spark, sf):
     """Used trips of the events dealt to files whose days overlap, chained in event time; and the shares of the travellers."""
     events = table(spark, sf, "events")
-    shares = et.share_count(spark, events.count())
+    shares = _shares(spark, sf)
     path = et.write_event_files(events, so.scratch_path(spark, "event-files"), EVENT_FILES)
     return so.used(et.chained_trips(et.read_event_files(spark, path, events.schema), DELAY, shares)), shares
 

@@ -26,14 +26,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, GroupedData, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.indexing import stable_hash
-from ..session import ensure_checkpoint_dir, shuffle_partitions
-from ..sources.fixtures import event_stations
+from ..session import ensure_checkpoint_dir
 from .ops import scratch_path
+from .shares import PACKED, by_share, chain, event_table, instants, known_events, packed, starts, timeline, trip_rows, unpacked
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -41,51 +41,9 @@ MARKER = "end of stream"
 MARKERS = 3
 MARKER_GAP = timedelta(days=365)
 
-SHARE_EVENTS = 25_000       # events of a share of the travellers, in all files together
-
-EVENT = pa.schema([("user_id", pa.int64()), ("tsu", pa.int64()), ("event_id", pa.int64()), ("txn_type", pa.string()), ("k", pa.int32()), ("hour", pa.int32())])
 TRIP = ("user_id long, event_id long, ts timestamp, txn_type string, origin int, dest int, hour int, tsu long, released timestamp")
 SEGMENT = "user_id long, subtype string, wordcount long, first_tsu long, first_id long, closed timestamp"
 DOCUMENT = pa.schema([("user_id", pa.int64()), ("tsu", pa.int64()), ("event_id", pa.int64()), ("txn_type", pa.string()), ("wordcount", pa.int64()), ("timer", pa.int64())])
-PACKED = "packed binary"
-
-
-def _instants(micros: np.ndarray | list[int]) -> pd.Series:
-    return pd.Series(pd.to_datetime(np.asarray(micros, np.int64), unit="us", utc=True))
-
-
-def share_count(spark: SparkSession, events: int) -> int:
-    """Shares of the travellers for a stream of about ``events`` events: some for every partition, and no large ones."""
-    return max(4 * shuffle_partitions(spark), -(-events // SHARE_EVENTS))
-
-
-def by_share(df: DataFrame, shares: int | None) -> GroupedData:
-    """``df`` by share of the travellers, a function of the traveller alone: one call and one state a share, not a
-    traveller.  A checkpoint belongs to its number of shares."""
-    return df.withColumn("share", F.pmod(F.xxhash64("user_id"), F.lit(shares or share_count(df.sparkSession, 0)))).groupBy("share")
-
-
-def _packed(table: pa.Table) -> tuple[bytes]:
-    """A table as one state value."""
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    return (sink.getvalue().to_pybytes(),)
-
-
-def _unpacked(value: tuple) -> pa.Table:
-    return pa.ipc.open_stream(bytes(value[0])).read_all()
-
-
-def _timeline(table: pa.Table, *before: np.ndarray) -> pa.Table:
-    """Rows by traveller, then ``before``, time and event (null first); equal ones stay in order."""
-    keys = [pc.fill_null(table["event_id"], -(2 ** 63)).to_numpy(), table["tsu"].to_numpy(), *before, table["user_id"].to_numpy()]
-    return table.take(pa.array(np.lexsort(keys)))
-
-
-def _starts(users: np.ndarray) -> np.ndarray:
-    """Where each traveller's rows begin."""
-    return np.flatnonzero(np.append(True, users[1:] != users[:-1]))
 
 
 class TripChainer(StatefulProcessor):
@@ -101,7 +59,7 @@ class TripChainer(StatefulProcessor):
         for pdf in rows:
             pdf = pdf[pdf["txn_type"] != MARKER]
             if len(pdf):
-                self.waiting.appendValue(_packed(pa.Table.from_pandas(pdf[EVENT.names], EVENT, preserve_index=False)))
+                self.waiting.appendValue(packed(event_table(pdf)))
                 first = min(x for x in (first, int(pdf["tsu"].min())) if x is not None)
         if first is not None:
             self.handle.registerTimer(-(-first // 1000))
@@ -111,28 +69,19 @@ class TripChainer(StatefulProcessor):
         if not self.waiting.exists():
             return
         now = timerValues.getCurrentWatermarkInMs()
-        events = pa.concat_tables([_unpacked(v) for v in self.waiting.get()])
+        events = pa.concat_tables([unpacked(v) for v in self.waiting.get()])
         passed = pc.less_equal(events["tsu"], 1000 * now)
         ready, rest = events.filter(passed), events.filter(pc.invert(passed))
         if len(ready):
             if len(rest):
-                self.waiting.put([_packed(rest)])
+                self.waiting.put([packed(rest)])
             else:
                 self.waiting.clear()
-            before = _unpacked(self.last.get()) if self.last.exists() else ready.slice(0, 0)
-            chain = _timeline(pa.concat_tables([before, ready]), np.repeat([0, 1], [len(before), len(ready)]))
-            users, k = chain["user_id"].to_numpy(), chain["k"]
-            ends = np.append(_starts(users)[1:], len(users)) - 1
-            self.last.update(_packed(chain.take(pa.array(ends))))
-            same = np.append(users[1:] == users[:-1], False)
-            same[:-1] &= k.is_valid().to_numpy()[1:]                # a trip ends at a known station
-            at = np.flatnonzero(same)
+            before = unpacked(self.last.get()) if self.last.exists() else ready.slice(0, 0)
+            rows, at, ends = chain(before, ready)
+            self.last.update(packed(rows.take(pa.array(ends))))
             if len(at):
-                trips = chain.take(pa.array(at)).to_pandas(types_mapper={pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype()}.get)
-                yield pd.DataFrame({
-                    "user_id": trips["user_id"], "event_id": trips["event_id"], "ts": _instants(trips["tsu"]),
-                    "txn_type": trips["txn_type"], "origin": trips["k"], "dest": pd.array(k.take(pa.array(at + 1)).to_numpy(), "Int32"),
-                    "hour": trips["hour"], "tsu": trips["tsu"], "released": _instants([1000 * now] * len(at))})
+                yield trip_rows(rows, at).assign(released=instants([1000 * now] * len(at)))
         if len(rest):
             self.handle.registerTimer(-(-pc.min(rest["tsu"]).as_py() // 1000))
 
@@ -140,17 +89,9 @@ class TripChainer(StatefulProcessor):
         pass
 
 
-def event_frame(events: DataFrame) -> DataFrame:
-    """Columns of the chaining: the hour is the wall-clock hour, whatever the session's time zone."""
-    e = event_stations(events).withColumnRenamed("origin", "k").withColumn("hour", F.hour("ts"))
-    return e.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("tsu", F.unix_micros("ts"))
-
-
 def chained_trips(events: DataFrame, delay: str, shares: int | None = None) -> DataFrame:
-    """``TRIP``: the trips of an event stream (all types; filter behind), each once, in a traveller's time order.
-
-    Events without a traveller or a time are left out: they belong to no timeline."""
-    known = event_frame(events).where("user_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", delay)
+    """``TRIP``: the trips of an event stream (all types; filter behind), each once, in a traveller's time order."""
+    known = known_events(events).withWatermark("ts", delay)
     return by_share(known, shares).transformWithStateInPandas(
         TripChainer(), TRIP, "Append", "eventTime", eventTimeColumnName="released")
 
@@ -176,31 +117,31 @@ class DocumentGrower(StatefulProcessor):
         timer = max(timerValues.getCurrentWatermarkInMs(), 0) + self.idle_ms
         parts = [pa.Table.from_pandas(pdf.assign(wordcount=1, timer=timer)[DOCUMENT.names], DOCUMENT, preserve_index=False) for pdf in rows if len(pdf)]
         if parts:
-            held = [_unpacked(self.documents.get())] if self.documents.exists() else []
-            grown = _timeline(pa.concat_tables([*held, *parts]))
-            first = _starts(grown["user_id"].to_numpy())
+            held = [unpacked(self.documents.get())] if self.documents.exists() else []
+            grown = timeline(pa.concat_tables([*held, *parts]))
+            first = starts(grown["user_id"].to_numpy())
             now = grown.take(pa.array(first)).drop_columns(["wordcount", "timer"])      # a traveller's first trip, and what the rows add up to
             now = now.append_column("wordcount", pa.array(np.add.reduceat(grown["wordcount"].to_numpy(), first)))
             now = now.append_column("timer", pa.array(np.maximum.reduceat(grown["timer"].to_numpy(), first)))
-            self.documents.update(_packed(now))
+            self.documents.update(packed(now))
             self.handle.registerTimer(timer)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.documents.exists():
             return
-        held = _unpacked(self.documents.get())
+        held = unpacked(self.documents.get())
         idle = pc.less_equal(held["timer"], expiredTimerInfo.getExpiryTimeInMs())
         done, rest = held.filter(idle), held.filter(pc.invert(idle))
         if not len(done):
             return
         if len(rest):
-            self.documents.update(_packed(rest))
+            self.documents.update(packed(rest))
         else:
             self.documents.clear()
         done = done.to_pandas()
         yield pd.DataFrame({"user_id": done["user_id"], "subtype": done["txn_type"], "wordcount": done["wordcount"], "first_tsu": done["tsu"],
-                            "first_id": done["event_id"], "closed": _instants([1000 * timerValues.getCurrentWatermarkInMs()] * len(done))})
+                            "first_id": done["event_id"], "closed": instants([1000 * timerValues.getCurrentWatermarkInMs()] * len(done))})
 
     def close(self) -> None:
         pass
@@ -309,7 +250,7 @@ def late_events(stream: DataFrame, delay: timedelta, path: str) -> int:
     mark = "batch long, latest long"
 
     def write(df: DataFrame, batch: int) -> None:
-        timed = event_frame(df).where("user_id IS NOT NULL AND ts IS NOT NULL")
+        timed = known_events(df)
         done = spark.read.schema(mark).parquet(f"{marks}/*").where(F.col("batch") < batch - 1).agg(F.max("latest")).first()[0] if batch > 1 else None
         found = timed if done is not None else timed.limit(0)
         found.where(F.col("tsu") <= F.lit(-(2 ** 62) if done is None else (done // 1000) * 1000 - delay_us)).write.mode("overwrite").parquet(f"{path}/batch={batch}")

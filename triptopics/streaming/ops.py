@@ -1,8 +1,8 @@
 """Structured Streaming forms of the trip pipeline (T-01 ... T-05).
 
 * ``chain_trips``: events of a traveller become trips as they arrive; the
-  state per traveller is one row (its last event), kept by
-  ``applyInPandasWithState``; events of a traveller are assumed to
+  state is the last event of each traveller, kept by share of the travellers
+  in ``applyInPandasWithState``; events of a traveller are assumed to
   arrive in time order (a file or partition per day, as the fare files).
 * ``od_flow_stream``: hourly OD flow (T-03).  The watermark given to
   ``chain_trips`` does not pass through the stateful chaining, so it evicts
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
@@ -33,13 +34,11 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.indexing import guarded_broadcast
 from ..session import ensure_checkpoint_dir
-from ..sources.fixtures import event_stations
+from .shares import EVENT, PACKED, by_share, chain, event_table, known_events, packed, trip_rows, unpacked
 
 CHAIN_OUT = ("user_id long, event_id long, ts timestamp, txn_type string, origin int, dest int, hour int")
-CHAIN_STATE = "tsu long, event_id long, ts timestamp, txn_type string, k int, hour int"
 DOC_OUT = "user_id long, subtype string, wordcount long"
-DOC_STATE = "tsu long, event_id long, ts timestamp, txn_type string, k int, wordcount long, first_tsu long, " \
-            "first_id long, subtype string"
+DOC_STATE = EVENT.append(pa.field("subtype", pa.string())).append(pa.field("wordcount", pa.int64()))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -55,59 +54,28 @@ def read_event_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> D
     return s
 
 
-def _ordered(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    return pdf.sort_values(["tsu", "event_id"], kind="stable").reset_index(drop=True)
-
-
-def _whole(value) -> int | None:
-    """A station as it goes into the state: null where the event has none."""
-    return None if pd.isna(value) else int(value)
-
-
-def _pairs(key, pdf, state):
-    """Previous event (from state) + this batch, in time order -> consecutive pairs."""
-    if state.exists:
-        tsu, eid, ts, typ, k, hr = state.get
-        prev = pd.DataFrame({"tsu": [tsu], "event_id": [eid], "ts": [ts], "txn_type": [typ], "k": [k], "hour": [hr]})
-        pdf = pd.concat([prev, pdf[["tsu", "event_id", "ts", "txn_type", "k", "hour"]]], ignore_index=True)
-    last = pdf.iloc[-1]
-    state.update((int(last["tsu"]), int(last["event_id"]), last["ts"], last["txn_type"], _whole(last["k"]),
-                  int(last["hour"])))
-    dest = pdf["k"].iloc[1:].astype("Int32").to_numpy()
-    known = ~pd.isna(dest)                      # as in the batch form, a trip ends at a known station
-    head, dest = pdf.iloc[:-1][known], dest[known]
-    return pd.DataFrame({
-        "user_id": np.full(len(head), key[0], dtype=np.int64),
-        "event_id": head["event_id"].to_numpy(np.int64),
-        "ts": head["ts"].to_numpy(),
-        "txn_type": head["txn_type"].to_numpy(),
-        "origin": head["k"].astype("Int32").to_numpy(),
-        "dest": dest.astype(np.int32),
-        "hour": head["hour"].to_numpy(np.int32)})
-
-
-def _event_frame(events: DataFrame) -> DataFrame:
-    # the hour is taken from the wall-clock timestamp before it becomes event time,
-    # so it does not depend on the session time zone
-    e = event_stations(events).withColumnRenamed("origin", "k").withColumn("hour", F.hour("ts"))
-    e = e.withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.withColumn("tsu", F.unix_micros("ts"))
-
-
-def chain_trips(events: DataFrame, watermark: str | None = None) -> DataFrame:
-    """Stateful chaining of an event stream into trips (all types; filter later)."""
-    e = _event_frame(events)
+def _arrived(pdfs: Iterator[pd.DataFrame]) -> pa.Table:
+    return pa.concat_tables([EVENT.empty_table(), *(event_table(pdf) for pdf in pdfs if len(pdf))])
+
+
+def chain_trips(events: DataFrame, watermark: str | None = None, shares: int | None = None) -> DataFrame:
+    """Stateful chaining of an event stream into trips (all types; filter later).
+
+    A traveller's last event goes before this batch's events, which are taken in time order."""
+    e = known_events(events)
     if watermark:
         e = e.withWatermark("ts", watermark)
 
     def fn(key, pdfs, state):
-        pdf = _ordered(pdfs)
-        if len(pdf):
-            yield _pairs(key, pdf, state)
+        new = _arrived(pdfs)
+        if not len(new):
+            return
+        rows, heads, ends = chain(unpacked(state.get) if state.exists else EVENT.empty_table(), new)
+        state.update(packed(rows.take(pa.array(ends))))
+        if len(heads):
+            yield trip_rows(rows, heads).drop(columns="tsu")
 
-    return e.groupBy("user_id").applyInPandasWithState(
-        fn, CHAIN_OUT, CHAIN_STATE, "append", GroupStateTimeout.NoTimeout)
+    return by_share(e, shares).applyInPandasWithState(fn, CHAIN_OUT, PACKED, "append", GroupStateTimeout.NoTimeout)
 
 
 def used(trips: DataFrame) -> DataFrame:
@@ -141,33 +109,34 @@ def cohort_stream(trips: DataFrame, cohort: DataFrame, size: int) -> DataFrame:
     return trips.join(guarded_broadcast(cohort, size), "user_id", "left_semi")
 
 
-def doc_stream(events: DataFrame) -> DataFrame:
+def doc_stream(events: DataFrame, shares: int | None = None) -> DataFrame:
     """T-05: chain events and grow each traveller's document summary (used trips only)."""
-    e = _event_frame(events)
 
     def fn(key, pdfs, state):
-        pdf = _ordered(pdfs)
-        if not len(pdf):
+        new = _arrived(pdfs)
+        if not len(new):
             return
-        if state.exists:
-            tsu, eid, ts, typ, k, wc, ftsu, fid, sub = state.get
-            prev = pd.DataFrame({"tsu": [tsu], "event_id": [eid], "ts": [ts], "txn_type": [typ], "k": [k]})
-            pdf = pd.concat([prev, pdf[["tsu", "event_id", "ts", "txn_type", "k"]]], ignore_index=True)
-        else:
-            wc, ftsu, fid, sub = 0, None, None, None
-        trips = pdf.iloc[:-1][pdf["k"].iloc[1:].notna().to_numpy()]
-        used_rows = trips[trips["txn_type"] != "error"]
-        if len(used_rows) and ftsu is None:
-            first = used_rows.iloc[0]
-            ftsu, fid, sub = int(first["tsu"]), int(first["event_id"]), first["txn_type"]
-        wc = int(wc) + len(used_rows)
-        last = pdf.iloc[-1]
-        state.update((int(last["tsu"]), int(last["event_id"]), last["ts"], last["txn_type"], _whole(last["k"]),
-                      wc, ftsu, fid, sub))
-        if wc > 0:
-            yield pd.DataFrame({"user_id": [key[0]], "subtype": [sub], "wordcount": [wc]})
-
-    return e.groupBy("user_id").applyInPandasWithState(fn, DOC_OUT, DOC_STATE, "update", GroupStateTimeout.NoTimeout)
+        held = unpacked(state.get) if state.exists else DOC_STATE.empty_table()
+        rows, heads, ends = chain(held.select(EVENT.names), new)
+        users, types = rows["user_id"].to_numpy(), rows["txn_type"].to_numpy()
+        travellers = users[ends]
+        used_rows = heads[types[heads] != "error"]
+        owner = np.searchsorted(travellers, users[used_rows])
+        wordcount = np.bincount(owner, minlength=len(travellers))
+        subtype = np.full(len(travellers), None, dtype=object)
+        with_used, first = np.unique(owner, return_index=True)
+        subtype[with_used] = types[used_rows[first]]
+        before = held["wordcount"].to_numpy()
+        known = np.searchsorted(travellers, held["user_id"].to_numpy())
+        wordcount[known] += before
+        subtype[known[before > 0]] = held["subtype"].to_numpy()[before > 0]      # the first used trip's stays
+        last = rows.take(pa.array(ends))
+        state.update(packed(pa.table([*last.columns, pa.array(subtype, pa.string()), pa.array(wordcount)], schema=DOC_STATE)))
+        out = (wordcount > 0) & np.isin(travellers, new["user_id"].to_numpy())
+        if out.any():
+            yield pd.DataFrame({"user_id": travellers[out], "subtype": subtype[out], "wordcount": wordcount[out]})
+
+    return by_share(known_events(events), shares).applyInPandasWithState(fn, DOC_OUT, PACKED, "update", GroupStateTimeout.NoTimeout)
 
 
 # ---- sinks -------------------------------------------------------------------
